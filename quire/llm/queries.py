@@ -28,10 +28,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = rf"""
 WITH d AS (
-  SELECT row_number() OVER () AS k, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{decontam.UPPER}', '{decontam.LOWER}'), '{decontam.SEPARATORS}'), x -> x <> '') AS ws
+  SELECT row_number() OVER () AS k, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{decontam.UPPER}', '{decontam.LOWER}'), '{decontam.SEPARATORS}'), lambda x: x <> '') AS ws
   FROM documents
 ), b AS (
-  SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{decontam.UPPER}', '{decontam.LOWER}'), '{decontam.SEPARATORS}'), x -> x <> '') AS ws
+  SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{decontam.UPPER}', '{decontam.LOWER}'), '{decontam.SEPARATORS}'), lambda x: x <> '') AS ws
   FROM benchmark
 ), wl AS (SELECT *, least(10, len(ws)) AS l FROM b WHERE len(ws) > 0),
 win AS (SELECT DISTINCT item_id, l, ws[i:i + l - 1] AS w FROM (SELECT *, unnest(range(1, len(ws) - l + 2)) AS i FROM wl)),
