@@ -1,11 +1,11 @@
 """Benchmark decontamination by winnowing.
 
 Words are lower-cased (A-Z) runs of digits, letters a-z and non-ASCII characters. Of every ``window -
-k + 1`` consecutive k-grams of words, the least hash is kept, leftmost first; so two texts that share
-``window`` consecutive words keep the same k-gram of that span. Kept k-grams of documents are looked
-up among those of the benchmark, and each hit is extended: the ``window`` possible placements of a
-window over the k-gram are compared word by word, within the 2 * window - k words around it. Items
-shorter than a window are one window of their own length and are looked up whole.
+k + 1`` consecutive k-grams of words, the least hash is kept; so two texts that share ``window``
+consecutive words keep the same k-gram of that span (of equal k-grams, the benchmark keeps all). Kept
+k-grams of documents are looked up among those of the benchmark, and each hit is extended: the possible
+placements of a window over the k-gram are compared word by word, within the 2 * window - k words around
+it. Items shorter than a window are one window of their own length and are looked up whole.
 
 The lookup broadcasts benchmark hashes only, in blocks of at most ``BLOCK`` hashes (8 bytes each): a
 larger benchmark takes several passes over the documents, none drops anything. What is compared then
@@ -19,8 +19,6 @@ that share a doc_id but not the text are separate documents; an empty table give
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +29,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 K, WINDOW = 5, 10
 #: Benchmark hashes broadcast at a time: about 32 MB as a hash relation of longs.
 BLOCK = 1_000_000
+#: Ids of documents with hits that are broadcast at most, to read only those texts again; 16 bytes each.
+BROADCAST_IDS = 1_000_000
 
 
 def lower_ascii(text: Column) -> Column:
@@ -42,44 +42,45 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
-def _gram(wh: Column, at: Column, k: int) -> Column:
-    """Hash of the k words at a zero-based place, from the words' hashes."""
-    return F.xxhash64(*[F.get(wh, at + j) for j in range(k)])
+def _tokenised(df: DataFrame, key: list[Column], text: str) -> DataFrame:
+    """key columns, ws (words), wh (their hashes), n."""
+    df = df.select(*key, words(F.col(text)).alias("ws"))
+    return df.select("*", F.transform("ws", lambda w: F.xxhash64(w)).alias("wh"), F.size("ws").cast("int").alias("n"))
 
 
-def _least(grams: list[Column]) -> Column:
-    """The least hash of a span with its place in the low bits, so that the leftmost wins a tie."""
-    bits = (len(grams) - 1).bit_length()
-    mask = F.lit(-1 << bits).cast("long")
-    return F.least(*[g.bitwiseAND(mask).bitwiseOR(F.lit(j).cast("long")) for j, g in enumerate(grams)])
+def _grams(df: DataFrame, k: int, window: int) -> DataFrame:
+    """Adds g, the k-gram hash at each place, and m, the least of each window. The low three bits of a
+    hash are its place modulo 8: a window has at most 8 k-grams, so they tell the place."""
+    low = F.lit(-8).cast("long")
+    gram = lambda x, i: F.xxhash64(x, *[F.get("wh", i + j) for j in range(1, k)]).bitwiseAND(low).bitwiseOR(F.pmod(i, F.lit(8)).cast("long"))
+    df = df.withColumn("g", F.transform("wh", gram))
+    whole = F.when(F.col("n") >= window, F.slice("g", F.lit(1), F.col("n") - (window - 1))).otherwise(F.array().cast("array<bigint>"))
+    return df.withColumn("m", F.transform(whole, lambda x, i: F.least(x, *[F.get("g", i + j) for j in range(1, window - k + 1)])))
 
 
-def _tokenised(df: DataFrame, key: list[Column], text: str) -> DataFrame:
-    """key columns, ws (words), wh (their hashes), n."""
-    df = df.select(*key, words(F.col(text)).alias("ws"))
-    return df.select("*", F.transform("ws", lambda w: F.xxhash64(w)).alias("wh"), F.size("ws").alias("n"))
+def _print(m: Column, p: Column) -> Column:
+    return F.struct(p.cast("int").alias("p"), F.shiftright(m, 3).alias("fp"))
 
 
-def _kept(df: DataFrame, header: bool, k: int = K, window: int = WINDOW) -> DataFrame:
-    """A row for each kept k-gram: p (zero-based place), fp, ctx (words around it), cp (its place in
-    ctx). With header also one row a text with p = -1."""
-    span = window - k + 1
-    last = F.col("n") - window
-    places = F.when(last >= 0, F.sequence(F.lit(-1 if header else 0), last)).otherwise(F.array(F.lit(-1)) if header else F.array().cast("array<int>"))
-    df = df.select("*", F.explode(places).alias("i"))
-    df = df.select("*", *[_gram(F.col("wh"), F.col("i") + j, k).alias(f"g{j + 1}") for j in range(-1, span)])
-    grams = [F.col(f"g{j}") for j in range(span + 1)]
-    df = df.select("ws", "n", "i", *_ids(df), _least(grams[1:]).alias("least"), _least(grams[:-1]).alias("before"))
-    bits = (span - 1).bit_length()
-    low, head = F.lit((1 << bits) - 1).cast("long"), F.col("i") < 0
-    p = F.col("i") + F.col("least").bitwiseAND(low).cast("int")
-    p_before = F.col("i") - 1 + F.col("before").bitwiseAND(low).cast("int")
-    df = df.where(head | (F.col("i") == 0) | (p != p_before))
-    return df.select("ws", "n", *_ids(df), F.when(head, F.lit(-1)).otherwise(p).alias("p"), F.when(~head, F.shiftright("least", bits)).alias("fp"))
+def _kept(df: DataFrame, k: int, window: int) -> DataFrame:
+    """Adds kept, the places and hashes of a text's kept k-grams. Arrays all the way: rows that carried
+    a text's words with each of its places would grow with the square of its length."""
+    place = lambda x, i: i + F.pmod(x.bitwiseAND(F.lit(7).cast("long")) - i, F.lit(8).cast("long"))
+    new = F.transform("m", lambda x, i: F.when((i == 0) | (x != F.get("m", i - 1)), _print(x, place(x, i))))
+    return _grams(df, k, window).withColumn("kept", F.array_compact(new))
 
 
-def _ids(df: DataFrame) -> list[str]:
-    return [c for c in ("doc_id", "text_key", "item_id") if c in df.columns]
+def _kept_with_ties(df: DataFrame, k: int, window: int) -> DataFrame:
+    """As _kept, but with every place of a window that has the least hash: whichever of equal k-grams
+    the other text kept, the one in line with it is here."""
+    df = _grams(df, k, window)
+    same = F.transform(
+        "m",
+        lambda x, i: F.transform(
+            F.filter(F.sequence(i, i + (window - k)), lambda j: F.shiftright(F.get("g", j.cast("int")), 3) == F.shiftright(x, 3)), lambda j: _print(x, j)
+        ),
+    )
+    return df.withColumn("kept", F.array_distinct(F.flatten(same)))
 
 
 def _context(ws: Column, p: Column, k: int = K, window: int = WINDOW) -> tuple[Column, Column]:
@@ -108,12 +109,27 @@ def _blocks(hashes: DataFrame, block: int) -> list[DataFrame]:
     return [hashes.where(F.pmod(F.xxhash64("fp"), F.lit(parts)) == b) for b in range(parts)]
 
 
+def _of_documents(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """Texts of the documents that have hits, with them; one row for equal documents."""
+    hits = stage(hits, "hit-documents").select(F.col("doc_id").alias("h_id"), F.col("text_key").alias("h_key"), "hits")
+    if hits.count() <= BROADCAST_IDS:
+        keys = F.broadcast(hits.select("h_id", "h_key"))
+        same = F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_key") == F.col("h_key"))
+        docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("text_key"), "text").join(keys, same, "left_semi")
+    else:
+        docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("text_key"), "text")
+    docs = docs.dropDuplicates(["doc_id", "text_key"])
+    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_key") == F.col("h_key")))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, k: int = K, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """One row a document: doc_id, text_key, n_words, n_hit, items (sorted ids as strings)."""
+    if not k <= window <= k + 7:
+        raise ValueError("a window holds 1 to 8 k-grams")
     items = stage(_tokenised(benchmark, [F.col("item_id").cast("string").alias("item_id")], "text").where("n > 0"), "bench-words")
-    kept = _kept(items, header=False, k=k, window=window)
-    ctx, cp = _context(F.col("ws"), F.col("p"), k, window)
-    prints = stage(kept.select("fp", "item_id", ctx.alias("ictx"), cp.alias("icp")), "bench-prints")
+    prints = _kept_with_ties(items, k, window).select("item_id", "ws", F.explode("kept").alias("x"))
+    ctx, cp = _context(F.col("ws"), F.col("x.p"), k, window)
+    prints = stage(prints.select("x.fp", "item_id", ctx.alias("ictx"), cp.alias("icp")), "bench-prints")
     short = items.where(F.col("n") < window)
     lengths = [r.n for r in short.select("n").distinct().collect()]  # fewer than a window has words
 
@@ -122,28 +138,36 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, k: int = K, window:
     heads = spans = None
     for hashes in _blocks(prints.select("fp").distinct(), block):
         known = F.broadcast(hashes.select(F.col("fp").alias("known")))
-        found = _kept(tokens, header=heads is None, k=k, window=window).join(known, F.col("fp") == F.col("known"), "left" if heads is None else "inner")
-        found = found.where((F.col("p") < 0) | F.col("known").isNotNull())
-        ctx, cp = _context(F.col("ws"), F.col("p"), k, window)
-        empty = F.array().cast("array<string>")
-        found = stage(
-            found.select("doc_id", "text_key", "n", "p", "fp", F.when(F.col("p") >= 0, ctx).otherwise(empty).alias("ctx"), F.when(F.col("p") >= 0, cp).alias("cp")), "decontam-hits"
-        )
+        kept = _kept(tokens, k, window).select("doc_id", "text_key", "n", "kept")
+        if heads is None:
+            head = F.array(F.struct(F.lit(-1).alias("p"), F.lit(0).cast("long").alias("fp")))
+            kept = kept.withColumn("kept", F.concat(head, "kept"))
+        found = kept.select("doc_id", "text_key", "n", F.explode("kept").alias("x")).select("doc_id", "text_key", "n", "x.p", "x.fp")
+        found = found.join(known, F.col("fp") == F.col("known"), "inner" if heads is not None else "left")
+        found = stage(found.where((F.col("p") < 0) | F.col("known").isNotNull()).drop("known"), "decontam-hits")
         if heads is None:
             heads = found.where("p < 0").select("doc_id", "text_key", F.col("n").cast("long").alias("n_words"))
-        hits = found.where("p >= 0").join(prints, "fp")
+        hits = found.where("p >= 0").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("p", "fp")).alias("hits"))
+        around = F.transform("hits", lambda x: F.struct(x["p"].alias("p"), x["fp"].alias("fp"), *(c.alias(a) for c, a in zip(_context(F.col("ws"), x["p"], k, window), ("ctx", "cp"), strict=True))))
+        near = _of_documents(docs, hits).select("doc_id", "text_key", "hits", words(F.col("text")).alias("ws"))
+        near = near.select("doc_id", "text_key", F.explode(around).alias("x")).select("doc_id", "text_key", "x.*")
         at = _windows(F.col("ctx"), F.col("cp"), F.col("ictx"), F.col("icp"), k, window)
-        hits = hits.select("doc_id", "text_key", "item_id", F.col("p"), at.alias("at")).where(F.size("at") > 0)
-        one = hits.select("doc_id", "text_key", "item_id", F.transform("at", lambda d: F.struct((F.col("p") + d).alias("s"), (F.col("p") + d + window).alias("e"))).alias("spans"))
+        near = near.join(prints, "fp").select("doc_id", "text_key", "item_id", "p", at.alias("at")).where(F.size("at") > 0)
+        one = near.select("doc_id", "text_key", "item_id", F.transform("at", lambda d: F.struct((F.col("p") + d).alias("s"), (F.col("p") + d + window).alias("e"))).alias("spans"))
         spans = one if spans is None else spans.unionByName(one)
     for n in lengths:
-        whole = short.where(F.col("n") == n).select(_gram(F.col("wh"), F.lit(0), n).alias("fp"), "item_id", F.col("ws").alias("iws"))
+        gram = lambda x, i, n=n: F.struct(i.cast("int").alias("p"), F.xxhash64(x, *[F.get("wh", i + j) for j in range(1, n)]).alias("fp"))
+        grams = F.transform(F.slice("wh", F.lit(1), F.col("n") - (n - 1)), gram)
+        whole = stage(short.where(F.col("n") == n).select(grams[0]["fp"].alias("fp"), "item_id", F.col("ws").alias("iws")), "bench-short")
         for hashes in _blocks(whole.select("fp").distinct(), block):
             known = F.broadcast(hashes.select(F.col("fp").alias("known")))
-            at = tokens.where(F.col("n") >= n).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - n)).alias("p"))
-            at = at.select("*", _gram(F.col("wh"), F.col("p"), n).alias("fp")).join(known, F.col("fp") == F.col("known"))
-            at = at.select("doc_id", "text_key", "p", "fp", F.slice("ws", F.col("p") + 1, F.lit(n)).alias("dws")).join(whole, "fp").where("dws = iws")
-            one = at.select("doc_id", "text_key", "item_id", F.array(F.struct(F.col("p").alias("s"), (F.col("p") + n).alias("e"))).alias("spans"))
+            at = tokens.where(F.col("n") >= n).select("doc_id", "text_key", F.explode(grams).alias("x")).select("doc_id", "text_key", "x.p", "x.fp")
+            at = stage(at.join(known, F.col("fp") == F.col("known")).drop("known"), "short-hits")
+            hits = at.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("p", "fp")).alias("hits"))
+            near = _of_documents(docs, hits).select("doc_id", "text_key", "hits", words(F.col("text")).alias("ws"))
+            around = F.transform("hits", lambda x, n=n: F.struct(x["p"].alias("p"), x["fp"].alias("fp"), F.slice("ws", x["p"] + 1, F.lit(n)).alias("dws")))
+            near = near.select("doc_id", "text_key", F.explode(around).alias("x")).select("doc_id", "text_key", "x.*").join(whole, "fp").where("dws = iws")
+            one = near.select("doc_id", "text_key", "item_id", F.array(F.struct(F.col("p").alias("s"), (F.col("p") + n).alias("e"))).alias("spans"))
             spans = one if spans is None else spans.unionByName(one)
     spans = spans.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.collect_set("item_id").alias("items"))
     start = F.struct(F.lit(0).alias("e"), F.lit(0).cast("long").alias("hit"))
