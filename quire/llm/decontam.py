@@ -7,6 +7,9 @@ k-grams of documents are looked up among those of the benchmark, and each hit is
 placements of a window over the k-gram are compared word by word, within the 2 * window - k words around
 it. Items shorter than a window are one window of their own length and are looked up whole.
 
+Arrays are exploded by explode_outer: from a plain explode Spark infers a filter on the array's size,
+which evaluates the whole array a second time, nested.
+
 The lookup broadcasts benchmark hashes only, in blocks of at most ``BLOCK`` hashes (8 bytes each): a
 larger benchmark takes several passes over the documents, none drops anything. What is compared then
 travels in ordinary joins of the hits. Documents are read once a pass; a header row a document carries
@@ -85,7 +88,8 @@ def _kept_with_ties(df: DataFrame, k: int, window: int) -> DataFrame:
 
 def _context(ws: Column, p: Column, k: int = K, window: int = WINDOW) -> tuple[Column, Column]:
     start = F.greatest(p - (window - k), F.lit(0))
-    return F.slice(ws, start + 1, p + window - start), p - start
+    end = F.least(p + window, F.size(ws))  # named twice, the words are not made anew for every place
+    return F.slice(ws, start + 1, end - start), p - start
 
 
 def _windows(a: Column, ap: Column, b: Column, bp: Column, k: int = K, window: int = WINDOW) -> Column:
@@ -127,9 +131,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, k: int = K, window:
     if not k <= window <= k + 7:
         raise ValueError("a window holds 1 to 8 k-grams")
     items = stage(_tokenised(benchmark, [F.col("item_id").cast("string").alias("item_id")], "text").where("n > 0"), "bench-words")
-    prints = _kept_with_ties(items, k, window).select("item_id", "ws", F.explode("kept").alias("x"))
+    prints = _kept_with_ties(items, k, window).select("item_id", "ws", F.explode_outer("kept").alias("x"))
     ctx, cp = _context(F.col("ws"), F.col("x.p"), k, window)
-    prints = stage(prints.select("x.fp", "item_id", ctx.alias("ictx"), cp.alias("icp")), "bench-prints")
+    prints = stage(prints.where("x is not null").select("x.fp", "item_id", ctx.alias("ictx"), cp.alias("icp")), "bench-prints")
     short = items.where(F.col("n") < window)
     lengths = [r.n for r in short.select("n").distinct().collect()]  # fewer than a window has words
 
@@ -142,7 +146,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, k: int = K, window:
         if heads is None:
             head = F.array(F.struct(F.lit(-1).alias("p"), F.lit(0).cast("long").alias("fp")))
             kept = kept.withColumn("kept", F.concat(head, "kept"))
-        found = kept.select("doc_id", "text_key", "n", F.explode("kept").alias("x")).select("doc_id", "text_key", "n", "x.p", "x.fp")
+        found = kept.select("doc_id", "text_key", "n", F.explode_outer("kept").alias("x")).select("doc_id", "text_key", "n", "x.p", "x.fp")
         found = found.join(known, F.col("fp") == F.col("known"), "inner" if heads is not None else "left")
         found = stage(found.where((F.col("p") < 0) | F.col("known").isNotNull()).drop("known"), "decontam-hits")
         if heads is None:
@@ -150,7 +154,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, k: int = K, window:
         hits = found.where("p >= 0").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("p", "fp")).alias("hits"))
         around = F.transform("hits", lambda x: F.struct(x["p"].alias("p"), x["fp"].alias("fp"), *(c.alias(a) for c, a in zip(_context(F.col("ws"), x["p"], k, window), ("ctx", "cp"), strict=True))))
         near = _of_documents(docs, hits).select("doc_id", "text_key", "hits", words(F.col("text")).alias("ws"))
-        near = near.select("doc_id", "text_key", F.explode(around).alias("x")).select("doc_id", "text_key", "x.*")
+        near = near.select("doc_id", "text_key", F.explode_outer(around).alias("x")).select("doc_id", "text_key", "x.*")
         at = _windows(F.col("ctx"), F.col("cp"), F.col("ictx"), F.col("icp"), k, window)
         near = near.join(prints, "fp").select("doc_id", "text_key", "item_id", "p", at.alias("at")).where(F.size("at") > 0)
         one = near.select("doc_id", "text_key", "item_id", F.transform("at", lambda d: F.struct((F.col("p") + d).alias("s"), (F.col("p") + d + window).alias("e"))).alias("spans"))
@@ -161,12 +165,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, k: int = K, window:
         whole = stage(short.where(F.col("n") == n).select(grams[0]["fp"].alias("fp"), "item_id", F.col("ws").alias("iws")), "bench-short")
         for hashes in _blocks(whole.select("fp").distinct(), block):
             known = F.broadcast(hashes.select(F.col("fp").alias("known")))
-            at = tokens.where(F.col("n") >= n).select("doc_id", "text_key", F.explode(grams).alias("x")).select("doc_id", "text_key", "x.p", "x.fp")
+            at = tokens.where(F.col("n") >= n).select("doc_id", "text_key", F.explode_outer(grams).alias("x")).select("doc_id", "text_key", "x.p", "x.fp")
             at = stage(at.join(known, F.col("fp") == F.col("known")).drop("known"), "short-hits")
             hits = at.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("p", "fp")).alias("hits"))
             near = _of_documents(docs, hits).select("doc_id", "text_key", "hits", words(F.col("text")).alias("ws"))
-            around = F.transform("hits", lambda x, n=n: F.struct(x["p"].alias("p"), x["fp"].alias("fp"), F.slice("ws", x["p"] + 1, F.lit(n)).alias("dws")))
-            near = near.select("doc_id", "text_key", F.explode(around).alias("x")).select("doc_id", "text_key", "x.*").join(whole, "fp").where("dws = iws")
+            around = F.transform("hits", lambda x, n=n: F.struct(x["p"].alias("p"), x["fp"].alias("fp"), F.slice("ws", x["p"] + 1, F.least(F.lit(n), F.size("ws"))).alias("dws")))
+            near = near.select("doc_id", "text_key", F.explode_outer(around).alias("x")).select("doc_id", "text_key", "x.*").join(whole, "fp").where("dws = iws")
             one = near.select("doc_id", "text_key", "item_id", F.array(F.struct(F.col("p").alias("s"), (F.col("p") + n).alias("e"))).alias("spans"))
             spans = one if spans is None else spans.unionByName(one)
     spans = spans.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.collect_set("item_id").alias("items"))
@@ -179,3 +183,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, k: int = K, window:
     return out.select(
         "doc_id", "text_key", "n_words", F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The documents without any hit, with the columns of ``docs``. Only ids of documents with hits are
+    joined with the texts; they are broadcast while they are few."""
+    found = decontaminate(docs, benchmark, **options).where("n_hit > 0").select(F.col("doc_id").alias("h_id"), F.col("text_key").alias("h_key")).distinct()
+    found = stage(found, "contaminated")
+    if found.count() <= BROADCAST_IDS:
+        found = F.broadcast(found)
+    names = docs.columns
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("text_key"), "doc_id", F.struct("*").alias("row"))
+    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_key") == F.col("h_key")), "left_anti")
+    return rows.select([F.col("row").getField(c).alias(c) for c in names])

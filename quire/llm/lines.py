@@ -91,7 +91,7 @@ def dedup_lines(docs: DataFrame, *, common_share: float = COMMON_SHARE) -> DataF
     own = keyed.where("doc_id is not null and text is not null").select("doc_id", "text_key", hashed.alias("lines"))
     own = stage(own, "line-hashes").select(F.struct("doc_id", "text_key").alias("at"), F.col("lines.h").alias("seq"), "lines")
     total = docs.count()
-    each = own.select("at", F.explode(F.array_distinct(F.transform(F.filter("lines", lambda x: x["worded"]), lambda x: x["h"]))).alias("line"))
+    each = own.select("at", F.explode_outer(F.array_distinct(F.transform(F.filter("lines", lambda x: x["worded"]), lambda x: x["h"]))).alias("line")).where("line is not null")
     owners = each.groupBy("line").agg(F.min("at").alias("owner"), F.count("*").alias("n"))
     owners = stage(owners.where((F.col("n") > 1) & (F.col("n") <= F.greatest(F.lit(2.0), F.lit(common_share * total)))).select("line", "owner"), "line-owners")
     pairs = stage(each.join(owners, "line").where(F.col("owner") < F.col("at")).select("at", "owner").distinct(), "line-pairs")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontam, mix
+from quire.llm import decontam, lines, lm, mix, neardup, rules, tokens
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -77,8 +77,46 @@ SELECT q.doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
 """
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents"))
+
+
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85)
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.read(spark, tokens.write(read(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_deleted", "n_partners", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.apply_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_decontamination": op2_decontamination, "op10_mixing": op10_mixing}
+    return {
+        "op1_lm_scoring": op1_lm_scoring,
+        "op2_decontamination": op2_decontamination,
+        "op3_minhash_near_dedup": op3_minhash_near_dedup,
+        "op4_token_ids": op4_token_ids,
+        "op5_line_dedup": op5_line_dedup,
+        "op9_quality_rules": op9_quality_rules,
+        "op10_mixing": op10_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

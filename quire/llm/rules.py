@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.llm.decontam import words
 from quire.llm.store import stage
@@ -116,7 +117,7 @@ def measure(docs: DataFrame, lexicon: list[str], *keys: str) -> DataFrame:
                 arrays = [batch.column(i).slice(a, b - a) for i in range(len(keys))] + [pa.array(found[c].astype(np.int64)) for c in COUNTS]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keys, *COUNTS])
 
-    schema = reduce(lambda s, c: s.add(c, "bigint"), COUNTS, type(keep)(list(keep.fields)))
+    schema = T.StructType([*keep.fields, *(T.StructField(c, T.LongType()) for c in COUNTS)])
     return docs.select(*keys, F.col("text").cast("string").alias("text")).mapInArrow(task, schema)
 
 
@@ -159,8 +160,8 @@ def learn_lexicon(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) ->
     picked = tuning.where("toxic").orderBy(order).limit(sample).unionAll(tuning.where("not toxic").orderBy(order).limit(sample))
     texts = docs.select("doc_id", "text").join(F.broadcast(picked.select("doc_id", "toxic")), "doc_id")  # at most 2 * sample ids
     ws = texts.select("toxic", words(F.col("text")).alias("ws"))
-    near = ws.select("toxic", F.explode(F.transform("ws", lambda w, i: F.struct(w.alias("w"), F.xxhash64(F.get("ws", i - 1), F.get("ws", i + 1)).alias("near")))).alias("x"))
-    per = near.select("toxic", "x.w", "x.near").distinct().groupBy("w").agg(F.count_if("toxic").alias("t"), F.count("*").alias("n"))
+    near = ws.select("toxic", F.explode_outer(F.transform("ws", lambda w, i: F.struct(w.alias("w"), F.xxhash64(F.get("ws", i - 1), F.get("ws", i + 1)).alias("near")))).alias("x"))
+    per = near.where("x is not null").select("toxic", "x.w", "x.near").distinct().groupBy("w").agg(F.count_if("toxic").alias("t"), F.count("*").alias("n"))
     z2, p, n = 9.0, F.col("t") / F.col("n"), F.col("n")
     low = (p + z2 / (2 * n) - F.sqrt(z2 * (p * (1 - p) / n + z2 / (4 * n * n)))) / (1 + z2 / n)
     return sorted(r.w for r in per.where((F.col("t") >= 9) & (low > 0.45)).select("w").collect())  # bounded by the sample
