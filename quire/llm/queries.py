@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontam, lines, lm, mix, neardup, rules, tokens
+from quire.llm import decontam, lines, lm, mix, neardup, repeats, rules, tokens
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -102,6 +102,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_deleted", "n_partners", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read(spark, sf_dir, "documents"), keep=False)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.apply_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -114,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op4_token_ids": op4_token_ids,
         "op5_line_dedup": op5_line_dedup,
+        "op6_suffix_array_dedup": op6_suffix_array_dedup,
         "op9_quality_rules": op9_quality_rules,
         "op10_mixing": op10_mixing,
     }
