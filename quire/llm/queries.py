@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontam, lines, lm, mix, neardup, pii, repeats, rules, tokens
+from quire.llm import decontam, lines, lm, mix, neardup, pages, pii, repeats, rules, tokens
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -110,6 +110,10 @@ def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_entities(read(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(read(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.apply_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -124,6 +128,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_line_dedup": op5_line_dedup,
         "op6_suffix_array_dedup": op6_suffix_array_dedup,
         "op7_pii_surrogates": op7_pii_surrogates,
+        "op8_html_extraction": op8_html_extraction,
         "op9_quality_rules": op9_quality_rules,
         "op10_mixing": op10_mixing,
     }
