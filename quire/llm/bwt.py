@@ -62,19 +62,19 @@ def merge(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.nda
     sizes = [len(t) for t in transforms]
     shard = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
     together = np.concatenate(transforms)
-    group = np.zeros(len(shard), np.int64)
+    group = np.zeros(len(shard), np.int32)
     for _ in range(rounds):
         read = np.empty_like(together)
         read[np.argsort(shard, kind="stable")] = together  # every shard is read in its own order
-        order = np.argsort(read, kind="stable")
-        symbol, before = read[order], group[order]
+        order = np.argsort(read, kind="stable").astype(np.int32)
+        read, group, shard = read[order], group[order], shard[order]
         new = np.ones(len(order), bool)
-        new[1:] = (symbol[1:] != symbol[:-1]) | (before[1:] != before[:-1])
-        shard, group = shard[order], np.cumsum(new) - 1
+        new[1:] = (read[1:] != read[:-1]) | (group[1:] != group[:-1])
+        group = np.cumsum(new, dtype=np.int32) - np.int32(1)
     return shard, group
 
 
-def common(texts: list[np.ndarray], length: int, shard_bytes: int = 1_000_000) -> np.ndarray:
+def common(texts: list[np.ndarray], length: int, shard_bytes: int = 300_000) -> np.ndarray:
     """For every byte of the texts, laid one after another: the number of the group of places at which
     the same ``length`` bytes stand; -1 where fewer bytes are left. ``length`` is a multiple of STEP.
     Symbols are told apart by 64 bits of hash."""

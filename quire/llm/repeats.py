@@ -41,7 +41,7 @@ from quire.llm.vec import _BASE, BYTE, U, mix, powers
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text in a block, in a piece that is worked on at once, and in a bucket of texts.
-BLOCK, PIECE, TEXTS = 8_000_000, 1_000_000, 3_000_000
+BLOCK, PIECE, TEXTS = 4_000_000, 500_000, 1_000_000
 #: Segments in a bucket; contents of an anchor from which a block reports it.
 SEGMENTS, REPORT = 400_000, 8
 LAST = np.int64(2**63 - 1)
