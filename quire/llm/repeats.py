@@ -17,7 +17,7 @@ smaller id, or earlier in the same one. Strings are judged on the input.
 
 Anchors that are frequent in the corpus are known from counts of all blocks. Their windows are compared
 one by one, by a hash of all their bytes, each distinct one sent once by a block, so that no bucket holds
-a hot anchor. How many there are is bounded by the number of buckets.
+a hot anchor. There is at most one for ``HOT`` distinct segments; 8 bytes of each travel with the tasks.
 
 Defined results: null and empty texts have no bytes; a null id comes after all others; rows of the same
 id are in order of a hash of their text; equal rows count as one document and get the same result; an
@@ -42,8 +42,8 @@ from quire.llm.vec import _BASE, BYTE, U, mix, powers
 LENGTH, GRAM = 100, 32
 #: Bytes of text in a block, in a piece that is worked on at once, and in a bucket of texts.
 BLOCK, PIECE, TEXTS = 4_000_000, 500_000, 1_000_000
-#: Segments in a bucket; contents of an anchor from which a block reports it.
-SEGMENTS, REPORT = 400_000, 8
+#: Segments in a bucket; contents of an anchor from which a block reports it, and from which it is hot.
+SEGMENTS, REPORT, HOT = 400_000, 8, 2000
 LAST = np.int64(2**63 - 1)
 _INVERSE = pow(_BASE, -1, 2**64)
 I4, I8, U1 = np.dtype("<i4"), np.dtype("<i8"), np.dtype("u1")
@@ -88,7 +88,7 @@ def segments(data: np.ndarray, bounds: np.ndarray, hot: np.ndarray) -> tuple[np.
     start = np.flatnonzero(new)
     stop = np.flatnonzero(valid & np.concatenate([new[1:] | ~valid[1:], [True]])) + 1
     run = stop - start
-    anchor = gram[place[start]]
+    anchor = mix(gram[place[start]])  # least hashes are small numbers; buckets are even ranges
     often = np.isin(anchor, hot) if len(hot) else np.zeros(len(anchor), bool)
     if often.any():
         pieces = np.where(often, run, 1)
@@ -350,7 +350,7 @@ def remove_repeats(docs: DataFrame, *, keep: bool = True, block: int = BLOCK) ->
     n_bytes = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     n_buckets = max(tasks, n_bytes // (SEGMENTS * (LENGTH - GRAM + 2) // 2))
     often = blocks.select(F.explode(F.arrays_zip("frequent", "counts")).alias("x")).groupBy("x.frequent").agg(F.sum("x.counts").alias("n"))
-    often = often.where(F.col("n") > max(1000, n_bytes // (LENGTH - GRAM) // (8 * n_buckets)))  # at most some tens for each bucket
+    often = often.where(F.col("n") > HOT)
     hot = np.sort(np.array([r.frequent for r in often.select("frequent").collect()], np.int64).view(U))
 
     sides = blocks.select("block", "doc_ids", "text_keys", "lengths", "texts")
