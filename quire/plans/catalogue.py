@@ -11,6 +11,8 @@ from quire.functions import text as T
 from quire.operators import glossary as G
 from quire.operators import planning, progress, quality
 from quire.plans import relations as R
+from quire.sources import epub
+from quire.streaming import dispatch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -495,3 +497,48 @@ def candidate_upsert(spark, sf):
 def ordered_rejoin(spark, sf):
     g = R.segments(spark, sf).groupBy("chapter_id").agg(F.array_sort(F.collect_list(F.struct("segment_order", "source_text"))).alias("x"))
     return g.select("chapter_id", F.array_join(F.transform("x", lambda p: p["source_text"]), " ").alias("joined"), (F.size("x") > 0).alias("complete"))
+
+
+# -- books and dispatch ------------------------------------------------------------------------------
+
+
+def _books(spark, sf):
+    """Lines of documents as small books, one archive a document."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def task(batches):
+        from html import escape
+
+        for b in batches:
+            for x in b.itertuples(index=False):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w") as z:
+                    z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="OEBPS/b.opf"/></rootfiles></container>')
+                    z.writestr("OEBPS/b.opf", '<package><metadata><title>Book</title></metadata><manifest><item id="c" href="c.xhtml" media-type="application/xhtml+xml"/></manifest><spine><itemref idref="c"/></spine></package>')
+                    body = "".join(f"<p>{escape(''.join(c for c in line if c >= ' '))}</p>" for line in (x.text or "").split("\n"))
+                    z.writestr("OEBPS/c.xhtml", f"<html><body>{body}</body></html>")
+                yield pd.DataFrame({"path": [str(x.doc_id)], "content": [out.getvalue()]})
+
+    return R.table(spark, sf, "documents").select("doc_id", "text").mapInPandas(task, "path string, content binary")
+
+
+@query()
+def epub_rows(spark, sf):
+    return epub.read_books(_books(spark, sf))
+
+
+@query()
+def epub_export(spark, sf):
+    books = _books(spark, sf)
+    s = epub.read_books(books).where("error is null").withColumn("translated_text", F.concat(F.lit("[zh] "), "source_text"))
+    return epub.export_books(books, s).select("path", "size", "checksum")
+
+
+@query()
+def stream_lease_replay(spark, sf):
+    e = R.table(spark, sf, "events")
+    outcome = F.when(F.col("value") % 3 < 1, "failure").when(F.col("value") % 3 < 2, "crash").otherwise("success")
+    return dispatch.dispatch(e.select(F.col("user_id").alias("chunk_id"), F.col("ts").alias("requested_at"), outcome.alias("outcome"), F.lit(2).alias("n_segments")))
