@@ -103,6 +103,19 @@ def _windows(a: Column, ap: Column, b: Column, bp: Column, k: int = K, window: i
     return F.array_compact(F.array(*found))
 
 
+def _whole_grams(n: int) -> Column:
+    """Place and hash of every run of n words of wh."""
+
+    def gram(x: Column, i: Column) -> Column:
+        return F.struct(i.cast("int").alias("p"), F.xxhash64(x, *[F.get("wh", i + j) for j in range(1, n)]).alias("fp"))
+
+    return F.transform(F.slice("wh", F.lit(1), F.col("n") - (n - 1)), gram)
+
+
+def _cutter(size: Column):
+    return lambda x: F.struct(x["p"].alias("p"), x["fp"].alias("fp"), F.slice("ws", x["p"] + 1, size).alias("dws"))
+
+
 def _blocks(hashes: DataFrame, block: int) -> list[DataFrame]:
     """The distinct hashes in blocks that are small enough to broadcast."""
     n = hashes.count()
@@ -160,8 +173,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, k: int = K, window:
         one = near.select("doc_id", "text_key", "item_id", F.transform("at", lambda d: F.struct((F.col("p") + d).alias("s"), (F.col("p") + d + window).alias("e"))).alias("spans"))
         spans = one if spans is None else spans.unionByName(one)
     for n in lengths:
-        gram = lambda x, i, n=n: F.struct(i.cast("int").alias("p"), F.xxhash64(x, *[F.get("wh", i + j) for j in range(1, n)]).alias("fp"))
-        grams = F.transform(F.slice("wh", F.lit(1), F.col("n") - (n - 1)), gram)
+        grams = _whole_grams(n)
         whole = stage(short.where(F.col("n") == n).select(grams[0]["fp"].alias("fp"), "item_id", F.col("ws").alias("iws")), "bench-short")
         for hashes in _blocks(whole.select("fp").distinct(), block):
             known = F.broadcast(hashes.select(F.col("fp").alias("known")))
@@ -169,7 +181,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, k: int = K, window:
             at = stage(at.join(known, F.col("fp") == F.col("known")).drop("known"), "short-hits")
             hits = at.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("p", "fp")).alias("hits"))
             near = _of_documents(docs, hits).select("doc_id", "text_key", "hits", words(F.col("text")).alias("ws"))
-            around = F.transform("hits", lambda x, n=n: F.struct(x["p"].alias("p"), x["fp"].alias("fp"), F.slice("ws", x["p"] + 1, F.least(F.lit(n), F.size("ws"))).alias("dws")))
+            size = F.least(F.lit(n), F.size("ws"))
+            around = F.transform("hits", _cutter(size))
             near = near.select("doc_id", "text_key", F.explode_outer(around).alias("x")).select("doc_id", "text_key", "x.*").join(whole, "fp").where("dws = iws")
             one = near.select("doc_id", "text_key", "item_id", F.array(F.struct(F.col("p").alias("s"), (F.col("p") + n).alias("e"))).alias("spans"))
             spans = one if spans is None else spans.unionByName(one)
