@@ -117,7 +117,7 @@ def windows(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     begins a window of its text if i + k <= end[i]."""
     end = np.repeat(first[1:], np.diff(first))
     total = np.zeros(len(h), U)
-    for j in range(k):
+    for j in range(min(k, len(h))):  # fewer than k items begin no window
         total[: len(h) - j] += mix(h[j:] + U(j * 2 + 1) * U(_BASE)) if k <= 3 else h[j:] * powers(k + 1)[j + 1]
     return mix(total), end
 

@@ -135,6 +135,17 @@ def test_quality(spark):
     assert kept.columns == frame(spark, DOCS).columns
 
 
+def test_quality_of_short_tables(spark):
+    """Chunks whose texts hold fewer words than a window, each alone in its partition."""
+    rows = [(i, " ".join(WORDS[:i]), "en") for i in range(10)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([], "doc_id long, quality long, toxic long")
+    cols = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    want = sorted(brute.quality(texts(rows)), key=repr)
+    assert rows_of(rules.apply_rules(docs, labels), *cols) == want
+    assert rows_of(rules.apply_rules(docs.where("doc_id = 4").coalesce(1), labels), *cols) == [want[4]]
+
+
 def test_binomial():
     assert math.isclose(rules.tail(10, 0, 0.1), 0.9**10) and math.isclose(rules.tail(5, 5, 0.3), 1.0) and rules.tail(0, 0, 0.1) == 1.0
 
