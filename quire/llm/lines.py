@@ -1,18 +1,22 @@
 """Line dedup by pairwise alignment.
 
-Documents are in order of (doc_id, text hash). A line that holds a word is rare if no more than
-``COMMON_SHARE`` of all documents have it; its owner is the first document that has it. Every later
-document is paired with the owners of its rare lines: as many pairs as a document has distinct lines at
-most, however many documents share a line. Each pair is aligned by patience diff (lines that occur once
-in both, longest increasing run of their places, extended over equal neighbours and refined between
-them), and the aligned lines are deleted from the later document.
+Documents are in order of (doc_id, text hash). A document whose whole text stands in an earlier one is
+deleted wholly. Of each remaining text, every run of 1, 2, 4, 8, ... lines that holds a word is a unit; its
+owner is the first document that has it. Every document is paired with the owners of its units, so that
+each shared block, and not only each shared line, has an owner to be aligned with: about n log n pairs for
+a document of n lines at most, however many documents share a line. Each pair is aligned by patience diff
+(lines that occur once in both, longest increasing run of their places, extended over equal neighbours and
+refined between them), and the aligned lines are deleted from the later document.
 
 Since deleting is judged on the input, the result doesn't depend on the order of work. No line is
-deleted that doesn't stand in an earlier document.
-
-Defined results: null and empty texts have no lines and pair with nothing; lines of white space are
-never rare, but are deleted if they stand between two aligned lines; equal rows (same id and text)
-count as one document and get the same result; an empty table gives an empty result.
+deleted that a patience diff with some earlier document doesn't align. Not every pair is aligned: a block
+stays if the alignment with each of the first holders of its units leaves it out, though a later holder
+would be aligned with it.
+
+Defined results: null and empty texts have no lines and pair with nothing; lines of white space make no
+unit of their own, but are deleted if they stand between two aligned lines; a null id comes after all
+others; equal rows (same id and text) count as one document and get the same result; a copy of a whole
+text has one partner, the first document with that text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,13 +25,17 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.store import stage
+from quire.llm.vec import U, mix
 
-COMMON_SHARE = 0.5
+#: Pairs and documents that are worked on at a time.
+SLICE = 64
+AT = "none boolean, id bigint, text_key bigint"
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -76,33 +84,66 @@ def _longest_increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct runs of 1, 2, 4, ... lines of each document that hold a word, as hashes."""
+    for whole in batches:
+        for a in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(a, SLICE)
+            h = batch.column(3).flatten().to_numpy(zero_copy_only=False).view(U)
+            worded = batch.column(4).flatten().to_numpy(zero_copy_only=False).astype(bool)
+            size = batch.column(3).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(size)), size)
+            left = np.repeat(np.cumsum(size), size) - np.arange(len(row))  # lines from a place to its text's end
+            rows, units, span = [row[worded]], [h[worded]], 1
+            while (left >= 2 * span).any():
+                n = len(h) - span
+                h, worded = mix(h[:n] + mix(h[span:] + U(span))), worded[:n] | worded[span:]
+                span *= 2
+                good = worded & (left[:n] >= span)
+                rows.append(row[:n][good]), units.append(h[good])
+            both = np.unique(np.rec.fromarrays([np.concatenate(rows), np.concatenate(units).view(np.int64)], names="row,unit"))
+            keys = [batch.column(i).take(pa.array(both["row"])) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(np.ascontiguousarray(both["unit"]))], names=["none", "id", "text_key", "unit"])
+
+
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        later, owner = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        gone = [[j for _, j in patience(o, d)] for o, d in zip(owner, later, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "text_key", "gone"])
+    for whole in batches:
+        for a in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(a, SLICE)
+            later, owner = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            gone = [[j for _, j in patience(o, d)] for o, d in zip(owner, later, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(gone, pa.list_(pa.int32()))], names=["none", "id", "text_key", "gone"])
 
 
-def dedup_lines(docs: DataFrame, *, common_share: float = COMMON_SHARE) -> DataFrame:
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_deleted, n_partners, text (without the deleted lines) of every document."""
-    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("text_key"), "text")
+    at = F.struct(F.isnull("doc_id").alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("doc_id", "text").alias("text_key"))
+    keyed = docs.select("doc_id", at.alias("at"), "text")
     lines = F.split(F.col("text"), "\n")
     hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), x.rlike(r"[^\x20\x09-\x0D]").alias("worded")))
-    own = keyed.where("doc_id is not null and text is not null").select("doc_id", "text_key", hashed.alias("lines"))
-    own = stage(own, "line-hashes").select(F.struct("doc_id", "text_key").alias("at"), F.col("lines.h").alias("seq"), "lines")
-    total = docs.count()
-    each = own.select("at", F.explode_outer(F.array_distinct(F.transform(F.filter("lines", lambda x: x["worded"]), lambda x: x["h"]))).alias("line")).where("line is not null")
-    owners = each.groupBy("line").agg(F.min("at").alias("owner"), F.count("*").alias("n"))
-    owners = stage(owners.where((F.col("n") > 1) & (F.col("n") <= F.greatest(F.lit(2.0), F.lit(common_share * total)))).select("line", "owner"), "line-owners")
-    pairs = stage(each.join(owners, "line").where(F.col("owner") < F.col("at")).select("at", "owner").distinct(), "line-pairs")
-    sequences = own.select("at", "seq").dropDuplicates(["at"])
-    with_own = pairs.join(sequences.withColumnRenamed("seq", "later"), "at")
-    both = with_own.join(sequences.select(F.col("at").alias("owner"), F.col("seq").alias("earlier")), "owner")
-    gone = both.select("at.doc_id", "at.text_key", "later", "earlier").mapInArrow(_align, "doc_id bigint, text_key bigint, gone array<int>")
-    gone = gone.groupBy("doc_id", "text_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"), F.count("*").alias("n_partners"))
-    out = keyed.join(gone, ["doc_id", "text_key"], "left")
+    whole = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))  # 128 bits: all lines go by it
+    own = stage(keyed.where(F.length("text") > 0).select("at", whole.alias("whole"), hashed.alias("lines")), "line-hashes")
+    wholes = own.groupBy("whole").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    wholes = stage(wholes.where("n > 1").select("whole", "first"), "line-wholes")
+    copy = F.coalesce(F.col("first") < F.col("at"), F.lit(False))
+    marked = own.join(wholes, "whole", "left").withColumn("copy", copy)
+    copies = marked.where("copy").select("at").distinct()
+    firsts = marked.where("not copy").select("at", F.col("lines.h").alias("seq"), F.col("lines.worded").alias("worded"))
+    firsts = stage(firsts.dropDuplicates(["at"]), "line-firsts")
+    key = F.struct("none", "id", "text_key").alias("at")
+    units = firsts.select("at.*", "seq", "worded").mapInArrow(_units, f"{AT}, unit bigint").select(key, "unit")
+    owners = units.groupBy("unit").agg(F.min("at").alias("owner"), F.count("*").alias("n"))
+    owners = stage(owners.where("n > 1").select("unit", "owner"), "line-owners")
+    pairs = stage(units.join(owners, "unit").where(F.col("owner") < F.col("at")).select("at", "owner").distinct(), "line-pairs")
+    with_own = pairs.join(firsts.select("at", F.col("seq").alias("later")), "at")
+    both = with_own.join(firsts.select(F.col("at").alias("owner"), F.col("seq").alias("earlier")), "owner")
+    gone = both.select("at.*", "later", "earlier").mapInArrow(_align, f"{AT}, gone array<int>").select(key, "gone")
+    gone = gone.groupBy("at").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"), F.count("*").alias("n_partners"))
+    gone = gone.withColumn("copy", F.lit(False)).unionByName(copies.select("at", F.array().cast("array<int>").alias("gone"), F.lit(1).cast("long").alias("n_partners"), F.lit(True).alias("copy")))
+    out = keyed.join(gone, "at", "left")
     n = F.when(F.length("text") > 0, F.size(lines)).otherwise(0)
-    gone = F.coalesce("gone", F.array().cast("array<int>"))
+    gone, copy = F.coalesce("gone", F.array().cast("array<int>")), F.coalesce("copy", F.lit(False))
     kept = F.array_join(F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: ~F.array_contains(gone, p["i"])), lambda p: p["x"]), "\n")
-    kept = F.when(F.size(gone) == 0, F.coalesce("text", F.lit(""))).otherwise(kept)
-    return out.select("doc_id", n.cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_deleted"), F.coalesce("n_partners", F.lit(0)).cast("long").alias("n_partners"), kept.alias("text"))
+    kept = F.when(copy, F.lit("")).when(F.size(gone) == 0, F.coalesce("text", F.lit(""))).otherwise(kept)
+    deleted = F.when(copy, n).otherwise(F.size(gone))
+    return out.select("doc_id", n.cast("long").alias("n_lines"), deleted.cast("long").alias("n_deleted"), F.coalesce("n_partners", F.lit(0)).cast("long").alias("n_partners"), kept.alias("text"))

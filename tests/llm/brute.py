@@ -150,3 +150,14 @@ def quality(docs):
         again = {p for at in wins.values() if len(at) > 1 for a in at for p in range(a, a + 8)}
         out.append((d, len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(again), len(ws) < 20 or 100 * len(again) > 30 * len(ws)))
     return out
+
+
+def line_dedup(docs, align):
+    """[(doc_id, n_lines, n_deleted, text)]: distinct rows in order, each aligned with all before it."""
+    out, before = [], []
+    for d, t in docs:
+        ls = t.split("\n") if t else []
+        gone = {j for e in before for _, j in align(e, ls)}
+        before.append(ls)
+        out.append((d, len(ls), len(gone), "\n".join(x for j, x in enumerate(ls) if j not in gone)))
+    return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -174,6 +175,32 @@ def test_lines(spark):
     assert got[2].text == "\n".join([b.split("\n")[0], b.split("\n")[-1]]) and got[3].text == "" and got[3].n_lines == 0
 
 
+def line_rows(spark, rows):
+    return rows_of(lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_lines", "n_deleted", "text")
+
+
+def test_lines_of_blocks(spark):
+    """Crossed, doubled, cut and edited copies of several texts: as if all pairs were aligned."""
+    rows = [(1, "own 1\ny\nx\nown 2"), (2, "x\ny"), (3, "x\ny"), (4, "x\ny\nnew"), (5, "r\ns"), (6, "r\nt\nr\nq"), (7, "r\nt\nr\nu"), (8, "z\n\nw"), (9, "z\n\nw")]
+    blocks = [[f"b{b} line {i}" for i in range(4 + b)] for b in range(6)]
+    rng = random.Random(3)
+    for i in range(10, 40):
+        some = [line for b in sorted(rng.sample(range(6), 3)) for line in blocks[b]]
+        rows.append((i, "\n".join(line if rng.random() < 0.95 else f"edit {i}" for line in some)))
+    got = line_rows(spark, rows)
+    assert got == sorted(brute.line_dedup(rows, lines.patience), key=repr)
+    assert [r[2] for r in got if r[0] in (3, 4)] == [2, 2]
+
+
+def test_lines_of_moved_blocks(spark):
+    """Blocks in any order: nothing but what all pairs delete, and most of that."""
+    rng = random.Random(3)
+    rows = [(i, "\n".join(f"b{b} line {x}" for b in rng.sample(range(6), 3) for x in range(4 + b))) for i in range(60)]
+    got, want = line_rows(spark, rows), sorted(brute.line_dedup(rows, lines.patience), key=repr)
+    assert all(not Counter(w[3].split("\n")) - Counter([*g[3].split("\n"), ""]) for g, w in zip(got, want, strict=True))
+    assert sum(r[2] for r in got) >= 0.9 * sum(r[2] for r in want)
+
+
 def test_pii(spark):
     t = ["Mail Bob.7@mail3.example.com, bob.7@MAIL3.example.com; +1 (743) 555-3824 or +1-743-555-3824; 4111 1111 1111 1111.", 'Mrs. Anna Smith, Mr. Smith at 10.2.33.254; token = "64be24439e3e49cf46b2d7c90f3602a3d0b907ff"', None, "", "plain 12 words", "x bob.7@mail3.example.com"]
     df = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
