@@ -201,6 +201,16 @@ def test_lines_of_moved_blocks(spark):
     assert sum(r[2] for r in got) >= 0.9 * sum(r[2] for r in want)
 
 
+def test_lines_of_all_documents(spark):
+    """Lines and texts that most documents hold, and null ids, which come last."""
+    rows = [(i, "same\ntext") for i in range(3)] + [(None, "same\ntext"), (None, "head\nsame"), (7, "same\nmore"), (None, None), (8, "head\nown")]
+    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    got = line_rows(spark, rows)
+    assert got == sorted(brute.line_dedup(ordered, lines.patience), key=repr)
+    assert [r[2] for r in got if r[0] in (0, 1, 2)] == [0, 2, 2]
+    assert [r[2] for r in line_rows(spark, rows[:3])] == [0, 2, 2]
+
+
 def test_pii(spark):
     t = ["Mail Bob.7@mail3.example.com, bob.7@MAIL3.example.com; +1 (743) 555-3824 or +1-743-555-3824; 4111 1111 1111 1111.", 'Mrs. Anna Smith, Mr. Smith at 10.2.33.254; token = "64be24439e3e49cf46b2d7c90f3602a3d0b907ff"', None, "", "plain 12 words", "x bob.7@mail3.example.com"]
     df = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
