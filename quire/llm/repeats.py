@@ -15,9 +15,13 @@ smaller id, or earlier in the same one. Strings are judged on the input.
    ``LENGTH`` common bytes tell equal windows, of which only the first stays.
 4. Blocks get the answers in the order they asked, and cut their texts.
 
-Anchors that are frequent in the corpus are known from counts of all blocks. Their windows are compared
-one by one, by a hash of all their bytes, each distinct one sent once by a block, so that no bucket holds
-a hot anchor. There is at most one for ``HOT`` distinct segments; 8 bytes of each travel with the tasks.
+Contents of an anchor are told apart by 64-bit hashes.
+
+Anchors that are frequent in the corpus are known from the distinct contents of all blocks, of which those
+with a hash of one class in ``REPORT`` are counted, however few a block has. Their windows are compared one
+by one, by a hash of all their bytes, each distinct one sent once by a block, so that no bucket holds a hot
+anchor. There is about one for ``HOT`` distinct segments at most; 8 bytes of each travel with the tasks.
+Which anchors are hot decides on the way to the answer only, not on the answer.
 
 Defined results: null and empty texts have no bytes; a null id comes after all others; rows of the same
 id are in order of a hash of their text; equal rows count as one document and get the same result; an
@@ -42,7 +46,7 @@ from quire.llm.vec import _BASE, BYTE, U, mix, powers
 LENGTH, GRAM = 100, 32
 #: Bytes of text in a block, in a piece that is worked on at once, and in a bucket of texts.
 BLOCK, PIECE, TEXTS = 4_000_000, 500_000, 1_000_000
-#: Segments in a bucket; contents of an anchor from which a block reports it, and from which it is hot.
+#: Segments in a bucket; one in so many contents is counted; contents of an anchor from which it is hot.
 SEGMENTS, REPORT, HOT = 400_000, 8, 2000
 LAST = np.int64(2**63 - 1)
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -154,10 +158,10 @@ def _schema(text: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in text.split(", "))])
 
 
-BLOCKS = "block bigint, doc_ids array<bigint>, text_keys array<bigint>, lengths array<int>, texts binary, n_bytes bigint, frequent array<bigint>, counts array<bigint>"
+BLOCKS = "block bigint, doc_ids array<bigint>, text_keys array<bigint>, lengths array<int>, texts binary, n_bytes bigint, anchors array<bigint>, contents array<bigint>"
 
 
-def _blocks(size: int):
+def _blocks(size: int, report: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -168,9 +172,8 @@ def _blocks(size: int):
             raw = b"".join(p[2] for p in parts)
             row = {"block": number, "doc_ids": [p[0] for p in parts], "text_keys": [p[1] for p in parts], "lengths": [len(p[2]) for p in parts], "texts": _zip(np.frombuffer(raw, np.uint8)), "n_bytes": len(raw)}
             t = _Texts(row, np.zeros(0, U))
-            names, counts = np.unique(t.anchor[t.asked], return_counts=True)
-            often = counts >= REPORT
-            row |= {"frequent": names[often].view(np.int64).tolist(), "counts": counts[often].tolist()}
+            some = t.asked[t.content[t.asked] % U(report) == 0]
+            row |= {"anchors": t.anchor[some].view(np.int64).tolist(), "contents": t.content[some].view(np.int64).tolist()}
             return _rows([row], schema)
 
         for batch in batches:
@@ -201,7 +204,7 @@ def _ask(n_buckets: int, hot: np.ndarray):
                 row = batch.slice(i, 1).to_pylist()[0]
                 t = _Texts(row, hot)
                 for bucket, some in t.deal(t.asked, n_buckets).items():
-                    yield _rows([{"bucket": bucket, "block": row["block"], "anchors": t.anchor[some].tobytes(), "contents": (t.content[some] >> U(32)).astype("<u4").tobytes(), **t.at(some)}], schema)
+                    yield _rows([{"bucket": bucket, "block": row["block"], "anchors": t.anchor[some].tobytes(), "contents": t.content[some].tobytes(), **t.at(some)}], schema)
 
     return task
 
@@ -218,7 +221,7 @@ def _tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = _schema(TELL)
     for rows in _groups(batches):
         anchor = np.concatenate([np.frombuffer(r["anchors"], "<u8") for r in rows])
-        content = np.concatenate([np.frombuffer(r["contents"], "<u4") for r in rows])
+        content = np.concatenate([np.frombuffer(r["contents"], "<u8") for r in rows])
         doc, key, start, run = _places(rows)
         order = np.lexsort((start, key, doc, content, anchor))
         a, c = anchor[order], content[order]
@@ -346,12 +349,12 @@ def remove_repeats(docs: DataFrame, *, keep: bool = True, block: int = BLOCK) ->
     tasks = parallelism(spark)
     text = F.col("text").cast("string").cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), text.alias("text"))
-    blocks = stage(rows.mapInArrow(_blocks(block), BLOCKS), "repeat-blocks")
+    blocks = stage(rows.mapInArrow(_blocks(block, REPORT), BLOCKS), "repeat-blocks")
     n_bytes = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     n_buckets = max(tasks, n_bytes // (SEGMENTS * (LENGTH - GRAM + 2) // 2))
-    often = blocks.select(F.explode(F.arrays_zip("frequent", "counts")).alias("x")).groupBy("x.frequent").agg(F.sum("x.counts").alias("n"))
-    often = often.where(F.col("n") > HOT)
-    hot = np.sort(np.array([r.frequent for r in often.select("frequent").collect()], np.int64).view(U))
+    counted = blocks.select(F.explode(F.arrays_zip("anchors", "contents")).alias("x")).select("x.anchors", "x.contents").distinct()
+    often = counted.groupBy("anchors").count().where(F.col("count") * REPORT > HOT)
+    hot = np.sort(np.array([r.anchors for r in often.select("anchors").collect()], np.int64).view(U))
 
     sides = blocks.select("block", "doc_ids", "text_keys", "lengths", "texts")
     asked = sides.mapInArrow(_ask(n_buckets, hot), ASK).repartition(tasks, "bucket").sortWithinPartitions("bucket")

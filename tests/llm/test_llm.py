@@ -114,6 +114,28 @@ def test_hot_anchors(spark, monkeypatch):
     assert got == sorted(((r[0], r[2]) for r in brute.repeats(sorted(texts(UNIQUE)))), key=repr)
 
 
+def test_contents_of_an_anchor():
+    """Contents whose hashes differ in the lower half only are not equal."""
+    contents = np.array([5 << 32 | 1, 5 << 32 | 2, 5 << 32 | 1], np.uint64)
+    places = {"doc_ids": (np.arange(3), "<i8"), "text_keys": (np.arange(3), "<i8"), "starts": (np.zeros(3), "<i4"), "runs": (np.ones(3), "u1")}
+    row = {"bucket": 0, "block": 0, "anchors": np.ones(3, np.uint64).tobytes(), "contents": contents.tobytes(), **{k: repeats._zip(x.astype(t)) for k, (x, t) in places.items()}}
+    told = next(repeats._tell(iter([repeats._rows([row], repeats._schema(repeats.ASK))]))).to_pylist()[0]
+    assert repeats._unzip(told["answers"], repeats.U1).tolist() == [2, 2, 1]
+
+
+def test_hot_anchors_of_all_blocks(spark, monkeypatch):
+    """A phrase that each block has once, in other surroundings, is hot; the bytes of its contents are sent whole."""
+    found, ask = [], repeats._ask
+    monkeypatch.setattr(repeats, "HOT", 20)
+    monkeypatch.setattr(repeats, "_ask", lambda n, hot: found.append(len(hot)) or ask(n, hot))
+    rng = random.Random(2)
+    other = lambda: "".join(rng.choice("abcdefghij ") for _ in range(150))
+    rows = [(i, f"{other()} this phrase of some sixty bytes stands in every one of the texts {other()}") for i in range(80)]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep=False, block=300)
+    assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.repeats(rows), key=repr)
+    assert found and found[0] > 0
+
+
 def test_transforms_merge():
     base = bytes(random.choice(b"ab") for _ in range(300))
     some = [np.frombuffer(base[a : a + 160], np.uint8) for a in (0, 7, 7, 90, 140)] + [np.zeros(0, np.uint8)]
