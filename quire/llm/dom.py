@@ -25,18 +25,21 @@ TAGS = "html body header footer nav main article section aside div p h1 h2 h3 h4
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop|aria-label|rel|data-[\w-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_NAMED = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_MAY_HIDE = re.compile(r"hidden|display", re.I)
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_OPEN_VALUE = re.compile(r"=\s*[^\s\"'>]*/$")  # the slash is the end of a value without quotes
 _SPACE = re.compile(r"\s+")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 HASHED = 64
 
 
 class Page:
-    """``tag``, ``parent``, ``attributes`` (hashed tokens) and ``hidden`` of nodes, and ``pieces``: text
-    with its node, in page order. Node 0 is the root."""
+    """``tag``, ``parent`` and ``tokens`` (hashed, of the attributes) of nodes, and ``pieces``: text with its
+    node, in page order. Node 0 is the root. A hidden node has a token more: that decides nothing here."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.tokens, self.hidden = ["#root"], [-1], [()], [False]
+        self.tag, self.parent, self.tokens = ["#root"], [-1], [()]
         self.pieces: list[tuple[int, str]] = []
         self.starts = [0]  # where each node's tag begins in the source
         open_: list[int] = [0]
@@ -71,13 +74,13 @@ class Page:
             attributes = m[3]
             self.tag.append(tag), self.parent.append(open_[-1]), self.starts.append(m.start())
             self.tokens.append(_tokens(attributes) if attributes else ())
-            self.hidden.append(bool(attributes and _HIDDEN.search(attributes)))
             if tag in BLOCK or tag == "br":
                 self.pieces.append((node, ""))  # where a block or line begins
-            if tag in RAW:
+            closed = attributes.endswith("/") and not _OPEN_VALUE.search(attributes)
+            if tag in RAW and not (closed and tag == "svg"):
                 end = _RAW_END[tag].search(source, at)
                 at = end.end() if end else n
-            elif tag not in VOID and not (attributes.endswith("/") and tag not in BLOCK):
+            elif tag not in RAW and tag not in VOID and not (attributes.endswith("/") and tag not in BLOCK):
                 open_.append(node)
 
     def _close(self, open_: list[int], tags: set[str]) -> None:
@@ -94,9 +97,19 @@ def _tokens(attributes: str) -> tuple[int, ...]:
     for a, b, c in _ATTRIBUTE.findall(attributes):
         for part in _PART.findall(a or b or c):
             out.add(zlib.crc32(part.lower().encode()) % HASHED)
+    if _MAY_HIDE.search(attributes) and _hidden(attributes):
+        out.add(zlib.crc32(b"hidden") % HASHED)
     return tuple(out)
 
 
+def _hidden(attributes: str) -> bool:
+    for name, a, b, c in _NAMED.findall(attributes):
+        name, value = name.lower(), a or b or c
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _NO_DISPLAY.search(value):
+            return True
+    return False
+
+
 #: Tags that matter for all that stands below them.
 REGIONS = "nav header footer aside form article main section ul table blockquote figure".split()
 N_FEATURES = len(TAGS) + 1 + 2 * HASHED + len(REGIONS) + 15
@@ -160,7 +173,7 @@ def features(page: Page) -> np.ndarray:
 def texts(page: Page, keep: np.ndarray) -> list[str]:
     """The blocks of text of the kept nodes, in page order."""
     out, parts = [], []
-    bare = [t in NEVER or h for t, h in zip(page.tag, page.hidden, strict=True)]
+    bare = [t in NEVER for t in page.tag]
     for i in range(1, len(bare)):
         bare[i] = bare[i] or bare[page.parent[i]]
     block = [0] * len(bare)

@@ -266,6 +266,18 @@ def test_pages(spark):
     assert got[2].text == "" == got[3].text and got[1].n_chars == len(got[1].text)
 
 
+def test_no_text_is_dropped_outside_the_classifier():
+    def all_text(source):
+        page = D.Page(source)
+        return D.texts(page, np.ones(len(page.tag), bool))
+
+    assert all_text('<p>One<svg viewBox="0 0 1 1" /> two<svg/> three</p><p>Four<svg><path d="M0"/>no</svg> five') == ["One two three", "Four five"]
+    assert all_text("<p>One<svg width=1/>no</svg> two</p>") == ["One two"]
+    for attribute in ('title="a hidden gem"', 'class="prose hidden md:block"', 'data-x="display: none"', "hidden", 'aria-hidden="true"', "style='display:none'"):
+        assert all_text(f"<div {attribute}><p>Text.</p></div><p>End.") == ["Text.", "End."], attribute
+    assert [D._hidden(x) for x in (" hidden", ' style="a:b;display: none"', " aria-hidden=true", ' title="a hidden gem"', ' class="x hidden y"', ' aria-hidden="false"', ' data-x="display:none"')] == [True] * 3 + [False] * 4
+
+
 def test_boosted():
     x = np.random.default_rng(1).normal(size=(2000, 5))
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
