@@ -1,7 +1,7 @@
 """Surrogates for personal data, with DataFrame functions only.
 
 One pattern finds e-mail addresses, phone, card, account and identity numbers, IPv4 addresses, secrets
-and names after a form of address. Every entity is reduced to a normal form (``norm``: digits of numbers,
+and names after a form of address, with the same document's bare mentions of them. Every entity is reduced to a normal form (``norm``: digits of numbers,
 lower-cased addresses, single names), so that differently written mentions are one entity. A keyed digest
 gives each distinct entity a surrogate of its kind: digits for digits and letters of the same script,
 case and vowel class for letters; cards keep a valid check digit; the parts of an IPv4 address stay in
@@ -33,20 +33,26 @@ RELAX = 4
 # Forms of address by gender: fixed values.
 MALE = ("Mr", "Mister", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "Г-н", "Господин", "Κύριος", "Κ")
 FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Fräulein", "Madame", "Mme", "Mademoiselle", "Mlle", "Señora", "Señorita", "Sra", "Srta", "Doña", "Г-жа", "Госпожа", "Κυρία")
-_TITLE = "(?:" + "|".join(sorted(MALE + FEMALE, key=len, reverse=True)) + ")"
-_FIRST = "".join(sorted({t[0] for t in MALE + FEMALE}))
+NEUTRAL = ("Dr", "Doctor", "Prof", "Professor")
+_TITLE = "(?:" + "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True)) + ")"
+_FIRST = "".join(sorted({t[0] for t in MALE + FEMALE + NEUTRAL}))
 _LABEL = r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?"
-NAME = r"\p{Lu}[\p{Ll}'’-]+"
+# A name or an initial; a name is up to four of them.
+NAME = r"(?:\p{Lu}[\p{L}'’-]+|\p{Lu}\.)"
+_NAMES = rf"{NAME}(?: {NAME}){{0,3}}"
+_TITLES = rf"(?:{_TITLE}\.?[  ])+"
+_EDGE = r"(?<=[\p{L}'’-])(?![\p{L}'’-])|(?<![\p{L}'’-])(?=[\p{L}'’-])"
+NAME_KINDS = ("given", "given_m", "given_f", "family")
 
 KINDS = {
     "secret": rf"(?<![A-Za-z])(?=[tTsSpPaA]){_LABEL}[A-Za-z0-9_+/=-]{{16,}}[\"']?" + r"|(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])",
     "email": r"(?<![^\x00-\x2A\x2C\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7E])[^\x00-\x24\x26-\x2A\x2C\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7E]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     "ipv4": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "card": r"(?<![\d.+])(?:\d{4}[ -]?){3}\d{1,7}(?![\d])",
+    "card": r"(?<![\d.+])(?:(?:\d{4}[ -]?){3}\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"\+\d[\d ().\/-]{6,18}\d(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)|(?<![\d.-])\d{3}[-.]\d{3}[-.]\d{4}(?!\d)",
-    "name": rf"(?<!\p{{L}})(?=[{_FIRST}]){_TITLE}\.?[  ]{NAME}(?: {NAME})?",
+    "name": rf"(?<!\p{{L}})(?=[{_FIRST}]){_TITLES}{_NAMES}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: What every match of PATTERN holds, found in one quick pass: most texts have none of it.
@@ -130,7 +136,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     k = F.col("kind")
     sur = (
         F.when(k == "card", card).when(k == "phone", phone).when(k == "ipv4", ipv4).when(k == "email", email).when(k == "secret", secret)
-        .when(k.isin("given_m", "given_f"), given).when(k == "family", name).otherwise(_shaped(c, s))
+        .when(k.isin("given_m", "given_f"), given).when(k.isin("family", "given", "initial"), name).otherwise(_shaped(c, s))
     )
     return df.select("kind", "norm", "salt", sur.alias("sur"))
 
@@ -164,11 +170,17 @@ def _atoms(m: Column, kind: Column) -> Column:
     stays = lambda text: part(F.lit(None).cast("string"), F.lit(None).cast("string"), text)
     label, value, quote = (F.regexp_extract(m, rf"^((?:{_LABEL})?)([A-Za-z0-9_+/=-]{{16,}})([\"']?)$", g) for g in (1, 2, 3))
     secret = F.array(stays(label), part(F.lit("secret"), F.when(value.rlike("^[0-9A-F]+$"), F.lower(value)).otherwise(value), value), stays(quote))
-    title, one, two = (F.regexp_extract(m, rf"^({_TITLE}\.?[  ])({NAME})((?: {NAME})?)$", g) for g in (1, 2, 3))
-    female = F.regexp_replace(title, r"[.  ]+$", "").isin(*FEMALE)
-    given = F.when(two == "", "family").when(female, "given_f").otherwise("given_m")
-    family = F.trim(two)
-    name = F.array(stays(title), part(given, F.lower(one), one), F.when(two == "", stays(F.lit(""))).otherwise(stays(F.lit(" "))), F.when(family == "", stays(F.lit(""))).otherwise(part(F.lit("family"), F.lower(family), family)))
+    title, names = (F.regexp_extract(m, rf"^({_TITLES})({_NAMES})$", g) for g in (1, 2))
+    forms = F.split(F.regexp_replace(title, r"[.  ]+", " "), " ")
+    given = F.when(F.arrays_overlap(forms, F.array(*map(F.lit, FEMALE))), "given_f").when(F.arrays_overlap(forms, F.array(*map(F.lit, MALE))), "given_m").otherwise("given")
+    words = F.split(names, " ")
+
+    def word(w: Column, i: Column) -> Column:
+        bare = F.regexp_replace(w, r"\.$", "")
+        of = F.when(bare != w, "initial").when(i == F.size(words) - 1, "family").otherwise(given)
+        return F.array(stays(F.when(i > 0, " ").otherwise("")), part(of, F.lower(bare), bare), stays(F.when(bare != w, ".").otherwise("")))
+
+    name = F.concat(F.array(stays(title)), F.flatten(F.transform(words, word)))
     norm = F.when(kind == "email", F.lower(m)).when(kind == "phone", F.regexp_replace(m, r"[^0-9+]", "")).when(kind == "iban", F.lower(F.replace(m, F.lit(" "), F.lit("")))).when(kind.isin("card", "ssn"), F.regexp_replace(m, r"[^0-9]", "")).otherwise(m)
     return F.when(kind == "secret", secret).when(kind == "name", name).otherwise(F.array(part(kind, norm, m)))
 
@@ -183,7 +195,21 @@ def _poured(kind: Column, text: Column, sur: Column) -> Column:
     upper = (text == F.upper(text)) & (text != F.lower(text))
     cased = F.when(upper, F.upper(sur)).otherwise(sur)
     names = F.when(upper & (F.length(text) > 1), F.upper(sur)).otherwise(F.concat(F.upper(F.substring(sur, 1, 1)), F.substring(sur, F.lit(2), F.length(sur))))
-    return F.when(kind.isin("phone", "card", "ssn", "iban"), numbers).when(kind.isin("given_m", "given_f", "family"), names).when(kind.isin("secret", "email"), cased).otherwise(sur)
+    return F.when(kind.isin("phone", "card", "ssn", "iban"), numbers).when(kind.isin("initial", *NAME_KINDS), names).when(kind.isin("secret", "email"), cased).otherwise(sur)
+
+
+def _bare(piece: Column, names: Column) -> Column:
+    """A text between mentions as (text, hit) parts: capitalised words that are a name of the document
+    get its surrogate, before an 's too."""
+
+    def one(t: Column) -> Column:
+        stem = F.regexp_replace(t, "['’-]+s?$", "")
+        sur = F.get(F.filter(names, lambda n: n["norm"] == F.lower(stem)), F.lit(0))["sur"]
+        hit = t.rlike(r"^\p{Lu}") & sur.isNotNull()
+        new = F.concat(_poured(F.lit("family"), stem, sur), F.substring(t, F.length(stem) + 1, F.length(t)))
+        return F.struct(F.when(hit, new).otherwise(t).alias("text"), hit.alias("hit"))
+
+    return F.transform(F.split(piece, _EDGE), one)
 
 
 def replace_entities(docs: DataFrame, *, key: str = "quire") -> DataFrame:
@@ -201,15 +227,19 @@ def replace_entities(docs: DataFrame, *, key: str = "quire") -> DataFrame:
     if table.count() <= BROADCAST_ENTITIES:
         table = F.broadcast(table)
     atoms = atoms.join(table, (F.col("kind") == F.col("e_kind")) & (F.col("norm") == F.col("e_norm")), "left")
-    atoms = atoms.select("doc_id", "text_key", "mention_kind", F.struct("pos", "part", F.coalesce(_poured(F.col("kind"), F.col("text"), F.col("sur")), "text").alias("new")).alias("x"))
-    per = atoms.groupBy("doc_id", "text_key", F.col("x.pos").alias("pos")).agg(F.sort_array(F.collect_list("x")).alias("xs"), F.first("mention_kind").alias("kind"))
-    per = per.select("doc_id", "text_key", F.struct("pos", F.array_join(F.transform("xs", lambda x: x["new"]), "").alias("new"), "kind").alias("x"))
-    per = per.groupBy(F.col("doc_id").alias("h_id"), F.col("text_key").alias("h_key")).agg(F.sort_array(F.collect_list("x")).alias("new"))
+    atoms = atoms.select("doc_id", "text_key", "mention_kind", F.struct("pos", "part", F.coalesce(_poured(F.col("kind"), F.col("text"), F.col("sur")), "text").alias("new")).alias("x"), F.when(F.col("kind").isin(*NAME_KINDS), F.struct("norm", "sur", "kind")).alias("name"))
+    per = atoms.groupBy("doc_id", "text_key", F.col("x.pos").alias("pos")).agg(F.sort_array(F.collect_list("x")).alias("xs"), F.first("mention_kind").alias("kind"), F.collect_set("name").alias("names"))
+    per = per.select("doc_id", "text_key", F.struct("pos", F.array_join(F.transform("xs", lambda x: x["new"]), "").alias("new"), "kind").alias("x"), "names")
+    per = per.groupBy(F.col("doc_id").alias("h_id"), F.col("text_key").alias("h_key")).agg(F.sort_array(F.collect_list("x")).alias("new"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"))
     same = F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_key") == F.col("h_key"))
     hit = keyed.where(has).join(stage(per, "mention-surrogates"), same)
     pieces = F.split("text", PATTERN, -1)
+    bare = F.transform(pieces, lambda p: _bare(p, F.col("names")))
+    hit = hit.withColumn("bare", F.when(F.size("names") > 0, bare))
+    pieces = F.coalesce(F.transform("bare", lambda ts: F.array_join(F.transform(ts, lambda t: t["text"]), "")), pieces)
+    again = F.when(F.col("bare").isNotNull(), F.size(F.filter(F.flatten("bare"), lambda t: t["hit"]))).otherwise(0)
     text = F.array_join(F.zip_with(pieces, F.transform("new", lambda x: x["new"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    kinds = F.array_join(F.array_sort(F.transform("new", lambda x: x["kind"])), ",")
-    hit = hit.select("doc_id", F.size("new").cast("long").alias("n_entities"), kinds.alias("kinds"), text.alias("text"))
+    kinds = F.array_join(F.array_sort(F.concat(F.transform("new", lambda x: x["kind"]), F.array_repeat(F.lit("name"), again))), ",")
+    hit = hit.select("doc_id", (F.size("new") + again).cast("long").alias("n_entities"), kinds.alias("kinds"), text.alias("text"))
     clean = keyed.where(~has).select("doc_id", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("kinds"), "text")
     return hit.unionByName(clean)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -266,6 +267,16 @@ def test_pages(spark):
     assert got[2].text == "" == got[3].text and got[1].n_chars == len(got[1].text)
 
 
+def test_names_and_bare_mentions(spark):
+    t = ["Mrs. Anna Smith came. Anna Smith's tea; then SMITH, smithy and Smithson.", "Mr. J. Miller and Mr. BAKER met Mr. John Paul Cooper.", "Prof. Dr. Eva Stone; Stone", "Card 3782 822463 10005.", "Smith stays: no name is known here."]
+    got = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")).collect()}
+    for i, old in enumerate((r"Anna|Smith\b|SMITH", r"J\.|Miller|BAKER|John|Paul|Cooper", "Eva|Stone", "822463")):
+        assert not re.search(old, got[i].text), got[i].text
+    words = re.findall(r"\w+", got[0].text)
+    assert words[1:3] == words[4:6] and words[9] == words[2].upper() and got[0].text.endswith(", smithy and Smithson.") and "'s tea; then " in got[0].text
+    assert got[0].n_entities == 4 and got[0].kinds == "name,name,name,name" and got[3].kinds == "card" and got[4].text == t[4]
+
+
 def test_no_text_is_dropped_outside_the_classifier():
     def all_text(source):
         page = D.Page(source)
