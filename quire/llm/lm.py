@@ -232,8 +232,8 @@ def _ask_pairs(cuts: _Cuts):
                 b = _Block(r["lengths"], r["held"], r["ids"], start, len(vocabulary))
                 h, w, of = b.bigrams()
                 counts = np.bincount(of[b.train], minlength=len(h)).astype(U4)
-                word = (vocabulary[w] >> np.uint64(32)).astype(U4)
-                bucket = cuts.bucket(vocabulary[h], word)
+                word = vocabulary[w]
+                bucket = cuts.bucket(vocabulary[h], (word >> np.uint64(32)).astype(U4))
                 names, first = np.unique(bucket, return_index=True)
                 edge = [*first.tolist(), len(bucket)]
                 found = {}
@@ -247,7 +247,7 @@ def _ask_pairs(cuts: _Cuts):
                         if k not in found:
                             found[k] = (np.array([place]), np.array([0]), none, none)
                 rows = [
-                    {"bucket": k, "block": r["block"], "contexts": vocabulary[p].tobytes(), "places": _zip(p.astype(U4)), "sizes": _zip(s.astype(U4)), "words": x.astype(U4).tobytes(), "counts": _zip(c.astype(U4))}
+                    {"bucket": k, "block": r["block"], "contexts": vocabulary[p].tobytes(), "places": _zip(p.astype(U4)), "sizes": _zip(s.astype(U4)), "words": x.astype(U8).tobytes(), "counts": _zip(c.astype(U4))}
                     for k, (p, s, x, c) in found.items()
                 ]
                 yield pa.RecordBatch.from_pylist(rows, schema=ASK_PAIRS_ARROW)
@@ -261,7 +261,7 @@ def _tell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts = np.concatenate([np.frombuffer(r["contexts"], U8) for r in rows])
         sizes = np.concatenate([_unzip(r["sizes"], U4) for r in rows]).astype(np.int64)
         counts = np.concatenate([_unzip(r["counts"], U4) for r in rows])
-        words = np.concatenate([np.frombuffer(r["words"], U4) for r in rows])
+        words = np.concatenate([np.frombuffer(r["words"], U8) for r in rows])
         names, context = np.unique(contexts, return_inverse=True)
         key = mix(np.repeat(contexts, sizes)) ^ mix(words.astype(np.uint64) + np.uint64(1))
         distinct, first, of = np.unique(key, return_index=True, return_inverse=True)
@@ -271,7 +271,7 @@ def _tell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = [{"block": None, "bucket": rows[0]["bucket"], "x": int((total == 1).sum()), "y": int((total == 2).sum())}]
         c = e = 0
         for r in rows:
-            n, m = len(r["contexts"]) // 8, len(r["words"]) // 4
+            n, m = len(r["contexts"]) // 8, len(r["words"]) // 8
             out.append({"block": r["block"], "bucket": r["bucket"], "a": _zip(told[e : e + m]), "b": _zip(told_of[c : c + n]), "c": r["places"]})
             c, e = c + n, e + m
         yield _tell(out)

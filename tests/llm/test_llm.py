@@ -9,6 +9,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +64,14 @@ def test_lm(spark):
     close(got, sorted(brute.lm(texts(UNIQUE)), key=repr))
 
 
+def test_followers_of_equal_upper_halves():
+    """Words after one context whose hashes differ in the lower half only are two words."""
+    word = np.array([7 << 32 | 1, 7 << 32 | 2], np.uint64)
+    block = {"bucket": 0, "block": 0, "contexts": np.ones(1, np.uint64).tobytes(), "places": lm._zip(np.zeros(1, lm.U4)), "sizes": lm._zip(np.array([2], lm.U4)), "words": word.tobytes(), "counts": lm._zip(np.array([3, 0], lm.U4))}
+    told = next(lm._tell_pairs(iter([pa.RecordBatch.from_pylist([block], schema=lm.ASK_PAIRS_ARROW)]))).to_pylist()[1]
+    assert lm._unzip(told["a"], lm.U8).tolist() == [3, 0] and lm._unzip(told["b"], lm.U8).tolist() == [1]
+
+
 def test_decontamination(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     for block in (1_000_000, 8):
