@@ -1,16 +1,20 @@
 """Surrogates for personal data, with DataFrame functions only.
 
 One pattern finds e-mail addresses, phone, card, account and identity numbers, IPv4 addresses, secrets
-and names after a form of address, with the same document's bare mentions of them. Every entity is reduced to a normal form (``norm``: digits of numbers,
-lower-cased addresses, single names), so that differently written mentions are one entity. A keyed digest
-gives each distinct entity a surrogate of its kind: digits for digits and letters of the same script,
-case and vowel class for letters; cards keep a valid check digit; the parts of an IPv4 address stay in
-range; given names keep the gender of the form of address (its ending); reserved numbers and domains stay
-reserved ones. The surrogate is then poured into each mention's own format.
+and names after a form of address, with the same document's bare mentions of them. Every entity is
+reduced to a normal form (``norm``: digits of numbers, lower-cased addresses, single names), so that
+differently written mentions are one entity. A message authentication code (HMAC-SHA-256) of the normal
+form under the caller's key seeds its surrogate: without the key nobody can make it again. Numbers get
+digits for digits; addresses letters of the same script and vowel class, below reserved domains; cards
+keep a valid check digit; the parts of an IPv4 address stay in range. Names are made of syllables of
+their script, given names with an ending of the gender that the form of address tells. The surrogate is
+then poured into each mention's own format.
 
 Collision check: a surrogate may belong to one entity only and may not be an entity of the corpus.
-Entities that violate this take the next surrogate of their digest sequence, until none is left; after
-``RELAX`` tries the format is loosened, so that small formats can't run out.
+Entities that violate this take the next surrogate of their sequence, and meet again only what is settled:
+a round costs what is left. Names grow by a syllable each time; from the ``RELAX``-th try on, every other
+kind grows by a character a round, so that the room for surrogates is multiplied each time and no format
+runs out. After ``ROUNDS`` rounds, which no corpus needs, there is an error.
 
 Mentions, not texts, are grouped and joined; only texts with entities are shuffled, once. A mention that
 is in a third of all rows is one row of the entity table, joined by broadcast while that table is small
@@ -22,13 +26,15 @@ results; a null id is as good as any; an empty table gives an empty result; extr
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.store import stage
 
 BROADCAST_ENTITIES = 200_000
-RELAX = 4
+RELAX, ROUNDS = 4, 60
 
 # Forms of address by gender: fixed values.
 MALE = ("Mr", "Mister", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "Г-н", "Господин", "Κύριος", "Κ")
@@ -61,6 +67,23 @@ MAY = rf"[0-9@]|(?<!\p{{L}})(?=[{_FIRST}]){_TITLE}\.?[  ]\p{{Lu}}|(?<![A-Za-z])(
 # Alphabets by script: vowels and consonants in lower case. Fixed values.
 VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу", "greek": "αειου"}
 CONSONANTS = {"latin": "bcdfghjklmnpqrstvwxyz", "cyrillic": "бвгджзклмнпрстфхцчш", "greek": "βγδζθκλμνξπρστφχψ"}
+# Syllables of made-up names by script: heads, middles, and endings by kind.
+SYLLABLES = {
+    "latin": {
+        "head": "al an bar bel ben bran cal cor dan dar el fal fen gar gil hal har jon kal kor lan lor mar mel mor nor ol per quin ral ron sal sel tal tam tor val ven wil zan".split(),
+        "middle": "a be co da di e fa i la le li lo ma mi na ne ni o ra re ri ro ta ti".split(),
+        "given_f": "na la ra ella ina ia essa ita".split(), "given_m": "n rik tor bert do mund vin ko".split(), "given": "ris lin mar den ley sol".split(),
+        "family": "son berg field man ley ton wood er sen well ford ini".split(),
+    },
+    "cyrillic": {
+        "head": "ал бор вал вер гор дан дар зор кал кор лев мар мир нор ол род сав тал тор яр".split(), "middle": "а бо ви да е ди ла ле ми на ни о ра ре та".split(),
+        "given_f": "на ла ра ина ия".split(), "given_m": "н рик слав мир дан".split(), "given": "лин мар сол".split(), "family": "ов ин ский енко ко ман".split(),
+    },
+    "greek": {
+        "head": "αλ αν βασ γαλ δαμ ελ θεμ καλ κορ λαν μαρ μεν νικ ολ περ σελ ταλ φαν".split(), "middle": "α βε δι ε λα λι μα μι να νι ο ρα ρε τα".split(),
+        "given_f": "να λα ρα ία".split(), "given_m": "ος ας ης".split(), "given": "λιν μαρ σολ".split(), "family": "ίδης άκης όπουλος άτος ου".split(),
+    },
+}
 
 
 def _hash(seed: Column, i: Column, base: int) -> Column:
@@ -95,64 +118,90 @@ def _digits(norm: Column) -> Column:
     return F.transform(F.split(norm, ""), lambda c: c.cast("int"))
 
 
+def mac(key: str, message: Column) -> Column:
+    """HMAC-SHA-256 in hexadecimal digits."""
+    raw = key.encode()
+    raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(x ^ pad for x in raw)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
+
+
+def _more(letters: str, n: Column, seed: Column) -> Column:
+    """n more characters."""
+    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: _pick(letters, seed, i + 1000)), "")).otherwise("")
+
+
+def _name(kind: Column, norm: Column, salt: Column, seed: Column) -> Column:
+    """Syllables of the name's script, one more with each salt, and an ending of its kind."""
+
+    def of(script: str) -> Column:
+        parts = SYLLABLES[script]
+        one = lambda name, i: F.get(F.array(*map(F.lit, parts[name])), _hash(seed, i, len(parts[name])))
+        middles = F.transform(F.sequence(F.lit(0), salt + _hash(seed, F.lit(-3), 2)), lambda i: F.when(i > 0, one("middle", i)).otherwise(""))
+        ending = F.when(kind == "family", one("family", F.lit(-4)))
+        for k in ("given_f", "given_m"):
+            ending = ending.when(kind == k, one(k, F.lit(-4)))
+        return F.concat(one("head", F.lit(-2)), F.array_join(middles, ""), ending.otherwise(one("given", F.lit(-4))))
+
+    return F.when(norm.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(norm.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
+
+
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """Adds ``sur`` to (kind, norm, salt): the surrogate of a normal form, of the same length in numbers."""
-    seed = F.sha2(F.concat_ws("|", F.lit(key), "kind", "norm", F.col("salt").cast("string")), 256)
+    """Adds ``sur`` to (kind, norm, salt): the surrogate of a normal form. From salt RELAX on it grows."""
+    seed = mac(key, F.concat_ws("|", "kind", "norm", F.col("salt").cast("string")))
     df = entities.select("kind", "norm", "salt", seed.alias("seed"), F.split("norm", "").alias("chars"))
     c, s, salt = F.col("chars"), F.col("seed"), F.col("salt")
-    loose = salt >= RELAX
+    loose, extra = salt >= RELAX, salt - (RELAX - 1)
+    digits = _more("0123456789", extra, s)
     # numbers: cards keep the first digit and the check digit's validity
     payload = F.transform(c, lambda x, i: F.when(i == 0, x.cast("int")).when(i == F.size("chars") - 1, F.lit(0)).otherwise(_hash(s, i, 10)))
     df = df.withColumn("payload", F.when(F.col("kind") == "card", payload))
     valid = _luhn(_digits(F.col("norm"))) % 10 == 0
     last = F.when(valid, F.pmod(10 - _luhn(F.col("payload")) % 10, F.lit(10))).otherwise(_hash(s, F.lit(99), 10)).cast("string")
-    card = F.concat(F.array_join(F.transform(F.slice("payload", F.lit(1), F.size("payload") - 1), lambda d: d.cast("string")), ""), last)
+    card = F.concat(F.array_join(F.transform(F.slice("payload", F.lit(1), F.size("payload") - 1), lambda d: d.cast("string")), ""), last, digits)
     # phones: the country code stays, and a reserved exchange (555) while there is room
     code = F.when(F.col("norm").startswith("+"), F.when(F.substring("norm", 2, 1).isin("1", "7"), 2).otherwise(3)).otherwise(0)
     reserved = (F.substring("norm", 6, 3) == "555") & F.col("norm").startswith("+1") & ~loose
     phone = F.array_join(
         F.transform(c, lambda x, i: F.when(i < code, x).when(reserved & i.between(5, 7), x).when(i == code, (_hash(s, i, 8) + 2).cast("string")).otherwise(_hash(s, i, 10).cast("string"))), ""
     )
+    # IPv4: parts of the same length while there is room, then any, then addresses of the range for documentation
     parts = F.split("norm", r"\.")
     octet = lambda x, i: F.when(loose, 1 + _hash(s, i, 254)).when(F.length(x) == 3, 100 + _hash(s, i, 156)).when(F.length(x) == 2, 10 + _hash(s, i, 90)).otherwise(_hash(s, i, 10)).cast("string")
-    ipv4 = F.array_join(F.transform(parts, octet), ".")
+    ipv4 = F.when(salt >= 2 * RELAX, F.concat(F.lit("2001:db8:"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.substring(s, 4 * i, F.lit(4))), ":"))).otherwise(F.array_join(F.transform(parts, octet), "."))
     # addresses: reserved domains only, below them and before the @ letters for letters
     at = F.instr("norm", "@")
     local, domain = F.substring(F.col("norm"), F.lit(1), at), F.substring(F.col("norm"), at + 1, F.length("norm"))
     labels = F.split(domain, r"\.")
     below = F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 2, F.lit(0)))
     top = F.element_at(F.array(*map(F.lit, ("com", "net", "org"))), _hash(s, F.lit(-1), 3) + 1)
-    more = F.when(loose, _shaped(F.split(F.lit("xaxaxa"), ""), F.concat(s, F.lit("more")))).otherwise("")
-    email = F.concat(more, _shaped(F.split(local, ""), s), F.when(F.size(below) > 0, F.concat(_shaped(F.split(F.array_join(below, "."), ""), F.concat(s, F.lit("d"))), F.lit("."))).otherwise(""), F.lit("example."), top)
+    letters = _more(CONSONANTS["latin"], extra, s)
+    email = F.concat(letters, _shaped(F.split(local, ""), s), F.when(F.size(below) > 0, F.concat(_shaped(F.split(F.array_join(below, "."), ""), F.concat(s, F.lit("d"))), F.lit("."))).otherwise(""), F.lit("example."), top)
     hexed = F.array_join(F.transform(c, lambda x, i: F.when(x.between("0", "9") | x.between("a", "f"), F.substring(F.lit("0123456789abcdef"), _hash(s, i, 16) + 1, F.lit(1))).otherwise(x)), "")
-    secret = F.when(F.col("norm").rlike("^[0-9a-f]+$"), hexed).otherwise(_shaped(c, s))
-    # names: the ending tells the gender of a given name
-    script = F.when(F.col("norm").rlike(r"\p{IsCyrillic}"), "cyrillic").when(F.col("norm").rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    name = F.concat(_shaped(c, s), F.when(loose, _shaped(F.split(F.when(script == "latin", "na").when(script == "greek", "να").otherwise("на"), ""), F.concat(s, F.lit("more")))).otherwise(""))
-    woman = F.when(script == "cyrillic", "а").when(script == "greek", "α").otherwise("a")
-    man = F.when(script == "cyrillic", _pick("нврк", s, F.lit(-2))).when(script == "greek", "ς").otherwise(_pick("nrkst", s, F.lit(-2)))
-    stem = F.substring(name, F.lit(1), F.length(name) - 1)
-    given = F.when(F.col("kind") == "given_f", F.concat(stem, woman)).otherwise(F.concat(stem, man))
+    secret = F.concat(F.when(F.col("norm").rlike("^[0-9a-f]+$"), hexed).otherwise(_shaped(c, s)), digits)
     k = F.col("kind")
     sur = (
-        F.when(k == "card", card).when(k == "phone", phone).when(k == "ipv4", ipv4).when(k == "email", email).when(k == "secret", secret)
-        .when(k.isin("given_m", "given_f"), given).when(k.isin("family", "given", "initial"), name).otherwise(_shaped(c, s))
+        F.when(k == "card", card).when(k == "phone", F.concat(phone, digits)).when(k == "ipv4", ipv4).when(k == "email", email).when(k == "secret", secret)
+        .when(k.isin(*NAME_KINDS), _name(k, F.col("norm"), salt, s)).when(k == "initial", F.concat(_shaped(c, s), letters)).otherwise(F.concat(_shaped(c, s), digits))
     )
     return df.select("kind", "norm", "salt", sur.alias("sur"))
 
 
 def settle(entities: DataFrame, key: str) -> DataFrame:
     """(kind, norm, sur) of distinct entities (kind, norm), without collisions."""
-    table = stage(surrogates(entities.withColumn("salt", F.lit(0)), key), "surrogates")
-    while True:
-        first = table.groupBy("kind", "sur").agg(F.min(F.struct("salt", "norm"))["norm"].alias("winner"))
-        own = entities.select("kind", F.col("norm").alias("sur"), F.lit(True).alias("taken"))
-        seen = table.join(first, ["kind", "sur"]).join(own, ["kind", "sur"], "left")
-        seen = stage(seen.select("kind", "norm", "salt", "sur", ((F.col("norm") == F.col("winner")) & F.col("taken").isNull()).alias("good")), "surrogates-checked")
-        if seen.where("not good").isEmpty():
-            return seen.select("kind", "norm", "sur")
-        again = surrogates(seen.where("not good").select("kind", "norm", (F.col("salt") + 1).alias("salt")), key)
-        table = stage(seen.where("good").select("kind", "norm", "salt", "sur").unionByName(again), "surrogates")
+    own, place = entities.select("kind", F.col("norm").alias("sur")), ["kind", "sur"]
+    left, settled = entities, None
+    for salt in range(ROUNDS):
+        tried = stage(surrogates(left.select("kind", "norm", F.lit(salt).alias("salt")), key), "surrogates-tried")
+        free = tried.join(own, place, "left_anti")
+        if settled is not None:
+            free = free.join(settled.select(*place), place, "left_anti")
+        won = stage(free.groupBy(*place).agg(F.min("norm").alias("norm")).select("kind", "norm", "sur"), "surrogates")
+        settled = won if settled is None else settled.unionByName(won)
+        left = stage(tried.select("kind", "norm").join(won.select("kind", "norm"), ["kind", "norm"], "left_anti"), "surrogates-left")
+        if left.isEmpty():
+            return settled
+    raise RuntimeError(f"entities without a free surrogate after {ROUNDS} rounds: {left.limit(3).collect()}")
 
 
 def _kind(m: Column) -> Column:
@@ -189,9 +238,10 @@ def _poured(kind: Column, text: Column, sur: Column) -> Column:
     """The surrogate in the mention's format: its separators, its case."""
     chars = F.split(text, "")
     start = F.struct(F.lit(1).alias("i"), F.lit("").alias("out"))
-    numbers = F.aggregate(
+    poured = F.aggregate(
         chars, start, lambda a, c: F.when(c.rlike(r"[0-9A-Za-z+]"), F.struct((a["i"] + 1).alias("i"), F.concat(a["out"], F.upper(F.substring(sur, a["i"], F.lit(1)))).alias("out"))).otherwise(F.struct(a["i"].alias("i"), F.concat(a["out"], c).alias("out")))
-    )["out"]
+    )
+    numbers = F.concat(poured["out"], F.substring(sur, poured["i"], F.length(sur)))  # with what it has grown by
     upper = (text == F.upper(text)) & (text != F.lower(text))
     cased = F.when(upper, F.upper(sur)).otherwise(sur)
     names = F.when(upper & (F.length(text) > 1), F.upper(sur)).otherwise(F.concat(F.upper(F.substring(sur, 1, 1)), F.substring(sur, F.lit(2), F.length(sur))))
@@ -212,13 +262,14 @@ def _bare(piece: Column, names: Column) -> Column:
     return F.transform(F.split(piece, _EDGE), one)
 
 
-def replace_entities(docs: DataFrame, *, key: str = "quire") -> DataFrame:
+def replace_entities(docs: DataFrame, *, key: str) -> DataFrame:
     """doc_id, n_entities, kinds (of the entities, sorted, comma-joined) and the text with surrogates, of
-    every document."""
+    every document. ``key`` is the caller's secret: the same key gives the same surrogates."""
     keyed = docs.select(F.col("doc_id"), F.xxhash64("doc_id", "text").alias("text_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    mentions = F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))
-    has = F.col("text").rlike(MAY) & F.col("text").rlike(PATTERN)
-    found = keyed.where(has).select("doc_id", "text_key", mentions.alias("mentions")).dropDuplicates(["doc_id", "text_key"])
+    mentions = F.when(F.col("text").rlike(MAY), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
+    flagged = keyed.withColumn("mentions", mentions).withColumn("has", F.coalesce(F.size("mentions"), F.lit(0)) > 0)
+    flagged = stage(flagged, "texts-and-mentions", "has")  # every text is searched once
+    found = flagged.where("has").select("doc_id", "text_key", "mentions").dropDuplicates(["doc_id", "text_key"])
     found = found.select("doc_id", "text_key", F.posexplode_outer("mentions").alias("pos", "mention")).withColumn("mention_kind", _kind(F.col("mention")))
     found = stage(found, "mentions")
     atoms = found.select("doc_id", "text_key", "pos", "mention_kind", F.posexplode_outer(_atoms(F.col("mention"), F.col("mention_kind"))).alias("part", "atom"))
@@ -232,7 +283,7 @@ def replace_entities(docs: DataFrame, *, key: str = "quire") -> DataFrame:
     per = per.select("doc_id", "text_key", F.struct("pos", F.array_join(F.transform("xs", lambda x: x["new"]), "").alias("new"), "kind").alias("x"), "names")
     per = per.groupBy(F.col("doc_id").alias("h_id"), F.col("text_key").alias("h_key")).agg(F.sort_array(F.collect_list("x")).alias("new"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"))
     same = F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_key") == F.col("h_key"))
-    hit = keyed.where(has).join(stage(per, "mention-surrogates"), same)
+    hit = flagged.where("has").drop("mentions").join(stage(per, "mention-surrogates"), same)
     pieces = F.split("text", PATTERN, -1)
     bare = F.transform(pieces, lambda p: _bare(p, F.col("names")))
     hit = hit.withColumn("bare", F.when(F.size("names") > 0, bare))
@@ -241,5 +292,5 @@ def replace_entities(docs: DataFrame, *, key: str = "quire") -> DataFrame:
     text = F.array_join(F.zip_with(pieces, F.transform("new", lambda x: x["new"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     kinds = F.array_join(F.array_sort(F.concat(F.transform("new", lambda x: x["kind"]), F.array_repeat(F.lit("name"), again))), ",")
     hit = hit.select("doc_id", (F.size("new") + again).cast("long").alias("n_entities"), kinds.alias("kinds"), text.alias("text"))
-    clean = keyed.where(~has).select("doc_id", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("kinds"), "text")
+    clean = flagged.where("not has").select("doc_id", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("kinds"), "text")
     return hit.unionByName(clean)

@@ -103,12 +103,50 @@ def test_sketch():
 
 
 def test_tokens(spark):
-    path = tokens.write(frame(spark, UNIQUE), queries.tokenizer_path(), shard_ids=500)
-    got = rows_of(tokens.read(spark, path), "doc_id", "start", "n_tokens", "ids_crc32")
-    assert got == sorted(brute.token_ids(texts(UNIQUE), queries.tokenizer_path()), key=repr)
+    rows = [*DOCS, (None, "no id", "en", "a"), (None, None, "en", "a"), (500, prose(30) * 40, "en", "a")]
+    for shards_a_file in (64, 2):
+        path = tokens.write(frame(spark, rows), queries.tokenizer_path(), shard_ids=500, shards_a_file=shards_a_file)
+        got = rows_of(tokens.read(spark, path), "doc_id", "start", "n_tokens", "ids_crc32")
+        assert got == sorted(brute.token_ids(texts(rows), queries.tokenizer_path()), key=repr)
+    ids = {r.start: r.ids for r in tokens.read(spark, path, with_ids=True).collect()}
+    assert all(len(x) == n and ids[s] for (_, s, n, _), x in zip(got, (ids[g[1]] for g in got), strict=True))
+
+
+def test_random_access_by_ranges(spark):
+    path = tokens.write(frame(spark, UNIQUE), queries.tokenizer_path(), shard_ids=3000, shards_a_file=3)
+    places = tokens.index(spark, path)
+    whole = {r.doc_id: r.ids for r in tokens.read(spark, path, with_ids=True).collect()}
+    rng = random.Random(4)
+    for r in places.collect():
+        assert r.n_tokens == len(whole[r.doc_id])
+        for i in {0, r.n_tokens - 1, rng.randrange(r.n_tokens)}:
+            one = tokens.Ranges(r.file)
+            assert one.token(r.shard_at, r.inside + i) == whole[r.doc_id][i]
+            assert one.n_read < 28 + 4 * 8 + 4 * (1 + 64 + 4)
+    assert tokens.token(places, 7, 77) == whole[7][77]
+    with pytest.raises(IndexError):
+        tokens.token(places, 9, 99)
+
+
+def test_codes():
     ids = np.array([0, 1, 255, 256, 70000, 2**32 - 1, 5] * 300, np.uint32)
-    levels = tokens.pack(ids)
-    assert (tokens.unpack(levels) == ids).all() and all(tokens.token_at(levels, i) == ids[i] for i in range(0, len(ids), 13))
+    raw = tokens.pack(ids, [3, None], [2000, 100])
+    shard = tokens.Shard(memoryview(b"xx" + raw + b"\n"), 2)
+    assert (shard.ids() == ids).all() and shard.doc_ids == [3, None] and shard.lengths.tolist() == [2000, 100] and shard.end == 2 + len(raw)
+
+
+def test_long_text_and_other_tokenizers(monkeypatch):
+    """Parts of a long text, and tokenizers whose tokens hold white space, which get whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "CHUNK", 300)
+    text = prose(400) + " " + "x" * 700 + "\n" + prose(50)
+    for name, by_piece in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        enc = tokens._Encoder(public_tokenizers.path(name))
+        assert enc.by_piece == by_piece
+        want = Tokenizer.from_file(public_tokenizers.path(name)).encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(enc.encode_long(memoryview(text.encode())), "<u4").tolist() == want
 
 
 def test_repeats(spark):
@@ -246,8 +284,8 @@ def test_lines_of_all_documents(spark):
 def test_pii(spark):
     t = ["Mail Bob.7@mail3.example.com, bob.7@MAIL3.example.com; +1 (743) 555-3824 or +1-743-555-3824; 4111 1111 1111 1111.", 'Mrs. Anna Smith, Mr. Smith at 10.2.33.254; token = "64be24439e3e49cf46b2d7c90f3602a3d0b907ff"', None, "", "plain 12 words", "x bob.7@mail3.example.com"]
     df = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
-    got = {r.doc_id: r for r in pii.replace_entities(df).collect()}
-    again = {r.doc_id: r for r in pii.replace_entities(df).collect()}
+    got = {r.doc_id: r for r in pii.replace_entities(df, key="k").collect()}
+    again = {r.doc_id: r for r in pii.replace_entities(df, key="k").collect()}
     assert got == again and got[4].text == t[4] and got[2].text == "" and got[0].kinds == "card,email,email,phone,phone"
     for old in ("Bob.7", "743", "4111", "Smith", "Anna", "10.2.33.254", "64be"):
         assert all(old not in r.text for r in got.values())
@@ -257,7 +295,7 @@ def test_pii(spark):
     a, b = got[0].text.split("; ")[1].split(" or ")
     assert digits(a) == digits(b) and len(digits(a)) == 11
     many = spark.createDataFrame([(i, f"at {i % 10}.{i // 10}.1.1 now") for i in range(100)], "doc_id long, text string")
-    found = [r.text.split()[1] for r in pii.replace_entities(many).collect()]
+    found = [r.text.split()[1] for r in pii.replace_entities(many, key="k").collect()]
     assert len(set(found)) == 100 and not set(found) & {f"{i % 10}.{i // 10}.1.1" for i in range(100)}
 
 
@@ -278,7 +316,7 @@ def test_pages(spark):
 
 def test_names_and_bare_mentions(spark):
     t = ["Mrs. Anna Smith came. Anna Smith's tea; then SMITH, smithy and Smithson.", "Mr. J. Miller and Mr. BAKER met Mr. John Paul Cooper.", "Prof. Dr. Eva Stone; Stone", "Card 3782 822463 10005.", "Smith stays: no name is known here."]
-    got = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string"), key="k").collect()}
     for i, old in enumerate((r"Anna|Smith\b|SMITH", r"J\.|Miller|BAKER|John|Paul|Cooper", "Eva|Stone", "822463")):
         assert not re.search(old, got[i].text), got[i].text
     words = re.findall(r"\w+", got[0].text)
