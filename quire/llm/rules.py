@@ -1,14 +1,19 @@
 """Quality rules with risk-controlled thresholds.
 
 Every document gets counts (``measure``); every rule is a rate made of them, larger for worse text. A
-document fails a rule if its rate is over the rule's cutoff in its stratum (its language). Cutoffs come
-from labelled documents, cut by a hash of the id into a tuning part and a holdout. A cutoff is
-admissible in a stratum if an exact binomial test on the stratum's clean holdout documents shows a false
-rejection rate of at most ``RISK``: P(Bin(n, RISK) <= rejected) <= CONFIDENCE / (strata * rules *
-cutoffs), which is the Clopper-Pearson bound with Bonferroni's correction, so that all cutoffs of all
-strata hold together with probability 1 - CONFIDENCE. Among admissible cutoffs, the tuning part picks
-the one with the most true rejections, each false one counting ``COST`` times; the laxer one on a tie.
-Without an admissible cutoff that is worth it, the rule rejects nothing in that stratum.
+document fails a rule if its rate is over the rule's cutoff in its stratum (its language), and goes if it
+fails any. Cutoffs come from labelled documents, cut into a tuning part and a holdout by a hash of the
+text's class (the least hash of its 8-word windows), so that copies and most near copies fall on one side.
+
+The tuning part picks each rule's cutoff in each stratum (most true rejections, each false one counting
+``COST`` times; the laxer one on a tie) and puts the rules in order of that worth: the first rule alone,
+the first two together, and so on are the stratum's policies. What is controlled is the policy as a whole:
+a policy is admissible if an exact binomial test on the stratum's clean holdout shows a false rejection
+rate of at most ``RISK``: P(Bin(n, RISK) <= rejected) <= CONFIDENCE / (strata * rules), which is the
+Clopper-Pearson bound with Bonferroni's correction over all policies of all strata, so that all chosen
+ones hold together with probability 1 - CONFIDENCE. The longest admissible policy of a stratum is taken;
+without one, only base rules reject there. A trial of the test is a class of texts, rejected if any of its
+clean documents is: copies aren't independent. So the rate that is bounded is one of different texts.
 
 One rate is a learned lexicon: words whose neighbours (previous and next word) are mostly those of
 toxic documents, learned on at most ``SAMPLE`` labelled documents of each class from the tuning part;
@@ -20,25 +25,25 @@ that the text repeats.
 
 Defined results: null and empty texts have no words and fail the base rule; a null language is a
 stratum of its own; a document labelled several times is clean only if all its labels are; labels
-without a document or with nulls are no evidence; without labels only base rules reject; equal rows get
-equal results; an empty table gives an empty result.
+without a document or with nulls are no evidence; a null id has no labels; of several rows with one id the
+least class counts; without labels only base rules reject; equal rows get equal results; extra columns are
+ignored here and kept by ``keep_good``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm.decontam import words
 from quire.llm.store import stage
-from quire.llm.vec import LOWER, Words, chunks, column, hashes, mix, per_text, runs, windows
+from quire.llm.vec import LOWER, Words, chunks, column, hashes, mix, per_text, release, runs, windows
 
 MIN_WORDS, REPEATED_PERCENT, SPAN = 20, 30, 8
 RISK, CONFIDENCE, COST = 0.01, 0.1, 20
@@ -104,21 +109,46 @@ def counts(data: np.ndarray, bounds: np.ndarray, lexicon: np.ndarray) -> dict[st
     return out
 
 
-def measure(docs: DataFrame, lexicon: list[str], *keys: str) -> DataFrame:
-    """The key columns and COUNTS of every document."""
+def measure(docs: DataFrame, lexicon: list[str], *keys: str, text: str = "text") -> DataFrame:
+    """The key columns and COUNTS of every document. ``text`` names a column, or a field of the last key,
+    which then isn't sent twice."""
     known = np.sort(np.array([_hash(w) for w in lexicon], np.uint64))
     keep = docs.select(*keys).schema
+    nested = "." in text
+    field = keep[keys[-1]].dataType.names.index(text.split(".")[1]) if nested else None
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = column(batch.column(len(keys)))
+            data, offsets = column(batch.column(len(keys)) if field is None else batch.column(len(keys) - 1).field(field))
             for a, b in chunks(offsets):
                 found = counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], known)
                 arrays = [batch.column(i).slice(a, b - a) for i in range(len(keys))] + [pa.array(found[c].astype(np.int64)) for c in COUNTS]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keys, *COUNTS])
+        release()
 
     schema = T.StructType([*keep.fields, *(T.StructField(c, T.LongType()) for c in COUNTS)])
-    return docs.select(*keys, F.col("text").cast("string").alias("text")).mapInArrow(task, schema)
+    return docs.select(*keys, *([] if nested else [F.col(text).cast("string").alias("text")])).mapInArrow(task, schema)
+
+
+def text_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, class): the least hash of the 8-word windows of each text; of fewer words, of all words."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = column(batch.column(1))
+            for a, b in chunks(offsets):
+                w = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower=True)
+                h, end = windows(w.h, w.first, SPAN)
+                h = np.where((np.arange(len(h)) + SPAN <= end) | (end - w.first[w.text_of()] < SPAN), h, np.iinfo(np.uint64).max)
+                least = np.zeros(b - a, np.uint64)
+                full = np.flatnonzero(w.n)
+                if len(full):
+                    least[full] = np.minimum.reduceat(h, w.first[full])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(least.view(np.int64))], names=["doc_id", "class"])
+        release()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(task, "doc_id bigint, class bigint")
 
 
 def _hash(word: str) -> int:
@@ -144,12 +174,13 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
 
 
-def evidence(labels: DataFrame) -> DataFrame:
-    """(doc_id, bad, toxic, holdout) of each labelled document."""
+def evidence(labels: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, bad, toxic, class, holdout) of each labelled document."""
     some = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull())
-    per = some.groupBy("doc_id").agg((F.min("quality") < 1).alias("low"), (F.max("toxic") > 0).alias("toxic"))
-    held = F.pmod(F.xxhash64(F.lit("holdout"), "doc_id"), F.lit(100)) < HOLDOUT
-    return per.select("doc_id", (F.col("low") | F.col("toxic")).alias("bad"), "toxic", held.alias("holdout"))
+    per = some.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") < 1).alias("low"), (F.max("toxic") > 0).alias("toxic"))
+    classes = text_classes(docs).groupBy("doc_id").agg(F.min("class").alias("class"))
+    held = F.pmod(F.xxhash64(F.lit("holdout"), "class"), F.lit(100)) < HOLDOUT
+    return per.join(classes, "doc_id").select("doc_id", (F.col("low") | F.col("toxic")).alias("bad"), "toxic", "class", held.alias("holdout"))
 
 
 def learn_lexicon(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> list[str]:
@@ -168,62 +199,95 @@ def learn_lexicon(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) ->
 
 
 def tail(n: int, k: int, p: float) -> float:
-    """P(Bin(n, p) <= k), exactly summed."""
-    if n == 0:
+    """P(Bin(n, p) <= k), summed from its largest term down. From the mean on it is said to be 1: that is
+    never under a level that matters, and k terms would be for nothing."""
+    if k >= n * p:
         return 1.0
-    log = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
-    return min(1.0, math.fsum(math.exp(log(i)) for i in range(k + 1)))
+    log = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+    total, term = 0.0, 1.0
+    for i in range(k, -1, -1):  # below the mean every term is smaller than the one before it
+        total += term
+        if term < 1e-17 * total:
+            break
+        term *= i / (n - i + 1) * (1 - p) / p
+    return min(1.0, math.exp(log) * total)
+
+
+def admissible(n: int, rejected: list[int], tests: int, *, risk: float = RISK, confidence: float = CONFIDENCE) -> int:
+    """How many policies of a stratum to go along: the longest whose rejections, of n clean trials, pass."""
+    for k in range(len(rejected), 0, -1):
+        if tail(n, rejected[k - 1], risk) <= confidence / tests:
+            return k
+    return 0
+
+
+def _policies(spark: SparkSession, chosen: list[tuple[str | None, str, float, int]], lang: T.DataType) -> DataFrame:
+    """One row a stratum: its cutoffs and their ranks by rule, null where it has none."""
+    by: dict[str | None, dict] = {}
+    for stratum, rule, cut, rank in chosen:
+        by.setdefault(stratum, {})[rule] = (cut, rank)
+    rows = [(s, *(x for rule in CUTOFFS for x in of.get(rule, (None, None)))) for s, of in by.items()]
+    fields = [T.StructField("stratum", lang), *(f for rule in CUTOFFS for f in (T.StructField(f"cut_{rule}", T.DoubleType()), T.StructField(f"rank_{rule}", T.IntegerType())))]
+    return spark.createDataFrame(rows, T.StructType(fields))
+
+
+def _with_rank(measured: DataFrame, chosen: list[tuple[str | None, str, float, int]]) -> DataFrame:
+    """Adds fails: the rank of the first rule of its stratum that a document fails, or null."""
+    of = rates()
+    first = [F.when(of[rule] > F.col(f"cut_{rule}"), F.col(f"rank_{rule}")) for rule in CUTOFFS]
+    policies = _policies(measured.sparkSession, chosen, measured.schema["lang"].dataType)
+    out = measured.join(policies, F.col("lang").eqNullSafe(F.col("stratum")), "left")
+    return out.select(*measured.columns, F.least(*first).alias("fails"))
 
 
-def cutoffs(measured: DataFrame, labelled: DataFrame, *, risk: float = RISK, confidence: float = CONFIDENCE, cost: int = COST) -> list[tuple[str | None, str, float]]:
-    """(stratum, rule, cutoff) of the chosen cutoffs. Only counts of each stratum reach the driver."""
+def cutoffs(measured: DataFrame, labelled: DataFrame, *, risk: float = RISK, confidence: float = CONFIDENCE, cost: int = COST) -> list[tuple[str | None, str, float, int]]:
+    """(stratum, rule, cutoff, rank) of the chosen policies. Only counts of each stratum reach the driver."""
     rows = measured.where(~base_failed()).join(labelled, "doc_id")
-    clean_held, bad, clean = F.col("holdout") & ~F.col("bad"), ~F.col("holdout") & F.col("bad"), ~F.col("holdout") & ~F.col("bad")
-    sums = [F.count_if(clean_held).alias("n")]
+    bad, clean = ~F.col("holdout") & F.col("bad"), ~F.col("holdout") & ~F.col("bad")
     of = rates()
-    for rule, grid in CUTOFFS.items():
-        for j, cut in enumerate(grid):
-            over = of[rule] > cut
-            sums += [F.count_if(x & over).alias(f"{rule}_{j}_{k}") for x, k in ((clean_held, "held"), (bad, "bad"), (clean, "clean"))]
+    sums = [F.count_if(x & (of[rule] > cut)).alias(f"{rule}_{j}_{k}") for rule, grid in CUTOFFS.items() for j, cut in enumerate(grid) for x, k in ((bad, "bad"), (clean, "clean"))]
     strata = rows.groupBy("lang").agg(*sums).collect()
-    tests = max(1, len(strata)) * sum(map(len, CUTOFFS.values()))
-    out = []
+    tried = []
     for r in strata:
+        best = []
         for rule, grid in CUTOFFS.items():
-            best, gain = None, 0
-            for j, cut in enumerate(grid):
-                worth = r[f"{rule}_{j}_bad"] - cost * r[f"{rule}_{j}_clean"]
-                if worth > gain and tail(r.n, r[f"{rule}_{j}_held"], risk) <= confidence / tests:
-                    best, gain = cut, worth
-            if best is not None:
-                out.append((r.lang, rule, best))
-    return out
-
-
-def verdict(measured: DataFrame, chosen: list[tuple[str | None, str, float]]) -> Column:
-    """True if no rule rejects the document."""
-    of = rates()
-    fails = [F.col("lang").eqNullSafe(F.lit(s)) & (of[rule] > cut) for s, rule, cut in chosen]
-    return ~reduce(lambda a, b: a | b, fails, base_failed())
+            worth = [r[f"{rule}_{j}_bad"] - cost * r[f"{rule}_{j}_clean"] for j in range(len(grid))]
+            if max(worth) > 0:
+                best.append((max(worth), rule, grid[worth.index(max(worth))]))
+        tried += [(r.lang, rule, cut, rank) for rank, (_, rule, cut) in enumerate(sorted(best, key=lambda x: -x[0]))]
+    held = _with_rank(rows.where("holdout and not bad"), tried)
+    trials = held.groupBy("lang", "class").agg(F.min("fails").alias("fails"))
+    upto = [F.count_if(F.col("fails") <= k).alias(f"upto_{k}") for k in range(len(CUTOFFS))]
+    tests = max(1, len(strata)) * len(CUTOFFS)
+    go = {}
+    for r in trials.groupBy("lang").agg(F.count("*").alias("n"), *upto).collect():
+        n_policies = sum(s == r.lang for s, *_ in tried)
+        go[r.lang] = admissible(r.n, [r[f"upto_{k}"] for k in range(n_policies)], tests, risk=risk, confidence=confidence)
+    return [x for x in tried if x[3] < go.get(x[0], 0)]
+
+
+def judge(measured: DataFrame, chosen: list[tuple[str | None, str, float, int]]) -> DataFrame:
+    """Adds base_failed and kept: whether neither the base rules nor the stratum's policy rejects."""
+    out = _with_rank(measured, chosen)
+    return out.select(*measured.columns, base_failed().alias("base_failed"), (~base_failed() & F.col("fails").isNull()).alias("kept"))
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, lang, text_key, COUNTS, base_failed and kept of every document."""
-    labelled = stage(evidence(labels), "labels")
+    labelled = stage(evidence(labels, docs), "labels")
     lexicon = learn_lexicon(docs, labelled)
     keyed = docs.select("doc_id", "lang", F.xxhash64("doc_id", "text").alias("text_key"), "text")
     measured = stage(measure(keyed, lexicon, "doc_id", "lang", "text_key"), "counts")
-    chosen = cutoffs(measured, labelled, **options)
-    return measured.select("*", base_failed().alias("base_failed"), verdict(measured, chosen).alias("kept"))
+    return judge(measured, cutoffs(measured, labelled, **options))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that pass, with the columns of ``docs``. Counts are made where the text is read,
     so that nothing but the labelled counts is shuffled."""
-    labelled = stage(evidence(labels), "labels")
+    labelled = stage(evidence(labels, docs), "labels")
     lexicon = learn_lexicon(docs, labelled)
     names = docs.columns
-    measured = measure(docs.select("doc_id", "lang", F.struct("*").alias("row"), "text"), lexicon, "doc_id", "lang", "row")
-    measured = stage(measured, "counted")
+    rows = docs.withColumn("text", F.col("text").cast("string"))
+    measured = stage(measure(rows.select("doc_id", "lang", F.struct("*").alias("row")), lexicon, "doc_id", "lang", "row", text="row.text"), "counted")
     chosen = cutoffs(measured.drop("row"), labelled, **options)
-    return measured.where(verdict(measured, chosen)).select([F.col("row").getField(c).alias(c) for c in names])
+    return judge(measured, chosen).where("kept").select([F.col("row").getField(c).alias(c) for c in names])

@@ -14,7 +14,9 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text worked on at a time; a single longer text is worked on whole.
-CHUNK = 2_000_000
+CHUNK = 500_000
+#: Powers that a worker keeps: 8 bytes each.
+KEPT_POWERS = 1_000_000
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -34,16 +36,25 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BYTE = mix(np.arange(1, 257, dtype=U) * U(_BASE))
-_powers = np.ones(1, U)
+_powers: dict[int, np.ndarray] = {}
 
 
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        step = np.full(max(n, 2 * len(_powers)), U(_BASE), U)
+def powers(n: int, base: int = _BASE) -> np.ndarray:
+    """1, base, base ** 2, ...; a table longer than KEPT_POWERS goes with its user."""
+    table = _powers.get(base, np.ones(1, U))
+    if len(table) < n:
+        step = np.full(n if n > KEPT_POWERS else min(KEPT_POWERS, max(n, 2 * len(table))), U(base), U)
         step[0] = U(1)
-        _powers = np.multiply.accumulate(step)
-    return _powers[:n]
+        table = np.multiply.accumulate(step)
+        if n <= KEPT_POWERS:
+            _powers[base] = table
+    return table[:n]
+
+
+def release() -> None:
+    """Gives the memory that Arrow keeps for reuse back to the machine; called at the end of a task,
+    since a worker stays alive for the next stage."""
+    pa.default_memory_pool().release_unused()
 
 
 def column(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -218,7 +218,11 @@ def test_quality_of_short_tables(spark):
 
 
 def test_binomial():
-    assert math.isclose(rules.tail(10, 0, 0.1), 0.9**10) and math.isclose(rules.tail(5, 5, 0.3), 1.0) and rules.tail(0, 0, 0.1) == 1.0
+    assert math.isclose(rules.tail(10, 0, 0.1), 0.9**10) and rules.tail(5, 5, 0.3) == 1.0 and rules.tail(0, 0, 0.1) == 1.0
+    for n, k, p in ((300, 2, 0.05), (4000, 20, 0.01), (900, 0, 0.01)):
+        exact = math.fsum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+        assert math.isclose(rules.tail(n, k, p), exact, rel_tol=1e-9)
+    assert rules.tail(10**9, 9_990_000, 0.01) < 1
 
 
 def test_mix(spark):
