@@ -1,7 +1,10 @@
 """A page as a table of nodes, with what the classifier sees of each.
 
 The reader follows the rules of HTML that matter for text: void and raw-text elements, end tags that may
-be left out, stray end tags, comments, character references. It makes flat lists, in page order.
+be left out, stray end tags, comments, character references. Quotes count after an equals sign only, and
+a tag or comment that never ends takes the rest of the page, as in a browser. It makes flat lists, in page
+order, in time that grows with the page's length and not faster: patterns never go back, and the nearest
+open element of a name is known without a search.
 """
 
 from __future__ import annotations
@@ -9,6 +12,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 
@@ -22,16 +26,17 @@ SCOPE = frozenset("html body table td th ul ol dl article section div nav main a
 NEVER = frozenset("script style noscript template svg iframe textarea title head select option button input".split())
 TAGS = "html body header footer nav main article section aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th figure figcaption blockquote pre form a b i span label".split()
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
-_ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop|aria-label|rel|data-[\w-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_NAMED = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?)*+)(?:>|\Z)|([^<]++|<)", re.S)
+_ATTRIBUTE = re.compile(r"(?<![\w-])(?:class|id|role|itemprop|aria-label|rel|data-[\w-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
+_PART = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}|[A-Z][a-z]+")
+_NAMED = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 _MAY_HIDE = re.compile(r"hidden|display", re.I)
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
-_OPEN_VALUE = re.compile(r"=\s*[^\s\"'>]*/$")  # the slash is the end of a value without quotes
 _SPACE = re.compile(r"\s+")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 HASHED = 64
+#: Nodes whose features are made at a time.
+ROWS = 20_000
 
 
 class Page:
@@ -39,67 +44,75 @@ class Page:
     node, in page order. Node 0 is the root. A hidden node has a token more: that decides nothing here."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.tokens = ["#root"], [-1], [()]
+        self.tag, self.parent, self.tokens = ["#root"], [-1], [0]
         self.pieces: list[tuple[int, str]] = []
         self.starts = [0]  # where each node's tag begins in the source
-        open_: list[int] = [0]
+        self.open: list[int] = [0]
+        self.at: dict[str, list[int]] = {}  # places in open, by name
+        self.scopes: list[int] = []
         at, n = 0, len(source)
         match = _TOKEN.match
         while at < n:
             m = match(source, at)
-            if m is None:  # "<" of a tag that never ends
-                self.pieces.append((open_[-1], "<"))
-                at += 1
-                continue
             at = m.end()
             if m[4] is not None:
-                self.pieces.append((open_[-1], m[4]))
+                self.pieces.append((self.open[-1], m[4]))
                 continue
             if m[2] is None:
                 continue
             tag = m[2].lower()
             if m[1]:
-                for k in range(len(open_) - 1, 0, -1):
-                    if self.tag[open_[k]] == tag:
-                        del open_[k:]
-                        break
-                    if tag not in BLOCK and self.tag[open_[k]] in SCOPE:
-                        break
+                self._close((tag,), tag in BLOCK)
                 continue
             if tag in CLOSES_P:
-                self._close(open_, {"p"})
+                self._close(("p",))
             elif tag in SIBLINGS:
-                self._close(open_, SIBLINGS[tag])
+                self._close(SIBLINGS[tag])
             node = len(self.tag)
             attributes = m[3]
-            self.tag.append(tag), self.parent.append(open_[-1]), self.starts.append(m.start())
-            self.tokens.append(_tokens(attributes) if attributes else ())
+            self.tag.append(tag), self.parent.append(self.open[-1]), self.starts.append(m.start())
+            self.tokens.append(_tokens(attributes) if attributes else 0)
             if tag in BLOCK or tag == "br":
                 self.pieces.append((node, ""))  # where a block or line begins
-            closed = attributes.endswith("/") and not _OPEN_VALUE.search(attributes)
-            if tag in RAW and not (closed and tag == "svg"):
+            if tag in RAW and not (tag == "svg" and _closed(attributes)):
                 end = _RAW_END[tag].search(source, at)
                 at = end.end() if end else n
             elif tag not in RAW and tag not in VOID and not (attributes.endswith("/") and tag not in BLOCK):
-                open_.append(node)
-
-    def _close(self, open_: list[int], tags: set[str]) -> None:
-        for k in range(len(open_) - 1, 0, -1):
-            if self.tag[open_[k]] in tags:
-                del open_[k:]
-                return
-            if self.tag[open_[k]] in SCOPE:
-                return
-
-
-def _tokens(attributes: str) -> tuple[int, ...]:
-    out = set()
+                self.at.setdefault(tag, []).append(len(self.open))
+                if tag in SCOPE:
+                    self.scopes.append(len(self.open))
+                self.open.append(node)
+
+    def _close(self, tags: Iterable[str], through: bool = False) -> None:
+        """Close the nearest open element of these names, with what is open in it; but for ``through``,
+        not beyond a scope."""
+        k = max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+        if not k or not (through or k >= (self.scopes[-1] if self.scopes else 0)):
+            return
+        for node in reversed(self.open[k:]):
+            self.at[self.tag[node]].pop()
+        del self.open[k:]
+        while self.scopes and self.scopes[-1] >= k:
+            self.scopes.pop()
+
+
+def _closed(attributes: str) -> bool:
+    """Whether a tag ends in a slash that isn't the end of a value without quotes."""
+    if not attributes.endswith("/"):
+        return False
+    cut = max(attributes.rfind(c) for c in " \t\n\r\f\"'")
+    return "=" not in attributes[cut + 1 :] and not (attributes[cut : cut + 1].isspace() and attributes[: cut + 1].rstrip().endswith("="))
+
+
+def _tokens(attributes: str) -> int:
+    """Hashed attribute tokens as a set of bits."""
+    out = 0
     for a, b, c in _ATTRIBUTE.findall(attributes):
         for part in _PART.findall(a or b or c):
-            out.add(zlib.crc32(part.lower().encode()) % HASHED)
+            out |= 1 << zlib.crc32(part.lower().encode()) % HASHED
     if _MAY_HIDE.search(attributes) and _hidden(attributes):
-        out.add(zlib.crc32(b"hidden") % HASHED)
-    return tuple(out)
+        out |= 1 << zlib.crc32(b"hidden") % HASHED
+    return out
 
 
 def _hidden(attributes: str) -> bool:
@@ -115,28 +128,53 @@ REGIONS = "nav header footer aside form article main section ul table blockquote
 N_FEATURES = len(TAGS) + 1 + 2 * HASHED + len(REGIONS) + 15
 
 
+def _bits(masks: list[int]) -> np.ndarray:
+    return np.unpackbits(np.array(masks, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
+class Features:
+    """Of every node: its tag, hashed attribute tokens of itself and of its ancestors, and statistics of its
+    subtree, its depth and its siblings. Rows are made when they are asked for."""
+
+    def __init__(self, page: Page):
+        self.tag, self.own, self.above, self.regions, self.stats = _measured(page)
+
+    def __len__(self) -> int:
+        return len(self.tag)
+
+    def rows(self, a: int, b: int) -> np.ndarray:
+        out = np.zeros((b - a, N_FEATURES), np.float32)
+        base = len(TAGS) + 1
+        out[np.arange(b - a), self.tag[a:b]] = 1
+        out[:, base : base + HASHED] = _bits(self.own[a:b])
+        out[:, base + HASHED : base + 2 * HASHED] = _bits(self.above[a:b])
+        for k in range(len(REGIONS)):
+            out[:, base + 2 * HASHED + k] = self.regions[a:b] >> k & 1
+        out[:, -self.stats.shape[1] :] = self.stats[a:b]
+        return out
+
+
 def features(page: Page) -> np.ndarray:
-    """One row a node: its tag, hashed attribute tokens of itself and of its ancestors, and statistics of
-    its subtree, its depth and its siblings."""
+    every = Features(page)
+    return every.rows(0, len(every))
+
+
+def _measured(page: Page) -> tuple[np.ndarray, list[int], list[int], np.ndarray, np.ndarray]:
     n = len(page.tag)
     parent = np.array(page.parent)
     own = np.zeros((n, 4))  # characters, characters in links, commas and stops, words
     index = {t: i for i, t in enumerate(TAGS)}
     tag = np.array([index.get(t, len(TAGS)) for t in page.tag])
     link = np.zeros(n, bool)
-    out = np.zeros((n, N_FEATURES), np.float32)
-    base = len(TAGS) + 1
-    out[np.arange(n), tag] = 1
     depth, above = np.zeros(n), np.zeros(n, np.int64)
+    tokens = [0] * n
     regions = {t: 1 << k for k, t in enumerate(REGIONS)}
     for i in range(1, n):
-        p = parent[i]
+        p = page.parent[i]
         link[i] = link[p] or page.tag[i] == "a"
         depth[i] = depth[p] + 1
-        for t in page.tokens[i]:
-            out[i, base + t] = 1
         above[i] = above[p] | regions.get(page.tag[p], 0)
-        out[i, base + HASHED : base + 2 * HASHED] = np.maximum(out[p, base + HASHED : base + 2 * HASHED], out[p, base : base + HASHED])
+        tokens[i] = tokens[p] | page.tokens[p]
     for node, text in page.pieces:
         if text and page.tag[node] not in NEVER:
             size = len(text.strip())
@@ -164,10 +202,7 @@ def features(page: Page) -> np.ndarray:
         np.log1p(count[:, 1]), np.log1p(count[:, 2]), np.log1p(count[:, 3]), depth, children, nth / np.maximum(children[parent], 1),
         around / np.maximum(below[parent, 0], 1), start / total, below[:, 3] / np.maximum(count[:, 0], 1), link,
     ]
-    for k in range(len(REGIONS)):
-        out[:, base + 2 * HASHED + k] = above >> k & 1
-    out[:, -len(stats) :] = np.stack(stats, 1)
-    return out
+    return tag, page.tokens, tokens, above, np.stack(stats, 1)
 
 
 def texts(page: Page, keep: np.ndarray) -> list[str]:

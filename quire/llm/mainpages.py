@@ -103,17 +103,17 @@ class Maker:
             parts = [f"<header>{parts[0]}</header>"]
         for _ in range(r.choice([1, 1, 2, 3, 5, 8, 12, 20])):
             k = r.random()
-            if k < 0.72:
+            if k < 0.66:
                 parts.append(self.paragraph())
-            elif k < 0.8:
+            elif k < 0.74:
                 parts.append(f"<h{r.choice('23')}>{self.words(1, 6)}</h2>")
-            elif k < 0.86:
+            elif k < 0.8:
                 parts.append("<ul>" + "".join(f"<li>{self.words(3, 14)}</li>" for _ in range(r.randint(2, 6))) + "</ul>")
-            elif k < 0.9:
+            elif k < 0.84:
                 parts.append(f"<blockquote>{self.paragraph()}</blockquote>")
-            elif k < 0.93:
+            elif k < 0.87:
                 parts.append("<table>" + "".join(f"<tr><td>{self.words(1, 3)}</td><td>{self.words(1, 5)}</td></tr>" for _ in range(r.randint(2, 4))) + "</table>")
-            elif k < 0.95:
+            elif k < 0.89:
                 parts.append(f'<figure><img src="/i.png"><figcaption>{self.words(3, 9)}</figcaption></figure>')
             else:
                 parts.append("\x02" + r.choice([self.ad, self.share, self.form, self.notice])() + "\x03")
@@ -137,7 +137,13 @@ class Maker:
             before = after = ""
         foot = self.inside("footer", "footer footer div", r.choice([f"&copy; {self.words(2, 8)}", f"<p>{self.prose(1, 2)}</p>", self.links(2, 6) + self.words(2, 5)])) if r.random() < 0.9 else ""
         end = "</body></html>" if r.random() < 0.8 else ""
-        return f"<!DOCTYPE html><html><head><title>{self.words(2, 6)}</title><style>p{{}}</style></head><body>{some(0.3, self.notice)}{top}{some(0.3, self.ad)}{before}{middle}{after}{some(0.15, self.notice)}{foot}{end}"
+        body = f"{some(0.3, self.notice)}{top}{some(0.3, self.ad)}{before}{middle}{after}{some(0.15, self.notice)}{foot}"
+        whole = r.random()
+        if whole < 0.2:  # a piece of a page
+            return body if whole < 0.1 else f"<body>{body}"
+        for _ in range(r.choice([0, 0, 0, 0, 1, 2])):
+            body = f"<div>{body}</div>"
+        return f"<!DOCTYPE html><html><head><title>{self.words(2, 6)}</title><style>p{{}}</style></head><body>{body}{end}"
 
 
 MARKS = str.maketrans("", "", "\x01\x02\x03\x04")
