@@ -1,21 +1,23 @@
 """Language-model scoring by a weighted backoff automaton.
 
-The model is an interpolated bigram model with absolute discounting over add-one-tenth unigrams, as an
-automaton: the root state has an arc for every word, weighted by its unigram log-probability; every word
-seen in training (and the start of a text) is a state, with an arc for every word seen after it,
-weighted log10((c(h,w) - d) / c(h) + back(h) * p(w)), and a failure arc to the root, weighted
-log10(back(h)), back(h) = d * followers(h) / c(h). A text is traversed once from left to right: in the
-state of the last word, take the word's arc, or else fail to the root and take its arc there; the word
-leads to its own state if it has one. The discount d is n1 / (n1 + 2 n2) of the counts of bigrams seen
-once and twice. Scores of all continuations of a state sum to one with one slot for unknown words.
-
-Neither the automaton nor the vocabulary is ever broadcast or held whole. Documents are gathered in
-blocks (``BLOCK`` tokens); a block asks for what it needs: its distinct words and bigrams, with its own
-training counts, go to buckets by ranges of hash; a bucket adds the counts up and answers each block in
-the block's own order, so that an answer needs no keys. Bigrams of a frequent word are spread over
-several buckets by the second word; which words are frequent comes from the unigram counts, and there
-are at most two for each task of an exchange. So what moves is one entry for each distinct n-gram of a
-block, whatever the frequencies are.
+The model is an interpolated trigram model over add-one-tenth unigrams. As an automaton: the root state has
+an arc for every word, weighted by its unigram log-probability. Every word seen in training (and the start
+of a text), and every two of them in a row, is a state h with an arc for every word w seen after it,
+weighted log10((c(h,w) + back(h) * p(w)) / (c(h) + back(h))), where p(w) is the probability in the state
+that h fails to; and a failure arc to the state of one word less, in the end the root, weighted
+log10(back(h) / (c(h) + back(h))). back(h) = c(h) ** HEAPS is how many different words a state of that count
+is expected to see next, by Heaps' law: the weight of Witten and Bell. A text is traversed once from left to
+right: in the state of the last two words, or of the last one if training has not seen the two, take the
+word's arc, or else fail, adding the arc's weight, until a state has one; the word leads to the longest
+state that ends in it. Scores of all continuations of a state sum to one with one slot for unknown words.
+
+Neither the automaton nor the vocabulary is ever broadcast or held whole. Documents are gathered in blocks
+(``BLOCK`` tokens). A block asks for what it needs: the counts of its distinct n-grams of one to three
+words, known by 64 bits of hash, go with its own training counts to buckets by ranges of hash. A bucket
+adds the counts up and answers each block in the block's own order, so that an answer needs no keys. What
+moves is one entry for each distinct n-gram of a block, whatever the frequencies are, and no bucket is hot:
+a frequent n-gram is one entry a block. Buckets are as many as keep a bucket's share of the tokens bounded
+(``BUCKET``).
 
 Defined results: null and empty texts have the end token only; a null id counts as the text '' for the
 split; equal rows are separate texts; without training texts every count is 0 and each token has the
@@ -33,12 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.store import parallelism, stage
-from quire.llm.vec import Words, chunks, column, mix
+from quire.llm.vec import Words, chunks, column, mix, release
 
-BLOCK = 1_500_000
-ADD = 0.1
-END, START = (int(x) for x in mix(np.array([0xE0D, 0x57A27], np.uint64)))
+#: Tokens of a block, and for each bucket.
+BLOCK, BUCKET = 1_000_000, 1_000_000
+ADD, HEAPS, ORDER = 0.1, 0.75, 3
+U = np.uint64
+END, START = (int(x) for x in mix(np.array([0xE0D, 0x57A27], U)))
 U4, U8 = np.dtype("<u4"), np.dtype("<u8")
+_FACTOR = U(0xD6E8FEB86659FD93)
 
 
 def _zip(array: np.ndarray) -> bytes:
@@ -52,6 +57,17 @@ def _unzip(raw: bytes, kind: np.dtype) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw[8:], n, codec="zstd", asbytes=True), kind) if n else np.zeros(0, kind)
 
 
+def _zip_sorted(keys: np.ndarray) -> bytes:
+    """Differences of sorted keys, byte by byte: the high bytes are nearly all zero."""
+    step = np.diff(keys, prepend=U(0)).astype(U8)
+    return _zip(np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8).T))
+
+
+def _unzip_sorted(raw: bytes) -> np.ndarray:
+    planes = _unzip(raw, np.dtype(np.uint8)).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(U8).reshape(-1), dtype=U)
+
+
 BLOCK_FIELDS = "block bigint, doc_ids array<bigint>, lengths array<int>, held array<boolean>, vocabulary binary, ids binary, n_train bigint"
 
 
@@ -64,17 +80,15 @@ def _blocks(size: int):
         number, held_tokens, parts = TaskContext.get().partitionId() << 32, 0, []
 
         def flush() -> pa.RecordBatch:
-            tokens = np.concatenate([p[3] for p in parts])
-            lengths = np.concatenate([p[1] for p in parts])
-            out = np.concatenate([p[2] for p in parts])
-            vocabulary, ids = np.unique(np.concatenate([tokens, np.array([END, START], np.uint64)]), return_inverse=True)
+            lengths, out = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+            vocabulary, ids = np.unique(np.concatenate([p[3] for p in parts]), return_inverse=True)
             columns = [
                 pa.array([number]),
                 pa.array([[x for p in parts for x in p[0]]], pa.list_(pa.int64())),
                 pa.array([lengths.tolist()], pa.list_(pa.int32())),
                 pa.array([out.tolist()], pa.list_(pa.bool_())),
-                pa.array([vocabulary.tobytes()], pa.binary()),
-                pa.array([_zip(ids[:-2].astype(U4))], pa.binary()),
+                pa.array([_zip_sorted(vocabulary)], pa.binary()),
+                pa.array([_zip(ids.astype(U4))], pa.binary()),
                 pa.array([int(lengths[~out].sum())]),
             ]
             return pa.RecordBatch.from_arrays(columns, names=["block", "doc_ids", "lengths", "held", "vocabulary", "ids", "n_train"])
@@ -85,10 +99,10 @@ def _blocks(size: int):
             for a, b in chunks(offsets):
                 w = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower=True)
                 end = np.cumsum(w.n + 1) - 1
-                tokens = np.empty(len(w.h) + b - a, np.uint64)
+                tokens = np.empty(len(w.h) + b - a, U)
                 is_word = np.ones(len(tokens), bool)
                 is_word[end] = False
-                tokens[is_word], tokens[end] = w.h, np.uint64(END)
+                tokens[is_word], tokens[end] = w.h, U(END)
                 parts.append((batch.column(0).slice(a, b - a).to_pylist(), w.n + 1, out[a:b], tokens))
                 held_tokens += len(tokens)
                 if held_tokens >= size:
@@ -97,83 +111,45 @@ def _blocks(size: int):
                     parts.clear()
         if parts:
             yield flush()
+        release()
 
     return task
 
 
 class _Block:
-    """A block's tokens, contexts and distinct bigrams, in order of (context, word)."""
+    """A block's n-grams. ``keys``: of each order and token, the hash of the n-gram that ends there, its two
+    low bits the order; 0 where the text has begun too late for one. ``distinct``: all of them, sorted."""
 
-    def __init__(self, lengths: list[int], held: list[bool], ids: bytes, start: int, n_vocabulary: int):
-        self.ids = _unzip(ids, U4).astype(np.int64)
+    def __init__(self, lengths: list[int], held: list[bool], vocabulary: bytes, ids: bytes):
+        word = _unzip_sorted(vocabulary)[_unzip(ids, U4)]
         self.lengths = np.array(lengths, np.int64)
         self.train = np.repeat(~np.array(held, bool), self.lengths)
-        self.before = np.empty_like(self.ids)
-        self.before[1:] = self.ids[:-1]
-        self.before[np.cumsum(self.lengths) - self.lengths] = start
-        self.n = n_vocabulary
-
-    def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Contexts and words of the distinct bigrams, and each token's bigram."""
-        key, of = np.unique(self.before * self.n + self.ids, return_inverse=True)
-        return key // self.n, key % self.n, of
-
-
-class _Cuts:
-    """Ranges of (context, word) hashes: even ranges of contexts, and several of words for a frequent
-    context."""
-
-    def __init__(self, n: int, frequent: list[tuple[int, int]]):
-        at = [(j << 64) // n for j in range(n)]
-        self.parts = dict(frequent)
-        splits = {h: 1 for h in at}
-        for h, parts in frequent:
-            splits[h] = parts
-            if h + 1 < 1 << 64:
-                splits.setdefault(h + 1, 1)
-        order = sorted(splits)
-        self.h = np.array(order, np.uint64)
-        self.last = np.cumsum([splits[h] for h in order]) - 1
-        self.frequent = np.array(sorted(self.parts), np.uint64)
-
-    def bucket(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """w: the upper 32 bits of the words' hashes."""
-        place = np.searchsorted(self.h, h, "right") - 1
-        out = self.last[place]
-        for f in self.frequent[np.isin(self.frequent, h)] if len(self.frequent) else ():
-            some = h == f
-            parts = self.parts[int(f)]
-            out[some] += 1 - parts + ((w[some].astype(np.uint64) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+        begin = np.cumsum(self.lengths) - self.lengths
+        self.begin = begin
+        before = np.empty_like(word)
+        before[1:] = word[:-1]
+        before[begin] = U(START)
+        two = mix(before * _FACTOR + word)
+        two_before = np.zeros_like(two)
+        two_before[1:] = two[:-1]
+        three = mix(two_before * _FACTOR + word)
+        self.keys = [self._named(x, n) for n, x in enumerate((mix(word), two, three), 1)]
+        self.keys[2][begin] = 0
+        self.distinct = np.unique(np.concatenate(self.keys))
+        if len(self.distinct) and not self.distinct[0]:
+            self.distinct = self.distinct[1:]
+
+    @staticmethod
+    def _named(h: np.ndarray, n: int) -> np.ndarray:
+        return h & ~U(3) | U(n)
+
+    def train_counts(self) -> np.ndarray:
+        out = np.zeros(len(self.distinct), np.int64)
+        for k in self.keys:
+            some = k[self.train & (k > 0)]
+            out += np.bincount(np.searchsorted(self.distinct, some), minlength=len(out))
         return out
 
-    def all_of(self, f: int) -> range:
-        end = int(self.last[np.searchsorted(self.h, np.uint64(f), "right") - 1]) + 1
-        return range(end - self.parts[f], end)
-
-
-ASK_WORDS = "bucket int, block bigint, keys binary, counts binary"
-
-
-def _ask_words(n_buckets: int):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                vocabulary = np.frombuffer(r["vocabulary"], U8)
-                start = int(np.searchsorted(vocabulary, np.uint64(START)))
-                b = _Block(r["lengths"], r["held"], r["ids"], start, len(vocabulary))
-                counts = np.bincount(b.ids[b.train], minlength=len(vocabulary))
-                bucket = ((vocabulary >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
-                names, first = np.unique(bucket, return_index=True)
-                edge = [*first.tolist(), len(bucket)]
-                rows = [
-                    {"bucket": int(k), "block": r["block"], "keys": vocabulary[x:y].tobytes(), "counts": _zip(counts[x:y].astype(U4))}
-                    for k, x, y in zip(names.tolist(), edge[:-1], edge[1:], strict=True)
-                ]
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
-
-    return task
-
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     """Rows of equal first column, which come together."""
@@ -190,122 +166,91 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield group
 
 
-TELL = "block bigint, bucket int, a binary, b binary, c binary, x bigint, y bigint"
-TELL_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("x", pa.int64()), ("y", pa.int64())])
+ASK = "bucket bigint, block bigint, keys binary, counts binary"
+ASK_ARROW = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
-def _tell(rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([{n: r.get(n) for n in TELL_ARROW.names} for r in rows], schema=TELL_ARROW)
+def _ask(n_buckets: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                b = _Block(r["lengths"], r["held"], r["vocabulary"], r["ids"])
+                counts = b.train_counts().astype(U4)
+                names, first = np.unique(((b.distinct >> U(32)) * U(n_buckets)) >> U(32), return_index=True)
+                edge = [*first.tolist(), len(counts)]
+                for a in range(0, len(names), 64):
+                    rows = [
+                        {"bucket": int(k), "block": r["block"], "keys": _zip_sorted(b.distinct[x:y]), "counts": _zip(counts[x:y])}
+                        for k, x, y in zip(names[a : a + 64].tolist(), edge[:-1][a : a + 64], edge[1:][a : a + 64], strict=True)
+                    ]
+                    yield pa.RecordBatch.from_pylist(rows, schema=ASK_ARROW)
+        release()
 
+    return task
 
-def _tell_words(frequent_from: float):
-    """Adds counts up. A row with block null has the bucket's sum and number of seen words, and its
-    frequent words with their counts."""
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches):
-            keys = [np.frombuffer(r["keys"], U8) for r in rows]
-            counts = np.concatenate([_unzip(r["counts"], U4) for r in rows])
-            distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(of, weights=counts, minlength=len(distinct)).astype(np.int64)
-            often = total > frequent_from
-            edge = np.cumsum([0, *map(len, keys)])
-            out = [{"block": None, "bucket": rows[0]["bucket"], "a": distinct[often].tobytes(), "b": total[often].astype(U8).tobytes(), "x": int(total.sum()), "y": int((total > 0).sum())}]
-            told = total[of].astype(U8)
-            out += [{"block": r["block"], "bucket": r["bucket"], "a": _zip(told[x:y])} for r, x, y in zip(rows, edge[:-1], edge[1:], strict=True)]
-            yield _tell(out)
+TELL = "block bigint, bucket bigint, counts binary, seen bigint"
+TELL_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("counts", pa.binary()), ("seen", pa.int64())])
 
-    return task
 
+def _tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds counts up. The row with block null has the number of distinct words that training has seen."""
+    for rows in _groups(batches):
+        keys = [_unzip_sorted(r["keys"]) for r in rows]
+        distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(of, weights=np.concatenate([_unzip(r["counts"], U4) for r in rows]), minlength=len(distinct))
+        out = [{"block": None, "bucket": rows[0]["bucket"], "counts": None, "seen": int(((distinct & U(3) == 1) & (total > 0)).sum())}]
+        told, edge = total[of].astype(U8), np.cumsum([0, *map(len, keys)])
+        out += [{"block": r["block"], "bucket": r["bucket"], "counts": _zip(told[x:y].astype(U4) if told[x:y].max() < 1 << 32 else told[x:y]), "seen": y - x} for r, x, y in zip(rows, edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_pylist(out, schema=TELL_ARROW)
+    release()
 
-ASK_PAIRS = "bucket int, block bigint, contexts binary, places binary, sizes binary, words binary, counts binary"
-ASK_PAIRS_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), *((n, pa.binary()) for n in ("contexts", "places", "sizes", "words", "counts"))])
 
+def _told(row: dict) -> np.ndarray:
+    wide = int.from_bytes(row["counts"][:8], "little") == 8 * row["seen"]
+    return _unzip(row["counts"], U8 if wide else U4).astype(np.float64)
 
-def _ask_pairs(cuts: _Cuts):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                vocabulary = np.frombuffer(r["vocabulary"], U8)
-                start = int(np.searchsorted(vocabulary, np.uint64(START)))
-                b = _Block(r["lengths"], r["held"], r["ids"], start, len(vocabulary))
-                h, w, of = b.bigrams()
-                counts = np.bincount(of[b.train], minlength=len(h)).astype(U4)
-                word = vocabulary[w]
-                bucket = cuts.bucket(vocabulary[h], (word >> np.uint64(32)).astype(U4))
-                names, first = np.unique(bucket, return_index=True)
-                edge = [*first.tolist(), len(bucket)]
-                found = {}
-                for k, x, y in zip(names.tolist(), edge[:-1], edge[1:], strict=True):
-                    places, sizes = np.unique(h[x:y], return_counts=True)
-                    found[k] = (places, sizes, word[x:y], counts[x:y])
-                none = np.zeros(0, np.int64)
-                for f in cuts.frequent[np.isin(cuts.frequent, vocabulary)]:
-                    place = np.searchsorted(vocabulary, f)
-                    for k in cuts.all_of(int(f)):  # the followers of all buckets of a frequent context are asked for
-                        if k not in found:
-                            found[k] = (np.array([place]), np.array([0]), none, none)
-                rows = [
-                    {"bucket": k, "block": r["block"], "contexts": vocabulary[p].tobytes(), "places": _zip(p.astype(U4)), "sizes": _zip(s.astype(U4)), "words": x.astype(U8).tobytes(), "counts": _zip(c.astype(U4))}
-                    for k, (p, s, x, c) in found.items()
-                ]
-                yield pa.RecordBatch.from_pylist(rows, schema=ASK_PAIRS_ARROW)
 
-    return task
+def back(count: np.ndarray) -> np.ndarray:
+    """How many different words a state of that count is expected to see next."""
+    return count**HEAPS
 
 
-def _tell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds counts up. The row with block null has the numbers of bigrams seen once and twice."""
-    for rows in _groups(batches):
-        contexts = np.concatenate([np.frombuffer(r["contexts"], U8) for r in rows])
-        sizes = np.concatenate([_unzip(r["sizes"], U4) for r in rows]).astype(np.int64)
-        counts = np.concatenate([_unzip(r["counts"], U4) for r in rows])
-        words = np.concatenate([np.frombuffer(r["words"], U8) for r in rows])
-        names, context = np.unique(contexts, return_inverse=True)
-        key = mix(np.repeat(contexts, sizes)) ^ mix(words.astype(np.uint64) + np.uint64(1))
-        distinct, first, of = np.unique(key, return_index=True, return_inverse=True)
-        total = np.bincount(of, weights=counts, minlength=len(distinct)).astype(np.int64)
-        followers = np.bincount(np.repeat(context, sizes)[first[total > 0]], minlength=len(names))
-        told, told_of = total[of].astype(U8), followers[context].astype(U8)
-        out = [{"block": None, "bucket": rows[0]["bucket"], "x": int((total == 1).sum()), "y": int((total == 2).sum())}]
-        c = e = 0
-        for r in rows:
-            n, m = len(r["contexts"]) // 8, len(r["words"]) // 8
-            out.append({"block": r["block"], "bucket": r["bucket"], "a": _zip(told[e : e + m]), "b": _zip(told_of[c : c + n]), "c": r["places"]})
-            c, e = c + n, e + m
-        yield _tell(out)
+def traverse(counts: list[np.ndarray], contexts: list[np.ndarray], p: np.ndarray) -> np.ndarray:
+    """log10 probability of each token. counts: of the n-grams that end there, of two words on; contexts: of
+    the states that they begin with; p: in the root. From the root up, each state's arc adds to the
+    probability in the state that it fails to; a state that training has not seen is not there."""
+    score = np.log10(p)
+    for c, h in zip(counts, contexts, strict=True):
+        state = h > 0
+        b = back(h)
+        weight = np.where(state, h + b, 1.0)
+        p = np.where(state, (c + b * p) / weight, p)
+        arc, fail = np.log10(p), np.log10(np.where(state, b / weight, 1.0)) + score
+        score = np.where(c > 0, arc, fail)
+    return score
 
 
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
-def _traverse(n: float, v: float, d: float):
+def _traverse(n: float, v: float, texts: float):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches):
             r = rows[0]
-            words = np.concatenate([_unzip(x["a"], U8) for x in rows if x["kind"] == 1]).astype(np.int64)
-            start = r["x"]
-            b = _Block(r["lengths"], r["held"], r["a"], start, r["y"])
-            _, _, of = b.bigrams()
-            pairs = np.concatenate([_unzip(x["a"], U8) for x in rows if x["kind"] == 2]).astype(np.float64)
-            followers = np.zeros(r["y"])
-            for x in rows:
-                if x["kind"] == 2:
-                    np.add.at(followers, _unzip(x["c"], U4), _unzip(x["b"], U8).astype(np.float64))
-            root = (words + ADD) / (n + ADD * (v + 1))  # the root's arcs
-            state = words.astype(np.float64)
-            state[start] = n_start = words[r["n"]]  # as many texts start as end
-            del n_start
-            back = np.where(state > 0, d * followers / np.maximum(state, 1), 1.0)  # failure arcs
-            c, h, p = pairs[of], b.before, root[b.ids]
-            with np.errstate(divide="ignore"):
-                fail = np.log10(back[h]) + np.log10(p)
-                arc = np.log10((c - d) / np.maximum(state[h], 1) + back[h] * p)
-            score = np.where(c > 0, arc, fail)
-            at = np.cumsum(b.lengths) - b.lengths
-            sums = [np.add.reduceat(x, at) for x in ((words[b.ids] > 0).astype(np.int64), np.log10(p), score)]
+            b = _Block(r["lengths"], r["held"], r["vocabulary"], r["ids"])
+            told = np.concatenate([[0.0], *(_told(x) for x in rows[1:])])
+            at = lambda k: np.where(k > 0, np.searchsorted(b.distinct, k) + 1, 0)
+            one, two, three = (told[at(k)] for k in b.keys)
+            starts = np.zeros(len(one), bool)
+            starts[b.begin] = True
+            shifted = lambda c, first: np.where(starts, first, np.concatenate([[0.0], c[:-1]]))
+            root = (one + ADD) / (n + ADD * (v + 1))  # the root's arcs
+            score = traverse([two, three], [shifted(one, texts), shifted(two, 0.0)], root)
+            sums = [np.add.reduceat(x, b.begin) for x in ((one > 0).astype(np.int64), np.log10(root), score)]
             yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(r["held"], pa.bool_()), pa.array(b.lengths), *map(pa.array, sums)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        release()
 
     return task
 
@@ -315,57 +260,23 @@ def score(docs: DataFrame, *, block: int = BLOCK) -> DataFrame:
     whose crc32(id) is a multiple of 10 are held out of training."""
     spark = docs.sparkSession
     tasks = parallelism(spark)
-    n_buckets = 4 * tasks
-    doc_id = F.col("doc_id").cast("long")
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
-    rows = docs.select(doc_id.alias("doc_id"), held.alias("held"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), F.col("text").cast("string").alias("text"))
     blocks = stage(rows.mapInArrow(_blocks(block), BLOCK_FIELDS), "lm-blocks")
-    n = blocks.agg(F.sum("n_train")).first()[0] or 0
-    sides = blocks.select("block", "lengths", "held", "vocabulary", "ids")
-
-    limit = n / (2 * tasks)
-    asked = sides.mapInArrow(_ask_words(n_buckets), ASK_WORDS).repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    words = stage(asked.mapInArrow(_tell_words(limit), TELL), "lm-words")
-    sums = words.where("block is null").agg(F.sum("y").alias("v"), F.collect_list("a").alias("h"), F.collect_list("b").alias("c")).first()  # at most 2 * tasks words
-    frequent = [(int(h), -(-int(c) // max(1, int(limit)))) for hs, cs in zip(sums.h, sums.c, strict=True) for h, c in zip(np.frombuffer(hs, U8), np.frombuffer(cs, U8), strict=True)]
-    ends = dict(frequent).get(END)
-    if ends:
-        frequent.append((START, ends))
-
-    asked = sides.mapInArrow(_ask_pairs(_Cuts(n_buckets, frequent)), ASK_PAIRS).repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    pairs = stage(asked.mapInArrow(_tell_pairs, TELL), "lm-pairs")
-    once, twice = pairs.where("block is null").agg(F.coalesce(F.sum("x"), F.lit(0)), F.coalesce(F.sum("y"), F.lit(0))).first()
-    d = min(0.98, max(0.1, once / (once + 2 * twice))) if once else 0.5
+    texts = F.size(F.filter("held", lambda x: ~x))
+    of = blocks.agg(F.sum("n_train").alias("n"), F.sum(texts).alias("texts"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("tokens")).first()
+    n_buckets = max(4 * tasks, (of.tokens or 0) // BUCKET)
 
-    place = _place_of(START), _place_of(END)
-    own = blocks.mapInArrow(_own(*place), "block bigint, x bigint, n bigint, y bigint, a binary, doc_ids array<bigint>, lengths array<int>, held array<boolean>")
-    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("doc_ids", "array<bigint>"), ("lengths", "array<int>"), ("held", "array<boolean>"), ("n", "bigint"))]
-    own = own.select("block", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), "a", F.lit(None).cast("binary").alias("b"), F.lit(None).cast("binary").alias("c"), "x", "y", "doc_ids", "lengths", "held", "n")
-    told = [t.where("block is not null").select("block", F.lit(k).alias("kind"), "bucket", "a", "b", "c", "x", "y", *nothing) for k, t in ((1, words), (2, pairs))]
-    met = own.unionByName(told[0]).unionByName(told[1]).repartition(tasks, "block").sortWithinPartitions("block", "kind", "bucket")
-    scored = met.mapInArrow(_traverse(float(n), float(sums.v or 0), d), SCORES)
-    return scored.withColumn("train_tokens", F.lit(n).cast("long"))
-
-
-def _place_of(h: int):
-    return np.uint64(h)
-
-
-def _own(start: np.uint64, end: np.uint64):
-    """What a block keeps for its traversal: its texts, without the words' hashes."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                vocabulary = np.frombuffer(one.column(4)[0].as_py(), U8)
-                places = [pa.array([int(np.searchsorted(vocabulary, h))], pa.int64()) for h in (start, end)]
-                yield pa.RecordBatch.from_arrays(
-                    [one.column(0), *places, pa.array([len(vocabulary)], pa.int64()), one.column(5), one.column(1), one.column(2), one.column(3)],
-                    names=["block", "x", "n", "y", "a", "doc_ids", "lengths", "held"],
-                )
-
-    return task
+    sides = blocks.select("block", "lengths", "held", "vocabulary", "ids")
+    asked = sides.mapInArrow(_ask(n_buckets), ASK).repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    told = stage(asked.mapInArrow(_tell, TELL), "lm-counts")
+    v = told.where("block is null").agg(F.sum("seen")).first()[0] or 0
+
+    own = blocks.select("block", F.lit(-1).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("counts"), F.lit(0).cast("long").alias("seen"), "doc_ids", "lengths", "held", "vocabulary", "ids")
+    met = own.unionByName(told.where("block is not null"), allowMissingColumns=True)
+    met = met.repartition(tasks, "block").sortWithinPartitions("block", "bucket")
+    scored = met.mapInArrow(_traverse(float(of.n or 0), float(v), float(of.texts or 0)), SCORES)
+    return scored.withColumn("train_tokens", F.lit(of.n or 0).cast("long"))
 
 
 def unknown(n: float, v: float) -> float:

@@ -24,27 +24,31 @@ def sha(x):
 def lm(docs):
     """{doc_id: (held_out, n_tokens, n_known, N, base_score, score)} for [(doc_id, text)]."""
     toks = [(d, zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0, [*WORD.findall(low(t)), "<end>"]) for d, t in docs]
-    c, pairs = Counter(), Counter()
+    c = Counter()  # of n-grams as tuples
     for _, held, ts in toks:
         if not held:
-            c.update(ts)
-            pairs.update(zip(["<start>", *ts], ts, strict=False))
-    n, v = sum(c.values()), len(c)
-    once, twice = sum(x == 1 for x in pairs.values()), sum(x == 2 for x in pairs.values())
-    disc = min(0.98, max(0.1, once / (once + 2 * twice))) if once else 0.5
-    follow, state = Counter(), Counter()
-    for (h, _), k in pairs.items():
-        follow[h] += 1
-        state[h] += k
-    p = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
+            for i, w in enumerate(ts):
+                c[w,] += 1
+                c["<start>",] += i == 0
+                whole = ["<start>", *ts[: i + 1]]
+                c.update([tuple(whole[-2:])] + ([tuple(whole[-3:])] if len(whole) > 2 else []))
+    n, v = sum(k for g, k in c.items() if len(g) == 1 and g != ("<start>",)), sum(len(g) == 1 and g != ("<start>",) and k > 0 for g, k in c.items())
+    p1 = lambda w: (c[w,] + 0.1) / (n + 0.1 * (v + 1))
+
+    def p(h, w):
+        """Probability of w after the tuple h of words."""
+        if not h:
+            return p1(w)
+        if not c[h]:
+            return p(h[1:], w)
+        back = c[h] ** 0.75
+        return (c[*h, w] + back * p(h[1:], w)) / (c[h] + back)
+
     out = []
     for d, held, ts in toks:
-        score = 0.0
-        for h, w in zip(["<start>", *ts], ts, strict=False):
-            back = disc * follow[h] / state[h] if state[h] else 1.0
-            k = pairs[h, w]
-            score += math.log10((k - disc) / state[h] + back * p(w)) if k else math.log10(back) + math.log10(p(w))
-        out.append((d, held, len(ts), sum(c[w] > 0 for w in ts), n, sum(math.log10(p(w)) for w in ts), score))
+        whole = ["<start>", *ts]
+        score = sum(math.log10(p(tuple(whole[max(0, i - 2) : i]), whole[i])) for i in range(1, len(whole)))
+        out.append((d, held, len(ts), sum(c[w,] > 0 for w in ts), n, sum(math.log10(p1(w)) for w in ts), score))
     return out
 
 

@@ -60,16 +60,33 @@ def texts(rows):
 
 
 def test_lm(spark):
-    got = rows_of(lm.score(frame(spark, UNIQUE), block=2000), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    close(got, sorted(brute.lm(texts(UNIQUE)), key=repr))
+    rows = [*DOCS, (None, "no id here", "en", "a"), (None, None, "en", "a"), (3, BASE, "en", "a")]
+    for block in (2000, lm.BLOCK):
+        got = rows_of(lm.score(frame(spark, rows), block=block), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+        close(got, sorted(brute.lm(texts(rows)), key=repr))
 
 
-def test_followers_of_equal_upper_halves():
-    """Words after one context whose hashes differ in the lower half only are two words."""
-    word = np.array([7 << 32 | 1, 7 << 32 | 2], np.uint64)
-    block = {"bucket": 0, "block": 0, "contexts": np.ones(1, np.uint64).tobytes(), "places": lm._zip(np.zeros(1, lm.U4)), "sizes": lm._zip(np.array([2], lm.U4)), "words": word.tobytes(), "counts": lm._zip(np.array([3, 0], lm.U4))}
-    told = next(lm._tell_pairs(iter([pa.RecordBatch.from_pylist([block], schema=lm.ASK_PAIRS_ARROW)]))).to_pylist()[1]
-    assert lm._unzip(told["a"], lm.U8).tolist() == [3, 0] and lm._unzip(told["b"], lm.U8).tolist() == [1]
+def test_lm_without_training_texts(spark):
+    rows = [(d, "a b a", "en", "a") for d in range(2000) if brute.lm([(d, "")])[0][1]][:3]
+    got = rows_of(lm.score(frame(spark, rows)), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    close(got, sorted(brute.lm(texts(rows)), key=repr))
+    assert math.isclose(got[0][5], 4 * lm.unknown(0, 0), abs_tol=1e-9)
+
+
+def test_lm_sums_to_one():
+    """Over all words and the unknown one, in states of every order, seen and not."""
+    rng = np.random.default_rng(2)
+    p1 = rng.dirichlet(np.ones(50))
+    for h1, h2 in ((40, 12), (40, 0), (0, 0)):
+        c2, c3 = rng.multinomial(h1, p1).astype(float), rng.multinomial(h2, p1).astype(float)
+        full = lambda x: np.full(50, float(x))
+        assert math.isclose((10 ** lm.traverse([c2, c3], [full(h1), full(h2)], p1)).sum(), 1, rel_tol=1e-9)
+
+
+def test_sorted_keys_of_every_size():
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64) * np.uint64(2))
+    for some in (keys, keys[:1], keys[:0], np.array([0, 2**64 - 1], np.uint64)):
+        assert (lm._unzip_sorted(lm._zip_sorted(some)) == some).all()
 
 
 def test_decontamination(spark):
