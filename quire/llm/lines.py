@@ -1,17 +1,21 @@
 """Line dedup by pairwise alignment.
 
 Documents are in order of (doc_id, text hash). A document whose whole text stands in an earlier one is
-deleted wholly. Of each remaining text, every run of 1, 2, 4, 8, ... lines that holds a word is a unit; its
-owner is the first document that has it. Every document is paired with the owners of its units, so that
-each shared block, and not only each shared line, has an owner to be aligned with: about n log n pairs for
-a document of n lines at most, however many documents share a line. Each pair is aligned by patience diff
-(lines that occur once in both, longest increasing run of their places, extended over equal neighbours and
-refined between them), and the aligned lines are deleted from the later document.
+deleted wholly. Of each remaining text, every run of 1, 2, 4, 8, ... lines that holds a word is a unit. A unit
+is rare if at most ``RARE`` documents hold it: all of them are partners of each other. A more frequent unit
+makes its holders partners of its owner, the first of them, so that each shared block, and not only each
+shared line, has an owner to be aligned with. That is at most RARE pairs for a unit of a document, however
+many documents share a line. Each pair is aligned by patience diff (lines that occur once in both, longest
+increasing run of their places, extended over equal neighbours and refined between them), and the aligned
+lines are deleted from the later document.
 
 Since deleting is judged on the input, the result doesn't depend on the order of work. No line is
-deleted that a patience diff with some earlier document doesn't align. Not every pair is aligned: a block
-stays if the alignment with each of the first holders of its units leaves it out, though a later holder
-would be aligned with it.
+deleted that a patience diff with some earlier document doesn't align. A block of more than RARE holders can
+stay: if the alignment with each of the first holders of its units leaves it out, though a later holder
+would be aligned with it. Whole texts are told apart by 128 bits of hash, lines by 64 bits, which are
+compared within a pair only: an expected n * m / 2^64 false matches for a pair of n and m lines.
+
+Partners of a document that very many pair with are dealt out by salt, its lines being sent once for each.
 
 Defined results: null and empty texts have no lines and pair with nothing; lines of white space make no
 unit of their own, but are deleted if they stand between two aligned lines; a null id comes after all
@@ -30,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.store import stage
-from quire.llm.vec import U, mix
+from quire.llm.store import small, stage
+from quire.llm.vec import U, mix, release
 
 #: Pairs and documents that are worked on at a time.
 SLICE = 64
+#: Documents that a unit pairs all with all; partners of one document for each salt.
+RARE, SALT = 16, 128
 AT = "none boolean, id bigint, text_key bigint"
 
 
@@ -132,18 +138,27 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     firsts = stage(firsts.dropDuplicates(["at"]), "line-firsts")
     key = F.struct("none", "id", "text_key").alias("at")
     units = firsts.select("at.*", "seq", "worded").mapInArrow(_units, f"{AT}, unit bigint").select(key, "unit")
-    owners = units.groupBy("unit").agg(F.min("at").alias("owner"), F.count("*").alias("n"))
-    owners = stage(owners.where("n > 1").select("unit", "owner"), "line-owners")
-    pairs = stage(units.join(owners, "unit").where(F.col("owner") < F.col("at")).select("at", "owner").distinct(), "line-pairs")
-    with_own = pairs.join(firsts.select("at", F.col("seq").alias("later")), "at")
-    both = with_own.join(firsts.select(F.col("at").alias("owner"), F.col("seq").alias("earlier")), "owner")
+    holders = units.groupBy("unit").agg(F.min("at").alias("owner"), F.count("*").alias("n"))
+    shared = stage(units.join(holders.where("n > 1"), "unit"), "line-shared")
+    frequent = shared.where((F.col("n") > RARE) & (F.col("owner") < F.col("at"))).select("at", "owner")
+    rare = shared.where(F.col("n") <= RARE).groupBy("unit").agg(F.array_sort(F.collect_list("at")).alias("all")).select("all").distinct()
+    earlier = F.transform("all", lambda x, i: F.transform(F.slice("all", F.lit(1), i), lambda y: F.struct(x.alias("at"), y.alias("owner"))))
+    rare = rare.select(F.explode(F.flatten(earlier)).alias("x")).select("x.at", "x.owner")
+    pairs = stage(frequent.unionByName(rare).distinct(), "line-pairs")
+    of_owner = stage(pairs.groupBy("owner").agg(F.ceil(F.count("*") / SALT).cast("int").alias("n_salts")), "line-partners")
+    salted = pairs.join(small(of_owner), "owner").select("at", "owner", F.pmod(F.xxhash64("at"), "n_salts").cast("int").alias("salt"))
+    with_own = salted.join(firsts.select("at", F.col("seq").alias("later")), "at")
+    owners = firsts.select(F.col("at").alias("owner"), F.col("seq").alias("earlier")).join(small(of_owner), "owner")
+    owners = owners.select("owner", "earlier", F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1)).alias("salt"))
+    both = with_own.join(owners, ["owner", "salt"])
     gone = both.select("at.*", "later", "earlier").mapInArrow(_align, f"{AT}, gone array<int>").select(key, "gone")
     gone = gone.groupBy("at").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"), F.count("*").alias("n_partners"))
     gone = gone.withColumn("copy", F.lit(False)).unionByName(copies.select("at", F.array().cast("array<int>").alias("gone"), F.lit(1).cast("long").alias("n_partners"), F.lit(True).alias("copy")))
     out = keyed.join(gone, "at", "left")
     n = F.when(F.length("text") > 0, F.size(lines)).otherwise(0)
     gone, copy = F.coalesce("gone", F.array().cast("array<int>")), F.coalesce("copy", F.lit(False))
-    kept = F.array_join(F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: ~F.array_contains(gone, p["i"])), lambda p: p["x"]), "\n")
+    stay = F.array_except(F.transform(lines, lambda x, i: i), gone)  # by a set: linear in the lines
+    kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
     kept = F.when(copy, F.lit("")).when(F.size(gone) == 0, F.coalesce("text", F.lit(""))).otherwise(kept)
     deleted = F.when(copy, n).otherwise(F.size(gone))
     return out.select("doc_id", n.cast("long").alias("n_lines"), deleted.cast("long").alias("n_deleted"), F.coalesce("n_partners", F.lit(0)).cast("long").alias("n_partners"), kept.alias("text"))
