@@ -2,7 +2,8 @@
 
 Every round takes each vertex's least label over itself and its neighbours, then replaces a label by its
 label's label. Tables are written to the shared folder each round, so that lineage stays short and a lost
-executor repeats one round at most. The number of rounds grows with the logarithm of a path's length.
+executor repeats one round at most. While labels are few they are broadcast, so that a vertex with very
+many edges isn't one task's; beyond, Spark splits it. The number of rounds grows with the logarithm of a path's length.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.store import stage
+from quire.llm.store import small, stage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     both = stage(both.where("a != b").distinct(), "cc-edges")
     labels = stage(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("v"), F.least("a", "least").alias("root")), "cc-labels")
     while True:
-        near = both.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("root").alias("least"))
+        near = both.join(small(labels), F.col("b") == F.col("v")).groupBy("a").agg(F.min("root").alias("least"))
         step = labels.join(near, F.col("v") == F.col("a")).select("v", F.col("root").alias("old"), F.least("root", "least").alias("root"))
         step = stage(step, "cc-step")
         of = step.select(F.col("v").alias("w"), F.col("root").alias("jump"))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.store import parallelism, stage
+from quire.llm.store import parallelism, small, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 HASH_BITS = 60
@@ -87,10 +87,11 @@ def schedule(
         return df.withColumn("bucket", F.floor(F.col("h") / width).cast("int"))
 
     sized = stage(keyed(docs), "mix-sizes")
-    targets = stage(source_targets(sized.select("source", "size"), weights, max_epochs), "mix-targets")
+    targets = small(stage(source_targets(sized.select("source", "size"), weights, max_epochs), "mix-targets"))
     per_bucket = sized.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select("source", "bucket", F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0)).alias("offset"))
+    offsets = small(stage(offsets, "mix-offsets"))  # a row for each bucket of a source
 
     rows = keyed(docs, F.struct("*").alias("row")) if keep_row else sized
     inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import sketch
 from quire.llm.components import components
-from quire.llm.store import parallelism, stage
+from quire.llm.store import parallelism, small, stage
 from quire.llm.vec import chunks, column, release
 
 #: Classes and shingles of a block, and classes of a hub that one salt takes. Up to BLOCKS blocks, a
@@ -153,7 +153,7 @@ def _to_hubs(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     link's it is, and whether it is one's."""
     n_salts = F.ceil(F.col("classes") / SALT).cast("int")
     of_hub = stage(stars.groupBy("hub").agg(F.count("*").alias("classes")), "hub-sizes")
-    salted = stars.join(of_hub.select("hub", n_salts.alias("n_salts")), "hub").select("node", "hub", F.pmod(F.xxhash64("node"), "n_salts").cast("int").alias("salt"))
+    salted = stars.join(small(of_hub.select("hub", n_salts.alias("n_salts"))), "hub").select("node", "hub", F.pmod(F.xxhash64("node"), "n_salts").cast("int").alias("salt"))
     hub_sets = of_hub.join(sets.select(F.col("node").alias("hub"), F.col("elements").alias("theirs")), "hub")
     hub_sets = hub_sets.select("hub", "theirs", F.explode(F.sequence(F.lit(0), n_salts - 1)).alias("salt"))
     met = salted.join(sets.select("node", F.col("elements").alias("own")), "node").join(hub_sets, ["hub", "salt"])
@@ -170,15 +170,18 @@ def _left(measured: DataFrame, connected: DataFrame, members: DataFrame, sets: D
     hubs = measured.select("hub").distinct().select("hub", F.col("hub").alias("node"), F.lit(0.0).alias("far"), F.lit(0).cast("long").alias("cell"))
     all_of = measured.select("hub", "node", "far", "cell").unionByName(hubs).join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     all_of = stage(all_of, "hub-classes")
-    several = all_of.groupBy("hub").agg((F.min("component") != F.max("component")).alias("several")).where("several").select("hub")
-    rest = all_of.join(several, "hub").join(members.select("node", "n"), "node")
+    all_of = all_of.join(members.select("node", "n"), "node")
+    several = all_of.groupBy("hub").agg((F.min("component") != F.max("component")).alias("several"), ((F.count("*") <= BLOCK) & (F.sum("n") <= BLOCK_SHINGLES)).alias("few"))
+    several = small(stage(several.where("several").select("hub", "few"), "hubs-left"))
+    # the classes of a hub that has few are one cell of their own
+    rest = all_of.join(several, "hub").withColumn("cell", F.when(F.col("few"), F.lit(-9)).otherwise(F.col("cell")).cast("long"))
     cells = rest.groupBy("hub", "cell").agg(F.count("*").alias("count"), F.sum("n").alias("shingles"))
     per_block = F.least(F.greatest(F.col("count") / BLOCKS, F.lit(BLOCK)), F.lit(BLOCK_MOST))
     blocks = F.greatest(F.ceil(F.col("count") / per_block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     cells = stage(cells.select("hub", "cell", blocks.alias("blocks")), "hub-cells")
     beside = cells.select("hub", (F.col("cell") - 1).alias("cell"), F.col("blocks").alias("after")), cells.select("hub", (F.col("cell") + 1).alias("cell"), F.col("blocks").alias("before"))
     cells = cells.join(beside[0], ["hub", "cell"], "left").join(beside[1], ["hub", "cell"], "left").na.fill(0, ["after", "before"])
-    placed = rest.join(cells, ["hub", "cell"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).join(sets, "node")
+    placed = rest.join(small(stage(cells, "hub-cells-beside")), ["hub", "cell"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).join(sets, "node")
     # the groups a class is in: its block with every block of its own cell, of the cell after it and of the one before it
     name = lambda cell, block: F.struct(cell.alias("cell"), block.alias("block"))
     others = lambda n, cell: F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda b: name(cell, b))).otherwise(F.array().cast("array<struct<cell:bigint,block:int>>"))
@@ -186,7 +189,7 @@ def _left(measured: DataFrame, connected: DataFrame, members: DataFrame, sets: D
     other = F.concat(others(F.col("blocks"), F.col("cell")), others(F.col("after"), F.col("cell") + 1), others(F.col("before"), F.col("cell") - 1))
     met = placed.select("*", own.alias("mine"), F.explode(other).alias("other"))
     met = met.select("hub", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "node", "elements", "registers", "mine", "component", "far")
-    met = met.where((F.col("lo.cell") > 0) | (F.col("hi.cell") > 0))  # all of cell 0 are linked with the hub
+    met = met.where((F.col("lo.cell") != 0) | (F.col("hi.cell") != 0))  # all of cell 0 are linked with the hub
     key = [F.col("hub"), F.concat_ws(".", F.col("lo.cell"), F.col("lo.block")).alias("lo"), F.concat_ws(".", F.col("hi.cell"), F.col("hi.block")).alias("hi")]
     met = met.select(*key, "node", "elements", "registers", (F.col("mine") == F.col("lo")).cast("int").alias("side"), "component", "far")
     met = met.repartition(parallelism(spark), "hub", "lo", "hi").sortWithinPartitions("hub", "lo", "hi")
@@ -219,8 +222,9 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFr
     if leads.count() <= BROADCAST_IDS:
         leads = F.broadcast(leads)
     texts = keyed.join(leads, (F.col("text_key") == F.col("lead_key")) & F.col("doc_id").eqNullSafe(F.col("lead_id"))).select("node", "text")
-    sets = texts.mapInArrow(_sets(k), "node binary, elements array<bigint>, registers binary").dropDuplicates(["node"])
-    sets = stage(sets, "sets")
+    sets = stage(texts.mapInArrow(_sets(k), "node binary, elements array<bigint>, registers binary"), "sets")
+    if sets.count() > members.count():  # equal rows
+        sets = stage(sets.dropDuplicates(["node"]), "sets")
 
     measured = stage(_to_hubs(stars, sets.select("node", "elements"), percent), "hub-distances")
     direct = measured.where("linked").select(F.col("node").alias("a"), F.col("hub").alias("b"))

@@ -53,14 +53,6 @@ _INVERSE = pow(_BASE, -1, 2**64)
 I4, I8, U1 = np.dtype("<i4"), np.dtype("<i8"), np.dtype("u1")
 
 
-def _inverse_powers(n: int, kept: list = []) -> np.ndarray:  # noqa: B006
-    if not kept or len(kept[0]) < n:
-        step = np.full(n + PIECE, U(_INVERSE), U)
-        step[0] = U(1)
-        kept[:] = [np.multiply.accumulate(step)]
-    return kept[0][:n]
-
-
 def _least(x: np.ndarray, width: int) -> np.ndarray:
     """Least of width values from each place on."""
     done = 1
@@ -79,7 +71,7 @@ def segments(data: np.ndarray, bounds: np.ndarray, hot: np.ndarray) -> tuple[np.
         return none, none, none, none.astype(U), none.astype(U)
     total = np.zeros(n + 1, U)
     np.cumsum(BYTE[data] * powers(n), out=total[1:])
-    back = _inverse_powers(n + 1)
+    back = powers(n + 1, _INVERSE)
     gram = mix((total[GRAM:] - total[:-GRAM]) * back[: n + 1 - GRAM])
     low = U((1 << n.bit_length()) - 1)
     # the place in the low bits: of equal hashes the first, which is at the same offset in equal windows

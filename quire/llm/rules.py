@@ -49,6 +49,8 @@ MIN_WORDS, REPEATED_PERCENT, SPAN = 20, 30, 8
 RISK, CONFIDENCE, COST = 0.01, 0.1, 20
 HOLDOUT = 60  # percent
 SAMPLE = 2500
+#: Strata whose policies are broadcast at most, a row each.
+STRATA = 10_000
 SYMBOLS = b"#*$%&|<>"
 #: rate: cutoffs, lax to strict
 CUTOFFS = {
@@ -228,7 +230,8 @@ def _policies(spark: SparkSession, chosen: list[tuple[str | None, str, float, in
         by.setdefault(stratum, {})[rule] = (cut, rank)
     rows = [(s, *(x for rule in CUTOFFS for x in of.get(rule, (None, None)))) for s, of in by.items()]
     fields = [T.StructField("stratum", lang), *(f for rule in CUTOFFS for f in (T.StructField(f"cut_{rule}", T.DoubleType()), T.StructField(f"rank_{rule}", T.IntegerType())))]
-    return spark.createDataFrame(rows, T.StructType(fields))
+    out = spark.createDataFrame(rows, T.StructType(fields))
+    return F.broadcast(out) if len(rows) <= STRATA else out
 
 
 def _with_rank(measured: DataFrame, chosen: list[tuple[str | None, str, float, int]]) -> DataFrame:

@@ -4,23 +4,31 @@ Documents are range-sorted by id, encoded, and written in shards of at most ``SH
 document has a shard of its own). A shard's ids are split into 8-bit chunks. Level 0 holds the lowest
 chunk of every id; a bitmap tells which ids go on, and only those have a chunk in level 1, and so on.
 A rank directory (ones before every 512 bits) leads from a place in one level to its place in the next,
-so that any token is read from a few bytes without decoding a block (``token_at``).
+so that any token is read from a few bytes without decoding a block (``Ranges``, ``token``).
 
-The container is Parquet, one row a shard, so that it is written and read by any store that Spark
-reaches, and a task that is run twice leaves one copy. Columns: part and shard (their order is the
-order of documents), n_ids, doc_ids, lengths (ids of each document, its end id included), levels
-(array of chunks, bitmap, directory).
+A file is shards one after another, each closed by a newline, uncompressed, written by Spark's own writer:
+any store that Spark reaches will do, a task that is run twice leaves one copy, and a place in a file is
+a place in its bytes. ``SHARDS`` shards make a file at most. Files are named in order of documents. All
+numbers are little-endian:
 
-Encoding is exact: white space never lies inside a token of the tokenizer's words, so a text's ids are
-those of its pieces between spaces and newlines. Pieces that a worker has met are kept in a bounded
-dictionary; new ones are encoded together.
+    header   magic DAC1, u4 levels, u4 documents, u8 ids, u8 bytes of the shard without the newline
+    levels   u8 places, of each level
+    chunks   u1 a place; bitmap, u1 for 8 places; directory, u4 for 512 places; of each level
+    table    i8 document ids, u4 lengths in ids (end id included), u1 whether the id is there
+
+Encoding is exact: where a tokenizer's tokens hold no white space and don't depend on what stands across
+it (probed when it is loaded), a text's ids are those of its pieces between spaces and newlines; other
+tokenizers get whole texts. Pieces that a worker has met are kept in a bounded dictionary; new ones are
+encoded together. Texts are taken ``CHUNK`` bytes at a time, a longer one in parts cut at spaces.
 
 Defined results: null and empty texts have the end id only; documents of equal id are in order of their
-text; null ids come first; extra columns are ignored; an empty table gives no shard.
+text; null ids come first; equal rows are documents of their own; extra columns are ignored; an empty
+table gives no shard.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,72 +37,123 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.store import new_path, parallelism
+from quire.llm.store import new_path, parallelism, small_batches, stage
+from quire.llm.vec import CHUNK, chunks, column, release
 
-SHARD = 1_000_000
+SHARD, SHARDS = 250_000, 64
 END_ID = 2
 BLOCK = 512
-#: Pieces kept by a worker, of at most 64 characters: about 100 MB.
-KEPT = 600_000
+#: Pieces kept by a worker, of at most 64 characters: about 25 MB.
+KEPT = 120_000
 MARK = "\x01"
-
-LEVEL = "struct<chunks: binary, more: binary, rank: binary>"
-SCHEMA = f"part int, shard int, n_ids bigint, doc_ids array<bigint>, lengths array<int>, levels array<{LEVEL}>"
-ARROW = pa.schema(
-    [
-        ("part", pa.int32()),
-        ("shard", pa.int32()),
-        ("n_ids", pa.int64()),
-        ("doc_ids", pa.list_(pa.int64())),
-        ("lengths", pa.list_(pa.int32())),
-        ("levels", pa.list_(pa.struct([("chunks", pa.binary()), ("more", pa.binary()), ("rank", pa.binary())]))),
-    ]
-)
+MAGIC = b"DAC1"
+HEAD = 24
 
 
 # -- the code ---------------------------------------------------------------------------------------
 
 
-def pack(ids: np.ndarray) -> list[dict]:
-    """Levels of unsigned 32-bit ids."""
-    levels, rest = [], ids.astype(np.uint32)
+def pack(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> bytes:
+    """A shard of unsigned 32-bit ids."""
+    sizes, body, rest = [], [], ids.astype(np.uint32)
     while len(rest):
         more = rest > 0xFF
-        bits = np.packbits(more, bitorder="little")
         blocks = np.add.reduceat(more, np.arange(0, len(more), BLOCK), dtype=np.uint32)
         rank = np.concatenate([[0], np.cumsum(blocks[:-1], dtype=np.uint32)]).astype("<u4")
-        levels.append({"chunks": (rest & 0xFF).astype(np.uint8).tobytes(), "more": bits.tobytes(), "rank": rank.tobytes()})
+        sizes.append(len(rest))
+        body += [(rest & 0xFF).astype(np.uint8).tobytes(), np.packbits(more, bitorder="little").tobytes(), rank.tobytes()]
         rest = rest[more] >> 8
-    return levels
-
-
-def token_at(levels: list[dict], i: int) -> int:
-    """The id at place i, from one byte, one bit and one directory entry a level."""
-    value = 0
-    for depth, level in enumerate(levels):
-        value |= level["chunks"][i] << 8 * depth
-        if not level["more"][i >> 3] >> (i & 7) & 1:
-            return value
-        block = i // BLOCK
-        inside = int.from_bytes(level["more"][block * BLOCK // 8 : (i >> 3) + 1], "little") & ((1 << (i - block * BLOCK)) - 1)
-        i = int.from_bytes(level["rank"][4 * block : 4 * block + 4], "little") + inside.bit_count()
-    raise IndexError(i)
+    there = np.array([x is not None for x in doc_ids], np.uint8)
+    table = [np.array([x or 0 for x in doc_ids], "<i8").tobytes(), np.array(lengths, "<u4").tobytes(), there.tobytes()]
+    rest_bytes = np.array(sizes, "<u8").tobytes() + b"".join(body + table)
+    counts = np.array([len(sizes), len(doc_ids)], "<u4").tobytes() + np.array([len(ids), HEAD + 4 + len(rest_bytes)], "<u8").tobytes()
+    return MAGIC + counts + rest_bytes
+
+
+def _places(sizes: list[int], at: int) -> list[tuple[int, int, int]]:
+    """Where each level's chunks, bitmap and directory begin, and where the table does."""
+    out = []
+    for n in sizes:
+        more = at + n
+        rank = more + -(-n // 8)
+        out.append((at, more, rank))
+        at = rank + 4 * -(-n // BLOCK)
+    return [*out, (at, at, at)]
+
+
+class Shard:
+    """A shard that is in memory as a whole, at a place of a file's bytes."""
+
+    def __init__(self, raw: memoryview, at: int = 0):
+        if raw[at : at + 4] != MAGIC:
+            raise ValueError("not a shard")
+        n_levels, n_docs = np.frombuffer(raw, "<u4", 2, at + 4).tolist()
+        self.n_ids, size = np.frombuffer(raw, "<u8", 2, at + 12).tolist()
+        self.end = at + size
+        self.sizes = np.frombuffer(raw, "<u8", n_levels, at + HEAD + 4).tolist()
+        self.places = _places(self.sizes, at + HEAD + 4 + 8 * n_levels)
+        table = self.places[-1][0]
+        there = np.frombuffer(raw, np.uint8, n_docs, table + 12 * n_docs)
+        self.doc_ids = [d if t else None for d, t in zip(np.frombuffer(raw, "<i8", n_docs, table).tolist(), there.tolist(), strict=True)]
+        self.lengths = np.frombuffer(raw, "<u4", n_docs, table + 8 * n_docs).astype(np.int64)
+        self.raw = raw
+
+    def ids(self) -> np.ndarray:
+        out = np.zeros(0, "<u4")
+        for n, (chunk, more, _) in reversed(list(zip(self.sizes, self.places[:-1], strict=True))):
+            whole = np.frombuffer(self.raw, np.uint8, n, chunk).astype("<u4")
+            whole[np.flatnonzero(np.unpackbits(np.frombuffer(self.raw, np.uint8, -(-n // 8), more), count=n, bitorder="little"))] |= out << 8
+            out = whole
+        return out
 
 
-def unpack(levels: list[dict]) -> np.ndarray:
-    """All ids."""
-    out = np.zeros(0, np.uint32)
-    for level in reversed(levels):
-        chunks = np.frombuffer(level["chunks"], np.uint8).astype(np.uint32)
-        more = np.flatnonzero(np.unpackbits(np.frombuffer(level["more"], np.uint8), count=len(chunks), bitorder="little"))
-        chunks[more] |= out << 8
-        out = chunks
-    return out
+def shards(raw: memoryview) -> Iterator[tuple[int, Shard]]:
+    """Places and shards of a file's bytes."""
+    at = 0
+    while at < len(raw):
+        one = Shard(raw, at)
+        yield at, one
+        at = one.end + 1
+
+
+class Ranges:
+    """Tokens of a file by ranges of its bytes: what is read doesn't grow with the file or the shard."""
+
+    def __init__(self, uri: str):
+        from pyarrow import fs
+
+        self.store, path = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+        self.file = self.store.open_input_file(path)
+        self.n_read = 0
+
+    def bytes(self, at: int, n: int) -> bytes:
+        self.n_read += n
+        return self.file.read_at(n, at)
+
+    def token(self, shard_at: int, i: int) -> int:
+        """The id at place i of the shard: a byte, a bit's block and a directory entry of each level."""
+        head = self.bytes(shard_at, HEAD + 4)
+        if head[:4] != MAGIC:
+            raise ValueError("not a shard")
+        if not 0 <= i < int.from_bytes(head[12:20], "little"):
+            raise IndexError(i)
+        n_levels = int.from_bytes(head[4:8], "little")
+        sizes = np.frombuffer(self.bytes(shard_at + HEAD + 4, 8 * n_levels), "<u8").tolist()
+        value = 0
+        for depth, (chunk, more, rank) in enumerate(_places(sizes, shard_at + HEAD + 4 + 8 * n_levels)[:-1]):
+            value |= self.bytes(chunk + i, 1)[0] << 8 * depth
+            block, inside = divmod(i, BLOCK)
+            bits = int.from_bytes(self.bytes(more + block * BLOCK // 8, inside // 8 + 1), "little")
+            if not bits >> inside & 1:
+                break
+            i = int.from_bytes(self.bytes(rank + 4 * block, 4), "little") + (bits & ((1 << inside) - 1)).bit_count()
+        return value
 
 
 # -- encoding ---------------------------------------------------------------------------------------
 
-_tokenizers: dict = {}
+_encoders: dict = {}
+PROBES = ("a b", " a  b ", "don't stop\nnow 12 x.y", "a\n\nb", "é ü — 中文 ok", "(a) b's, c!")
 
 
 class _Encoder:
@@ -103,25 +162,32 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
-        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.by_piece = all(ids(t) == [i for p in t.replace("\n", " ").split(" ") for i in ids(p)] for t in PROBES)
+        mark = ids(MARK)
         self.mark = mark[0] if len(mark) == 1 else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if not self.by_piece:
+            return [self._ids(t) for t in texts]
         known = self.known
         if len(known) > KEPT:
             known.clear()
             known[""] = b""
-        pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        pieces = [t.replace("\n", " ").split(" ") for t in texts]
         new = set()
         for p in pieces:
             new.update(p)
         new = [p for p in new if p not in known]
         found = dict(zip(new, self._new(new), strict=True))
         known.update((p, b) for p, b in found.items() if len(p) <= 64)
-        get = known.__getitem__ if len(found) == 0 or all(len(p) <= 64 for p in new) else lambda p: known.get(p) or found.get(p, b"")
+        get = known.__getitem__ if all(len(p) <= 64 for p in new) else lambda p: known.get(p) or found.get(p, b"")
         return [b"".join(map(get, p)) for p in pieces]
 
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def _new(self, new: list[str], group: int = 500) -> list[bytes]:
         out: list[bytes] = []
         for a in range(0, len(new), group):
@@ -134,103 +200,133 @@ class _Encoder:
                     raw = ids.tobytes()
                     out.extend(raw[4 * (x + 1) : 4 * y] for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
                     continue
-            out.extend(np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in some)
+            out.extend(map(self._ids, some))
         return out
 
+    def encode_long(self, raw: memoryview) -> bytes:
+        """Ids of one long UTF-8 text, in parts that end at a space."""
+        out, a, n = [], 0, len(raw)
+        while a < n:
+            b = n
+            if self.by_piece and n - a > CHUNK:
+                b = bytes(raw[a : a + CHUNK]).rfind(b" ") + a + 1
+                if b == a:  # no space so near: on to the next one
+                    rest = bytes(raw[a:])
+                    b = a + (rest.find(b" ") + 1 or len(rest))
+            out.append(self.encode([str(raw[a:b], "utf-8")])[0])
+            a = b
+        return b"".join(out)
+
 
 def encoder(path: str) -> _Encoder:
-    if path not in _tokenizers:
-        _tokenizers[path] = _Encoder(path)
-    return _tokenizers[path]
+    if path not in _encoders:
+        _encoders[path] = _Encoder(path)
+    return _encoders[path]
 
 
 def _writer(path: str, end_id: int, shard_ids: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, shard, enc, end = TaskContext.get().partitionId(), 0, encoder(path), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
         doc_ids: list[int | None] = []
         lengths: list[int] = []
         raw: list[bytes] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(raw), "<u4")
-            row = {"part": part, "shard": shard, "n_ids": len(ids), "doc_ids": list(doc_ids), "lengths": list(lengths), "levels": pack(ids)}
-            return pa.RecordBatch.from_pylist([row], schema=ARROW)
+            return pa.RecordBatch.from_arrays([pa.array([pack(np.frombuffer(b"".join(raw), "<u4"), doc_ids, lengths)], pa.binary())], names=["shard"])
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                piece = batch.slice(a, 500)
-                for doc_id, ids in zip(piece.column(0).to_pylist(), enc.encode(piece.column(1).to_pylist()), strict=True):
+            data, offsets = column(batch.column(1))
+            view = memoryview(data)
+            for a, b in chunks(offsets):
+                if offsets[b] - offsets[a] > CHUNK:
+                    found = [enc.encode_long(view[offsets[a] : offsets[b]])]
+                else:
+                    found = enc.encode([str(view[x:y], "utf-8") for x, y in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist(), strict=True)])
+                for doc_id, ids in zip(batch.column(0).slice(a, b - a).to_pylist(), found, strict=True):
                     n = len(ids) // 4 + 1
                     if held and held + n > shard_ids:
                         yield flush()
-                        shard, held = shard + 1, 0
+                        held = 0
                         doc_ids.clear(), lengths.clear(), raw.clear()
                     doc_ids.append(doc_id), lengths.append(n), raw.append(ids + end)
                     held += n
         if doc_ids:
             yield flush()
+        release()
 
     return write
 
 
-def write(docs: DataFrame, tokenizer: str, *, path: str | None = None, end_id: int = END_ID, shard_ids: int = SHARD) -> str:
+def write(docs: DataFrame, tokenizer: str, *, path: str | None = None, end_id: int = END_ID, shard_ids: int = SHARD, shards_a_file: int = SHARDS) -> str:
     """Encode docs (doc_id, text) and write the files; gives their path."""
     spark = docs.sparkSession
     path = path or new_path(spark, "token-ids")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange(parallelism(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(_writer(tokenizer, end_id, shard_ids), SCHEMA).write.parquet(path)
+    shard = rows.mapInArrow(_writer(tokenizer, end_id, shard_ids), "shard binary").select(F.col("shard").cast("string"))
+    with small_batches(spark):
+        shard.write.option("maxRecordsPerFile", shards_a_file).option("compression", "none").text(path)
     return path
 
 
 # -- reading ----------------------------------------------------------------------------------------
 
+ROWS = "file string, shard_at bigint, inside bigint, before bigint, doc_id bigint, n_tokens bigint, ids_crc32 bigint"
+
 
 def _reader(with_ids: bool):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                ids = unpack(row["levels"]).astype("<u4", copy=False)
-                ends = np.cumsum(row["lengths"], dtype=np.int64)
-                starts = ends - np.array(row["lengths"], np.int64)
-                raw = memoryview(ids.tobytes())
-                n = len(ends)
-                columns = [
-                    pa.array([row["part"]] * n, pa.int32()),
-                    pa.array([row["shard"]] * n, pa.int32()),
-                    pa.array(row["doc_ids"], pa.int64()),
-                    pa.array(starts),
-                    pa.array(ends - starts),
-                    pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.int64()),
-                ]
-                names = ["part", "shard", "doc_id", "inside", "n_tokens", "ids_crc32"]
-                if with_ids:
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int64))))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                name, before = batch.column(0)[i].as_py(), 0
+                for at, shard in shards(memoryview(batch.column(1)[i].as_buffer())):
+                    ids, n = shard.ids(), len(shard.doc_ids)
+                    ends = np.cumsum(shard.lengths)
+                    starts = ends - shard.lengths
+                    raw = memoryview(ids.tobytes())
+                    crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                    columns = [pa.array([name] * n), pa.array([at] * n), pa.array(starts), pa.array(starts + before), pa.array(shard.doc_ids, pa.int64()), pa.array(shard.lengths), pa.array(crc, pa.int64())]
+                    names = [x.split()[0] for x in ROWS.split(", ")]
+                    if with_ids:
+                        columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int64))))
+                        names.append("ids")
+                    before += shard.n_ids
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+        release()
 
     return read
 
 
+def _documents(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    return files.mapInArrow(_reader(with_ids), ROWS + (", ids array<bigint>" if with_ids else ""))
+
+
 def read(spark: SparkSession, path: str, *, with_ids: bool = False) -> DataFrame:
     """One row a document from the files: doc_id, start (ids of all documents before it), n_tokens,
-    ids_crc32 and, if asked for, ids.
-
-    Starts come from the shards' counts: a running sum over the parts (as many rows as the writing had
-    tasks) and one over the shards of each part.
-    """
-    files = spark.read.parquet(path)
-    fields = "part int, shard int, doc_id bigint, inside bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<bigint>" if with_ids else "")
-    docs = files.select("part", "shard", "doc_ids", "lengths", "levels").mapInArrow(_reader(with_ids), fields)
-    counts = files.select("part", "shard", "n_ids")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = counts.groupBy("part").agg(F.sum("n_ids").alias("s")).select("part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("of_part"))
-    earlier = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = counts.select("part", "shard", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("of_shard"))
-    offsets = shards.join(parts, "part").select("part", "shard", (F.col("of_part") + F.col("of_shard")).alias("offset"))
-    out = docs.join(offsets, ["part", "shard"])
-    return out.select("doc_id", (F.col("offset") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
+    ids_crc32 and, if asked for, ids. Starts come from a running sum over the files' counts, one row a file."""
+    docs = stage(_documents(spark, path), "token-rows")
+    name = F.regexp_extract("file", r"part-(\d+)[^/]*-c(\d+)[^/]*$", 1).cast("int"), F.regexp_extract("file", r"part-(\d+)[^/]*-c(\d+)[^/]*$", 2).cast("int")
+    earlier = Window.orderBy("part", "c").rowsBetween(Window.unboundedPreceding, -1)
+    files = docs.groupBy("file").agg(F.sum("n_tokens").alias("s")).select("file", "s", name[0].alias("part"), name[1].alias("c"))
+    files = files.select("file", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("of_file"))
+    if with_ids:
+        docs = _documents(spark, path, True)
+    out = docs.join(files, "file")
+    return out.select("doc_id", (F.col("of_file") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
+
+
+def index(spark: SparkSession, path: str) -> DataFrame:
+    """Where each document stands: doc_id, file, shard_at (byte of its shard), inside (its first place
+    in the shard) and n_tokens, written once, in order of doc_id."""
+    rows = _documents(spark, path).select("doc_id", "file", "shard_at", "inside", "n_tokens")
+    return stage(rows.sortWithinPartitions("doc_id"), "token-index")
+
+
+def token(places: DataFrame, doc_id: int, i: int) -> int:
+    """Token i of a document, by its row of the index and a few ranges of its file's bytes."""
+    row = places.where(F.col("doc_id") == doc_id).first()
+    if row is None or not 0 <= i < row.n_tokens:
+        raise IndexError(f"{doc_id}: {i}")
+    return Ranges(row.file).token(row.shard_at, row.inside + i)
