@@ -64,3 +64,19 @@ def upsert(candidates: DataFrame, drafts: DataFrame) -> DataFrame:
     first = lambda c: F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c)
     total = F.coalesce("a.evidence", F.lit(0)) + F.coalesce("b.evidence", F.lit(0))
     return both.select(first("book_id"), first("source_norm"), first("target_term"), total.cast("long").alias("evidence"), first("first_segment_id"))
+
+
+def counters(merged: DataFrame) -> DataFrame:
+    """How many terms a merge has added, updated, filled, left in conflict and kept."""
+    of = {"added": "added", "updated": "updated", "filled": "filled", "conflicts": "conflict", "kept": "kept"}
+    return merged.agg(*[F.count_if(F.col("outcome") == x).alias(name) for name, x in of.items()])
+
+
+def effective(configured: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Configured terms, which hold for all books (book_id null), with each book's accepted candidates
+    (book_id, source_norm, term, target_term) where no configured term of the key has a target."""
+    c = _last(configured).select(F.col("k").alias("source_norm"), "source_term", "target_term")
+    known = c.select("source_norm", F.col("source_term").alias("name"), F.col("target_term").alias("has"))
+    more = accepted.join(known, "source_norm", "left").where("has is null")
+    more = more.select("book_id", "source_norm", F.coalesce("name", "term").alias("source_term"), "target_term")
+    return c.select(F.lit(None).cast("int").alias("book_id"), "*").unionByName(more)

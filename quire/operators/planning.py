@@ -107,6 +107,41 @@ def context_window(segments: DataFrame, k: int = 4) -> DataFrame:
     return done.select("segment_id", F.collect_list("segment_id").over(w).alias("context"))
 
 
+def chunk_context(chunks: DataFrame, segments: DataFrame, k: int = 4) -> DataFrame:
+    """For every chunk, the ids of the last k translated segments of its chapter before it; none are its own.
+    Translated segments are numbered, and a chunk asks for k numbers: nothing grows with the chapter."""
+    w = Window.partitionBy("chapter_id").orderBy("segment_order").rowsBetween(Window.unboundedPreceding, 0)
+    done = F.coalesce((F.col("status") == "TRANSLATED") & (F.trim("translated_text") != ""), F.lit(False))
+    numbered = segments.select("chapter_id", "segment_id", done.alias("done"), F.sum(done.cast("int")).over(w).alias("number"))
+    first = chunks.select("chapter_id", "chunk", F.element_at("segment_ids", 1).alias("segment_id"))
+    upto = first.join(numbered, ["chapter_id", "segment_id"]).select("chapter_id", "chunk", (F.col("number") - F.col("done").cast("int")).alias("upto"))
+    asked = upto.where("upto > 0").select("chapter_id", "chunk", F.explode(F.sequence(F.greatest(F.col("upto") - (k - 1), F.lit(1)), F.col("upto"))).alias("number"))
+    found = asked.join(numbered.where("done").select("chapter_id", "number", "segment_id"), ["chapter_id", "number"])
+    lists = found.groupBy("chapter_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("number", "segment_id"))).alias("x"))
+    lists = lists.select("chapter_id", "chunk", F.transform("x", lambda x: x["segment_id"]).alias("context"))
+    return first.select("chapter_id", "chunk").join(lists, ["chapter_id", "chunk"], "left").select("chapter_id", "chunk", F.coalesce("context", F.array().cast("array<bigint>")).alias("context"))
+
+
+def chunk_segments(chunks: DataFrame, segments: DataFrame) -> DataFrame:
+    """A chunk's segments by position; ids without a segment are marked as missing."""
+    ids = chunks.select("chapter_id", "chunk", F.posexplode("segment_ids").alias("position", "segment_id"))
+    texts = segments.select("segment_id", "source_text", F.lit(True).alias("there"))
+    return ids.join(texts, "segment_id", "left").select("chapter_id", "chunk", "position", "segment_id", "source_text", F.col("there").isNull().alias("missing"))
+
+
+def part_sequence_check(parts: DataFrame) -> DataFrame:
+    """Whether each segment's parts are numbered 0 to n - 1, all saying n; a lone part may have no numbers."""
+    i, n = F.col("part_index"), F.col("part_count")
+    g = parts.groupBy("segment_id").agg(
+        F.count("*").alias("n_parts"), F.count(i).alias("with_index"), F.count(n).alias("with_count"), F.count_distinct(i).alias("different"),
+        F.min(i).alias("low"), F.max(i).alias("high"), F.min(n).alias("least"), F.max(n).alias("most"),
+    )
+    every = F.col("n_parts")
+    numbered = (F.col("with_index") == every) & (F.col("with_count") == every) & (F.col("different") == every) & (F.col("low") == 0) & (F.col("high") == every - 1) & (F.col("least") == every) & (F.col("most") == every)
+    bare = (F.col("with_index") == 0) & (F.col("with_count") == 0)
+    return g.select("segment_id", "n_parts", F.when(bare, every == 1).otherwise(F.coalesce(numbered, F.lit(False))).alias("valid"))
+
+
 def split_chunks(chunks: DataFrame, most_depth: int = 3) -> DataFrame:
     """Halves of chunks of more than one segment below the depth, the first half the larger: child_order
     is parent * 1000 + i."""

@@ -16,15 +16,20 @@ def book_progress(segments: DataFrame) -> DataFrame:
     return g.withColumn("progress", ratio(F.col("translated") + F.col("failed"), F.col("total")))
 
 
+def chapter_counts(segments: DataFrame) -> DataFrame:
+    return segments.groupBy("chapter_id").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "TRANSLATED").alias("translated"), F.count_if(F.col("status") == "FAILED").alias("failed"))
+
+
 def chapter_progress(chapters: DataFrame, segments: DataFrame) -> DataFrame:
     """Every chapter, with zeros where it has no segments."""
-    g = segments.groupBy("chapter_id").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "TRANSLATED").alias("translated"), F.count_if(F.col("status") == "FAILED").alias("failed"))
+    g = chapter_counts(segments)
     return chapters.select("chapter_id").join(g, "chapter_id", "left").na.fill(0, ["total", "translated", "failed"])
 
 
-def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+def latest(df: DataFrame, keys: list[str], *order: Column, k: int = 1) -> DataFrame:
+    """The first k rows of each key."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).drop("_rank")
 
 
 def job_rollup(jobs: DataFrame, chunks: DataFrame, max_attempts: int = 3) -> DataFrame:
@@ -45,6 +50,11 @@ def expired(chunks: DataFrame, now: Column) -> DataFrame:
     return chunks.where((F.col("status") == "RUNNING") & (F.col("locked_until") < now))
 
 
+def stale(jobs: DataFrame, now: Column, minutes: int = 30) -> DataFrame:
+    """Running jobs that began longer ago; one without a beginning isn't stale."""
+    return jobs.where((F.col("status") == "RUNNING") & F.coalesce(F.col("started_at") < now - F.make_dt_interval(mins=F.lit(minutes)), F.lit(False)))
+
+
 def accessible(books: DataFrame, user_id: int | None, *, admin: bool = False) -> DataFrame:
     if admin:
         return books

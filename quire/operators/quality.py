@@ -10,31 +10,55 @@ from quire.functions import text as T
 # Points off by rule.
 PENALTIES = {"source_repeated_in_translation": 35, "english_residue": 20, "suspicious_length_ratio": 20, "preserved_token_missing": 20, "placeholder_mismatch": 30}
 GLOSSARY_PENALTY = 25
+#: Terms that are counted in the row.
+FEW = 200
 REVIEWABLE = [*PENALTIES, "glossary_term_missing"]
 
 
-def glossary_misses(segments: DataFrame, glossary: DataFrame) -> DataFrame:
-    """(segment_id, n_missed): terms in the source, whatever the case, whose target the translation
-    lacks. Segments are cut to lower-cased words and joined on a term's first word; then the whole term
-    is looked for, so that no segment meets every term. Terms that begin inside a word, or without a
-    word, are compared with all segments; they are few, and broadcast, as is a glossary of at most 200 terms."""
-    g = glossary.where((F.trim("source_term") != "") & (F.trim(F.coalesce("target_term", F.lit(""))) != "")).select(F.trim("source_term").alias("term"), F.trim("target_term").alias("target")).distinct()
-    ok = (F.instr(F.lower("source_text"), F.lower("term")) > 0) & ~F.col("translated_text").contains(F.col("target"))
+def _wanted(glossary: DataFrame) -> DataFrame:
+    g = glossary.where((F.trim("source_term") != "") & (F.trim(F.coalesce("target_term", F.lit(""))) != ""))
+    return g.select(F.trim("source_term").alias("term"), F.trim("target_term").alias("target")).distinct()
+
+
+def _missed(source: Column, translated: Column, term: Column, target: Column) -> Column:
+    return (F.instr(F.lower(source), F.lower(term)) > 0) & ~translated.contains(target)
+
+
+def with_misses(segments: DataFrame, glossary: DataFrame) -> DataFrame:
+    """Adds n_missed: how many terms stand in the source, whatever the case, while the translation lacks
+    their target. Up to FEW terms are counted in the row. Of more, those of three letters and on are found
+    by the three letters that they begin with: segments are cut into distinct three-letter windows, joined
+    by id and window only, and read again for the pairs found; shorter ones are at most a few thousand
+    and are compared with all segments."""
+    g = _wanted(glossary)
+    rows = g.limit(FEW + 1).collect()  # bounded
+    if len(rows) <= FEW:
+        if not rows:
+            return segments.withColumn("n_missed", F.lit(0))
+        terms = F.array(*[F.struct(F.lit(r.term).alias("term"), F.lit(r.target).alias("target")) for r in rows])
+        n = F.size(F.filter(terms, lambda x: _missed(F.col("source_text"), F.col("translated_text"), x["term"], x["target"])))
+        return segments.withColumn("n_missed", F.when((F.col("status") == "TRANSLATED") & F.col("translated_text").isNotNull(), n).otherwise(0))
     s = segments.where((F.col("status") == "TRANSLATED") & F.col("translated_text").isNotNull()).select("segment_id", "source_text", "translated_text")
-    if g.limit(201).count() <= 200:
-        found = s.join(F.broadcast(g), ok)
-    else:
-        trigram = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(F.lower(c), i, F.lit(3)))
-        keyed = g.withColumn("k", F.substring(F.lower("term"), 1, 3))
-        short, long = keyed.where(F.length("k") < 3), keyed.where(F.length("k") == 3)
-        cut = s.select("*", F.explode(F.array_distinct(trigram(F.col("source_text")))).alias("k"))
-        found = cut.join(long, "k").where(ok).drop("k").unionByName(s.join(short.drop("k"), ok))
-    return found.groupBy("segment_id").agg(F.count("*").alias("n_missed"))
+    low = F.lower("source_text")
+    windows = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3))))
+    keyed = g.withColumn("k", F.substring(F.lower("term"), 1, 3))
+    asked = s.select("segment_id", F.explode(windows).alias("k")).join(keyed.where(F.length("k") == 3), "k").select("segment_id", "term", "target")
+    found = s.join(asked, "segment_id").where(_missed(F.col("source_text"), F.col("translated_text"), F.col("term"), F.col("target"))).select("segment_id")
+    short = keyed.where(F.length("k") < 3)
+    found = found.unionByName(s.join(short, _missed(F.col("source_text"), F.col("translated_text"), F.col("term"), F.col("target"))).select("segment_id"))
+    counts = found.groupBy("segment_id").agg(F.count("*").cast("int").alias("n_missed"))
+    return segments.join(counts, "segment_id", "left").withColumn("n_missed", F.coalesce("n_missed", F.lit(0)))
+
+
+def glossary_misses(segments: DataFrame, glossary: DataFrame) -> DataFrame:
+    """(segment_id, n_missed) of the segments that miss any."""
+    return with_misses(segments, glossary).where("n_missed > 0").select("segment_id", F.col("n_missed").cast("long").alias("n_missed"))
 
 
 def reasons(segments: DataFrame, glossary: DataFrame) -> DataFrame:
-    """Adds reasons (in order of the rules, the glossary's once for each missed term) and score."""
-    s = segments.join(glossary_misses(segments, glossary), "segment_id", "left").withColumn("n_missed", F.coalesce("n_missed", F.lit(0)))
+    """Adds reasons (in order of the rules, the glossary's once for each missed term) and score. They are
+    made once, behind a generator: filters and counts on them don't repeat the rules."""
+    s = with_misses(segments, glossary)
     source, shown = T.norm(F.col("source_text")), T.norm(T.strip_placeholders(F.coalesce("translated_text", F.lit(""))))
     s = s.withColumns({"_s": source, "_t": shown})
     tests = {
@@ -45,11 +69,13 @@ def reasons(segments: DataFrame, glossary: DataFrame) -> DataFrame:
     }
     if "placeholders" in segments.columns:
         tests["placeholder_mismatch"] = (F.size("placeholders") > 0) & T.placeholder_fault(F.col("placeholders"), F.col("translated_text")).isNotNull()
-    rules = F.concat(F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()])), F.array_repeat(F.lit("glossary_term_missing"), F.col("n_missed").cast("int")))
+    rules = F.concat(F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()])), F.array_repeat(F.lit("glossary_term_missing"), F.col("n_missed")))
     failed, missing = F.col("status") == "FAILED", (F.col("status") != "TRANSLATED") | (F.col("_t") == "")
-    s = s.withColumn("reasons", F.when(failed, F.array(F.lit("segment_failed"))).when(missing, F.array(F.lit("missing_translation"))).otherwise(rules))
+    found = F.when(failed, F.array(F.lit("segment_failed"))).when(missing, F.array(F.lit("missing_translation"))).otherwise(rules)
+    s = s.select(*segments.columns, (failed | missing).alias("_none"), F.explode(F.array(F.struct(found.alias("reasons")))).alias("_made"))
+    s = s.select(*segments.columns, "_none", F.col("_made.reasons").alias("reasons"))
     off = F.aggregate("reasons", F.lit(0), lambda a, r: a + points(r))
-    return s.withColumn("score", F.when(failed | missing, 0).otherwise(F.greatest(F.lit(0), 100 - off))).drop("_s", "_t", "n_missed")
+    return s.select(*segments.columns, "reasons", F.when(F.col("_none"), 0).otherwise(F.greatest(F.lit(0), 100 - off)).alias("score"))
 
 
 def points(reason: Column) -> Column:
@@ -80,3 +106,49 @@ def review_top(candidates: DataFrame, k: int = 20) -> DataFrame:
     """The k worst of each book: score, then most warnings, then id."""
     w = Window.partitionBy("book_id").orderBy("score", F.desc("n_warnings"), "segment_id")
     return candidates.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(0, min(k, 100)))
+
+
+def review_counters(candidates: DataFrame, updated: DataFrame, k: int = 20) -> DataFrame:
+    """Of each book: candidates, those selected for review, and those of them that were updated."""
+    top = review_top(candidates, k).select("segment_id", F.lit(True).alias("chosen"))
+    done = updated.select("segment_id", F.lit(True).alias("done"))
+    c = candidates.join(top, "segment_id", "left").join(done, "segment_id", "left")
+    return c.groupBy("book_id").agg(F.count("*").alias("candidates"), F.count("chosen").alias("selected"), F.count(F.when(F.col("chosen"), F.col("done"))).alias("updated"))
+
+
+def _text(*parts: Column | str) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+def notes_markdown(notes: DataFrame) -> DataFrame:
+    """The Markdown of each note, with its chapter's heading where one begins."""
+    w = Window.partitionBy("chapter_id").orderBy("segment_order", "note_id")
+    c = F.col
+    heading = F.when(F.row_number().over(w) == 1, _text("## Chapter ", c("chapter_id"), "\n\n")).otherwise("")
+    shown = F.when(c("translated_text").isNull(), "").otherwise(_text("> ", T.strip_placeholders(c("translated_text")), "\n"))
+    note = _text(heading, "**Segment ", c("segment_order"), "** (", c("day"), ")\n> ", c("source_text"), "\n", shown, "\n**Note:** ", c("note_content"), "\n\n")
+    return notes.select("book_id", "chapter_id", "segment_order", "note_id", note.alias("markdown"))
+
+
+def _statistics(scored: DataFrame) -> DataFrame:
+    n = F.sum(F.size("reasons")).cast("long")
+    return scored.groupBy("book_id").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "TRANSLATED").alias("translated"), F.count_if(F.col("status") == "FAILED").alias("failed"), F.floor(F.avg("score") + 0.5).alias("score"), n.alias("n_warnings"))
+
+
+def report_markdown(scored: DataFrame) -> DataFrame:
+    """Lines by book, section (0 head, 1 warnings, 2 scores), segment and position."""
+    c, zero = F.col, F.lit(0)
+    head = _text("# Consistency Report\n\n- Book ID: ", c("book_id"), "\n- Total segments: ", c("total"), "\n- Translated segments: ", c("translated"), "\n- Failed segments: ", c("failed"), "\n- Quality score: ", c("score"), "\n- Warnings: ", c("n_warnings"), "\n")
+    heads = _statistics(scored).select("book_id", zero.alias("section"), zero.cast("long").alias("segment_id"), zero.alias("position"), head.alias("markdown"))
+    why = F.when(F.size("reasons") > 0, _text(" (", F.array_join("reasons", ", "), ")")).otherwise("")
+    scores = scored.select("book_id", F.lit(2).alias("section"), "segment_id", zero.alias("position"), _text("- Segment ", c("segment_id"), ": ", c("score"), "/100", why, "\n").alias("markdown"))
+    told = scored.select("book_id", F.lit(1).alias("section"), "segment_id", F.posexplode("reasons").alias("position", "code"))
+    told = told.select("book_id", "section", "segment_id", "position", _text("- [WARNING] ", c("code"), " segment ", c("segment_id"), "\n").alias("markdown"))
+    return heads.unionByName(told).unionByName(scores)
+
+
+def report_json(scored: DataFrame) -> DataFrame:
+    per = scored.select("book_id", F.explode("reasons").alias("code")).groupBy("book_id", "code").agg(F.count("*").alias("n"))
+    per = per.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("code", "n"))).alias("warnings"))  # one entry a code
+    both = _statistics(scored).join(per, "book_id", "left").withColumn("warnings", F.coalesce("warnings", F.array().cast("array<struct<code:string,n:bigint>>")))
+    return both.select("book_id", F.to_json(F.struct("total", "translated", "failed", "score", "warnings")).alias("report"))

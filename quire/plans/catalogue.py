@@ -92,7 +92,7 @@ def chapter_progress(spark, sf):
 
 @query(f"{SEG} SELECT chapter_id, total, translated, translated / total AS progress FROM (SELECT chapter_id, {COUNTS} FROM segments GROUP BY chapter_id)")
 def reader_chapter_summary(spark, sf):
-    g = progress.chapter_progress(R.segments(spark, sf).select("chapter_id").distinct(), R.segments(spark, sf))
+    g = progress.chapter_counts(R.segments(spark, sf))
     return g.select("chapter_id", "total", "translated", progress.ratio(F.col("translated"), F.col("total")).alias("progress"))
 
 
@@ -156,9 +156,8 @@ def accessible_books(spark, sf):
 
 @query("SELECT c_mktsegment AS role, count(*) AS n_users, count(*) > 0 AS has_any FROM customer GROUP BY c_mktsegment")
 def users_by_role(spark, sf):
-    users = R.table(spark, sf, "customer")
-    roles = users.select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("role"))
-    return users.join(roles, users.c_custkey == roles.user_id).groupBy("role").agg(F.count("*").alias("n_users"), (F.count("*") > 0).alias("has_any"))
+    roles = R.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("role"))
+    return roles.groupBy("role").agg(F.count("*").alias("n_users"), (F.count("*") > 0).alias("has_any"))
 
 
 @query(f"{JOBS}, {R.CHUNKS} SELECT job_id, book_id FROM jobs j WHERE status = 'FAILED' AND NOT EXISTS (SELECT 1 FROM chunks c WHERE c.job_id = j.job_id AND c.status = 'RUNNING')")
@@ -403,21 +402,6 @@ def review_topk(spark, sf):
     return quality.review_top(quality.review_candidates(_scored(spark, sf))).select("book_id", "segment_id", "score", "n_warnings", "rank")
 
 
-@query()
-def report_json(spark, sf):
-    s = _scored(spark, sf)
-    counts = s.groupBy("book_id").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "TRANSLATED").alias("translated"), F.count_if(F.col("status") == "FAILED").alias("failed"), F.floor(F.avg("score") + 0.5).alias("score"))
-    per = quality.warnings(s).groupBy("book_id", "code").agg(F.count("*").alias("n")).groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("code", "n"))).alias("warnings"))
-    return counts.join(per, "book_id", "left").select("book_id", F.to_json(F.struct("total", "translated", "failed", "score", "warnings")).alias("report"))
-
-
-@query()
-def report_markdown(spark, sf):
-    per = quality.warnings(_scored(spark, sf)).groupBy("book_id", "code").agg(F.count("*").alias("n"))
-    lines = F.array_sort(F.collect_list(F.concat(F.lit("- "), "code", F.lit(": "), F.col("n").cast("string"))))
-    return per.groupBy("book_id").agg(F.concat(F.lit("# Consistency report\n\n"), F.array_join(lines, "\n")).alias("report"))
-
-
 # -- placeholders ------------------------------------------------------------------------------------
 
 EXPECTED = ["[id0]", "[id1]"]
@@ -428,8 +412,8 @@ MARKED_SQL = ", ".join(f"({i}, '{x}')" for i, x in enumerate(MARKED))
 @query(
     rf"""WITH d(i, t) AS (VALUES {MARKED_SQL}), a AS (SELECT i, t, regexp_extract_all(t, '\[id\d+\]') AS act, {EXPECTED} AS ex FROM d), b AS (SELECT *, list_distinct(list_filter(act, lambda y: NOT list_contains(ex, y))) AS extra,
       list_filter(ex, lambda y: NOT list_contains(act, y)) AS miss, list_distinct(list_filter(act, lambda y: len(list_filter(act, lambda z: z = y)) > 1)) AS twice FROM a)
-    SELECT i::BIGINT AS i, CASE WHEN trim(t) = '' THEN 'missing all inline placeholders' WHEN len(extra) > 0 THEN 'extra inline placeholder(s): ' || array_to_string(extra, ', ') WHEN len(miss) > 0 THEN 'missing inline placeholder(s): ' || array_to_string(miss, ', ')
-      WHEN len(twice) > 0 THEN 'duplicate inline placeholder(s): ' || array_to_string(twice, ', ') WHEN act <> ex THEN 'inline placeholders are out of order' END AS fault FROM b"""
+    SELECT i::BIGINT AS i, CASE WHEN trim(t) = '' THEN 'no placeholder is left' WHEN len(extra) > 0 THEN 'placeholders too many: ' || array_to_string(extra, ', ') WHEN len(miss) > 0 THEN 'placeholders lost: ' || array_to_string(miss, ', ')
+      WHEN len(twice) > 0 THEN 'placeholders twice: ' || array_to_string(twice, ', ') WHEN act <> ex THEN 'placeholders in another order' END AS fault FROM b"""
 )
 def placeholder_validate(spark, sf):
     d = spark.createDataFrame(list(enumerate(MARKED)), "i long, t string")
@@ -542,3 +526,6 @@ def stream_lease_replay(spark, sf):
     e = R.table(spark, sf, "events")
     outcome = F.when(F.col("value") % 3 < 1, "failure").when(F.col("value") % 3 < 2, "crash").otherwise("success")
     return dispatch.dispatch(e.select(F.col("user_id").alias("chunk_id"), F.col("ts").alias("requested_at"), outcome.alias("outcome"), F.lit(2).alias("n_segments")))
+
+
+from quire.plans import workflow  # noqa: E402, F401  (adds its queries)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import math
 import os
+import random
 import zipfile
 
 import duckdb
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import planning
+from quire.operators import planning, quality
 from quire.plans import catalogue
 from quire.sources import epub
 from quire.streaming import dispatch
@@ -69,11 +70,24 @@ def test_chunks():
 
 
 def test_tokens(spark):
-    rows = [("Set CPU_A17 to 3.5GHz and keep image.asset.v2 unchanged.", "保持不变"), ("Use `renderBook()` and $E=mc^2$ before \\frac{a}{b}.", "使用函数和公式。")]
+    rows = [("Run GPU_X9 at 2.4GHz, then read font.table.v3 again.", "再读一次"), ("Call `drawPage()` with $m=kv$ in \\sqrt{x}{y} twice.", "调用两次。")]
     df = spark.createDataFrame(rows, "s string, t string")
     got = [set(r.m) for r in df.select(T.missing_tokens(F.col("s"), F.col("t")).alias("m")).collect()]
-    assert {"CPU_A17", "3.5GHz", "image.asset.v2"} <= got[0]
-    assert {"`renderBook()`", "$E=mc^2$", "\\frac{a}"} <= got[1]
+    assert {"GPU_X9", "2.4GHz", "font.table.v3"} <= got[0]
+    assert {"`drawPage()`", "$m=kv$", "\\sqrt{x}"} <= got[1]
+
+
+def test_many_terms_are_joined_by_their_first_letters(spark):
+    """Over FEW terms: as if each were looked for in each segment; letters that lower-casing makes longer too."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("stone river Lamp İzmir of an x7 green hillside".split()) for _ in range(rng.randint(1, 12))) for _ in range(80)]
+    terms = [(t, f"T{t}") for t in ("stone", "Riv", "of", "x", "en hill", "İzmir", "izmir", "missing")] + [(f"absent{i}", "y") for i in range(250)]
+    rows = [(i, t, "Tstone Tof" if i % 3 else "", "TRANSLATED" if i % 7 else "FAILED") for i, t in enumerate(texts)]
+    s = spark.createDataFrame(rows, "segment_id long, source_text string, translated_text string, status string")
+    g = spark.createDataFrame(terms, "source_term string, target_term string")
+    many = quality.glossary_misses(s, g).collect()
+    few = quality.glossary_misses(s, g.where("source_term not like 'absent%'")).collect()
+    assert sorted(many) == sorted(few) and len(many) > 20
 
 
 def book(body: str) -> bytes:
