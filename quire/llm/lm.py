@@ -13,7 +13,9 @@ state that ends in it. Scores of all continuations of a state sum to one with on
 
 Neither the automaton nor the vocabulary is ever broadcast or held whole. Documents are gathered in blocks
 (``BLOCK`` tokens). A block asks for what it needs: the counts of its distinct n-grams of one to three
-words, known by 64 bits of hash, go with its own training counts to buckets by ranges of hash. A bucket
+words go with its own training counts to buckets by ranges of hash. Words are known by 62 bits of hash,
+longer n-grams by 56: one that training has not seen is taken for one that it has with a chance of the
+number of distinct n-grams in 2^56, one in 10^4 for 10^13 of them. A bucket
 adds the counts up and answers each block in the block's own order, so that an answer needs no keys. What
 moves is one entry for each distinct n-gram of a block, whatever the frequencies are, and no bucket is hot:
 a frequent n-gram is one entry a block. Buckets are as many as keep a bucket's share of the tokens bounded
@@ -38,7 +40,7 @@ from quire.llm.store import parallelism, stage
 from quire.llm.vec import Words, chunks, column, mix, release
 
 #: Tokens of a block, and for each bucket.
-BLOCK, BUCKET = 1_000_000, 1_000_000
+BLOCK, BUCKET = 1_250_000, 1_000_000
 ADD, HEAPS, ORDER = 0.1, 0.75, 3
 U = np.uint64
 END, START = (int(x) for x in mix(np.array([0xE0D, 0x57A27], U)))
@@ -57,15 +59,23 @@ def _unzip(raw: bytes, kind: np.dtype) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw[8:], n, codec="zstd", asbytes=True), kind) if n else np.zeros(0, kind)
 
 
+def _zip_planes(array: np.ndarray) -> bytes:
+    """Byte by byte: high bytes that are nearly all zero take no room."""
+    return _zip(np.ascontiguousarray(array.view(np.uint8).reshape(-1, array.dtype.itemsize).T))
+
+
+def _unzip_planes(raw: bytes, kind: np.dtype) -> np.ndarray:
+    planes = _unzip(raw, np.dtype(np.uint8)).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
 def _zip_sorted(keys: np.ndarray) -> bytes:
-    """Differences of sorted keys, byte by byte: the high bytes are nearly all zero."""
-    step = np.diff(keys, prepend=U(0)).astype(U8)
-    return _zip(np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8).T))
+    """Differences of sorted keys."""
+    return _zip_planes(np.diff(keys, prepend=U(0)).astype(U8))
 
 
 def _unzip_sorted(raw: bytes) -> np.ndarray:
-    planes = _unzip(raw, np.dtype(np.uint8)).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(U8).reshape(-1), dtype=U)
+    return np.cumsum(_unzip_planes(raw, U8), dtype=U)
 
 
 BLOCK_FIELDS = "block bigint, doc_ids array<bigint>, lengths array<int>, held array<boolean>, vocabulary binary, ids binary, n_train bigint"
@@ -88,7 +98,7 @@ def _blocks(size: int):
                 pa.array([lengths.tolist()], pa.list_(pa.int32())),
                 pa.array([out.tolist()], pa.list_(pa.bool_())),
                 pa.array([_zip_sorted(vocabulary)], pa.binary()),
-                pa.array([_zip(ids.astype(U4))], pa.binary()),
+                pa.array([_zip_planes(ids.astype(U4))], pa.binary()),
                 pa.array([int(lengths[~out].sum())]),
             ]
             return pa.RecordBatch.from_arrays(columns, names=["block", "doc_ids", "lengths", "held", "vocabulary", "ids", "n_train"])
@@ -116,39 +126,43 @@ def _blocks(size: int):
     return task
 
 
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the place of each key among them."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    of = np.empty(len(keys), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return ordered[new], of
+
+
 class _Block:
-    """A block's n-grams. ``keys``: of each order and token, the hash of the n-gram that ends there, its two
-    low bits the order; 0 where the text has begun too late for one. ``distinct``: all of them, sorted."""
+    """A block's n-grams. ``distinct``: of all orders, sorted, their low bits the order. ``at``: of each order
+    and token, the place in distinct, counted from 1, of the n-gram that ends there, and 0 where the text has
+    begun too late for one."""
 
     def __init__(self, lengths: list[int], held: list[bool], vocabulary: bytes, ids: bytes):
-        word = _unzip_sorted(vocabulary)[_unzip(ids, U4)]
+        word = _unzip_sorted(vocabulary)[_unzip_planes(ids, U4)]
         self.lengths = np.array(lengths, np.int64)
         self.train = np.repeat(~np.array(held, bool), self.lengths)
-        begin = np.cumsum(self.lengths) - self.lengths
-        self.begin = begin
+        self.begin = np.cumsum(self.lengths) - self.lengths
         before = np.empty_like(word)
         before[1:] = word[:-1]
-        before[begin] = U(START)
+        before[self.begin] = U(START)
         two = mix(before * _FACTOR + word)
-        two_before = np.zeros_like(two)
-        two_before[1:] = two[:-1]
-        three = mix(two_before * _FACTOR + word)
-        self.keys = [self._named(x, n) for n, x in enumerate((mix(word), two, three), 1)]
-        self.keys[2][begin] = 0
-        self.distinct = np.unique(np.concatenate(self.keys))
-        if len(self.distinct) and not self.distinct[0]:
-            self.distinct = self.distinct[1:]
-
-    @staticmethod
-    def _named(h: np.ndarray, n: int) -> np.ndarray:
-        return h & ~U(3) | U(n)
+        before[1:] = two[:-1]
+        three = mix(before * _FACTOR + word) & ~U(255) | U(3)
+        three[self.begin] = 0
+        found = [_ranked(x) for x in (mix(word) & ~U(3) | U(1), two & ~U(255) | U(2), three)]
+        every, rank = _ranked(np.concatenate([d for d, _ in found]))
+        none = int(len(every) > 0 and not every[0])
+        self.distinct, edge = every[none:], np.cumsum([0, *(len(d) for d, _ in found)])
+        self.at = [(rank[a : a + len(d)] + 1 - none)[of] for (d, of), a in zip(found, edge[:-1].tolist(), strict=True)]
 
     def train_counts(self) -> np.ndarray:
-        out = np.zeros(len(self.distinct), np.int64)
-        for k in self.keys:
-            some = k[self.train & (k > 0)]
-            out += np.bincount(np.searchsorted(self.distinct, some), minlength=len(out))
-        return out
+        n = len(self.distinct) + 1
+        return sum(np.bincount(at[self.train], minlength=n) for at in self.at)[1:]
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
@@ -181,7 +195,7 @@ def _ask(n_buckets: int):
                 edge = [*first.tolist(), len(counts)]
                 for a in range(0, len(names), 64):
                     rows = [
-                        {"bucket": int(k), "block": r["block"], "keys": _zip_sorted(b.distinct[x:y]), "counts": _zip(counts[x:y])}
+                        {"bucket": int(k), "block": r["block"], "keys": _zip_sorted(b.distinct[x:y]), "counts": _zip_planes(counts[x:y])}
                         for k, x, y in zip(names[a : a + 64].tolist(), edge[:-1][a : a + 64], edge[1:][a : a + 64], strict=True)
                     ]
                     yield pa.RecordBatch.from_pylist(rows, schema=ASK_ARROW)
@@ -198,18 +212,18 @@ def _tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds counts up. The row with block null has the number of distinct words that training has seen."""
     for rows in _groups(batches):
         keys = [_unzip_sorted(r["keys"]) for r in rows]
-        distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(of, weights=np.concatenate([_unzip(r["counts"], U4) for r in rows]), minlength=len(distinct))
+        distinct, of = _ranked(np.concatenate(keys))
+        total = np.bincount(of, weights=np.concatenate([_unzip_planes(r["counts"], U4) for r in rows]), minlength=len(distinct))
         out = [{"block": None, "bucket": rows[0]["bucket"], "counts": None, "seen": int(((distinct & U(3) == 1) & (total > 0)).sum())}]
         told, edge = total[of].astype(U8), np.cumsum([0, *map(len, keys)])
-        out += [{"block": r["block"], "bucket": r["bucket"], "counts": _zip(told[x:y].astype(U4) if told[x:y].max() < 1 << 32 else told[x:y]), "seen": y - x} for r, x, y in zip(rows, edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        out += [{"block": r["block"], "bucket": r["bucket"], "counts": _zip_planes(told[x:y].astype(U4) if told[x:y].max() < 1 << 32 else told[x:y]), "seen": y - x} for r, x, y in zip(rows, edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_pylist(out, schema=TELL_ARROW)
     release()
 
 
 def _told(row: dict) -> np.ndarray:
     wide = int.from_bytes(row["counts"][:8], "little") == 8 * row["seen"]
-    return _unzip(row["counts"], U8 if wide else U4).astype(np.float64)
+    return _unzip_planes(row["counts"], U8 if wide else U4).astype(np.float64)
 
 
 def back(count: np.ndarray) -> np.ndarray:
@@ -241,8 +255,7 @@ def _traverse(n: float, v: float, texts: float):
             r = rows[0]
             b = _Block(r["lengths"], r["held"], r["vocabulary"], r["ids"])
             told = np.concatenate([[0.0], *(_told(x) for x in rows[1:])])
-            at = lambda k: np.where(k > 0, np.searchsorted(b.distinct, k) + 1, 0)
-            one, two, three = (told[at(k)] for k in b.keys)
+            one, two, three = (told[at] for at in b.at)
             starts = np.zeros(len(one), bool)
             starts[b.begin] = True
             shifted = lambda c, first: np.where(starts, first, np.concatenate([[0.0], c[:-1]]))
@@ -266,6 +279,7 @@ def score(docs: DataFrame, *, block: int = BLOCK) -> DataFrame:
     texts = F.size(F.filter("held", lambda x: ~x))
     of = blocks.agg(F.sum("n_train").alias("n"), F.sum(texts).alias("texts"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("tokens")).first()
     n_buckets = max(4 * tasks, (of.tokens or 0) // BUCKET)
+    tasks = max(tasks, n_buckets // 4)
 
     sides = blocks.select("block", "lengths", "held", "vocabulary", "ids")
     asked = sides.mapInArrow(_ask(n_buckets), ASK).repartition(tasks, "bucket").sortWithinPartitions("bucket")
