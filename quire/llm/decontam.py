@@ -4,8 +4,10 @@ Words are lower-cased (A-Z) runs of digits, letters a-z and non-ASCII characters
 k + 1`` consecutive k-grams of words, the least hash is kept; so two texts that share ``window``
 consecutive words keep the same k-gram of that span (of equal k-grams, the benchmark keeps all). Kept
 k-grams of documents are looked up among those of the benchmark, and each hit is extended: the possible
-placements of a window over the k-gram are compared word by word, within the 2 * window - k words around
-it. Items shorter than a window are one window of their own length and are looked up whole.
+placements of a window over the k-gram, within the 2 * window - k words around it, are looked up among the
+distinct windows of the benchmark and compared word by word; so a k-gram that many items share is met
+once a placement, not once an item. Items shorter than a window are one window of their own length and are
+looked up whole, all lengths in one pass.
 
 Arrays are exploded by explode_outer: from a plain explode Spark infers a filter on the array's size,
 which evaluates the whole array a second time, nested.
@@ -92,28 +94,38 @@ def _context(ws: Column, p: Column, k: int = K, window: int = WINDOW) -> tuple[C
     return F.slice(ws, start + 1, end - start), p - start
 
 
-def _windows(a: Column, ap: Column, b: Column, bp: Column, k: int = K, window: int = WINDOW) -> Column:
-    """Offsets from the k-gram of the window placements whose words are equal in both contexts."""
+def _placements(ctx: Column, cp: Column, k: int, window: int) -> Column:
+    """The windows over the k-gram that lie inside the context: how far before it they start, and a hash
+    of all their words."""
     found = []
     for back in range(window - k, -1, -1):
-        sa, sb = ap - back, bp - back
-        inside = (sa >= 0) & (sb >= 0) & (sa + window <= F.size(a)) & (sb + window <= F.size(b))
-        equal = F.slice(a, F.greatest(sa, F.lit(0)) + 1, F.lit(window)) == F.slice(b, F.greatest(sb, F.lit(0)) + 1, F.lit(window))
-        found.append(F.when(inside & equal, F.lit(-back)))
+        start = cp - back
+        inside = (start >= 0) & (start + window <= F.size(ctx))
+        words = F.slice(ctx, F.greatest(start, F.lit(0)) + 1, F.lit(window))
+        found.append(F.when(inside, F.struct(F.lit(back).alias("back"), F.xxhash64(words).alias("wfp"))))
     return F.array_compact(F.array(*found))
 
 
-def _whole_grams(n: int) -> Column:
-    """Place and hash of every run of n words of wh."""
+def _item_windows(items: DataFrame, window: int) -> DataFrame:
+    """wfp, iws and the ids of all items of every distinct window: a passage of many items is one row."""
+    starts = F.when(F.col("n") >= window, F.sequence(F.lit(1), F.col("n") - (window - 1))).otherwise(F.array().cast("array<int>"))
+    each = items.select("item_id", F.explode_outer(F.transform(starts, lambda i: F.slice("ws", i, F.lit(window)))).alias("iws"))
+    each = each.where("iws is not null").groupBy("iws").agg(F.collect_set("item_id").alias("items"))
+    return each.select(F.xxhash64("iws").alias("wfp"), "iws", "items")
 
-    def gram(x: Column, i: Column) -> Column:
-        return F.struct(i.cast("int").alias("p"), F.xxhash64(x, *[F.get("wh", i + j) for j in range(1, n)]).alias("fp"))
 
-    return F.transform(F.slice("wh", F.lit(1), F.col("n") - (n - 1)), gram)
+def _whole_grams(lengths: list[int]) -> Column:
+    """Place, length and hash of every run of wh of one of the lengths."""
 
+    def grams(n: int) -> Column:
+        gram = lambda x, i: F.struct(i.cast("int").alias("p"), F.lit(n).alias("l"), F.xxhash64(F.lit(n), x, *[F.get("wh", i + j) for j in range(1, n)]).alias("fp"))
+        return F.transform(F.slice("wh", F.lit(1), F.greatest(F.col("n") - (n - 1), F.lit(0))), gram)
 
-def _cutter(size: Column):
-    return lambda x: F.struct(x["p"].alias("p"), x["fp"].alias("fp"), F.slice("ws", x["p"] + 1, size).alias("dws"))
+    return F.concat(*[grams(n) for n in lengths])
+
+
+def _cutter(x: Column) -> Column:
+    return F.struct(x["p"].alias("p"), x["l"].alias("l"), x["fp"].alias("fp"), F.slice("ws", x["p"] + 1, x["l"]).alias("dws"))
 
 
 def _blocks(hashes: DataFrame, block: int) -> list[DataFrame]:
@@ -144,16 +156,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, k: int = K, window:
     if not k <= window <= k + 7:
         raise ValueError("a window holds 1 to 8 k-grams")
     items = stage(_tokenised(benchmark, [F.col("item_id").cast("string").alias("item_id")], "text").where("n > 0"), "bench-words")
-    prints = _kept_with_ties(items, k, window).select("item_id", "ws", F.explode_outer("kept").alias("x"))
-    ctx, cp = _context(F.col("ws"), F.col("x.p"), k, window)
-    prints = stage(prints.where("x is not null").select("x.fp", "item_id", ctx.alias("ictx"), cp.alias("icp")), "bench-prints")
+    prints = _kept_with_ties(items, k, window).select(F.explode_outer("kept").alias("x")).where("x is not null")
+    prints = stage(prints.select("x.fp").distinct(), "bench-prints")
+    windows = stage(_item_windows(items, window), "bench-windows")
     short = items.where(F.col("n") < window)
     lengths = [r.n for r in short.select("n").distinct().collect()]  # fewer than a window has words
 
     key = [F.col("doc_id"), F.xxhash64("doc_id", "text").alias("text_key")]
     tokens = _tokenised(docs, key, "text")
     heads = spans = None
-    for hashes in _blocks(prints.select("fp").distinct(), block):
+    for hashes in _blocks(prints, block):
         known = F.broadcast(hashes.select(F.col("fp").alias("known")))
         kept = _kept(tokens, k, window).select("doc_id", "text_key", "n", "kept")
         if heads is None:
@@ -168,28 +180,29 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, k: int = K, window:
         around = F.transform("hits", lambda x: F.struct(x["p"].alias("p"), x["fp"].alias("fp"), *(c.alias(a) for c, a in zip(_context(F.col("ws"), x["p"], k, window), ("ctx", "cp"), strict=True))))
         near = _of_documents(docs, hits).select("doc_id", "text_key", "hits", words(F.col("text")).alias("ws"))
         near = near.select("doc_id", "text_key", F.explode_outer(around).alias("x")).select("doc_id", "text_key", "x.*")
-        at = _windows(F.col("ctx"), F.col("cp"), F.col("ictx"), F.col("icp"), k, window)
-        near = near.join(prints, "fp").select("doc_id", "text_key", "item_id", "p", at.alias("at")).where(F.size("at") > 0)
-        one = near.select("doc_id", "text_key", "item_id", F.transform("at", lambda d: F.struct((F.col("p") + d).alias("s"), (F.col("p") + d + window).alias("e"))).alias("spans"))
+        at = F.explode_outer(_placements(F.col("ctx"), F.col("cp"), k, window)).alias("w")
+        near = near.select("doc_id", "text_key", "p", "ctx", "cp", at).select("*", "w.wfp").join(windows, "wfp")
+        near = near.where(F.slice("ctx", F.col("cp") - F.col("w.back") + 1, F.lit(window)) == F.col("iws"))
+        start = F.col("p") - F.col("w.back")
+        one = near.select("doc_id", "text_key", "items", F.struct(start.alias("s"), (start + window).alias("e")).alias("span"))
         spans = one if spans is None else spans.unionByName(one)
-    for n in lengths:
-        grams = _whole_grams(n)
-        whole = stage(short.where(F.col("n") == n).select(grams[0]["fp"].alias("fp"), "item_id", F.col("ws").alias("iws")), "bench-short")
+    if lengths:
+        grams = _whole_grams(lengths)
+        whole = short.select(grams.alias("g"), "n", "ws", "item_id").select(F.filter("g", lambda x: x["l"] == F.col("n"))[0]["fp"].alias("fp"), F.col("ws").alias("iws"), "item_id")
+        whole = stage(whole.groupBy("fp", "iws").agg(F.collect_set("item_id").alias("items")), "bench-short")
         for hashes in _blocks(whole.select("fp").distinct(), block):
             known = F.broadcast(hashes.select(F.col("fp").alias("known")))
-            at = tokens.where(F.col("n") >= n).select("doc_id", "text_key", F.explode_outer(grams).alias("x")).select("doc_id", "text_key", "x.p", "x.fp")
+            at = tokens.select("doc_id", "text_key", F.explode_outer(grams).alias("x")).select("doc_id", "text_key", "x.p", "x.l", "x.fp")
             at = stage(at.join(known, F.col("fp") == F.col("known")).drop("known"), "short-hits")
-            hits = at.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("p", "fp")).alias("hits"))
+            hits = at.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("p", "l", "fp")).alias("hits"))
             near = _of_documents(docs, hits).select("doc_id", "text_key", "hits", words(F.col("text")).alias("ws"))
-            size = F.least(F.lit(n), F.size("ws"))
-            around = F.transform("hits", _cutter(size))
-            near = near.select("doc_id", "text_key", F.explode_outer(around).alias("x")).select("doc_id", "text_key", "x.*").join(whole, "fp").where("dws = iws")
-            one = near.select("doc_id", "text_key", "item_id", F.array(F.struct(F.col("p").alias("s"), (F.col("p") + n).alias("e"))).alias("spans"))
+            near = near.select("doc_id", "text_key", F.explode_outer(F.transform("hits", _cutter)).alias("x")).select("doc_id", "text_key", "x.*").join(whole, "fp").where("dws = iws")
+            one = near.select("doc_id", "text_key", "items", F.struct(F.col("p").alias("s"), (F.col("p") + F.col("l")).alias("e")).alias("span"))
             spans = one if spans is None else spans.unionByName(one)
-    spans = spans.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.collect_set("item_id").alias("items"))
+    spans = spans.groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     start = F.struct(F.lit(0).alias("e"), F.lit(0).cast("long").alias("hit"))
     cover = F.aggregate(
-        F.array_sort(F.array_distinct("spans")), start, lambda a, s: F.struct(F.greatest(a["e"], s["e"]).alias("e"), (a["hit"] + F.greatest(F.lit(0), s["e"] - F.greatest(a["e"], s["s"]))).alias("hit"))
+        F.array_sort("spans"), start, lambda a, s: F.struct(F.greatest(a["e"], s["e"]).alias("e"), (a["hit"] + F.greatest(F.lit(0), s["e"] - F.greatest(a["e"], s["s"]))).alias("hit"))
     )
     spans = spans.select(F.col("doc_id").alias("h_id"), F.col("text_key").alias("h_key"), cover["hit"].alias("hit"), F.array_sort("items").alias("items"))
     out = heads.join(spans, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_key") == F.col("h_key")), "left")
