@@ -20,8 +20,8 @@ Contents of an anchor are told apart by 64-bit hashes.
 Anchors that are frequent in the corpus are known from the distinct contents of all blocks, of which those
 with a hash of one class in ``REPORT`` are counted, however few a block has. Their windows are compared one
 by one, by a hash of all their bytes, each distinct one sent once by a block, so that no bucket holds a hot
-anchor. There is about one for ``HOT`` distinct segments at most; 8 bytes of each travel with the tasks.
-Which anchors are hot decides on the way to the answer only, not on the answer.
+anchor. There is about one for ``HOT`` distinct segments at most. Up to ``CARRIED`` of them travel with the
+tasks; more are joined with the blocks that hold them, so that each block is told its own. Which anchors are hot decides on the way to the answer only, not on the answer.
 
 Defined results: null and empty texts have no bytes; a null id comes after all others; rows of the same
 id are in order of a hash of their text; equal rows count as one document and get the same result; an
@@ -48,6 +48,8 @@ LENGTH, GRAM = 100, 32
 BLOCK, PIECE, TEXTS = 4_000_000, 500_000, 1_000_000
 #: Segments in a bucket; one in so many contents is counted; contents of an anchor from which it is hot.
 SEGMENTS, REPORT, HOT = 400_000, 8, 2000
+#: Hot anchors that pass the driver and travel with the tasks at most, 8 bytes each.
+CARRIED = 500_000
 LAST = np.int64(2**63 - 1)
 _INVERSE = pow(_BASE, -1, 2**64)
 I4, I8, U1 = np.dtype("<i4"), np.dtype("<i8"), np.dtype("u1")
@@ -107,6 +109,8 @@ class _Texts:
         self.keys = np.array(row["text_keys"], np.int64)
         self.data = np.frombuffer(_unzip(row["texts"], U1), np.uint8)
         self.bounds = np.concatenate([[0], np.cumsum(np.array(row["lengths"], np.int64))])
+        if row.get("hot") is not None:
+            hot = np.array(row["hot"], np.int64).view(U)
         found, a = [], 0
         while a < len(self.doc_ids):
             b = max(a + 1, int(np.searchsorted(self.bounds, self.bounds[a] + PIECE, "right")) - 1)
@@ -185,6 +189,15 @@ def _blocks(size: int, report: int):
     return task
 
 
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct anchors of each block."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            own = np.unique(_Texts(row, np.zeros(0, U)).anchor).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), row["block"])), pa.array(own)], names=["block", "anchor"])
+
+
 ASK = "bucket int, block bigint, anchors binary, contents binary, doc_ids binary, text_keys binary, starts binary, runs binary"
 
 
@@ -346,15 +359,22 @@ def remove_repeats(docs: DataFrame, *, keep: bool = True, block: int = BLOCK) ->
     n_buckets = max(tasks, n_bytes // (SEGMENTS * (LENGTH - GRAM + 2) // 2))
     counted = blocks.select(F.explode(F.arrays_zip("anchors", "contents")).alias("x")).select("x.anchors", "x.contents").distinct()
     often = counted.groupBy("anchors").count().where(F.col("count") * REPORT > HOT)
-    hot = np.sort(np.array([r.anchors for r in often.select("anchors").collect()], np.int64).view(U))
-
+    often = stage(often.select("anchors"), "repeat-hot")
     sides = blocks.select("block", "doc_ids", "text_keys", "lengths", "texts")
+    if often.count() <= CARRIED:
+        hot = np.sort(np.array([r.anchors for r in often.collect()], np.int64).view(U))
+        sides = sides.withColumn("hot", F.lit(None).cast("array<bigint>"))
+    else:
+        hot = np.zeros(0, U)
+        held = sides.mapInArrow(_anchors, "block bigint, anchor bigint").join(often, F.col("anchor") == F.col("anchors"))
+        held = held.groupBy("block").agg(F.collect_list("anchor").alias("hot"))
+        sides = stage(sides.join(held, "block", "left"), "repeat-sides")
     asked = sides.mapInArrow(_ask(n_buckets, hot), ASK).repartition(tasks, "bucket").sortWithinPartitions("bucket")
     told = stage(asked.mapInArrow(_tell, TELL), "repeat-told")
     n_texts = max(tasks, (told.agg(F.sum("n_bytes")).first()[0] or 0) // TEXTS)
 
-    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("doc_ids", "array<bigint>"), ("text_keys", "array<bigint>"), ("lengths", "array<int>"), ("texts", "binary"))]
-    own = sides.select("block", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("answers"), "doc_ids", "text_keys", "lengths", "texts")
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("doc_ids", "array<bigint>"), ("text_keys", "array<bigint>"), ("lengths", "array<int>"), ("texts", "binary"), ("hot", "array<bigint>"))]
+    own = sides.select("block", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("answers"), "doc_ids", "text_keys", "lengths", "texts", "hot")
     first = told.select("block", F.lit(1).alias("kind"), "bucket", "answers", *nothing)
     met = own.unionByName(first).repartition(tasks, "block").sortWithinPartitions("block", "kind")
     sent = met.mapInArrow(_send(n_buckets, n_texts, hot), SEND).repartition(max(tasks, n_texts), "bucket").sortWithinPartitions("bucket")

@@ -101,6 +101,22 @@ def test_decontamination(spark):
     assert kept.columns == frame(spark, DOCS).columns
 
 
+def test_decontamination_of_common_phrases(spark):
+    """A phrase of many items, in other words each time, meets only the windows that are there; items of
+    every short length, and equal items, are found in one pass."""
+    rng = random.Random(3)
+    word = lambda n: " ".join(f"w{rng.randint(0, 9)}" for _ in range(n))
+    phrase = "which of the following is"
+    items = [(i, f"{word(6)} {phrase} {word(6)}") for i in range(60)] + [(100 + n, word(n)) for n in range(1, 10)]
+    items += [(200, items[0][1]), (None, items[1][1]), (201, None), (202, " . ")]
+    docs = [(i, f"{word(3)} {phrase} {word(4)} {items[i % 60][1].upper() if i % 3 else ''} {word(3)}") for i in range(40)]
+    want = sorted(brute.decontaminate(docs, items), key=repr)
+    d = decontam.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    d = d.select("doc_id", "n_words", "n_hit", F.size("items").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("sha"), (F.col("n_hit") > 0).alias("c"))
+    assert rows_of(d, *d.columns) == want
+    assert any(r[3] > 2 for r in want)
+
+
 @pytest.mark.parametrize("k,percent", [(3, 85), (5, 80)])
 def test_near(spark, k, percent):
     rows = UNIQUE + [(900 + i, BASE + f" tail{i}", "en", "a") for i in range(30)] + [(None, "one", "en", "a")]
@@ -179,6 +195,16 @@ def test_hot_anchors(spark, monkeypatch):
     assert got == sorted(((r[0], r[2]) for r in brute.repeats(sorted(texts(UNIQUE)))), key=repr)
 
 
+def test_hot_anchors_are_joined_with_blocks(spark, monkeypatch):
+    """More hot anchors than the tasks carry: the same rows, in one block and in many."""
+    monkeypatch.setattr(repeats, "HOT", 0)
+    monkeypatch.setattr(repeats, "REPORT", 1)
+    monkeypatch.setattr(repeats, "CARRIED", 0)
+    want = sorted(((r[0], r[2]) for r in brute.repeats(sorted(texts(UNIQUE)))), key=repr)
+    for block in (4_000_000, 9000):
+        assert rows_of(repeats.remove_repeats(frame(spark, UNIQUE), keep=False, block=block), "doc_id", "n_removed") == want
+
+
 def test_contents_of_an_anchor():
     """Contents whose hashes differ in the lower half only are not equal."""
     contents = np.array([5 << 32 | 1, 5 << 32 | 2, 5 << 32 | 1], np.uint64)
