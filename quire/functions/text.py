@@ -114,3 +114,26 @@ def placeholder_fault(expected: Column, translated: Column) -> Column:
 
 def cache_key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
+
+
+#: A segment's place in its book's files.
+LOCATOR = "path string, index int, tokens array<string>"
+
+
+def locator_json(path: Column, index: Column, tokens: Column) -> Column:
+    """A place as JSON; what is empty is left out."""
+    return F.to_json(F.struct(F.nullif(path, F.lit("")).alias("path"), index.alias("index"), F.when(F.size(tokens) > 0, tokens).alias("tokens")))
+
+
+def read_locator(json: Column) -> Column:
+    """The place again: fields that are not known are ignored, and what is no JSON gives nulls."""
+    return F.from_json(json, LOCATOR)
+
+
+def ids_json(ids: Column) -> Column:
+    return F.to_json(ids)
+
+
+def read_ids(json: Column) -> Column:
+    """Ids of a list as JSON; null where it is none."""
+    return F.from_json(json, "array<bigint>")

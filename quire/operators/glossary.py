@@ -80,3 +80,43 @@ def effective(configured: DataFrame, accepted: DataFrame) -> DataFrame:
     more = accepted.join(known, "source_norm", "left").where("has is null")
     more = more.select("book_id", "source_norm", F.coalesce("name", "term").alias("source_term"), "target_term")
     return c.select(F.lit(None).cast("int").alias("book_id"), "*").unionByName(more)
+
+
+def accept(candidates: DataFrame, configured: DataFrame) -> DataFrame:
+    """Candidates (book_id, source_norm, target_term) with the status that accepting all of them gives:
+    ACCEPTED, CONFLICT where the configured term (source_norm, target_term) has another target, or PENDING
+    without a target of their own."""
+    c = configured.select("source_norm", F.col("target_term").alias("configured_target"))
+    out = candidates.join(c, "source_norm", "left")
+    own = blank(F.col("target_term"))
+    differs = F.coalesce(blank(F.col("configured_target")) != own, F.lit(False))
+    return out.select("book_id", "source_norm", "target_term", F.when(own.isNull(), "PENDING").when(differs, "CONFLICT").otherwise("ACCEPTED").alias("status"))
+
+
+def acceptance_counters(accepted: DataFrame) -> DataFrame:
+    s = F.col("status")
+    return accepted.groupBy("book_id").agg(F.count_if(s == "ACCEPTED").alias("accepted"), F.count_if(s == "CONFLICT").alias("conflicts"), F.count_if(s == "PENDING").alias("pending"))
+
+
+#: Terms that are looked for in the row.
+FEW = 200
+
+
+def found_in(texts: DataFrame, keys: list[str], terms: DataFrame) -> DataFrame:
+    """Terms (source_term) that occur, whatever their case, in any text of a key, sorted. Up to FEW terms are
+    looked for in the row. Of more, each is found by the up to three letters that it begins with: distinct
+    texts are cut into distinct windows of one to three letters, joined by hash and window only, and read
+    again for the pairs found."""
+    t = terms.select(F.trim("source_term").alias("term")).where("term <> ''").distinct()
+    rows = t.limit(FEW + 1).collect()  # bounded
+    if 0 < len(rows) <= FEW:
+        every = F.array(*[F.lit(r.term) for r in rows])
+        each = texts.select(*keys, F.explode(F.filter(every, lambda x: F.lower("text").contains(F.lower(x)))).alias("term"))
+    else:
+        low = F.lower("text")
+        windows = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.array(*[F.substring(low, i, F.lit(n)) for n in (1, 2, 3)])))
+        keyed = texts.where("text is not null").withColumn("h", F.xxhash64("text"))
+        asked = keyed.select("h", "text").distinct().select("h", F.explode(F.array_distinct(windows)).alias("k"))
+        asked = asked.join(t.withColumn("k", F.substring(F.lower("term"), 1, 3)), "k").select("h", "term").distinct()
+        each = keyed.join(asked, "h").where(F.lower("text").contains(F.lower("term"))).select(*keys, "term")
+    return each.groupBy(*keys).agg(F.array_sort(F.collect_set("term")).alias("terms"))

@@ -66,3 +66,15 @@ def dashboard_status(job: Column, book: Column) -> Column:
     from_job = F.when(job == "RUNNING", "running").when(job == "COMPLETED", "completed").when(job.isin("FAILED", "CANCELED"), "failed")
     from_book = F.when(book.isin("TRANSLATED", "EXPORT_READY"), "completed").when(book == "TRANSLATING", "running").when(book == "FAILED", "failed").otherwise("pending")
     return F.coalesce(from_job, from_book)
+
+
+def ingest_counts(segments: DataFrame) -> DataFrame:
+    """Chapters and segments of every book. Chapters are counted one by one first, so that a book that holds
+    a third of all rows is one row a chapter when books are grouped."""
+    chapters = segments.groupBy("book_id", "chapter_id").agg(F.count("*").alias("n"))
+    return chapters.groupBy("book_id").agg(F.count("*").alias("chapters"), F.sum("n").alias("segments"))
+
+
+def numbered(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """Adds position: the place of each row among those of its key, from 1 on."""
+    return df.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

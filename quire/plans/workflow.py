@@ -178,3 +178,103 @@ def report_markdown(spark, sf):
 @query(f"""{_REPORT} SELECT book_id, '{{"total":' || total || ',"translated":' || translated || ',"failed":' || failed || ',"score":' || quality || ',"warnings":[' || coalesce((SELECT string_agg('{{"code":"' || code || '","n":' || n || '}}', ',' ORDER BY code) FROM (SELECT book_id, code, count(*) AS n FROM w GROUP BY book_id, code) g WHERE g.book_id = c.book_id), '') || ']}}' AS report FROM c""")
 def report_json(spark, sf):
     return quality.report_json(C._scored(spark, sf))
+
+
+# -- ingest, locators, acceptance --------------------------------------------------------------------
+
+
+@query(f"{C.SEG} SELECT book_id, count(DISTINCT chapter_id) AS chapters, count(*) AS segments FROM segments GROUP BY book_id")
+def ingest_counts(spark, sf):
+    return progress.ingest_counts(R.segments(spark, sf))
+
+
+@query("SELECT c_nationkey AS owner_id, c_custkey AS book_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC)::INT AS position FROM customer")
+def books_of_owner(spark, sf):
+    books = R.table(spark, sf, "customer").select(F.col("c_nationkey").alias("owner_id"), F.col("c_custkey").alias("book_id"))
+    return progress.numbered(books, ["owner_id"], F.desc("book_id"))
+
+
+@query(f"WITH {R.CHUNKS} SELECT job_id, line, status, row_number() OVER (PARTITION BY job_id ORDER BY line, status)::INT AS position FROM chunks")
+def chunk_order(spark, sf):
+    return progress.numbered(R.chunks(spark, sf).select("job_id", "line", "status"), ["job_id"], F.col("line"), F.col("status"))
+
+
+@query("SELECT ts::DATE AS day, user_id AS author_id, count(*) AS notes FROM events GROUP BY ALL")
+def notes_by_date(spark, sf):
+    return R.table(spark, sf, "events").groupBy(F.to_date("ts").alias("day"), F.col("user_id").alias("author_id")).agg(F.count("*").alias("notes"))
+
+
+@query(
+    f"""{C.SEG}, x AS (SELECT segment_id, segment_order AS o, 'chapter' || chapter_id || '.xhtml' AS p, list_transform(range(1, segment_order % 3 + 1), lambda i: '[id' || i || ']') AS t FROM segments)
+    SELECT segment_id, '{{"path":"' || p || '","index":' || o || CASE WHEN len(t) > 0 THEN ',"tokens":["' || array_to_string(t, '","') || '"]' ELSE '' END || '}}' AS locator,
+      CASE WHEN o % 7 <> 0 THEN p END AS path, CASE WHEN o % 7 <> 0 THEN o END::INT AS index, CASE WHEN o % 7 <> 0 THEN len(t) ELSE 0 END::INT AS n_tokens FROM x"""
+)
+def locator_json(spark, sf):
+    """Places written and read again: every fifth with a field that is not known, every seventh cut short."""
+    o = F.col("segment_order")
+    tokens = F.transform(F.slice(F.array(F.lit(1), F.lit(2)), F.lit(1), (o % 3).cast("int")), lambda i: F.concat(F.lit("[id"), i.cast("string"), F.lit("]")))
+    path = F.concat(F.lit("chapter"), F.col("chapter_id").cast("string"), F.lit(".xhtml"))
+    s = R.segments(spark, sf).select("segment_id", "segment_order", T.locator_json(path, o.cast("int"), tokens).alias("locator"))
+    told = F.when(o % 7 == 0, F.substring("locator", F.lit(1), F.lit(9))).when(o % 5 == 0, F.regexp_replace("locator", r"^\{", '{"tag":"p",')).otherwise(F.col("locator"))
+    s = s.withColumn("x", T.read_locator(told))
+    return s.select("segment_id", "locator", "x.path", "x.index", F.coalesce(F.size("x.tokens"), F.lit(0)).alias("n_tokens")).withColumn("n_tokens", F.greatest("n_tokens", F.lit(0)))
+
+
+@query(f"""{C.PLAN} SELECT chapter_id, chunk, '[' || array_to_string(segment_ids, ',') || ']' AS ids_json, CASE WHEN chapter_id % 4 <> 0 THEN segment_ids END AS ids FROM plan""")
+def segment_ids_json(spark, sf):
+    """Lists of ids written and read again: of every fourth chapter they are cut short."""
+    p = planning.chunk_plan(R.segments(spark, sf)).select("chapter_id", "chunk", T.ids_json(F.col("segment_ids")).alias("ids_json"))
+    told = F.when(F.col("chapter_id") % 4 == 0, F.lit('[12, "')).otherwise(F.col("ids_json"))
+    return p.withColumn("ids", T.read_ids(told))
+
+
+_ACCEPT = f"""{C.TERMS}, configured AS (SELECT source_norm, min(upper(term)) AS target_term FROM terms WHERE rank % 2 = 1 GROUP BY source_norm),
+  cand AS (SELECT book_id, source_norm, CASE WHEN rank % 5 = 0 THEN ' ' WHEN book_id % 2 = 0 THEN upper(term) ELSE lower(term) END AS target_term FROM terms),
+  accepted AS (SELECT book_id, cand.source_norm, cand.target_term, CASE WHEN trim(cand.target_term) = '' THEN 'PENDING' WHEN configured.target_term <> trim(cand.target_term) THEN 'CONFLICT' ELSE 'ACCEPTED' END AS status FROM cand LEFT JOIN configured ON configured.source_norm = cand.source_norm)"""
+
+
+def _accepted(spark, sf):
+    t = G.first_terms(R.segments(spark, sf), 12)
+    configured = t.where("rank % 2 = 1").groupBy("source_norm").agg(F.min(F.upper("term")).alias("target_term"))
+    target = F.when(F.col("rank") % 5 == 0, " ").when(F.col("book_id") % 2 == 0, F.upper("term")).otherwise(F.lower("term"))
+    return G.accept(t.select("book_id", "source_norm", target.alias("target_term")), configured)
+
+
+@query(f"{_ACCEPT} SELECT * FROM accepted")
+def glossary_acceptance(spark, sf):
+    return _accepted(spark, sf)
+
+
+@query(f"{_ACCEPT} SELECT book_id, count_if(status = 'ACCEPTED')::BIGINT AS accepted, count_if(status = 'CONFLICT')::BIGINT AS conflicts, count_if(status = 'PENDING')::BIGINT AS pending FROM accepted GROUP BY book_id")
+def acceptance_counters(spark, sf):
+    return G.acceptance_counters(_accepted(spark, sf))
+
+
+@query(
+    f"""{C.PLAN}, {R.GLOSSARY_SQL}, done AS (SELECT chapter_id, segment_id, source_text FROM segments WHERE status = 'TRANSLATED' AND trim(translated_text) <> ''),
+    own AS (SELECT chapter_id, chunk, unnest(segment_ids) AS segment_id FROM plan),
+    ctx AS (SELECT plan.chapter_id, chunk, source_text, row_number() OVER (PARTITION BY plan.chapter_id, chunk ORDER BY done.segment_id DESC) AS i FROM plan JOIN done ON done.chapter_id = plan.chapter_id AND done.segment_id < segment_ids[1]),
+    bag AS (SELECT own.chapter_id, chunk, source_text AS text FROM own JOIN segments USING (segment_id) UNION ALL SELECT chapter_id, chunk, source_text FROM ctx WHERE i <= 4 UNION ALL SELECT chapter_id, chunk, 'Chapter ' || chapter_id || ' there' FROM plan WHERE chapter_id % 10 = 0)
+    SELECT chapter_id, chunk, list_sort(list(DISTINCT trim(source_term))) AS terms FROM bag JOIN glossary ON contains(lower(text), lower(trim(source_term))) GROUP BY chapter_id, chunk"""
+)
+def chunk_glossary(spark, sf):
+    """Terms of a chunk: those in its own segments, in the context before it and in the chapter's title."""
+    s = R.segments(spark, sf)
+    plan = planning.chunk_plan(s)
+    ids = plan.select("chapter_id", "chunk", F.explode("segment_ids").alias("segment_id"))
+    before = planning.chunk_context(plan, s).select("chapter_id", "chunk", F.explode("context").alias("segment_id"))
+    texts = ids.unionByName(before).join(s.select("segment_id", F.col("source_text").alias("text")), "segment_id").select("chapter_id", "chunk", "text")
+    titles = plan.where("chapter_id % 10 = 0").select("chapter_id", "chunk", F.concat(F.lit("Chapter "), F.col("chapter_id").cast("string"), F.lit(" there")).alias("text"))
+    return G.found_in(texts.unionByName(titles), ["chapter_id", "chunk"], R.glossary(spark))
+
+
+@query(
+    rf"""{C.SEG}, f AS (SELECT chapter_id, segment_id, segment_order, coalesce(regexp_matches(trim(source_text), '^(?:["''“‘—]|- )|["”]$') OR regexp_matches(lower(trim(source_text)), '^(?:he said|she said|said )'), false) AS dialogue FROM segments),
+    c AS (SELECT *, CASE WHEN dialogue AND lag(dialogue) OVER (PARTITION BY chapter_id ORDER BY segment_order) THEN 0 ELSE 1 END AS new FROM f)
+    SELECT segment_id, dialogue, (sum(new) OVER (PARTITION BY chapter_id ORDER BY segment_order))::BIGINT AS run FROM c"""
+)
+def chapter_dialogue_runs(spark, sf):
+    w = Window.partitionBy("chapter_id").orderBy("segment_order")
+    f = R.segments(spark, sf).select("chapter_id", "segment_id", "segment_order", T.is_dialogue(F.col("source_text")).alias("dialogue"))
+    c = f.withColumn("new", F.when(F.col("dialogue") & F.lag("dialogue").over(w), 0).otherwise(1))
+    return c.select("segment_id", "dialogue", F.sum("new").over(w).alias("run"))

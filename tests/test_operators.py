@@ -14,9 +14,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import planning, quality
-from quire.plans import catalogue
-from quire.sources import epub
+from quire.operators import glossary, planning, quality
+from quire.plans import catalogue, relations
+from quire.sources import epub, library
 from quire.streaming import dispatch
 
 SF = "/root/testdata/sf0.001"
@@ -90,6 +90,28 @@ def test_many_terms_are_joined_by_their_first_letters(spark):
     assert sorted(many) == sorted(few) and len(many) > 20
 
 
+def test_terms_of_texts_in_the_row_and_by_windows(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "A stone in İzmir"), (1, "Of rivers"), (2, "x"), (3, ""), (4, None), (5, "Stones of x7"), (5, "Stones of x7")], "k long, text string")
+    terms = spark.createDataFrame([("Stone",), (" of ",), ("X",), ("river",), ("i",), ("",), (None,), ("absent",)], "source_term string")
+    few = {r.k: r.terms for r in glossary.found_in(texts, ["k"], terms).collect()}
+    assert {k: set(v) for k, v in few.items()} == {1: {"Stone", "i", "of", "river"}, 2: {"X"}, 5: {"Stone", "X", "of"}}
+    monkeypatch.setattr(glossary, "FEW", 0)
+    assert {r.k: r.terms for r in glossary.found_in(texts, ["k"], terms).collect()} == few
+    assert glossary.found_in(texts, ["k"], terms.limit(0)).isEmpty()
+
+
+def test_library_holds_whole_books_only(spark, tmp_path):
+    s = relations.segments(spark, SF).select("segment_id", "chapter_id", "book_id", "segment_order", "source_text").cache()
+    path = str(tmp_path / "library")
+    library.ingest(s.where("book_id % 2 = 0"), path)
+    library.ingest(s.where("book_id % 2 = 1"), path)
+    s.where("book_id = 0").limit(1).withColumn("book_id", F.lit(-1)).write.partitionBy("book_id").mode("append").parquet(f"{path}/segments")  # interrupted
+    whole = s.where("book_id is not null")
+    assert sorted(library.table(spark, path, "segments").select(s.columns).collect()) == sorted(whole.collect())
+    assert library.table(spark, path, "chapters").count() == whole.select("chapter_id").distinct().count()
+    assert library.table(spark, path, "books").agg(F.sum("segments")).first()[0] == whole.count()
+
+
 def book(body: str) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
