@@ -43,8 +43,8 @@ from quire.llm.vec import CHUNK, chunks, column, release
 SHARD, SHARDS = 250_000, 64
 END_ID = 2
 BLOCK = 512
-#: Pieces kept by a worker, of at most 64 characters: about 25 MB.
-KEPT = 120_000
+#: Pieces kept by a worker, of at most 64 characters: about 60 MB. The half that was used last stays longest.
+KEPT = 300_000
 MARK = "\x01"
 MAGIC = b"DAC1"
 HEAD = 24
@@ -162,6 +162,7 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}  # what was known until half of KEPT was reached
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.by_piece = all(ids(t) == [i for p in t.replace("\n", " ").split(" ") for i in ids(p)] for t in PROBES)
         mark = ids(MARK)
@@ -171,15 +172,16 @@ class _Encoder:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.by_piece:
             return [self._ids(t) for t in texts]
-        known = self.known
-        if len(known) > KEPT:
-            known.clear()
-            known[""] = b""
+        if len(self.known) > KEPT // 2:
+            self.known, self.before = {"": b""}, self.known
+        known, before = self.known, self.before
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
         new = set()
         for p in pieces:
             new.update(p)
         new = [p for p in new if p not in known]
+        known.update((p, before[p]) for p in new if p in before)
+        new = [p for p in new if p not in before]
         found = dict(zip(new, self._new(new), strict=True))
         known.update((p, b) for p, b in found.items() if len(p) <= 64)
         get = known.__getitem__ if all(len(p) <= 64 for p in new) else lambda p: known.get(p) or found.get(p, b"")
