@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontam, lines, lm, mix, neardup, pages, pii, repeats, rules, tokens
+from quire.llm import decontam, exact, lines, lm, mix, neardup, pages, pii, repeats, rules, tokens
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -121,6 +121,19 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact.classes(read(spark, sf_dir, "documents"), digest=True)
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{decontam.UPPER}', '{decontam.LOWER}') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM d
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
@@ -133,8 +146,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extraction": op8_html_extraction,
         "op9_quality_rules": op9_quality_rules,
         "op10_mixing": op10_mixing,
+        "op11_exact_dedup": op11_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op10_mixing": OP10_SQL}
+    return {"op2_decontamination": OP2_SQL, "op10_mixing": OP10_SQL, "op11_exact_dedup": OP11_SQL}
