@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontam, exact, lines, lm, mix, neardup, pages, pii, repeats, rules, tokens
+from quire.llm import decontam, exact, lines, lm, mix, neardup, pages, periodic, pii, repeats, rules, tokens, whiten
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -134,6 +134,43 @@ FROM d
 """
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten.whiten(read(spark, sf_dir, "embeddings"))
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c")
+    found = found.select("vec_id", "n", F.col("deviation").try_cast("long").alias("deviation"), "identity_error", each)
+    return found.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` with a tenth of the texts made periodic from some word on, as the contract of operator
+    13 sets out."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    d = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("ws"))
+    d = d.withColumn("n", F.size("ws")).withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+    d = d.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    again = F.flatten(F.array_repeat(F.slice("ws", F.col("a") + 1, F.col("p")), times))
+    text = F.array_join(F.slice(F.concat(F.slice("ws", 1, F.col("a")), again), 1, F.col("n")), " ")
+    return d.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(planted(read(spark, sf_dir, "documents")))
+    each = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    found = found.withColumns({"best": periodic.strongest(F.col("runs")), "n_runs": F.size("runs").cast("long")})
+    return found.select(
+        "doc_id",
+        "n_runs",
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(each, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
@@ -147,6 +184,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": op9_quality_rules,
         "op10_mixing": op10_mixing,
         "op11_exact_dedup": op11_exact_dedup,
+        "op12_embedding_whitening": op12_embedding_whitening,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
