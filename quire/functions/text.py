@@ -29,9 +29,19 @@ def java(pattern: str) -> str:
     return pattern.replace(r"\b", EDGE)
 
 
+#: Characters up to a space.
+CONTROL = "".join(map(chr, range(0x21)))
+
+
+def trim(x: Column) -> Column:
+    """Characters up to a space trimmed off."""
+    return F.btrim(x, F.lit(CONTROL))
+
+
 def norm(x: Column) -> Column:
-    """Characters up to a space trimmed off, runs of white space made one space; null gives ''."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"\s+", " ")
+    """Characters up to a space trimmed off, runs of white space made one space; null gives ''. A lone space is
+    no match, so that most words need no replacement."""
+    return F.regexp_replace(trim(F.coalesce(x, F.lit(""))), r"\s{2,}|[\t\n\x0B\f\r]", " ")
 
 
 def preview(x: Column, limit: int = 160) -> Column:
@@ -55,13 +65,13 @@ def source_repeated(source: Column, translated: Column) -> Column:
 def missing_tokens(source: Column, translated: Column) -> Column:
     """Protected tokens of the source, in order and once each, that the translation lacks."""
     found = F.concat(*[F.regexp_extract_all(source, F.lit(java(p)), F.lit(0)) for p in PRESERVED.values()])
-    trimmed = F.filter(F.transform(found, lambda t: F.regexp_replace(t, r"^[\x00-\x20]+|[\x00-\x20]+$", "")), lambda t: t != "")
+    trimmed = F.filter(F.transform(found, trim), lambda t: t != "")
     return F.array_distinct(F.filter(trimmed, lambda t: ~translated.contains(t)))
 
 
 def post_process(x: Column) -> Column:
     y = F.regexp_replace(F.regexp_replace(F.replace(F.coalesce(x, F.lit("")), F.lit("\u00a0"), F.lit(" ")), r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
-    return F.regexp_replace(y, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return trim(y)
 
 
 def terms(x: Column) -> Column:
@@ -77,7 +87,7 @@ def mock_terms(x: Column) -> Column:
 
 def non_translatable(x: Column) -> Column:
     bare = F.regexp_replace(x, r"\s+", "")
-    return (bare == "") | bare.rlike(URL_ONLY) | bare.rlike(r"^[\p{P}\p{S}]+$") | bare.rlike(r"^\p{Nd}+$") | ((F.length(bare) <= 3) & bare.rlike(r"^[\p{Nd}\p{P}\p{S}]+$"))
+    return (bare == "") | bare.rlike(URL_ONLY) | bare.rlike(r"^[\p{P}\p{S}]+$") | bare.rlike(r"^\p{N}+$") | ((F.length(bare) <= 3) & bare.rlike(r"^[\p{N}\p{P}\p{S}]+$"))
 
 
 def has_letter_or_digit(x: Column) -> Column:
@@ -112,6 +122,40 @@ def placeholder_fault(expected: Column, translated: Column) -> Column:
     )
 
 
+def nesting_fault(expected: Column, translated: Column) -> Column:
+    """The first fault of nesting, or null, by an automaton with a stack over the placeholders of a text: one that is
+    unknown, an end that isn't that of the last open start, a start that is never closed. ``expected``: (token, kind) in
+    order of the source; a start's end has the next number."""
+    state = lambda stack, fault: F.struct(stack.alias("stack"), fault.alias("fault"))
+    kinds = F.map_from_entries(expected)
+    end = lambda start: F.concat(F.lit("[id"), (F.regexp_extract(start, r"\d+", 0).cast("long") + 1).cast("string"), F.lit("]"))
+    none = F.lit(None).cast("string")
+
+    def step(a: Column, token: Column) -> Column:
+        kind, n = kinds[token], F.size(a["stack"])
+        closes = (n > 0) & (end(F.get(a["stack"], n - 1)) == token)
+        return (
+            F.when(a["fault"].isNotNull(), a)
+            .when(kind.isNull(), state(a["stack"], F.concat(F.lit("unknown placeholder "), token)))
+            .when(kind == "OPEN", state(F.concat(a["stack"], F.array(token)), none))
+            .when(closes, state(F.slice(a["stack"], F.lit(1), n - 1), none))
+            .otherwise(state(a["stack"], F.concat(F.lit("placeholders cross at "), token)))
+        )
+
+    left = lambda a: F.when(a["fault"].isNull() & (F.size(a["stack"]) > 0), F.concat(F.lit("never closed: "), F.element_at(a["stack"], -1))).otherwise(a["fault"])
+    return F.aggregate(placeholders(translated), state(F.array().cast("array<string>"), none), step, left)
+
+
+def provider_source(source: Column, template: Column, tokens: Column) -> Column:
+    """What a provider is given: the template, where there is one with placeholders."""
+    return F.when((F.trim(F.coalesce(template, F.lit(""))) != "") & (F.size(tokens) > 0), template).otherwise(source)
+
+
+def display(translated: Column, tokens: Column) -> Column:
+    """A translation without its known placeholders, in normal form; unchanged where there are none."""
+    return F.when(translated.isNotNull() & (F.size(tokens) > 0), norm(F.aggregate(tokens, translated, lambda a, t: F.replace(a, t, F.lit(""))))).otherwise(translated)
+
+
 def cache_key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 

@@ -1,103 +1,45 @@
-"""Chunks of work from ordered segments: semantic units, packed greedily under two budgets."""
+"""Chunks of work from ordered segments: semantic units, packed greedily under two budgets, in column functions."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators.sequence import number, pack, running
 
+#: Types whose neighbours make a run, beside dialogue.
 RUNS = ("LIST_ITEM", "QUOTE", "POETRY")
 
 
-class _Packer:
-    """Takes rows in order and gives each its chunk. It holds one open unit, a title that waits for the
-    unit after it, and the sizes of the open chunk; never a chapter."""
-
-    def __init__(self, target: int, most: int):
-        self.target, self.most = target, most
-        self.chapter: object = None
-        self.out: list[tuple] = []
-        self.begin()
-
-    def begin(self) -> None:
-        self.title: list[tuple] = []
-        self.unit: list[tuple] = []
-        self.run: str | None = None
-        self.chunk = self.rows = self.chars = 0
-
-    def add(self, chapter: object, row: tuple, size: int, kind: str, dialogue: bool) -> None:
-        if chapter != self.chapter:
-            self.end()
-            self.begin()
-            self.chapter = chapter
-        run = kind if kind in RUNS else "dialogue" if kind == "PARAGRAPH" and dialogue else None
-        if self.unit and run is not None and run == self.run and len(self.unit) < self.most and sum(s for _, s in self.unit) + size <= self.target:
-            self.unit.append((row, size))
-            return
-        self.close()
-        if kind == "TITLE":
-            self.flush_title()
-            self.title = [(row, size)]
-        else:
-            self.unit, self.run = [(row, size)], run
-
-    def close(self) -> None:
-        """The open unit is whole: with the title before it, if both fit."""
-        if not self.unit:
-            return
-        unit, self.unit = self.unit, []
-        if self.title and self.most > 1 and 1 + len(unit) <= self.most and self.title[0][1] + sum(s for _, s in unit) <= self.target:
-            unit, self.title = self.title + unit, []
-            self.place(unit, True)
-            return
-        self.flush_title()
-        self.place(unit, False)
-
-    def flush_title(self) -> None:
-        if self.title:
-            title, self.title = self.title, []
-            self.place(title, True)
-
-    def place(self, unit: list[tuple], titled: bool) -> None:
-        size = sum(s for _, s in unit)
-        if self.rows and (self.rows + len(unit) > self.most or self.chars + size > self.target or titled):
-            self.chunk, self.rows, self.chars = self.chunk + 1, 0, 0
-        self.rows, self.chars = self.rows + len(unit), self.chars + size
-        self.out += [(self.chapter, *row, self.chunk, s) for row, s in unit]
-
-    def end(self) -> None:
-        self.close()
-        self.flush_title()
-
-
-def assign_chunks(segments: DataFrame, *, target: int = 6000, most: int = 40) -> DataFrame:
-    """(chapter_id, segment_id, segment_order, chunk, chars): chunk numbers count from 0 in a chapter.
-    Chapters are dealt over tasks and read in order as a stream."""
-    rows = segments.select("chapter_id", "segment_order", "segment_id", F.length("source_text").alias("chars"), "segment_type", T.is_dialogue(F.col("source_text")).alias("dialogue"))
-    rows = rows.repartition("chapter_id").sortWithinPartitions("chapter_id", "segment_order")
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = _Packer(target, most)
-        frame = lambda: pd.DataFrame(p.out, columns=["chapter_id", "segment_id", "segment_order", "chunk", "chars"])
-        for b in batches:
-            for x in b.itertuples(index=False):
-                p.add(x.chapter_id, (x.segment_id, x.segment_order), x.chars, x.segment_type, x.dialogue)
-            yield frame()
-            p.out = []
-        p.end()
-        yield frame()
-
-    return rows.mapInPandas(fold, "chapter_id bigint, segment_id bigint, segment_order bigint, chunk bigint, chars bigint")
-
-
-def chunk_plan(segments: DataFrame, **budget) -> DataFrame:
-    """One row a chunk: chapter_id, chunk, n_segments, chars, segment_ids in order."""
-    per = assign_chunks(segments, **budget).groupBy("chapter_id", "chunk").agg(F.count("*").alias("n_segments"), F.sum("chars").alias("chars"), F.array_sort(F.collect_list(F.struct("segment_order", "segment_id"))).alias("x"))
-    return per.select("chapter_id", "chunk", "n_segments", "chars", F.transform("x", lambda x: x["segment_id"]).alias("segment_ids"))
+def units(segments: DataFrame, *, target: int = 6000, most: int = 40) -> DataFrame:
+    """Semantic units: chapter_id, unit (in order), n_segments, chars, segment_ids, titled.
+
+    Neighbouring list items, quotes, verses or lines of dialogue make a run, and runs are cut greedily by
+    the budgets; other segments stand alone; a title takes the unit after it, if both fit."""
+    kind = F.col("segment_type")
+    run = F.when(kind.isin(*RUNS), kind).when((kind == "PARAGRAPH") & F.col("dialogue"), "dialogue")
+    s = segments.select("chapter_id", "segment_order", "segment_id", F.length("source_text").alias("chars"), "segment_type", T.is_dialogue(F.col("source_text")).alias("dialogue"))
+    s = s.select("chapter_id", "segment_order", "segment_id", "chars", (kind == "TITLE").alias("title"), run.alias("run"), F.lit(1).alias("one"))
+    s = number(s, ["chapter_id"], F.col("segment_order"), name="i", before={"run_before": F.col("run")})
+    same = F.coalesce(F.col("run") == F.col("run_before"), F.lit(False))
+    s = pack(s.withColumn("i", F.col("i") - 1), ["chapter_id"], "i", "one", "chars", most=most, target=target, forced=~same)
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("i", "segment_id"))), lambda x: x["segment_id"])  # most at most
+    u = s.groupBy("chapter_id", F.col("piece").alias("unit")).agg(F.count("*").alias("n_segments"), F.sum("chars").alias("chars"), ids.alias("segment_ids"), F.bool_or("title").alias("title"))
+    u = running(u, ["chapter_id"], "unit", before={"title_before": F.col("title"), "chars_before": F.col("chars")})
+    fits = (F.col("n_segments") + 1 <= most) & (F.col("chars_before") + F.col("chars") <= target)
+    taken = F.coalesce(F.col("title_before") & ~F.col("title") & fits, F.lit(False))
+    u = u.withColumn("unit", F.col("unit") - taken.cast("int"))
+    both = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct((~F.col("title")).alias("later"), "segment_ids"))), lambda x: x["segment_ids"]))
+    return u.groupBy("chapter_id", "unit").agg(F.sum("n_segments").alias("n_segments"), F.sum("chars").alias("chars"), both.alias("segment_ids"), F.bool_or("title").alias("titled"))
+
+
+def chunk_plan(segments: DataFrame, *, target: int = 6000, most: int = 40) -> DataFrame:
+    """One row a chunk: chapter_id, chunk (from 0 on in a chapter), n_segments, chars, segment_ids in order. A
+    unit with a title begins a chunk."""
+    u = pack(units(segments, target=target, most=most), ["chapter_id"], "unit", "n_segments", "chars", most=most, target=target, forced=F.col("titled"))
+    ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("unit", "segment_ids"))), lambda x: x["segment_ids"]))
+    return u.groupBy("chapter_id", F.col("piece").alias("chunk")).agg(F.sum("n_segments").alias("n_segments"), F.sum("chars").alias("chars"), ids.alias("segment_ids"))
 
 
 def context_window(segments: DataFrame, k: int = 4) -> DataFrame:

@@ -38,30 +38,13 @@ def scan_segments(spark, sf):
     return R.segments(spark, sf).select("segment_id", "chapter_id", "book_id", "segment_order", "source_text", "status")
 
 
-BLOCKS = r"(?s)<(h[1-6]|p|li|pre|figcaption)(?:\s[^>]*)?>(.*?)</(?:h[1-6]|p|li|pre|figcaption)>"
-
-
-@query(
-    rf"""SELECT page_id, i AS block_order, tag, {R.NORM.format(x="regexp_replace(body, '<[^>]+>', '', 'g')")} AS block_text,
-      CASE WHEN tag LIKE 'h%' THEN 'TITLE' WHEN tag = 'li' THEN 'LIST_ITEM' WHEN tag = 'pre' THEN 'POETRY' WHEN tag = 'figcaption' THEN 'IMAGE_CAPTION' ELSE 'PARAGRAPH' END AS block_type
-    FROM (SELECT page_id, unnest(regexp_extract_all(html, '{BLOCKS}', 1)) AS tag, unnest(regexp_extract_all(html, '{BLOCKS}', 2)) AS body, unnest(range(len(regexp_extract_all(html, '{BLOCKS}', 1)))) AS i FROM pages)"""
-)
-def block_extract(spark, sf):
-    found = [F.regexp_extract_all("html", F.lit(BLOCKS), F.lit(g)) for g in (1, 2)]
-    p = R.table(spark, sf, "pages").select("page_id", F.arrays_zip(found[0].alias("tag"), found[1].alias("body")).alias("x"))
-    p = p.select("page_id", F.posexplode_outer("x").alias("i", "x")).where("x is not null")
-    tag = F.col("x.tag")
-    kind = F.when(tag.like("h%"), "TITLE").when(tag == "li", "LIST_ITEM").when(tag == "pre", "POETRY").when(tag == "figcaption", "IMAGE_CAPTION").otherwise("PARAGRAPH")
-    return p.select("page_id", F.col("i").cast("long").alias("block_order"), tag.alias("tag"), T.norm(F.regexp_replace("x.body", "<[^>]+>", "")).alias("block_text"), kind.alias("block_type"))
-
-
-FRAGMENTS = ["12345", "www.example.com", "...", "…", "—", "1.", "Alice stayed.", "a1", "", "https://x.y/z"]
+FRAGMENTS = ["2048", "www.example.org", "..", "…", "—", "7)", "The tide turned.", "b2", "", "https://x.y/z", "½", "Ⅳ", "²³", "①②③④", "½ a", "x½"]
 
 
 @query(
     rf"""{SEG}, texts AS (SELECT source_text AS t FROM segments UNION ALL SELECT * FROM (VALUES {", ".join(f"('{x}')" for x in FRAGMENTS)})),
     b AS (SELECT t, regexp_replace(t, '\s+', '', 'g') AS x FROM texts)
-    SELECT t AS kept_text FROM b WHERE NOT (x = '' OR regexp_matches(x, '(?i)^(https?://|www\.).+') OR regexp_matches(x, '^[\p{{P}}\p{{S}}]+$') OR regexp_matches(x, '^\p{{Nd}}+$') OR (length(x) <= 3 AND regexp_matches(x, '^[\p{{Nd}}\p{{P}}\p{{S}}]+$')))"""
+    SELECT t AS kept_text FROM b WHERE NOT (x = '' OR regexp_matches(x, '(?i)^(https?://|www\.).+') OR regexp_matches(x, '^[\p{{P}}\p{{S}}]+$') OR regexp_matches(x, '^\p{{N}}+$') OR (length(x) <= 3 AND regexp_matches(x, '^[\p{{N}}\p{{P}}\p{{S}}]+$')))"""
 )
 def nontranslatable_filter(spark, sf):
     extra = spark.createDataFrame([(x,) for x in FRAGMENTS], "t string")
@@ -238,22 +221,6 @@ def degrade_split(spark, sf):
     return planning.split_chunks(planning.chunk_plan(R.segments(spark, sf)).withColumn("depth", F.lit(0)))
 
 
-RUN_LINES = ['He waited.', '"Are you coming?"', '"In a minute."', "— No.", "She said nothing.", "The end."]
-RUN_SQL = ", ".join("({}, '{}')".format(i, x.replace("'", "''")) for i, x in enumerate(RUN_LINES))
-
-
-@query(
-    rf"""WITH d(i, t) AS (VALUES {RUN_SQL}), f AS (SELECT i, t, regexp_matches(t, '^(?:["''“‘—]|- )|["”]$') OR regexp_matches(lower(t), '^(?:he said|she said|said )') AS dialogue FROM d),
-    c AS (SELECT *, CASE WHEN dialogue AND lag(dialogue) OVER (ORDER BY i) THEN 0 ELSE 1 END AS new FROM f)
-    SELECT i::BIGINT AS i, dialogue, (sum(new) OVER (ORDER BY i))::BIGINT AS run FROM c"""
-)
-def dialogue_runs(spark, sf):
-    f = spark.createDataFrame(list(enumerate(RUN_LINES)), "i long, t string").withColumn("dialogue", T.is_dialogue(F.col("t")))
-    w = Window.orderBy("i")  # a fixed handful of lines
-    c = f.withColumn("new", F.when(F.col("dialogue") & F.lag("dialogue").over(w), 0).otherwise(1))
-    return c.select("i", "dialogue", F.sum("new").over(w).alias("run"))
-
-
 # -- cache and providers -----------------------------------------------------------------------------
 
 KEY = "sha256(concat_ws('|', sha256(source_text), 'en', 'zh', 'mock', 'mock-1', 'v1'))"
@@ -402,29 +369,6 @@ def review_topk(spark, sf):
     return quality.review_top(quality.review_candidates(_scored(spark, sf))).select("book_id", "segment_id", "score", "n_warnings", "rank")
 
 
-# -- placeholders ------------------------------------------------------------------------------------
-
-EXPECTED = ["[id0]", "[id1]"]
-MARKED = ["[id0]明亮[id1]", "明亮[id1]", "[id0][id0]x[id1]", "[id0]x[id1][id9]", "[id1]x[id0]", "", "[zh] Hello [id0]bright[id1] world."]
-MARKED_SQL = ", ".join(f"({i}, '{x}')" for i, x in enumerate(MARKED))
-
-
-@query(
-    rf"""WITH d(i, t) AS (VALUES {MARKED_SQL}), a AS (SELECT i, t, regexp_extract_all(t, '\[id\d+\]') AS act, {EXPECTED} AS ex FROM d), b AS (SELECT *, list_distinct(list_filter(act, lambda y: NOT list_contains(ex, y))) AS extra,
-      list_filter(ex, lambda y: NOT list_contains(act, y)) AS miss, list_distinct(list_filter(act, lambda y: len(list_filter(act, lambda z: z = y)) > 1)) AS twice FROM a)
-    SELECT i::BIGINT AS i, CASE WHEN trim(t) = '' THEN 'no placeholder is left' WHEN len(extra) > 0 THEN 'placeholders too many: ' || array_to_string(extra, ', ') WHEN len(miss) > 0 THEN 'placeholders lost: ' || array_to_string(miss, ', ')
-      WHEN len(twice) > 0 THEN 'placeholders twice: ' || array_to_string(twice, ', ') WHEN act <> ex THEN 'placeholders in another order' END AS fault FROM b"""
-)
-def placeholder_validate(spark, sf):
-    d = spark.createDataFrame(list(enumerate(MARKED)), "i long, t string")
-    return d.select("i", T.placeholder_fault(F.array(*map(F.lit, EXPECTED)), F.col("t")).alias("fault"))
-
-
-@query(rf"WITH d(i, t) AS (VALUES {MARKED_SQL}) SELECT i::BIGINT AS i, regexp_replace(t, '\[id\d+\]', '', 'g') AS shown FROM d")
-def strip_placeholders(spark, sf):
-    return spark.createDataFrame(list(enumerate(MARKED)), "i long, t string").select("i", T.strip_placeholders(F.col("t")).alias("shown"))
-
-
 # -- glossary ----------------------------------------------------------------------------------------
 
 _STOP = ", ".join(f"'{x}'" for x in T.STOP_TERMS)
@@ -528,4 +472,4 @@ def stream_lease_replay(spark, sf):
     return dispatch.dispatch(e.select(F.col("user_id").alias("chunk_id"), F.col("ts").alias("requested_at"), outcome.alias("outcome"), F.lit(2).alias("n_segments")))
 
 
-from quire.plans import workflow  # noqa: E402, F401  (adds its queries)
+from quire.plans import marked, workflow  # noqa: E402, F401  (add their queries)

@@ -129,9 +129,9 @@ def non_translatable(text: str) -> bool:
     import unicodedata
 
     bare = re.sub(r"\s+", "", text)
-    kinds = {unicodedata.category(c)[0] + ("d" if c.isdecimal() else "") for c in bare}
+    kinds = {unicodedata.category(c)[0] for c in bare}
     marks = kinds <= {"P", "S"}
-    return not bare or bool(re.match(r"(?i)(https?://|www\.).+", bare)) or marks or kinds == {"Nd"} or (len(bare) <= 3 and kinds <= {"P", "S", "Nd"})
+    return not bare or bool(re.match(r"(?i)(https?://|www\.).+", bare)) or marks or kinds == {"N"} or (len(bare) <= 3 and kinds <= {"P", "S", "N"})
 
 
 def split_long(text: str, limit: int = SPLIT_AT) -> list[str]:

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import glossary, planning, quality
+from quire.operators import glossary, quality
 from quire.plans import catalogue, relations
 from quire.sources import epub, library
 from quire.streaming import dispatch
@@ -46,29 +46,6 @@ def test_query(spark, name):
     assert got == want
 
 
-def plan(budget, rows):
-    p = planning._Packer(*budget)
-    for i, (chapter, text, kind) in enumerate(rows, 1):
-        said = text[:1] in "\"“'" or text[-1:] in '"”'
-        p.add(chapter, (i, i), len(text), kind, said)
-    p.end()
-    out: dict = {}
-    for chapter, i, _, chunk, _ in p.out:
-        out.setdefault((chapter, chunk), []).append(i)
-    return list(out.values())
-
-
-def test_chunks():
-    P = "PARAGRAPH"
-    assert plan((20, 2), [(1, "short", P), (1, "another short", P), (1, "third", P)]) == [[1, 2], [3]]
-    assert plan((1000, 10), [(1, "a", P), (2, "b", P)]) == [[1], [2]]
-    assert plan((1000, 5), [(1, "A New Room", "TITLE"), (1, "x", P), (1, "Another Room", "TITLE")]) == [[1, 2], [3]]
-    assert plan((1000, 5), [(1, "a", P), (1, "b", "LIST_ITEM"), (1, "c", "LIST_ITEM"), (1, "d", P)]) == [[1, 2, 3, 4]]
-    long = "He looked around the room and waited for a time."
-    assert plan((60, 10), [(1, long, P), (1, '"Are you coming?"', P), (1, '"In a minute."', P), (1, "He left the room.", P)]) == [[1], [2, 3, 4]]
-    assert plan((1000, 10), [(1, "a", "QUOTE"), (1, "b", "QUOTE"), (1, "c", "POETRY"), (1, "d", "POETRY")]) == [[1, 2, 3, 4]]
-
-
 def test_tokens(spark):
     rows = [("Run GPU_X9 at 2.4GHz, then read font.table.v3 again.", "再读一次"), ("Call `drawPage()` with $m=kv$ in \\sqrt{x}{y} twice.", "调用两次。")]
     df = spark.createDataFrame(rows, "s string, t string")
