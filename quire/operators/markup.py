@@ -57,7 +57,7 @@ def _conv(n: Column) -> Column:
 
 def tokens(pages: DataFrame) -> DataFrame:
     """``page_id, i, tok, kind, name``: kind is open, close, void (no end), text or none."""
-    t = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(TOKEN), F.lit(0))).alias("i", "tok"))
+    t = pages.select("page_id", F.posexplode_outer(F.regexp_extract_all("html", F.lit(TOKEN), F.lit(0))).alias("i", "tok")).where("tok is not null")
     name = F.lower(F.regexp_extract("tok", NAME, 1))
     tag = F.col("name") != ""
     raw = F.col("name").isin("script", "style")

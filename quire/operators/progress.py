@@ -73,8 +73,3 @@ def ingest_counts(segments: DataFrame) -> DataFrame:
     a third of all rows is one row a chapter when books are grouped."""
     chapters = segments.groupBy("book_id", "chapter_id").agg(F.count("*").alias("n"))
     return chapters.groupBy("book_id").agg(F.count("*").alias("chapters"), F.sum("n").alias("segments"))
-
-
-def numbered(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """Adds position: the place of each row among those of its key, from 1 on."""
-    return df.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

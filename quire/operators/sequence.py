@@ -42,7 +42,8 @@ def _running(d: DataFrame, keys: list[str], order: list[Column], sums: Mapping[s
     over = Window.partitionBy(*keys).orderBy("_block")  # a row a block
     ahead = over.rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(*keys, "_block", *[F.coalesce(F.sum(f"_s_{k}").over(ahead), F.lit(0)).alias(f"_s_{k}") for k in sums], *[F.lag("_last").over(over).alias("_before") for _ in last])
-    inside = [F.sum(f"_s_{k}").over(inner).alias(f"_i_{k}") for k in sums] + [F.lag("_last").over(inner).alias("_i_last") for _ in last]
+    upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)  # by rows: ties have places of their own
+    inside = [F.sum(f"_s_{k}").over(upto).alias(f"_i_{k}") for k in sums] + [F.lag("_last").over(inner).alias("_i_last") for _ in last]
     both = rows.select(*names, "_block", "_row", *inside).alias("a").join(blocks.alias("b"), _same([*keys, "_block"]))
     out = [(F.col(f"_i_{k}") + F.col(f"_s_{k}")).alias(k) for k in sums]
     out += [F.when(F.col("_row") == 1, F.col("_before")[k]).otherwise(F.col("_i_last")[k]).alias(k) for k in before]
@@ -87,7 +88,7 @@ def pack(items: DataFrame, keys: list[str], place: str, count: str, size: str, *
     ended = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
     begun = F.coalesce(F.sum(F.element_at("_numbers", -1) + 1).over(ended), F.lit(0))
     blocks = blocks.withColumn("_begun", begun)
-    rows = blocks.select(*keys, "_begun", F.explode(F.arrays_zip("_x", "_numbers")).alias("y"))
+    rows = blocks.select(*keys, "_begun", F.explode_outer(F.arrays_zip("_x", "_numbers")).alias("y"))  # outer: no filter by size, which would number twice
     rest = [F.col("y._x.item")[c].alias(c) for c in items.columns if c not in keys]
     return rows.select(*keys, *rest, (F.col("_begun") + F.col("y._numbers")).alias("piece")).select(*items.columns, "piece")
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quire.functions import paragraphs as P
 from quire.functions import text as T
 from quire.operators import glossary as G
 from quire.operators import planning, progress, quality
+from quire.operators.sequence import number
 from quire.plans import catalogue as C
 from quire.plans import relations as R
 from quire.plans.catalogue import query
+from quire.sources import library, scratch
 
 # -- chunks ------------------------------------------------------------------------------------------
 
@@ -127,8 +132,8 @@ def stale_jobs(spark, sf):
 
 @query(f"{C.SEG} SELECT book_id, segment_id, row_number() OVER (PARTITION BY book_id ORDER BY chapter_id, segment_order)::INT AS position FROM segments")
 def reading_order(spark, sf):
-    w = Window.partitionBy("book_id").orderBy("chapter_id", "segment_order")
-    return R.segments(spark, sf).select("book_id", "segment_id", F.row_number().over(w).alias("position"))
+    s = R.segments(spark, sf).select("book_id", "chapter_id", "segment_order", "segment_id")
+    return number(s, ["book_id"], F.col("chapter_id"), F.col("segment_order")).select("book_id", "segment_id", F.col("position").cast("int").alias("position"))
 
 
 @query(f"{C.SEG} SELECT chapter_id, segment_id FROM segments WHERE trim(source_text) <> '' QUALIFY row_number() OVER (PARTITION BY chapter_id ORDER BY segment_order) <= 120")
@@ -191,12 +196,13 @@ def ingest_counts(spark, sf):
 @query("SELECT c_nationkey AS owner_id, c_custkey AS book_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC)::INT AS position FROM customer")
 def books_of_owner(spark, sf):
     books = R.table(spark, sf, "customer").select(F.col("c_nationkey").alias("owner_id"), F.col("c_custkey").alias("book_id"))
-    return progress.numbered(books, ["owner_id"], F.desc("book_id"))
+    return number(books, ["owner_id"], F.desc("book_id")).withColumn("position", F.col("position").cast("int"))
 
 
 @query(f"WITH {R.CHUNKS} SELECT job_id, line, status, row_number() OVER (PARTITION BY job_id ORDER BY line, status)::INT AS position FROM chunks")
 def chunk_order(spark, sf):
-    return progress.numbered(R.chunks(spark, sf).select("job_id", "line", "status"), ["job_id"], F.col("line"), F.col("status"))
+    c = number(R.chunks(spark, sf).select("job_id", "line", "status"), ["job_id"], F.col("line"), F.col("status"))
+    return c.withColumn("position", F.col("position").cast("int"))
 
 
 @query("SELECT ts::DATE AS day, user_id AS author_id, count(*) AS notes FROM events GROUP BY ALL")
@@ -278,3 +284,61 @@ def chapter_dialogue_runs(spark, sf):
     f = R.segments(spark, sf).select("chapter_id", "segment_id", "segment_order", T.is_dialogue(F.col("source_text")).alias("dialogue"))
     c = f.withColumn("new", F.when(F.col("dialogue") & F.lag("dialogue").over(w), 0).otherwise(1))
     return c.select("segment_id", "dialogue", F.sum("new").over(w).alias("run"))
+
+
+def _library(spark, sf):
+    """Books ingested in two halves, one of them twice, and every fifth book again with other texts. Beside them lies
+    what a run has left that was stopped before its end."""
+    s = R.segments(spark, sf).select("segment_id", "chapter_id", "book_id", "segment_order", "source_text")
+    path = f"{scratch.folder(spark)}/{uuid.uuid4().hex}/library"
+    for half in (0, 1, 0):
+        library.ingest(s.where(F.col("book_id") % 2 == half), path)
+    library.write(s.where("book_id % 3 = 0").withColumn("source_text", F.lit("stopped")), path)
+    library.ingest(s.where("book_id % 5 = 0").withColumn("source_text", F.concat(F.lit("* "), "source_text")), path)
+    return path
+
+
+@query(f"""{C.SEG}, l AS (SELECT book_id, chapter_id, segment_id, CASE WHEN book_id % 5 = 0 THEN '* ' || source_text ELSE source_text END AS source_text FROM segments WHERE book_id IS NOT NULL)
+    SELECT book_id, count(DISTINCT chapter_id) AS chapters, count(*) AS segments, sum(length(source_text))::BIGINT AS chars, min(sha256(source_text)) AS least FROM l GROUP BY book_id""")
+def ingested_library(spark, sf):
+    path = _library(spark, sf)
+    s = library.table(spark, path, "segments").groupBy("book_id").agg(F.sum(F.length("source_text")).alias("chars"), F.min(F.sha2("source_text", 256)).alias("least"))
+    return library.table(spark, path, "books").join(s, "book_id").select("book_id", "chapters", "segments", "chars", "least")
+
+
+# -- long paragraphs -----------------------------------------------------------------------------------
+
+_N = R.NORM
+_CUTS = {1: f"regexp_replace(t, '{P.SENTENCE_END.replace(chr(39), chr(39) * 2)}', '\\1' || chr(31), 'g')", 2: f"regexp_replace(t, '{P.CLAUSE_END}', '\\1' || chr(31), 'g')", 3: r"regexp_replace(raw, '[\n\x0B\f\r\x{85}\x{2028}\x{2029}]+', chr(31), 'g')", 4: "replace(t, ' ', chr(31))"}
+_PARTS = f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS raw, {_N.format(x="text")} AS t FROM documents),
+  un AS ({" UNION ALL ".join(f"SELECT doc_id, t, {k} AS k, list_filter(list_transform(string_split({cut}, chr(31)), lambda x: {_N.format(x='x')}), lambda x: x <> '') AS us FROM d WHERE length(t) > 1800" for k, cut in _CUTS.items())}),
+  ok AS (SELECT * FROM un WHERE len(us) > 1 AND array_to_string(us, ' ') = t AND list_max(list_transform(us, lambda x: length(x))) <= 1800),
+  ui AS (SELECT doc_id, k, unnest(us) AS u, unnest(range(len(us))) AS i FROM ok),
+  f AS (SELECT doc_id, k, i, 0 AS p, length(u) AS z FROM ui WHERE i = 0
+    UNION ALL SELECT ui.doc_id, ui.k, ui.i, CASE WHEN z + 1 + length(u) > 1800 THEN p + 1 ELSE p END, CASE WHEN z + 1 + length(u) > 1800 THEN length(u) ELSE z + 1 + length(u) END FROM f JOIN ui ON ui.doc_id = f.doc_id AND ui.k = f.k AND ui.i = f.i + 1),
+  ps AS (SELECT doc_id, k, p, string_agg(u, ' ' ORDER BY i) AS part FROM f JOIN ui USING (doc_id, k, i) GROUP BY doc_id, k, p),
+  good AS (SELECT doc_id, k, count(*) AS n FROM (SELECT *, max(p) OVER (PARTITION BY doc_id, k) AS top FROM ps) GROUP BY doc_id, k HAVING count(*) > 1 AND (k < 4 OR coalesce(min(length(part)) FILTER (p < top), 900) >= 900)),
+  pick AS (SELECT doc_id, min(k) AS k FROM good GROUP BY doc_id),
+  parts AS (SELECT doc_id, p AS part_index, n AS part_count, part FROM ps JOIN pick USING (doc_id, k) JOIN good USING (doc_id, k)
+    UNION ALL SELECT doc_id, 0, 1, t FROM d WHERE doc_id NOT IN (SELECT doc_id FROM pick))"""
+
+
+def _parts(spark, sf):
+    d = R.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("raw"), T.norm(F.col("text")).alias("t"))
+    return P.split_long(d, "t", "raw").select("doc_id", "t", "parts")
+
+
+@query(f"{_PARTS} SELECT doc_id, part_index::INT AS part_index, part_count::INT AS part_count, part FROM parts")
+def paragraph_parts(spark, sf):
+    return _parts(spark, sf).select("doc_id", F.posexplode_outer("parts").alias("part_index", "part"), F.size("parts").alias("part_count")).select("doc_id", "part_index", "part_count", "part")
+
+
+@query(f"{_PARTS} SELECT d.doc_id, count(*) AS n_parts, string_agg(part, ' ' ORDER BY part_index) = any_value(t) AND count(*) = max(part_count) AS whole, max(length(part))::INT AS longest FROM d JOIN parts USING (doc_id) GROUP BY d.doc_id")
+def paragraph_rejoin(spark, sf):
+    """Whether parts in order, joined by a space, are the paragraph again, and the longest part: over the limit only
+    where words are too long to cut."""
+    p = _parts(spark, sf)
+    each = p.select("doc_id", F.posexplode_outer("parts").alias("i", "part")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "part"))).alias("x"))
+    joined = F.array_join(F.transform("x", lambda v: v["part"]), " ")
+    longest = F.array_max(F.transform("x", lambda v: F.length(v["part"])))
+    return p.select("doc_id", "t").join(each, "doc_id").select("doc_id", F.size("x").cast("long").alias("n_parts"), (joined == F.col("t")).alias("whole"), longest.alias("longest"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import glossary, quality
-from quire.plans import catalogue, relations
+from quire.plans import catalogue
 from quire.sources import epub, library
 from quire.streaming import dispatch
 
@@ -77,16 +77,44 @@ def test_terms_of_texts_in_the_row_and_by_windows(spark, monkeypatch):
     assert glossary.found_in(texts, ["k"], terms.limit(0)).isEmpty()
 
 
-def test_library_holds_whole_books_only(spark, tmp_path):
-    s = relations.segments(spark, SF).select("segment_id", "chapter_id", "book_id", "segment_order", "source_text").cache()
-    path = str(tmp_path / "library")
-    library.ingest(s.where("book_id % 2 = 0"), path)
-    library.ingest(s.where("book_id % 2 = 1"), path)
-    s.where("book_id = 0").limit(1).withColumn("book_id", F.lit(-1)).write.partitionBy("book_id").mode("append").parquet(f"{path}/segments")  # interrupted
-    whole = s.where("book_id is not null")
-    assert sorted(library.table(spark, path, "segments").select(s.columns).collect()) == sorted(whole.collect())
-    assert library.table(spark, path, "chapters").count() == whole.select("chapter_id").distinct().count()
-    assert library.table(spark, path, "books").agg(F.sum("segments")).first()[0] == whole.count()
+def _books_of(spark, path):
+    """{book: texts} of the library, and that its tables agree."""
+    out = {}
+    for r in library.table(spark, path, "segments").collect():
+        out.setdefault(r.book_id, []).append(r.source_text)
+    counts = {r.book_id: r.segments for r in library.table(spark, path, "books").collect()}
+    assert counts == {b: len(x) for b, x in out.items()}
+    assert library.table(spark, path, "chapters").agg(F.sum("segments")).first()[0] == sum(counts.values())
+    return {b: sorted(x) for b, x in out.items()}
+
+
+def test_library(spark, tmp_path, monkeypatch):
+    """Stopped, repeated, concurrent and replacing runs give each book once and whole."""
+    path, kind = str(tmp_path / "library"), "segment_id long, chapter_id long, book_id int, segment_order long, source_text string"
+    make = lambda book, text, n=3: [(100 * book + i, book, book, i, f"{text} {i}") for i in range(n)]
+    frame = lambda rows: spark.createDataFrame(rows, kind).repartition(2)
+    with pytest.raises(FileNotFoundError):
+        library.table(spark, path, "books")
+    one = frame(make(1, "a") + make(2, "b") + [(9, 9, None, 1, "no book")])
+    with monkeypatch.context() as m:  # a run that is stopped before it is published
+        m.setattr(library, "_files", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            library.ingest(one, path)
+    library.ingest(one, path)
+    library.ingest(one.orderBy("segment_id"), path)  # again, in another order
+    want = {1: ["a 0", "a 1", "a 2"], 2: ["b 0", "b 1", "b 2"]}
+    assert _books_of(spark, path) == want
+    same = [library.write(frame(make(3, "c")), path) for _ in range(2)]  # two runs at a time, both published
+    assert same[0][1] == same[1][1] and same[0][0] != same[1][0]
+    for batch, key in same:
+        fs, p = library._files(spark, f"{path}/published/{2:012d}.{key}.{batch}")
+        assert fs.createNewFile(p)
+    library.ingest(frame(make(2, "new", 1)), path)
+    library.ingest(frame([]), path)
+    want |= {3: ["c 0", "c 1", "c 2"], 2: ["new 0"]}
+    assert _books_of(spark, path) == want
+    assert library.vacuum(spark, path) == 2 and library.vacuum(spark, path) == 0
+    assert _books_of(spark, path) == want
 
 
 def book(body: str) -> bytes:

@@ -53,6 +53,12 @@ def test_number_and_running(spark, monkeypatch):
         assert [(r.total, r.last_v, r.last_s) for r in of(spread)] == [(sum(x[2] for x in mine[: i + 1]), *((mine[i - 1][2], mine[i - 1][3]) if i else (None, None))) for i, _ in enumerate(mine)]
 
 
+def test_ties_have_places_of_their_own(spark):
+    df = spark.createDataFrame([(1, 5)] * 9 + [(1, 4), (2, 5)], "k long, at long").repartition(3)
+    found = sorted((r.k, r.position) for r in sequence.number(df, ["k"], F.col("at")).collect())
+    assert found == [(1, i) for i in range(1, 11)] + [(2, 1)]
+
+
 def plain_plan(rows, target, most):
     """Chunks of [(text, type)] of one chapter as lists of indices, by the rules one after another."""
     said = lambda t: (t := t.strip())[:1] in tuple("\"'“‘—") and t != "" or t.startswith("- ") or t.endswith(("\"", "”")) or t.lower().startswith(("he said", "she said", "said "))
