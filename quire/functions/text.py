@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,9 +64,26 @@ def source_repeated(source: Column, translated: Column) -> Column:
     return (F.length(source) >= 20) & translated.contains(source)
 
 
+def _may_hold(x: Column, name: str) -> Column:
+    """What a text must hold for the pattern to match, by tests that are cheap: most texts hold none of it."""
+    any_of = lambda *parts: reduce(lambda a, b: a | b, [x.contains(p) for p in parts])
+    return {
+        "url": any_of("://", "www."),
+        "email": any_of("@"),
+        "footnote": any_of("[", "("),
+        "tag": any_of("<"),
+        "list_prefix": F.lit(True),
+        "code": any_of("`", "$", "\\"),
+        "measurement": x.rlike("[0-9]"),
+        "identifier": x.rlike(r"[A-Z]{2}[A-Z0-9_-]*[0-9]|[A-Za-z][._-][A-Za-z0-9]+[._-][A-Za-z0-9]"),
+    }[name]
+
+
 def missing_tokens(source: Column, translated: Column) -> Column:
     """Protected tokens of the source, in order and once each, that the translation lacks."""
-    found = F.concat(*[F.regexp_extract_all(source, F.lit(java(p)), F.lit(0)) for p in PRESERVED.values()])
+    extract = lambda name: F.regexp_extract_all(source, F.lit(java(PRESERVED[name])), F.lit(0))
+    none = F.array().cast("array<string>")
+    found = F.concat(*[F.when(_may_hold(source, name), extract(name)).otherwise(none) for name in PRESERVED])
     trimmed = F.filter(F.transform(found, trim), lambda t: t != "")
     return F.array_distinct(F.filter(trimmed, lambda t: ~translated.contains(t)))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import terms
 
 
 def blank(x: Column) -> Column:
@@ -98,25 +101,16 @@ def acceptance_counters(accepted: DataFrame) -> DataFrame:
     return accepted.groupBy("book_id").agg(F.count_if(s == "ACCEPTED").alias("accepted"), F.count_if(s == "CONFLICT").alias("conflicts"), F.count_if(s == "PENDING").alias("pending"))
 
 
-#: Terms that are looked for in the row.
-FEW = 200
-
-
-def found_in(texts: DataFrame, keys: list[str], terms: DataFrame) -> DataFrame:
-    """Terms (source_term) that occur, whatever their case, in any text of a key, sorted. Up to FEW terms are
-    looked for in the row. Of more, each is found by the up to three letters that it begins with: distinct
-    texts are cut into distinct windows of one to three letters, joined by hash and window only, and read
-    again for the pairs found."""
-    t = terms.select(F.trim("source_term").alias("term")).where("term <> ''").distinct()
-    rows = t.limit(FEW + 1).collect()  # bounded
-    if 0 < len(rows) <= FEW:
-        every = F.array(*[F.lit(r.term) for r in rows])
-        each = texts.select(*keys, F.explode(F.filter(every, lambda x: F.lower("text").contains(F.lower(x)))).alias("term"))
+def found_in(texts: DataFrame, keys: list[str], glossary: DataFrame) -> DataFrame:
+    """Terms (source_term) that occur, whatever their case, in any text of a key, sorted. A few terms are looked for
+    in the row, more by automata in one pass a block of terms."""
+    t = glossary.select(F.trim("source_term").alias("term")).where("term <> ''").distinct()
+    few = t.limit(terms.FEW + 1).collect()  # bounded
+    low = texts.select(*keys, F.lower("text").alias("low"))
+    if len(few) <= terms.FEW:
+        each = F.array_compact(F.array(*[F.when(F.col("low").contains(F.lower(F.lit(r.term))), r.term) for r in few])) if few else F.array().cast("array<string>")
+        found = low.select(*keys, F.explode_outer(each).alias("term")).where("term is not null")
     else:
-        low = F.lower("text")
-        windows = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.array(*[F.substring(low, i, F.lit(n)) for n in (1, 2, 3)])))
-        keyed = texts.where("text is not null").withColumn("h", F.xxhash64("text"))
-        asked = keyed.select("h", "text").distinct().select("h", F.explode(F.array_distinct(windows)).alias("k"))
-        asked = asked.join(t.withColumn("k", F.substring(F.lower("term"), 1, 3)), "k").select("h", "term").distinct()
-        each = keyed.join(asked, "h").where(F.lower("text").contains(F.lower("term"))).select(*keys, "term")
-    return each.groupBy(*keys).agg(F.array_sort(F.collect_set("term")).alias("terms"))
+        t = t.select(F.lower("term").alias("low"), "term")
+        found = reduce(DataFrame.unionByName, [terms.hits(low, keys, rows) for rows in terms.blocks(t, t.count())])
+    return found.groupBy(*keys).agg(F.array_sort(F.collect_set("term")).alias("terms"))

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import terms
 
 # Points off by rule.
 PENALTIES = {"source_repeated_in_translation": 35, "english_residue": 20, "suspicious_length_ratio": 20, "preserved_token_missing": 20, "placeholder_mismatch": 30}
 GLOSSARY_PENALTY = 25
-#: Terms that are counted in the row.
-FEW = 200
 REVIEWABLE = [*PENALTIES, "glossary_term_missing"]
 
 
@@ -20,33 +21,21 @@ def _wanted(glossary: DataFrame) -> DataFrame:
     return g.select(F.trim("source_term").alias("term"), F.trim("target_term").alias("target")).distinct()
 
 
-def _missed(source: Column, translated: Column, term: Column, target: Column) -> Column:
-    return (F.instr(F.lower(source), F.lower(term)) > 0) & ~translated.contains(target)
-
-
 def with_misses(segments: DataFrame, glossary: DataFrame) -> DataFrame:
     """Adds n_missed: how many terms stand in the source, whatever the case, while the translation lacks
-    their target. Up to FEW terms are counted in the row. Of more, those of three letters and on are found
-    by the three letters that they begin with: segments are cut into distinct three-letter windows, joined
-    by id and window only, and read again for the pairs found; shorter ones are at most a few thousand
-    and are compared with all segments."""
+    their target. A few terms are counted in the row, more by automata in one pass a block of terms."""
     g = _wanted(glossary)
-    rows = g.limit(FEW + 1).collect()  # bounded
-    if len(rows) <= FEW:
-        if not rows:
-            return segments.withColumn("n_missed", F.lit(0))
-        terms = F.array(*[F.struct(F.lit(r.term).alias("term"), F.lit(r.target).alias("target")) for r in rows])
-        n = F.size(F.filter(terms, lambda x: _missed(F.col("source_text"), F.col("translated_text"), x["term"], x["target"])))
-        return segments.withColumn("n_missed", F.when((F.col("status") == "TRANSLATED") & F.col("translated_text").isNotNull(), n).otherwise(0))
-    s = segments.where((F.col("status") == "TRANSLATED") & F.col("translated_text").isNotNull()).select("segment_id", "source_text", "translated_text")
-    low = F.lower("source_text")
-    windows = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3))))
-    keyed = g.withColumn("k", F.substring(F.lower("term"), 1, 3))
-    asked = s.select("segment_id", F.explode(windows).alias("k")).join(keyed.where(F.length("k") == 3), "k").select("segment_id", "term", "target")
-    found = s.join(asked, "segment_id").where(_missed(F.col("source_text"), F.col("translated_text"), F.col("term"), F.col("target"))).select("segment_id")
-    short = keyed.where(F.length("k") < 3)
-    found = found.unionByName(s.join(short, _missed(F.col("source_text"), F.col("translated_text"), F.col("term"), F.col("target"))).select("segment_id"))
-    counts = found.groupBy("segment_id").agg(F.count("*").cast("int").alias("n_missed"))
+    few = g.limit(terms.FEW + 1).collect()  # bounded
+    told = (F.col("status") == "TRANSLATED") & F.col("translated_text").isNotNull()
+    if len(few) <= terms.FEW:
+        missed = [(F.col("_low").contains(r.term.lower()) if r.term.isascii() else F.col("_low").contains(F.lower(F.lit(r.term)))) & ~F.col("translated_text").contains(r.target) for r in few]
+        n = sum((m.cast("int") for m in missed), F.lit(0))
+        once = segments.select("*", F.explode(F.array(F.lower("source_text"))).alias("_low"))  # a generator: filters on the count don't fold the case again
+        return once.select(*segments.columns, F.when(told, F.coalesce(n, F.lit(0))).otherwise(0).alias("n_missed"))
+    s = segments.where(told & F.col("source_text").isNotNull()).select("segment_id", F.lower("source_text").alias("low"), "translated_text")
+    g = g.select(F.lower("term").alias("low"), "term", "target")
+    found = reduce(DataFrame.unionByName, [terms.misses(s, rows) for rows in terms.blocks(g, g.count())])
+    counts = found.groupBy("segment_id").agg(F.sum("n").cast("int").alias("n_missed"))
     return segments.join(counts, "segment_id", "left").withColumn("n_missed", F.coalesce("n_missed", F.lit(0)))
 
 

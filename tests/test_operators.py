@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import glossary, quality
+from quire.operators import glossary, quality, terms
 from quire.plans import catalogue
 from quire.sources import epub, library
 from quire.streaming import dispatch
@@ -54,27 +54,39 @@ def test_tokens(spark):
     assert {"`drawPage()`", "$m=kv$", "\\sqrt{x}"} <= got[1]
 
 
-def test_many_terms_are_joined_by_their_first_letters(spark):
-    """Over FEW terms: as if each were looked for in each segment; letters that lower-casing makes longer too."""
+def test_many_terms_by_automata(spark, monkeypatch):
+    """As if each term were looked for in each segment; letters that lower-casing makes longer too."""
     rng = random.Random(6)
     texts = [" ".join(rng.choice("stone river Lamp İzmir of an x7 green hillside".split()) for _ in range(rng.randint(1, 12))) for _ in range(80)]
-    terms = [(t, f"T{t}") for t in ("stone", "Riv", "of", "x", "en hill", "İzmir", "izmir", "missing")] + [(f"absent{i}", "y") for i in range(250)]
-    rows = [(i, t, "Tstone Tof" if i % 3 else "", "TRANSLATED" if i % 7 else "FAILED") for i, t in enumerate(texts)]
+    words = [(t, f"T{t}") for t in ("stone", "Riv", "river", "of", "x", "en hill", "İzmir", "izmir", "missing", "STONE")] + [("of", "other"), (" of ", "Tof"), (None, "x"), ("y", " ")]
+    more = [(f"absent{i}", "y") for i in range(250)]
+    rows = [(i, t, rng.choice(["Tstone Tof", "", "TRiv other", None]), "TRANSLATED" if i % 7 else "FAILED") for i, t in enumerate(texts)] + [(99, None, "x", "TRANSLATED"), (98, "", "", "TRANSLATED")]
     s = spark.createDataFrame(rows, "segment_id long, source_text string, translated_text string, status string")
-    g = spark.createDataFrame(terms, "source_term string, target_term string")
-    many = quality.glossary_misses(s, g).collect()
-    few = quality.glossary_misses(s, g.where("source_term not like 'absent%'")).collect()
-    assert sorted(many) == sorted(few) and len(many) > 20
+    g = lambda ws: spark.createDataFrame(ws, "source_term string, target_term string")
+    few = sorted(quality.glossary_misses(s, g(words)).collect())
+    assert len(few) > 40
+    assert sorted(quality.glossary_misses(s, g(words + more)).collect()) == few
+    monkeypatch.setattr(terms, "BLOCK", 40)
+    assert sorted(quality.glossary_misses(s, g(words + more)).collect()) == few
+    assert quality.glossary_misses(s, g([])).isEmpty()
 
 
-def test_terms_of_texts_in_the_row_and_by_windows(spark, monkeypatch):
+def test_a_hundred_thousand_terms(spark):
+    """One pass finds them all: word i stands in text i, and its target in every third translation."""
+    n = 100_000
+    g = spark.range(n).select(F.concat(F.lit("Term"), F.lpad(F.hex("id"), 6, "0"), F.lit(";")).alias("source_term"), F.concat(F.lit("t"), "id").alias("target_term"))
+    s = spark.range(3000).select(F.col("id").alias("segment_id"), F.concat(F.lit("the tERM"), F.lower(F.lpad(F.hex(F.col("id") * 33), 6, "0")), F.lit("; and no more term")).alias("source_text"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("t"), F.col("id") * 33)).otherwise("-").alias("translated_text"), F.lit("TRANSLATED").alias("status"))
+    assert sorted((r.segment_id, r.n_missed) for r in quality.glossary_misses(s, g).collect()) == [(i, 1) for i in range(3000) if i % 3]
+
+
+def test_terms_of_texts(spark, monkeypatch):
     texts = spark.createDataFrame([(1, "A stone in İzmir"), (1, "Of rivers"), (2, "x"), (3, ""), (4, None), (5, "Stones of x7"), (5, "Stones of x7")], "k long, text string")
-    terms = spark.createDataFrame([("Stone",), (" of ",), ("X",), ("river",), ("i",), ("",), (None,), ("absent",)], "source_term string")
-    few = {r.k: r.terms for r in glossary.found_in(texts, ["k"], terms).collect()}
-    assert {k: set(v) for k, v in few.items()} == {1: {"Stone", "i", "of", "river"}, 2: {"X"}, 5: {"Stone", "X", "of"}}
-    monkeypatch.setattr(glossary, "FEW", 0)
-    assert {r.k: r.terms for r in glossary.found_in(texts, ["k"], terms).collect()} == few
-    assert glossary.found_in(texts, ["k"], terms.limit(0)).isEmpty()
+    found = spark.createDataFrame([("Stone",), (" of ",), ("X",), ("river",), ("i",), ("",), (None,), ("absent",), ("stone",)], "source_term string")
+    few = {r.k: r.terms for r in glossary.found_in(texts, ["k"], found).collect()}
+    assert {k: set(v) for k, v in few.items()} == {1: {"Stone", "stone", "i", "of", "river"}, 2: {"X"}, 5: {"Stone", "stone", "X", "of"}}
+    monkeypatch.setattr(terms, "FEW", 0)
+    assert {r.k: r.terms for r in glossary.found_in(texts, ["k"], found).collect()} == few
+    assert glossary.found_in(texts, ["k"], found.limit(0)).isEmpty()
 
 
 def _books_of(spark, path):
