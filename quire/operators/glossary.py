@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import terms
+from quire.operators.sequence import number
 
 
 def blank(x: Column) -> Column:
@@ -31,31 +32,58 @@ def first_terms(segments: DataFrame, k: int, found: Column | None = None) -> Dat
     return per.select("book_id", "source_norm", F.col("x.term").alias("term"), category.alias("category"), "evidence", F.col("x.segment_id").alias("first_segment_id"), "rank")
 
 
-def _last(glossary: DataFrame) -> DataFrame:
+def _clean(glossary: DataFrame) -> DataFrame:
+    """Rows with a term, in normal form; what is blank is null. ``pos`` is their order, 1 for each where it isn't given."""
     g = glossary.where(blank(F.col("source_term")).isNotNull())
-    return g.select(key(F.col("source_term")).alias("k"), F.trim("source_term").alias("source_term"), blank(F.col("target_term")).alias("target_term"), blank(F.col("category")).alias("category"))
+    pos = F.col("pos") if "pos" in glossary.columns else F.lit(1)
+    return g.select(key(F.col("source_term")).alias("k"), F.trim("source_term").alias("source_term"), blank(F.col("target_term")).alias("target_term"), blank(F.col("category")).alias("category"), pos.alias("pos"))
+
+
+def _first(glossary: DataFrame) -> DataFrame:
+    """The first row of each key."""
+    return _clean(glossary).groupBy("k").agg(F.min(F.struct("pos", "source_term", "target_term", "category")).alias("x")).select("k", "x.source_term", "x.target_term", "x.category")
 
 
 def merge(existing: DataFrame, incoming: DataFrame, mode: str = "FILL_EMPTY") -> DataFrame:
-    """Keyed merge; both sides have one row a key. FILL_EMPTY keeps what is there and notes other
-    targets as conflicts; OVERWRITE takes the incoming row whole."""
-    a, b = _last(existing).alias("a"), _last(incoming).alias("b")
-    both = a.join(b, F.col("a.k") == F.col("b.k"), "full_outer")
-    only_new, only_old = F.col("a.k").isNull(), F.col("b.k").isNull()
+    """A row a key: source_norm, source_term, target_term, category, and how many incoming rows added, updated, filled or
+    contradicted it (0 or more each). Of existing rows with one key the first holds; incoming ones come in order of ``pos``,
+    one after another. FILL_EMPTY keeps what is there and fills what is blank; OVERWRITE takes each row whole, so that the last holds.
+
+    Rows of a key are added up, never held together: what fills is the first that is not blank, and what
+    contradicts is another than that; for OVERWRITE each row is given the one before it by ``number``."""
+    has = lambda c: F.col(c).isNotNull()
+    old = _first(existing).select("k", *[F.col(c).alias(f"a_{c}") for c in ("source_term", "target_term", "category")])
+    new = _clean(incoming)
     if mode == "OVERWRITE":
-        pick = lambda c: F.when(only_old, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}"))
+        rows = number(new, ["k"], F.col("pos"), name="i", before={f"b_{c}": F.col(c) for c in ("source_term", "target_term", "category")})
+        rows = rows.join(old, "k", "left")
+        before = {c: F.when(F.col("i") == 1, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")) for c in ("source_term", "target_term", "category")}
+        added = (F.col("i") == 1) & ~has("a_source_term")
+        changed = ~added & ~(before["source_term"].eqNullSafe(F.col("source_term")) & before["target_term"].eqNullSafe(F.col("target_term")) & before["category"].eqNullSafe(F.col("category")))
+        against = F.coalesce(~added & (before["target_term"] != F.col("target_term")), F.lit(False))
+        last = F.max(F.struct("i", "source_term", "target_term", "category")).alias("x")
+        per = rows.groupBy("k").agg(last, F.count_if(added).alias("added"), F.count_if(changed).alias("updated"), F.lit(0).cast("long").alias("filled"), F.count_if(against).alias("conflicts"))
+        per = per.select("k", *[F.col(f"x.{c}").alias(c) for c in ("source_term", "target_term", "category")], "added", "updated", "filled", "conflicts")
     else:
-        pick = lambda c: F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}"))
-    differs = ~only_new & ~only_old & (F.col("a.target_term") != F.col("b.target_term"))
-    filled = ~only_new & ~only_old & F.col("a.target_term").isNull() & F.col("b.target_term").isNotNull()
-    what = F.when(only_new, "added").when(only_old, "kept").when(F.lit(mode == "OVERWRITE"), "updated").when(F.coalesce(differs, F.lit(False)), "conflict").when(F.coalesce(filled, F.lit(False)), "filled").otherwise("kept")
-    return both.select(F.coalesce("a.k", "b.k").alias("source_norm"), pick("source_term").alias("source_term"), pick("target_term").alias("target_term"), pick("category").alias("category"), what.alias("outcome"))
+        at = lambda c: F.min(F.when(has(c), F.struct("pos", c))).alias(f"n_{c}")
+        per = new.groupBy("k").agg(F.min("pos").alias("first"), at("source_term"), at("target_term"), at("category")).join(old, "k", "left")
+        fresh = ~has("a_source_term")
+        fills = {c: F.when(~has(f"a_{c}"), F.col(f"n_{c}.pos")) for c in ("target_term", "category")}
+        fills = F.array_distinct(F.filter(F.array_compact(F.array(*fills.values())), lambda p: ~fresh | (p != F.col("first"))))
+        value = lambda c: F.coalesce(F.col(f"a_{c}"), F.col(f"n_{c}.{c}")).alias(c)
+        per = per.select("k", value("source_term"), value("target_term"), value("category"), fresh.cast("long").alias("added"), F.lit(0).cast("long").alias("updated"), F.size(fills).cast("long").alias("filled"))
+        held = per.select("k", F.col("target_term").alias("held"))
+        against = new.join(held, "k").where(F.col("target_term") != F.col("held")).groupBy("k").agg(F.count("*").alias("conflicts"))
+        per = per.join(against, "k", "left").withColumn("conflicts", F.coalesce("conflicts", F.lit(0)).cast("long"))
+    none = F.lit(0).cast("long")
+    kept = old.join(per.select("k"), "k", "left_anti").select("k", F.col("a_source_term").alias("source_term"), F.col("a_target_term").alias("target_term"), F.col("a_category").alias("category"), *[none.alias(c) for c in ("added", "updated", "filled", "conflicts")])
+    return per.unionByName(kept).withColumnRenamed("k", "source_norm")
 
 
 def conflicts(drafts: DataFrame, configured: DataFrame) -> DataFrame:
-    """Drafts whose target differs from the configured one."""
-    c = _last(configured).select(F.col("k").alias("source_norm"), F.col("target_term").alias("configured_target"))
-    d = _last(drafts).select(F.col("k").alias("source_norm"), "source_term", "target_term")
+    """Drafts whose target differs from the configured one (the first of its key)."""
+    c = _first(configured).select(F.col("k").alias("source_norm"), F.col("target_term").alias("configured_target"))
+    d = _clean(drafts).select(F.col("k").alias("source_norm"), "source_term", "target_term")
     return d.join(c, "source_norm").where("target_term is not null and configured_target is not null and target_term <> configured_target")
 
 
@@ -69,16 +97,16 @@ def upsert(candidates: DataFrame, drafts: DataFrame) -> DataFrame:
     return both.select(first("book_id"), first("source_norm"), first("target_term"), total.cast("long").alias("evidence"), first("first_segment_id"))
 
 
-def counters(merged: DataFrame) -> DataFrame:
-    """How many terms a merge has added, updated, filled, left in conflict and kept."""
-    of = {"added": "added", "updated": "updated", "filled": "filled", "conflicts": "conflict", "kept": "kept"}
-    return merged.agg(*[F.count_if(F.col("outcome") == x).alias(name) for name, x in of.items()])
+def counters(merged: DataFrame, incoming: DataFrame) -> DataFrame:
+    """What a merge has added, updated, filled and left in conflict, and the incoming rows without a term."""
+    n = merged.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("added", "updated", "filled", "conflicts")])
+    return n.crossJoin(incoming.agg(F.count_if(blank(F.col("source_term")).isNull()).alias("skipped")))  # a row each
 
 
 def effective(configured: DataFrame, accepted: DataFrame) -> DataFrame:
     """Configured terms, which hold for all books (book_id null), with each book's accepted candidates
     (book_id, source_norm, term, target_term) where no configured term of the key has a target."""
-    c = _last(configured).select(F.col("k").alias("source_norm"), "source_term", "target_term")
+    c = _first(configured).select(F.col("k").alias("source_norm"), "source_term", "target_term")
     known = c.select("source_norm", F.col("source_term").alias("name"), F.col("target_term").alias("has"))
     more = accepted.join(known, "source_norm", "left").where("has is null")
     more = more.select("book_id", "source_norm", F.coalesce("name", "term").alias("source_term"), "target_term")

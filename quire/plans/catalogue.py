@@ -392,23 +392,46 @@ def glossary_relevant(spark, sf):
     return s.select("segment_id", hits.alias("relevant")).where(F.size("relevant") > 0)
 
 
-MERGE = f"""WITH {R.GLOSSARY_SQL}, {R.INCOMING_SQL}, a AS (SELECT lower(trim(source_term)) AS k, trim(source_term) AS s, nullif(trim(target_term), '') AS t, nullif(trim(category), '') AS c FROM glossary),
-  b AS (SELECT lower(trim(source_term)) AS k, trim(source_term) AS s, nullif(trim(target_term), '') AS t, nullif(trim(category), '') AS c FROM incoming)"""
-
-
-@query(f"{MERGE} SELECT coalesce(a.k, b.k) AS source_norm, coalesce(a.s, b.s) AS source_term, coalesce(a.t, b.t) AS target_term, coalesce(a.c, b.c) AS category, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'kept' WHEN a.t <> b.t THEN 'conflict' WHEN a.t IS NULL AND b.t IS NOT NULL THEN 'filled' ELSE 'kept' END AS outcome FROM a FULL JOIN b ON a.k = b.k")
+#: Glossaries of the books' own terms: those of even books are there, those of odd ones come in; a term of several books has several
+#: rows, some without a term, target or category.
+MERGE = f"""{TERMS}, gl AS (SELECT book_id, (book_id * 100 + rank)::BIGINT AS pos, CASE WHEN rank % 7 = 0 THEN ' ' ELSE ' ' || term END AS s, CASE WHEN rank % 3 = 0 THEN '' ELSE 't' || book_id % 3 END AS t, CASE WHEN rank % 4 = 0 THEN NULL ELSE category END AS c FROM terms),
+  cl AS (SELECT book_id, pos, lower(trim(s)) AS k, trim(s) AS s, nullif(trim(t), '') AS t, nullif(trim(c), '') AS c FROM gl WHERE trim(s) <> ''),
+  a AS (SELECT * FROM cl WHERE book_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY pos) = 1), b AS (SELECT * FROM cl WHERE book_id % 2 = 1)"""
+#: Row after row, as a merge goes: what a key holds when each row comes.
+FILL = f"""{MERGE}, wm AS (SELECT b.*, a.k IS NULL AND row_number() OVER o = 1 AS added, coalesce(a.t, first_value(b.t IGNORE NULLS) OVER p) AS ht, coalesce(a.c, first_value(b.c IGNORE NULLS) OVER p) AS hc FROM b LEFT JOIN a ON a.k = b.k WINDOW o AS (PARTITION BY b.k ORDER BY b.pos), p AS (PARTITION BY b.k ORDER BY b.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  inc AS (SELECT k, count_if(added) AS added, 0::BIGINT AS updated, count_if(NOT added AND (ht IS NULL AND t IS NOT NULL OR hc IS NULL AND c IS NOT NULL)) AS filled, count_if(coalesce(ht <> t, false)) AS conflicts, arg_min(s, pos) AS s, arg_min(t, pos) FILTER (t IS NOT NULL) AS t, arg_min(c, pos) FILTER (c IS NOT NULL) AS c FROM wm GROUP BY k),
+  merged AS (SELECT coalesce(a.k, inc.k) AS source_norm, coalesce(a.s, inc.s) AS source_term, coalesce(a.t, inc.t) AS target_term, coalesce(a.c, inc.c) AS category, coalesce(added, 0)::BIGINT AS added, coalesce(updated, 0)::BIGINT AS updated, coalesce(filled, 0)::BIGINT AS filled, coalesce(conflicts, 0)::BIGINT AS conflicts FROM a FULL JOIN inc ON a.k = inc.k)"""
+OVER = f"""{MERGE}, every AS (SELECT k, s, t, c, -1 AS pos FROM a UNION ALL SELECT k, s, t, c, pos FROM b), wm AS (SELECT *, lag(true) OVER o AS was, lag(s) OVER o AS ps, lag(t) OVER o AS pt, lag(c) OVER o AS pc FROM every WINDOW o AS (PARTITION BY k ORDER BY pos)),
+  merged AS (SELECT k AS source_norm, arg_max(s, pos) AS source_term, max({{'p': pos, 'v': t}}).v AS target_term, max({{'p': pos, 'v': c}}).v AS category, count_if(was IS NULL AND pos >= 0) AS added, count_if(coalesce(was, false) AND (s IS DISTINCT FROM ps OR t IS DISTINCT FROM pt OR c IS DISTINCT FROM pc)) AS updated, 0::BIGINT AS filled, count_if(coalesce(was AND pt <> t, false)) AS conflicts FROM wm GROUP BY k)"""
+
+
+def _glossaries(spark, sf):
+    t = G.first_terms(R.segments(spark, sf), 12)
+    rank = F.col("rank")
+    g = t.select(
+        "book_id",
+        (F.col("book_id") * 100 + rank).cast("long").alias("pos"),
+        F.when(rank % 7 == 0, " ").otherwise(F.concat(F.lit(" "), "term")).alias("source_term"),
+        F.when(rank % 3 == 0, "").otherwise(F.concat(F.lit("t"), (F.col("book_id") % 3).cast("string"))).alias("target_term"),
+        F.when(rank % 4 != 0, F.col("category")).alias("category"),
+    )
+    return g.where("book_id % 2 = 0"), g.where("book_id % 2 = 1")
+
+
+@query(f"{FILL} SELECT * FROM merged")
 def glossary_merge_fill(spark, sf):
-    return G.merge(R.glossary(spark), R.glossary(spark, R.INCOMING))
+    return G.merge(*_glossaries(spark, sf))
 
 
-@query(f"{MERGE} SELECT coalesce(a.k, b.k) AS source_norm, CASE WHEN b.k IS NULL THEN a.s ELSE b.s END AS source_term, CASE WHEN b.k IS NULL THEN a.t ELSE b.t END AS target_term, CASE WHEN b.k IS NULL THEN a.c ELSE b.c END AS category, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'kept' ELSE 'updated' END AS outcome FROM a FULL JOIN b ON a.k = b.k")
+@query(f"{OVER} SELECT * FROM merged")
 def glossary_merge_overwrite(spark, sf):
-    return G.merge(R.glossary(spark), R.glossary(spark, R.INCOMING), "OVERWRITE")
+    return G.merge(*_glossaries(spark, sf), "OVERWRITE")
 
 
 @query(f"{MERGE} SELECT b.k AS source_norm, b.s AS source_term, b.t AS target_term, a.t AS configured_target FROM b JOIN a ON a.k = b.k WHERE a.t <> b.t")
 def glossary_conflicts(spark, sf):
-    return G.conflicts(R.glossary(spark, R.INCOMING), R.glossary(spark))
+    there, come = _glossaries(spark, sf)
+    return G.conflicts(come, there)
 
 
 @query(f"{TERMS}, a AS (SELECT book_id, source_norm, 'x' AS target_term, evidence, first_segment_id FROM terms WHERE rank % 2 = 0), b AS (SELECT book_id, source_norm, NULL::VARCHAR AS target_term, evidence, first_segment_id FROM terms WHERE rank % 3 = 0) SELECT coalesce(a.book_id, b.book_id) AS book_id, coalesce(a.source_norm, b.source_norm) AS source_norm, coalesce(a.target_term, b.target_term) AS target_term, (coalesce(a.evidence, 0) + coalesce(b.evidence, 0))::BIGINT AS evidence, coalesce(a.first_segment_id, b.first_segment_id) AS first_segment_id FROM a FULL JOIN b ON a.book_id = b.book_id AND a.source_norm = b.source_norm")

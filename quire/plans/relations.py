@@ -13,7 +13,6 @@ from quire.functions import text as T
 
 ZH = "这是一个固定的中文句子。"
 GLOSSARY = [("there", "那里", "word"), ("ther", "", "word"), (" The ", "该", None), ("Ing", "英", "name"), ("and", None, "word")]
-INCOMING = [("there", "那儿", "word"), ("ther", "特", "word"), ("the", "该", "article"), ("tion", "性", "suffix"), ("AND", "和", None)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +64,6 @@ def _values(rows: list[tuple]) -> str:
 
 
 GLOSSARY_SQL = f"glossary(source_term, target_term, category) AS (VALUES {_values(GLOSSARY)})"
-INCOMING_SQL = f"incoming(source_term, target_term, category) AS (VALUES {_values(INCOMING)})"
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:

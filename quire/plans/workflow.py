@@ -99,13 +99,14 @@ def effective_glossary(spark, sf):
     return G.effective(R.glossary(spark), accepted)
 
 
-_OUTCOMES = {"fill": C.SQL["glossary_merge_fill"], "overwrite": C.SQL["glossary_merge_overwrite"]}
+_SUMS = "sum(added)::BIGINT AS added, sum(updated)::BIGINT AS updated, sum(filled)::BIGINT AS filled, sum(conflicts)::BIGINT AS conflicts, (SELECT count(*) FROM gl WHERE book_id % 2 = 1 AND trim(s) = '') AS skipped"
 
 
-@query(" UNION ALL ".join(f"SELECT '{m}' AS mode, count_if(outcome = 'added')::BIGINT AS added, count_if(outcome = 'updated')::BIGINT AS updated, count_if(outcome = 'filled')::BIGINT AS filled, count_if(outcome = 'conflict')::BIGINT AS conflicts, count_if(outcome = 'kept')::BIGINT AS kept FROM ({q})" for m, q in _OUTCOMES.items()))
+@query(f"SELECT 'fill' AS mode, * FROM ({C.FILL} SELECT {_SUMS} FROM merged) UNION ALL SELECT 'overwrite', * FROM ({C.OVER} SELECT {_SUMS} FROM merged)")
 def merge_counters(spark, sf):
-    a, b = R.glossary(spark), R.glossary(spark, R.INCOMING)
-    return G.counters(G.merge(a, b)).select(F.lit("fill").alias("mode"), "*").unionByName(G.counters(G.merge(a, b, "OVERWRITE")).select(F.lit("overwrite").alias("mode"), "*"))
+    there, come = C._glossaries(spark, sf)
+    of = lambda mode: G.counters(G.merge(there, come, mode), come)
+    return of("FILL_EMPTY").select(F.lit("fill").alias("mode"), "*").unionByName(of("OVERWRITE").select(F.lit("overwrite").alias("mode"), "*"))
 
 
 @query(f"{C.CANDIDATES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY score, n_warnings DESC, segment_id) AS rank FROM cand) SELECT book_id, count(*) AS candidates, count_if(rank <= 20)::BIGINT AS selected, count_if(rank <= 20 AND segment_id % 3 <> 0)::BIGINT AS updated FROM ranked GROUP BY book_id")
