@@ -7,8 +7,10 @@ differently written mentions are one entity. A message authentication code (HMAC
 form under the caller's key seeds its surrogate: without the key nobody can make it again. Numbers get
 digits for digits; addresses letters of the same script and vowel class, below reserved domains; cards
 keep a valid check digit; the parts of an IPv4 address stay in range. Names are made of syllables of
-their script, given names with an ending of the gender that the form of address tells. The surrogate is
-then poured into each mention's own format.
+their script, given names with an ending of the gender that the forms of address tell. A name is one entity all over a
+document, whatever mentions it is in: the longest says whether it is a family name, all forms of address
+before it say its gender. Accounts keep their country and valid check digits. The surrogate is then poured into
+each mention's own format.
 
 Collision check: a surrogate may belong to one entity only and may not be an entity of the corpus.
 Entities that violate this take the next surrogate of their sequence, and meet again only what is settled:
@@ -48,6 +50,8 @@ NAME = r"(?:\p{Lu}[\p{L}'’-]+|\p{Lu}\.)"
 _NAMES = rf"{NAME}(?: {NAME}){{0,3}}"
 _TITLES = rf"(?:{_TITLE}\.?[  ])+"
 _EDGE = r"(?<=[\p{L}'’-])(?![\p{L}'’-])|(?<![\p{L}'’-])(?=[\p{L}'’-])"
+# Words before places: fixed values.
+PLACES = ("in", "near", "at", "outside", "nach", "à", "dans", "en", "в", "στο", "στην")
 NAME_KINDS = ("given", "given_m", "given_f", "family")
 
 KINDS = {
@@ -118,6 +122,13 @@ def _digits(norm: Column) -> Column:
     return F.transform(F.split(norm, ""), lambda c: c.cast("int"))
 
 
+def _mod97(norm: Column) -> Column:
+    """The remainder by 97 of digits and lower-case letters, which are numbers from 10 to 35."""
+    value = lambda c: F.when(c.between("0", "9"), c.cast("int")).otherwise(F.ascii(c) - 87)
+    step = lambda a, c: F.pmod(a * F.when(c.between("0", "9"), 10).otherwise(100) + value(c), F.lit(97))
+    return F.aggregate(F.split(norm, ""), F.lit(0), step)
+
+
 def mac(key: str, message: Column) -> Column:
     """HMAC-SHA-256 in hexadecimal digits."""
     raw = key.encode()
@@ -179,9 +190,16 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     email = F.concat(letters, _shaped(F.split(local, ""), s), F.when(F.size(below) > 0, F.concat(_shaped(F.split(F.array_join(below, "."), ""), F.concat(s, F.lit("d"))), F.lit("."))).otherwise(""), F.lit("example."), top)
     hexed = F.array_join(F.transform(c, lambda x, i: F.when(x.between("0", "9") | x.between("a", "f"), F.substring(F.lit("0123456789abcdef"), _hash(s, i, 16) + 1, F.lit(1))).otherwise(x)), "")
     secret = F.concat(F.when(F.col("norm").rlike("^[0-9a-f]+$"), hexed).otherwise(_shaped(c, s)), digits)
+    # accounts: the country stays, and the check digits are valid if they were
+    account = _shaped(F.split(F.substring(F.col("norm"), F.lit(5), F.length("norm")), ""), s)
+    country = F.substring("norm", 1, 2)
+    right = F.lpad((98 - _mod97(F.concat(account, digits, country, F.lit("00")))).cast("string"), 2, "0")
+    wrong = F.concat(_hash(s, F.lit(97), 10).cast("string"), _hash(s, F.lit(98), 10).cast("string"))
+    valid = _mod97(F.concat(F.substring(F.col("norm"), F.lit(5), F.length("norm")), F.substring("norm", 1, 4))) == 1
+    iban = F.concat(country, F.when(valid, right).otherwise(wrong), account, digits)
     k = F.col("kind")
     sur = (
-        F.when(k == "card", card).when(k == "phone", F.concat(phone, digits)).when(k == "ipv4", ipv4).when(k == "email", email).when(k == "secret", secret)
+        F.when(k == "iban", iban).when(k == "card", card).when(k == "phone", F.concat(phone, digits)).when(k == "ipv4", ipv4).when(k == "email", email).when(k == "secret", secret)
         .when(k.isin(*NAME_KINDS), _name(k, F.col("norm"), salt, s)).when(k == "initial", F.concat(_shaped(c, s), letters)).otherwise(F.concat(_shaped(c, s), digits))
     )
     return df.select("kind", "norm", "salt", sur.alias("sur"))
@@ -205,35 +223,51 @@ def settle(entities: DataFrame, key: str) -> DataFrame:
 
 
 def _kind(m: Column) -> Column:
-    """The first kind, in order of the pattern, that matches the whole mention."""
+    """The first kind, in order of the pattern, that matches the whole mention. Digits without a separator are a card only
+    with an issuer's first digit and a valid check digit; else they are no entity and have no kind."""
     out = None
     for kind, pattern in KINDS.items():
         test = m.rlike(f"^(?:{pattern})$")
-        out = F.when(test, kind) if out is None else out.when(test, kind)
+        what = F.when(m.rlike(r"\D") | (m.rlike("^[2-6]") & (_luhn(_digits(m)) % 10 == 0)), kind) if kind == "card" else F.lit(kind)
+        out = F.when(test, what) if out is None else out.when(test, what)
     return out
 
 
 def _atoms(m: Column, kind: Column) -> Column:
     """A mention as parts in order: kind (null: stays as it is), norm and the part as written."""
-    part = lambda k, norm, text: F.struct(k.alias("kind"), norm.alias("norm"), text.alias("text"))
+    plain = F.lit(None).cast("struct<words:int,last:boolean,gender:string>")
+    part = lambda k, norm, text, seen=plain: F.struct(k.alias("kind"), norm.alias("norm"), text.alias("text"), seen.alias("seen"))
     stays = lambda text: part(F.lit(None).cast("string"), F.lit(None).cast("string"), text)
     label, value, quote = (F.regexp_extract(m, rf"^((?:{_LABEL})?)([A-Za-z0-9_+/=-]{{16,}})([\"']?)$", g) for g in (1, 2, 3))
     secret = F.array(stays(label), part(F.lit("secret"), F.when(value.rlike("^[0-9A-F]+$"), F.lower(value)).otherwise(value), value), stays(quote))
     title, names = (F.regexp_extract(m, rf"^({_TITLES})({_NAMES})$", g) for g in (1, 2))
     forms = F.split(F.regexp_replace(title, r"[.  ]+", " "), " ")
-    given = F.when(F.arrays_overlap(forms, F.array(*map(F.lit, FEMALE))), "given_f").when(F.arrays_overlap(forms, F.array(*map(F.lit, MALE))), "given_m").otherwise("given")
+    gender = F.when(F.arrays_overlap(forms, F.array(*map(F.lit, FEMALE))), "f").when(F.arrays_overlap(forms, F.array(*map(F.lit, MALE))), "m")
     words = F.split(names, " ")
 
     def word(w: Column, i: Column) -> Column:
         bare = F.regexp_replace(w, r"\.$", "")
-        of = F.when(bare != w, "initial").when(i == F.size(words) - 1, "family").otherwise(given)
-        return F.array(stays(F.when(i > 0, " ").otherwise("")), part(of, F.lower(bare), bare), stays(F.when(bare != w, ".").otherwise("")))
+        of = F.when(bare != w, "initial").otherwise("name")
+        seen = F.struct(F.size(words).alias("words"), (i == F.size(words) - 1).alias("last"), gender.alias("gender"))
+        return F.array(stays(F.when(i > 0, " ").otherwise("")), part(of, F.lower(bare), bare, F.when(bare == w, seen)), stays(F.when(bare != w, ".").otherwise("")))
 
     name = F.concat(F.array(stays(title)), F.flatten(F.transform(words, word)))
     norm = F.when(kind == "email", F.lower(m)).when(kind == "phone", F.regexp_replace(m, r"[^0-9+]", "")).when(kind == "iban", F.lower(F.replace(m, F.lit(" "), F.lit("")))).when(kind.isin("card", "ssn"), F.regexp_replace(m, r"[^0-9]", "")).otherwise(m)
     return F.when(kind == "secret", secret).when(kind == "name", name).otherwise(F.array(part(kind, norm, m)))
 
 
+def _one_kind_a_name(atoms: DataFrame) -> DataFrame:
+    """``atoms`` with a kind for each name that is the same all over a document, so that a word has one surrogate there:
+    by its place in the longest mention it is in, and by the genders of all forms of address before it."""
+    seen, place = F.col("seen"), ["doc_id", "text_key", "norm"]
+    of = atoms.where("kind = 'name'").groupBy(*place).agg(F.max(F.struct("seen.words", "seen.last")).alias("longest"), F.bool_or(seen["gender"] == "f").alias("f"), F.bool_or(seen["gender"] == "m").alias("m"))
+    f, m = (F.coalesce(F.col(x), F.lit(False)) for x in "fm")
+    kind = F.when(F.col("longest.last"), "family").when(f & ~m, "given_f").when(m & ~f, "given_m").otherwise("given")
+    of = of.select(*[F.col(c).alias(f"n_{c}") for c in place], kind.alias("name_kind"), F.col("longest.words").alias("words"))
+    same = F.col("doc_id").eqNullSafe(F.col("n_doc_id")) & (F.col("text_key") == F.col("n_text_key")) & (F.col("norm") == F.col("n_norm")) & (F.col("kind") == "name")
+    return atoms.join(of, same, "left").withColumn("kind", F.coalesce("name_kind", "kind")).drop("seen", "name_kind", *[f"n_{c}" for c in place])
+
+
 def _poured(kind: Column, text: Column, sur: Column) -> Column:
     """The surrogate in the mention's format: its separators, its case."""
     chars = F.split(text, "")
@@ -250,16 +284,20 @@ def _poured(kind: Column, text: Column, sur: Column) -> Column:
 
 def _bare(piece: Column, names: Column) -> Column:
     """A text between mentions as (text, hit) parts: capitalised words that are a name of the document
-    get its surrogate, before an 's too."""
+    get its surrogate, before an 's too. A name that is only known with a form of address, alone, may be a place's
+    too: after a word for being somewhere it stays."""
 
-    def one(t: Column) -> Column:
+    def one(t: Column, i: Column) -> Column:
         stem = F.regexp_replace(t, "['’-]+s?$", "")
-        sur = F.get(F.filter(names, lambda n: n["norm"] == F.lower(stem)), F.lit(0))["sur"]
-        hit = t.rlike(r"^\p{Lu}") & sur.isNotNull()
+        name = F.get(F.filter(names, lambda n: n["norm"] == F.lower(stem)), F.lit(0))
+        sur, before = name["sur"], F.when(F.get(parts, i - 1).rlike(r"^\s+$"), F.lower(F.get(parts, i - 2)))
+        place = (name["words"] == 1) & F.coalesce(before.isin(*PLACES), F.lit(False))
+        hit = t.rlike(r"^\p{Lu}") & sur.isNotNull() & ~place
         new = F.concat(_poured(F.lit("family"), stem, sur), F.substring(t, F.length(stem) + 1, F.length(t)))
         return F.struct(F.when(hit, new).otherwise(t).alias("text"), hit.alias("hit"))
 
-    return F.transform(F.split(piece, _EDGE), one)
+    parts = F.split(piece, _EDGE)
+    return F.transform(parts, one)
 
 
 def replace_entities(docs: DataFrame, *, key: str) -> DataFrame:
@@ -273,12 +311,12 @@ def replace_entities(docs: DataFrame, *, key: str) -> DataFrame:
     found = found.select("doc_id", "text_key", F.posexplode_outer("mentions").alias("pos", "mention")).withColumn("mention_kind", _kind(F.col("mention")))
     found = stage(found, "mentions")
     atoms = found.select("doc_id", "text_key", "pos", "mention_kind", F.posexplode_outer(_atoms(F.col("mention"), F.col("mention_kind"))).alias("part", "atom"))
-    atoms = atoms.select("doc_id", "text_key", "pos", "part", "mention_kind", "atom.*")
+    atoms = stage(_one_kind_a_name(atoms.select("doc_id", "text_key", "pos", "part", "mention_kind", "atom.*")), "mention-parts")
     table = settle(stage(atoms.where("kind is not null").select("kind", "norm").distinct(), "entities"), key).select(F.col("kind").alias("e_kind"), F.col("norm").alias("e_norm"), "sur")
     if table.count() <= BROADCAST_ENTITIES:
         table = F.broadcast(table)
     atoms = atoms.join(table, (F.col("kind") == F.col("e_kind")) & (F.col("norm") == F.col("e_norm")), "left")
-    atoms = atoms.select("doc_id", "text_key", "mention_kind", F.struct("pos", "part", F.coalesce(_poured(F.col("kind"), F.col("text"), F.col("sur")), "text").alias("new")).alias("x"), F.when(F.col("kind").isin(*NAME_KINDS), F.struct("norm", "sur", "kind")).alias("name"))
+    atoms = atoms.select("doc_id", "text_key", "mention_kind", F.struct("pos", "part", F.coalesce(_poured(F.col("kind"), F.col("text"), F.col("sur")), "text").alias("new")).alias("x"), F.when(F.col("kind").isin(*NAME_KINDS), F.struct("norm", "sur", "kind", "words")).alias("name"))
     per = atoms.groupBy("doc_id", "text_key", F.col("x.pos").alias("pos")).agg(F.sort_array(F.collect_list("x")).alias("xs"), F.first("mention_kind").alias("kind"), F.collect_set("name").alias("names"))
     per = per.select("doc_id", "text_key", F.struct("pos", F.array_join(F.transform("xs", lambda x: x["new"]), "").alias("new"), "kind").alias("x"), "names")
     per = per.groupBy(F.col("doc_id").alias("h_id"), F.col("text_key").alias("h_key")).agg(F.sort_array(F.collect_list("x")).alias("new"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"))
@@ -290,7 +328,8 @@ def replace_entities(docs: DataFrame, *, key: str) -> DataFrame:
     pieces = F.coalesce(F.transform("bare", lambda ts: F.array_join(F.transform(ts, lambda t: t["text"]), "")), pieces)
     again = F.when(F.col("bare").isNotNull(), F.size(F.filter(F.flatten("bare"), lambda t: t["hit"]))).otherwise(0)
     text = F.array_join(F.zip_with(pieces, F.transform("new", lambda x: x["new"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    kinds = F.array_join(F.array_sort(F.concat(F.transform("new", lambda x: x["kind"]), F.array_repeat(F.lit("name"), again))), ",")
-    hit = hit.select("doc_id", (F.size("new") + again).cast("long").alias("n_entities"), kinds.alias("kinds"), text.alias("text"))
+    found = F.filter(F.transform("new", lambda x: x["kind"]), lambda k: k.isNotNull())
+    kinds = F.array_join(F.array_sort(F.concat(found, F.array_repeat(F.lit("name"), again))), ",")
+    hit = hit.select("doc_id", (F.size(found) + again).cast("long").alias("n_entities"), kinds.alias("kinds"), text.alias("text"))
     clean = flagged.where("not has").select("doc_id", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("kinds"), "text")
     return hit.unionByName(clean)

@@ -109,3 +109,46 @@ def test_nulls_repeats_clashing_columns_and_long_texts(spark):
     short = {r.text for r in got if r.doc_id is None}
     assert len(short) == 1 and all(len(r.text) > 900_000 and r.text.split("mail ")[1].split()[0] == short.copy().pop().split()[1] for r in got if r.doc_id == 1)
     assert pii.replace_entities(df.limit(0), key="k").count() == 0
+
+
+def mod97(iban):
+    bare = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97
+
+
+def luhn(digits):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits))) % 10
+
+
+def test_one_name_a_word(spark):
+    """Forms of address and places in a mention don't make two persons of one; genders are those of the document."""
+    got = replaced(spark, [
+        "Mrs. Anna Smith met us. Dr. Anna Smith left. Miss Anna smiled; Anna too.", "Sir Isaac Newton wrote. Sir Isaac slept, and Newton's dog.",
+        "Madame Paris lives in Paris. Later Paris sang.", "Prof. Kim Lee and Mr. Lee Marvin; Lee.", "Mr. Robin Hale. Mrs. Robin Hale.",
+    ])
+    a = re.findall(r"\w+", got[0].text)
+    assert a[1] == a[6] == a[10] == a[12] and a[2] == a[7] and len({a[1], a[2], "Anna", "Smith"}) == 4
+    assert a[1].lower().endswith(tuple(pii.SYLLABLES["latin"]["given_f"])) and a[2].lower().endswith(tuple(pii.SYLLABLES["latin"]["family"]))
+    b = re.findall(r"\w+", got[1].text)
+    assert b[1] == b[5] and b[2] == b[8] and b[1].lower().endswith(tuple(pii.SYLLABLES["latin"]["given_m"]))
+    c = re.findall(r"\w+", got[2].text)
+    assert c[1] == c[6] != "Paris" and c[4] == "Paris"
+    d = re.findall(r"\w+", got[3].text)
+    assert d[2] == d[5] == d[7]
+    e = re.findall(r"\w+", got[4].text)
+    assert e[1] == e[4] and e[2] == e[5] and [got[i].n_entities for i in range(5)] == [4, 3, 2, 3, 2]
+
+
+def test_accounts_and_cards(spark):
+    accounts = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR7630006000011234567890189", "NL91 ABNA 0417 1643 00"]
+    assert all(mod97(a) == 1 for a in accounts)
+    kept = ["1059743005344", "9783161484100", "0883958382058010", "4429820930819526"]
+    cards = ["4429820930819525", "4111 1111 1111 1111", "3782-822463-10005", "1234 5678 9012 3456"]
+    got = replaced(spark, [f"pay {x} now" for x in accounts + kept + cards])
+    new = [got[i].text[4:-4] for i in range(12)]
+    for old, sur in zip(accounts, new[:4], strict=True):
+        assert sur != old and sur[:2] == old[:2] and mod97(sur) == 1 and [c.isdigit() for c in sur[4:]] == [c.isdigit() for c in old[4:]]
+    assert new[4:8] == kept and all(got[i].n_entities == 0 and got[i].kinds == "" for i in range(4, 8))
+    for old, sur in zip(cards, new[8:], strict=True):
+        assert sur != old and re.sub(r"\d", "0", sur) == re.sub(r"\d", "0", old)
+        assert (luhn(re.sub(r"\D", "", old)) == 0) <= (luhn(re.sub(r"\D", "", sur)) == 0)
