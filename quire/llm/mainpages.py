@@ -24,6 +24,10 @@ NAMES = {
 }
 
 
+#: Share of pages that are an article without a frame.
+BARE = 0.2
+
+
 class Maker:
     def __init__(self, seed: int):
         self.r = Random(seed)
@@ -124,9 +128,24 @@ class Maker:
             body = self.inside("content", "div section", body)
         return self.inside("content", "article article main div div section", body)
 
+    def bare(self) -> str:
+        """An article without a frame: one to five blocks, or text and nothing else."""
+        r = self.r
+        one = lambda: r.choice([
+            f"<p>{self.prose(1, 5)}</p>", f"<p>{self.prose(1, 5)}</p>", self.paragraph(), f"<div>{self.prose(1, 4)}</div>", f"<h{r.choice('123')}>{self.words(1, 6)}</h2>",
+            "<ul>" + "".join(f"<li>{self.words(3, 14)}</li>" for _ in range(r.randint(1, 6))) + "</ul>",
+            "<table>" + "".join(f"<tr><td>{self.words(1, 3)}</td><td>{self.words(1, 8)}</td></tr>" for _ in range(r.randint(1, 4))) + "</table>",
+        ])
+        kind = r.random()
+        body = self.prose(1, 6) if kind < 0.15 else one() if kind < 0.45 else "".join(f"<p>{self.prose(1, 5)}</p>" for _ in range(r.randint(1, 5))) if kind < 0.7 else "".join(one() for _ in range(r.randint(2, 5)))
+        around = r.choice([("", ""), ("", ""), ("<body>", ""), ("<html><body>", "</body></html>"), (f"<html><head><title>{self.words(1, 4)}</title></head><body>", "</body></html>")])
+        return around[0] + "\x01" + body + "\x04" + around[1]
+
     def page(self) -> str:
         """A page, in which marks \\x01 and \\x04 stand around the article."""
         r = self.r
+        if r.random() < BARE:
+            return self.bare()
         some = lambda p, make: make() if r.random() < p else ""
         nav = lambda: self.inside("nav", "nav nav div", self.links(3, 10))
         top = self.inside("header", "header div", f'<a href="/">{self.words(1, 3)}</a>' + some(0.6, nav) + some(0.3, self.form)) if r.random() < 0.6 else some(0.8, nav)
