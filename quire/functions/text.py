@@ -200,3 +200,15 @@ def ids_json(ids: Column) -> Column:
 def read_ids(json: Column) -> Column:
     """Ids of a list as JSON; null where it is none."""
     return F.from_json(json, "array<bigint>")
+
+
+def output_text(body: Column) -> Column:
+    """The text of a provider's answer: the first that is a string of ``output_text``, the first choice's message, and the parts of
+    all outputs in order; null if the body is no JSON or has none."""
+    v = F.try_parse_json(body)
+    at = lambda x, path: F.try_variant_get(x, path, "variant")
+    text = lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
+    items = lambda x, path: F.coalesce(F.try_variant_get(x, path, "array<variant>"), F.array().cast("array<variant>"))
+    parts = F.flatten(F.transform(items(v, "$.output"), lambda o: items(o, "$.content")))
+    first = F.get(F.filter(F.transform(parts, lambda p: text(at(p, "$.text"))), lambda t: t.isNotNull()), F.lit(0))
+    return F.coalesce(text(at(v, "$.output_text")), text(at(v, "$.choices[0].message.content")), first)

@@ -12,6 +12,14 @@ from quire.operators import terms
 from quire.operators.sequence import number
 
 
+# Segments that an analysis looks at, by default and at most.
+LIMIT, MOST = 120, 500
+
+
+def analysis_limit(asked: int | None) -> int:
+    return LIMIT if asked is None else max(1, min(asked, MOST))
+
+
 def blank(x: Column) -> Column:
     return F.nullif(F.trim(x), F.lit(""))
 

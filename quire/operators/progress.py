@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.sequence import number
+
 
 def ratio(a: Column, total: Column) -> Column:
     return F.when(total == 0, 0.0).otherwise(a / total)
@@ -73,3 +75,10 @@ def ingest_counts(segments: DataFrame) -> DataFrame:
     a third of all rows is one row a chapter when books are grouped."""
     chapters = segments.groupBy("book_id", "chapter_id").agg(F.count("*").alias("n"))
     return chapters.groupBy("book_id").agg(F.count("*").alias("chapters"), F.sum("n").alias("segments"))
+
+
+def page_of(segments: DataFrame, asked: Column, rows: int = 6) -> DataFrame:
+    """The segments of one page of each chapter: the one that is asked for, clamped to those that there are."""
+    pages = segments.groupBy("chapter_id").agg(F.ceil(F.count("*") / rows).alias("pages"))
+    at = number(segments, ["chapter_id"], F.col("segment_order"), name="i").withColumn("page", (F.floor((F.col("i") - 1) / rows) + 1).cast("long"))
+    return at.join(pages, "chapter_id").where(F.col("page") == F.greatest(F.lit(1), F.least(asked, F.col("pages"))))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import terms
+from quire.operators.sequence import number
 
 # Points off by rule.
 PENALTIES = {"source_repeated_in_translation": 35, "english_residue": 20, "suspicious_length_ratio": 20, "preserved_token_missing": 20, "placeholder_mismatch": 30}
@@ -109,35 +110,85 @@ def _text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
+def with_headings(notes: DataFrame) -> DataFrame:
+    """Adds whether a note's chapter has another title than that of the note before it in the book, in order of chapter, segment and
+    when it was made; the note before is found in parts of a book."""
+    order = [F.col(x) for x in ("chapter_order", "segment_order", "created_at", "note_id")]
+    n = number(notes, ["book_id"], *order, name="i", before={"title_before": F.col("chapter_title")})
+    return n.withColumn("new_heading", (F.col("i") == 1) | ~F.col("chapter_title").eqNullSafe(F.col("title_before"))).drop("title_before")
+
+
 def notes_markdown(notes: DataFrame) -> DataFrame:
-    """The Markdown of each note, with its chapter's heading where one begins."""
-    w = Window.partitionBy("chapter_id").orderBy("segment_order", "note_id")
+    """The Markdown of each note by its place in the book, with the book's head before the first and a heading where the
+    chapter's title changes."""
     c = F.col
-    heading = F.when(F.row_number().over(w) == 1, _text("## Chapter ", c("chapter_id"), "\n\n")).otherwise("")
+    head = F.when(c("i") == 1, _text("# My Notes - ", c("book_title"), "\n\n")).otherwise("")
+    heading = F.when(c("new_heading"), _text("## ", c("chapter_title"), "\n\n")).otherwise("")
     shown = F.when(c("translated_text").isNull(), "").otherwise(_text("> ", T.strip_placeholders(c("translated_text")), "\n"))
-    note = _text(heading, "**Segment ", c("segment_order"), "** (", c("day"), ")\n> ", c("source_text"), "\n", shown, "\n**Note:** ", c("note_content"), "\n\n")
-    return notes.select("book_id", "chapter_id", "segment_order", "note_id", note.alias("markdown"))
+    note = _text(head, heading, "**Segment ", c("segment_order"), "** (", F.to_date("created_at"), ")\n> ", c("source_text"), "\n", shown, "\n**Note:** ", c("note_content"), "\n\n")
+    return with_headings(notes).select("book_id", "i", "note_id", note.alias("markdown"))
+
+
+#: What a warning says, by its code; those without an entry say what they found.
+MESSAGES = {
+    "segment_failed": "This segment could not be translated.",
+    "missing_translation": "This segment has no translation.",
+    "source_repeated_in_translation": "The translation holds the whole source text.",
+    "english_residue": "Much of the translation is still English.",
+    "suspicious_length_ratio": "The translation is much shorter or longer than the source.",
+    "preserved_token_missing": "Tokens to be kept are not in the translation.",
+    "placeholder_mismatch": "Inline placeholders differ from those of the source.",
+    "glossary_term_missing": "A term of the glossary is not translated as it says.",
+}
+#: Codes that are errors; the others are warnings.
+ERRORS = ("segment_failed", "missing_translation")
+
+
+def message(code: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for name, text in MESSAGES.items():
+        out = F.when(code == name, text).otherwise(out)
+    return out
+
+
+def severity(code: Column) -> Column:
+    return F.when(code.isin(*ERRORS), "error").otherwise("warning")
 
 
 def _statistics(scored: DataFrame) -> DataFrame:
     n = F.sum(F.size("reasons")).cast("long")
-    return scored.groupBy("book_id").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "TRANSLATED").alias("translated"), F.count_if(F.col("status") == "FAILED").alias("failed"), F.floor(F.avg("score") + 0.5).alias("score"), n.alias("n_warnings"))
+    terms_missed = F.sum(F.size(F.filter("reasons", lambda r: r == "glossary_term_missing"))).cast("long")
+    return scored.groupBy("book_id").agg(
+        F.count("*").alias("total"), F.count_if(F.col("status") == "TRANSLATED").alias("translated"), F.count_if(F.col("status") == "FAILED").alias("failed"),
+        F.floor(F.avg("score") + 0.5).alias("score"), n.alias("n_warnings"), terms_missed.alias("n_terms"),
+    )
 
 
 def report_markdown(scored: DataFrame) -> DataFrame:
-    """Lines by book, section (0 head, 1 warnings, 2 scores), segment and position."""
-    c, zero = F.col, F.lit(0)
-    head = _text("# Consistency Report\n\n- Book ID: ", c("book_id"), "\n- Total segments: ", c("total"), "\n- Translated segments: ", c("translated"), "\n- Failed segments: ", c("failed"), "\n- Quality score: ", c("score"), "\n- Warnings: ", c("n_warnings"), "\n")
-    heads = _statistics(scored).select("book_id", zero.alias("section"), zero.cast("long").alias("segment_id"), zero.alias("position"), head.alias("markdown"))
+    """Lines by book, section (0 head, 1 warnings, 2 scores), segment and position. A section's heading stands before its
+    first segment (id -1)."""
+    c, zero, before = F.col, F.lit(0), F.lit(-1).cast("long")
+    head = _text(
+        "# Consistency Report\n\n- Book ID: ", c("book_id"), "\n- Total segments: ", c("total"), "\n- Translated segments: ", c("translated"), "\n- Failed segments: ", c("failed"),
+        "\n- Quality score: ", c("score"), "\n- Warnings: ", c("n_warnings"), "\n- Term warnings: ", c("n_terms"), "\n",
+    )
+    lines = F.array(head, F.when(c("n_warnings") > 0, "\n## Warnings\n\n").otherwise("\nNo warnings.\n"), F.lit("\n## Segment Scores\n\n"))
+    heads = _statistics(scored).select("book_id", F.posexplode_outer(lines).alias("section", "markdown")).select("book_id", "section", before.alias("segment_id"), zero.alias("position"), "markdown")
     why = F.when(F.size("reasons") > 0, _text(" (", F.array_join("reasons", ", "), ")")).otherwise("")
     scores = scored.select("book_id", F.lit(2).alias("section"), "segment_id", zero.alias("position"), _text("- Segment ", c("segment_id"), ": ", c("score"), "/100", why, "\n").alias("markdown"))
-    told = scored.select("book_id", F.lit(1).alias("section"), "segment_id", F.posexplode("reasons").alias("position", "code"))
-    told = told.select("book_id", "section", "segment_id", "position", _text("- [WARNING] ", c("code"), " segment ", c("segment_id"), "\n").alias("markdown"))
+    told = scored.select("book_id", F.lit(1).alias("section"), "segment_id", F.posexplode_outer("reasons").alias("position", "code")).where("code is not null")
+    told = told.select("book_id", "section", "segment_id", "position", _text("- [", severity(c("code")), "] ", c("code"), " segment ", c("segment_id"), ": ", message(c("code")), "\n").alias("markdown"))
     return heads.unionByName(told).unionByName(scores)
 
 
 def report_json(scored: DataFrame) -> DataFrame:
-    per = scored.select("book_id", F.explode("reasons").alias("code")).groupBy("book_id", "code").agg(F.count("*").alias("n"))
-    per = per.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("code", "n"))).alias("warnings"))  # one entry a code
-    both = _statistics(scored).join(per, "book_id", "left").withColumn("warnings", F.coalesce("warnings", F.array().cast("array<struct<code:string,n:bigint>>")))
-    return both.select("book_id", F.to_json(F.struct("total", "translated", "failed", "score", "warnings")).alias("report"))
+    """A book's report in parts, so that none grows with the book: its figures as one JSON (``part`` head), a JSON each segment's score
+    (score) and each warning (warning), by segment and position."""
+    c, zero, before = F.col, F.lit(0), F.lit(-1).cast("long")
+    head = F.to_json(F.struct("book_id", "total", "translated", "failed", "score", "n_warnings", "n_terms"))
+    heads = _statistics(scored).select("book_id", F.lit("head").alias("part"), before.alias("segment_id"), zero.alias("position"), head.alias("json"))
+    score = F.to_json(F.struct("segment_id", "segment_order", "score", "reasons"))
+    scores = scored.select("book_id", F.lit("score").alias("part"), "segment_id", zero.alias("position"), score.alias("json"))
+    told = scored.select("book_id", "segment_id", "segment_order", T.preview(T.norm(c("source_text"))).alias("source_text"), F.posexplode_outer("reasons").alias("position", "code")).where("code is not null")
+    warning = F.to_json(F.struct("code", severity(c("code")).alias("severity"), "segment_id", "segment_order", message(c("code")).alias("message"), "source_text"))
+    return heads.unionByName(scores).unionByName(told.select("book_id", F.lit("warning").alias("part"), "segment_id", "position", warning.alias("json")))

@@ -137,16 +137,26 @@ def accessible_books(spark, sf):
     return progress.accessible(books, 7)
 
 
-@query("SELECT c_mktsegment AS role, count(*) AS n_users, count(*) > 0 AS has_any FROM customer GROUP BY c_mktsegment")
+_ROLES = """users AS (SELECT c_custkey AS user_id FROM customer WHERE c_nationkey < 20),
+  roles AS (SELECT c_custkey AS user_id, c_mktsegment AS role FROM customer UNION ALL SELECT c_custkey, 'ADMIN' FROM customer WHERE c_acctbal > 9000 UNION ALL SELECT c_custkey, 'GUEST' FROM customer WHERE c_nationkey >= 20)"""
+
+
+@query(f"WITH {_ROLES} SELECT role, count(u.user_id) AS n_users, count(u.user_id) > 0 AS has_any FROM roles LEFT JOIN users u USING (user_id) GROUP BY role")
 def users_by_role(spark, sf):
-    roles = R.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("role"))
-    return roles.groupBy("role").agg(F.count("*").alias("n_users"), (F.count("*") > 0).alias("has_any"))
+    """Of each role, how many users there are; a user has several, and some roles are left of users that are gone."""
+    c = R.table(spark, sf, "customer").withColumn("user_id", F.col("c_custkey"))
+    users = c.where("c_nationkey < 20").select("user_id", F.lit(1).alias("there"))
+    roles = c.select("user_id", F.col("c_mktsegment").alias("role"))
+    for role, those in (("ADMIN", "c_acctbal > 9000"), ("GUEST", "c_nationkey >= 20")):
+        roles = roles.unionByName(c.where(those).select("user_id", F.lit(role).alias("role")))
+    n = F.count("there")
+    return roles.join(users, "user_id", "left").groupBy("role").agg(n.alias("n_users"), (n > 0).alias("has_any"))
 
 
-@query(f"{JOBS}, {R.CHUNKS} SELECT job_id, book_id FROM jobs j WHERE status = 'FAILED' AND NOT EXISTS (SELECT 1 FROM chunks c WHERE c.job_id = j.job_id AND c.status = 'RUNNING')")
+@query(f"{JOBS}, {R.CHUNKS} SELECT job_id, book_id FROM jobs j WHERE status = 'CANCELED' AND NOT EXISTS (SELECT 1 FROM chunks c WHERE c.job_id = j.job_id AND c.status = 'RUNNING')")
 def orphan_sessions(spark, sf):
     running = R.chunks(spark, sf).where("status = 'RUNNING'").select("job_id")
-    return R.jobs(spark, sf).where("status = 'FAILED'").select("job_id", "book_id").join(running, "job_id", "left_anti")
+    return R.jobs(spark, sf).where("status = 'CANCELED'").select("job_id", "book_id").join(running, "job_id", "left_anti")
 
 
 @query(f"{CHUNKS} SELECT job_id, count(*) AS n FROM chunks WHERE status = 'RUNNING' AND locked_until < TIMESTAMP '{NOW}' GROUP BY job_id")
@@ -162,14 +172,9 @@ def lease_eligible(spark, sf):
 # -- notes -------------------------------------------------------------------------------------------
 
 
-@query(
-    f"""{SEG}, {R.NOTES}, j AS (SELECT note_id, n.segment_id, chapter_id, segment_order, note_content FROM notes n JOIN segments USING (segment_id))
-    SELECT note_id, segment_id, chapter_id, note_content, chapter_id IS DISTINCT FROM lag(chapter_id) OVER (ORDER BY chapter_id, segment_order, note_id) AS new_heading FROM j"""
-)
+@query(f"{SEG}, {R.NOTES} SELECT note_id, segment_id, chapter_id, note_content, new_heading FROM headed")
 def notes_export_rows(spark, sf):
-    j = R.notes(spark, sf).join(R.segments(spark, sf).select("segment_id", "chapter_id", "segment_order"), "segment_id")
-    w = Window.partitionBy("chapter_id").orderBy("segment_order", "note_id")  # a heading begins each chapter
-    return j.select("note_id", "segment_id", "chapter_id", "note_content", (F.row_number().over(w) == 1).alias("new_heading"))
+    return quality.with_headings(R.noted(spark, sf)).select("note_id", "segment_id", "chapter_id", "note_content", "new_heading")
 
 
 @query(f"{SEG}, {R.NOTES}, g AS (SELECT segment_id, count(*) AS n FROM notes GROUP BY segment_id) SELECT segment_id, coalesce(n, 0)::BIGINT AS n_notes FROM segments LEFT JOIN g USING (segment_id)")
@@ -184,6 +189,13 @@ def reader_pages(spark, sf):
     return R.segments(spark, sf).select("chapter_id", "segment_id", (F.floor((F.row_number().over(w) - 1) / 6) + 1).cast("long").alias("page"))
 
 
+@query(f"""{SEG}, p AS (SELECT chapter_id, segment_id, ((row_number() OVER (PARTITION BY chapter_id ORDER BY segment_order) - 1) // 6 + 1)::BIGINT AS page, (count(*) OVER (PARTITION BY chapter_id) + 5) // 6 AS pages FROM segments)
+    SELECT chapter_id, page, segment_id FROM p WHERE page = greatest(1, least(chapter_id % 9 - 2, pages))""")
+def reader_page(spark, sf):
+    """The rows of the page that is asked for, or the nearest there is."""
+    return progress.page_of(R.segments(spark, sf), F.col("chapter_id") % 9 - 2).select("chapter_id", "page", "segment_id")
+
+
 # -- planning ----------------------------------------------------------------------------------------
 
 
@@ -443,11 +455,11 @@ def candidate_upsert(spark, sf):
 
 @query(
     f"""{SEG}, p AS (SELECT chapter_id, segment_order, source_text, row_number() OVER (PARTITION BY chapter_id ORDER BY segment_order) AS i, count(*) OVER (PARTITION BY chapter_id) AS n FROM segments)
-    SELECT chapter_id, string_agg(source_text, ' ' ORDER BY segment_order) AS joined, bool_and(i <= n) AS complete FROM p GROUP BY chapter_id"""
+    SELECT chapter_id, string_agg(source_text, ' ' ORDER BY segment_order) AS joined, bool_and(i = segment_order) AS complete FROM p GROUP BY chapter_id"""
 )
 def ordered_rejoin(spark, sf):
     g = R.segments(spark, sf).groupBy("chapter_id").agg(F.array_sort(F.collect_list(F.struct("segment_order", "source_text"))).alias("x"))
-    return g.select("chapter_id", F.array_join(F.transform("x", lambda p: p["source_text"]), " ").alias("joined"), (F.size("x") > 0).alias("complete"))
+    return g.select("chapter_id", F.array_join(F.transform("x", lambda p: p["source_text"]), " ").alias("joined"), (F.element_at("x", -1)["segment_order"] == F.size("x")).alias("complete"))
 
 
 # -- books and dispatch ------------------------------------------------------------------------------

@@ -68,11 +68,11 @@ GLOSSARY_SQL = f"glossary(source_term, target_term, category) AS (VALUES {_value
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    status = F.when(F.col("o_orderpriority") == "5-LOW", "FAILED").when(F.col("o_orderstatus") == "F", "COMPLETED").when(F.col("o_orderstatus") == "O", "QUEUED").otherwise("RUNNING")
+    status = F.when(F.col("o_orderpriority") == "5-LOW", "FAILED").when((F.col("o_orderpriority") == "4-NOT SPECIFIED") & (F.col("o_orderkey") % 3 == 0), "CANCELED").when(F.col("o_orderstatus") == "F", "COMPLETED").when(F.col("o_orderstatus") == "O", "QUEUED").otherwise("RUNNING")
     return o.select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("book_id"), F.col("o_orderdate").alias("updated_at"), status.alias("status"))
 
 
-JOBS = "jobs AS (SELECT o_orderkey AS job_id, o_custkey AS book_id, o_orderdate AS updated_at, CASE WHEN o_orderpriority = '5-LOW' THEN 'FAILED' WHEN o_orderstatus = 'F' THEN 'COMPLETED' WHEN o_orderstatus = 'O' THEN 'QUEUED' ELSE 'RUNNING' END AS status FROM orders)"
+JOBS = "jobs AS (SELECT o_orderkey AS job_id, o_custkey AS book_id, o_orderdate AS updated_at, CASE WHEN o_orderpriority = '5-LOW' THEN 'FAILED' WHEN o_orderpriority = '4-NOT SPECIFIED' AND o_orderkey % 3 = 0 THEN 'CANCELED' WHEN o_orderstatus = 'F' THEN 'COMPLETED' WHEN o_orderstatus = 'O' THEN 'QUEUED' ELSE 'RUNNING' END AS status FROM orders)"
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,8 +94,19 @@ ARTIFACTS = "artifacts AS (SELECT o_orderkey AS artifact_id, o_custkey AS book_i
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("note_id"), (F.col("conv_id") * 100000 + 1).alias("segment_id"), F.col("text").alias("note_content"), F.col("role").alias("created_by"))
+    """Turns of conversations on the first segment of a chapter; three chapters one after another have one title."""
+    c = table(spark, sf_dir, "conversations").withColumn("note_id", F.col("conv_id") * 1000 + F.col("turn"))
+    made = F.date_add(F.lit("1998-09-02").cast("date"), (F.col("note_id") % 28).cast("int")).cast("timestamp_ntz")
+    return c.select("note_id", (F.col("conv_id") * 100000 + 1).alias("segment_id"), F.col("text").alias("note_content"), F.col("role").alias("created_by"), made.alias("created_at"))
 
 
-NOTES = "notes AS (SELECT conv_id * 1000 + turn AS note_id, conv_id * 100000 + 1 AS segment_id, text AS note_content, role AS created_by FROM conversations)"
+def noted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes with their segments, chapters and books."""
+    title = F.concat(F.lit("Chapter "), F.floor(F.col("chapter_id") / 3).cast("string"))
+    j = notes(spark, sf_dir).join(segments(spark, sf_dir), "segment_id")
+    return j.withColumns({"chapter_order": F.col("chapter_id"), "chapter_title": title, "book_title": F.concat(F.lit("Book "), F.col("book_id").cast("string"))})
+
+
+NOTES = """notes AS (SELECT conv_id * 1000 + turn AS note_id, conv_id * 100000 + 1 AS segment_id, text AS note_content, role AS created_by, (DATE '1998-09-02' + ((conv_id * 1000 + turn) % 28)::INT)::TIMESTAMP AS created_at FROM conversations),
+  noted AS (SELECT n.*, s.* EXCLUDE (segment_id), 'Chapter ' || (chapter_id // 3) AS chapter_title, 'Book ' || book_id AS book_title FROM notes n JOIN segments s USING (segment_id)),
+  headed AS (SELECT *, row_number() OVER w AS i, row_number() OVER w = 1 OR chapter_title IS DISTINCT FROM lag(chapter_title) OVER w AS new_heading FROM noted WINDOW w AS (PARTITION BY book_id ORDER BY chapter_id, segment_order, created_at, note_id))"""

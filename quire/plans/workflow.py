@@ -137,9 +137,12 @@ def reading_order(spark, sf):
     return number(s, ["book_id"], F.col("chapter_id"), F.col("segment_order")).select("book_id", "segment_id", F.col("position").cast("int").alias("position"))
 
 
-@query(f"{C.SEG} SELECT chapter_id, segment_id FROM segments WHERE trim(source_text) <> '' QUALIFY row_number() OVER (PARTITION BY chapter_id ORDER BY segment_order) <= 120")
+@query(" UNION ALL ".join(f"SELECT chapter_id, segment_id, {asked} AS asked FROM ({C.SEG} SELECT * FROM segments WHERE trim(source_text) <> '' QUALIFY row_number() OVER (PARTITION BY chapter_id ORDER BY segment_order) <= {k})" for asked, k in (("NULL::INT", 120), ("30", 30), ("9999", 500), ("0", 1))))
 def first_k_per_chapter(spark, sf):
-    return progress.latest(R.segments(spark, sf).where("trim(source_text) <> ''"), ["chapter_id"], F.col("segment_order"), k=120).select("chapter_id", "segment_id")
+    """The first segments of each chapter that an analysis looks at: by default, as asked for, and within its bounds."""
+    s = R.segments(spark, sf).where("trim(source_text) <> ''").select("chapter_id", "segment_id", "segment_order")
+    of = lambda asked: progress.latest(s, ["chapter_id"], F.col("segment_order"), k=G.analysis_limit(asked)).select("chapter_id", "segment_id", F.lit(asked).cast("int").alias("asked"))
+    return of(None).unionByName(of(30)).unionByName(of(9999)).unionByName(of(0))
 
 
 _RAW = "' ' || source_text || chr(160) || '  ' || chr(10) || chr(10) || chr(10) || chr(10) || lower(source_text) || chr(9) || ' '"
@@ -152,28 +155,29 @@ def post_process(spark, sf):
 
 
 @query(
-    f"""{C.SEG}, {R.NOTES}, j AS (SELECT book_id, chapter_id, segment_order, note_id, n.segment_id, note_content, source_text, translated_text FROM notes n JOIN segments USING (segment_id)),
-    k AS (SELECT *, row_number() OVER (PARTITION BY chapter_id ORDER BY segment_order, note_id) AS i FROM j)
-    SELECT book_id, chapter_id, segment_order, note_id, CASE WHEN i = 1 THEN '## Chapter ' || chapter_id || chr(10) || chr(10) ELSE '' END || '**Segment ' || segment_order || '** (' || (DATE '1998-09-02' + (note_id % 28)::INT)::VARCHAR || ')' || chr(10) || '> ' || source_text || chr(10)
-      || CASE WHEN translated_text IS NULL THEN '' ELSE '> ' || regexp_replace(translated_text, '\\[id\\d+\\]', '', 'g') || chr(10) END || chr(10) || '**Note:** ' || note_content || chr(10) || chr(10) AS markdown FROM k"""
+    rf"""{C.SEG}, {R.NOTES} SELECT book_id, i, note_id, CASE WHEN i = 1 THEN '# My Notes - ' || book_title || chr(10) || chr(10) ELSE '' END || CASE WHEN new_heading THEN '## ' || chapter_title || chr(10) || chr(10) ELSE '' END
+      || '**Segment ' || segment_order || '** (' || created_at::DATE::VARCHAR || ')' || chr(10) || '> ' || source_text || chr(10)
+      || CASE WHEN translated_text IS NULL THEN '' ELSE '> ' || regexp_replace(translated_text, '\[id\d+\]', '', 'g') || chr(10) END || chr(10) || '**Note:** ' || note_content || chr(10) || chr(10) AS markdown FROM headed"""
 )
 def notes_markdown(spark, sf):
-    """A book's notes as Markdown, one row a note in the order of the keys: no book is held whole."""
-    j = R.notes(spark, sf).join(R.segments(spark, sf), "segment_id")
-    day = F.date_add(F.lit("1998-09-02").cast("date"), (F.col("note_id") % 28).cast("int"))
-    return quality.notes_markdown(j.withColumn("day", day))
+    """A book's notes as Markdown, one row a note by its place: no book is held whole."""
+    return quality.notes_markdown(R.noted(spark, sf))
 
 
-_REPORT = f"""{C.SCORED}, w AS (SELECT book_id, segment_id, unnest(range(len(reasons)))::INT AS position, unnest(reasons) AS code FROM scored),
-  nw AS (SELECT book_id, count(*) AS n FROM w GROUP BY book_id),
+_MESSAGE = "CASE code " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in quality.MESSAGES.items()) + " END"
+_SEVERITY = f"CASE WHEN code IN {quality.ERRORS} THEN 'error' ELSE 'warning' END"
+_REPORT = f"""{C.SCORED}, w AS (SELECT book_id, segment_id, segment_order, source_text, unnest(range(len(reasons)))::INT AS position, unnest(reasons) AS code FROM scored),
+  nw AS (SELECT book_id, count(*) AS n, count_if(code = 'glossary_term_missing') AS nt FROM w GROUP BY book_id),
   s AS (SELECT book_id, count(*) AS total, count_if(status = 'TRANSLATED')::BIGINT AS translated, count_if(status = 'FAILED')::BIGINT AS failed, floor(avg(score) + 0.5)::BIGINT AS quality FROM scored GROUP BY book_id),
-  c AS (SELECT s.*, coalesce(n, 0)::BIGINT AS n_warnings FROM s LEFT JOIN nw USING (book_id))"""
+  c AS (SELECT s.*, coalesce(n, 0)::BIGINT AS n_warnings, coalesce(nt, 0)::BIGINT AS n_terms FROM s LEFT JOIN nw USING (book_id))"""
 
 
 @query(
     f"""{_REPORT}
-    SELECT book_id, 0 AS section, 0::BIGINT AS segment_id, 0 AS position, '# Consistency Report' || chr(10) || chr(10) || '- Book ID: ' || book_id || chr(10) || '- Total segments: ' || total || chr(10) || '- Translated segments: ' || translated || chr(10) || '- Failed segments: ' || failed || chr(10) || '- Quality score: ' || quality || chr(10) || '- Warnings: ' || n_warnings || chr(10) AS markdown FROM c
-    UNION ALL SELECT book_id, 1, segment_id, position, '- [WARNING] ' || code || ' segment ' || segment_id || chr(10) FROM w
+    SELECT book_id, 0 AS section, -1::BIGINT AS segment_id, 0 AS position, '# Consistency Report' || chr(10) || chr(10) || '- Book ID: ' || book_id || chr(10) || '- Total segments: ' || total || chr(10) || '- Translated segments: ' || translated || chr(10) || '- Failed segments: ' || failed || chr(10) || '- Quality score: ' || quality || chr(10) || '- Warnings: ' || n_warnings || chr(10) || '- Term warnings: ' || n_terms || chr(10) AS markdown FROM c
+    UNION ALL SELECT book_id, 1, -1, 0, chr(10) || CASE WHEN n_warnings = 0 THEN 'No warnings.' || chr(10) ELSE '## Warnings' || chr(10) || chr(10) END FROM c
+    UNION ALL SELECT book_id, 2, -1, 0, chr(10) || '## Segment Scores' || chr(10) || chr(10) FROM c
+    UNION ALL SELECT book_id, 1, segment_id, position, '- [' || {_SEVERITY} || '] ' || code || ' segment ' || segment_id || ': ' || {_MESSAGE} || chr(10) FROM w
     UNION ALL SELECT book_id, 2, segment_id, 0, '- Segment ' || segment_id || ': ' || score || '/100' || CASE WHEN len(reasons) > 0 THEN ' (' || array_to_string(reasons, ', ') || ')' ELSE '' END || chr(10) FROM scored"""
 )
 def report_markdown(spark, sf):
@@ -181,7 +185,12 @@ def report_markdown(spark, sf):
     return quality.report_markdown(C._scored(spark, sf))
 
 
-@query(f"""{_REPORT} SELECT book_id, '{{"total":' || total || ',"translated":' || translated || ',"failed":' || failed || ',"score":' || quality || ',"warnings":[' || coalesce((SELECT string_agg('{{"code":"' || code || '","n":' || n || '}}', ',' ORDER BY code) FROM (SELECT book_id, code, count(*) AS n FROM w GROUP BY book_id, code) g WHERE g.book_id = c.book_id), '') || ']}}' AS report FROM c""")
+@query(
+    f"""{_REPORT}
+    SELECT book_id, 'head' AS part, -1::BIGINT AS segment_id, 0 AS position, '{{"book_id":' || book_id || ',"total":' || total || ',"translated":' || translated || ',"failed":' || failed || ',"score":' || quality || ',"n_warnings":' || n_warnings || ',"n_terms":' || n_terms || '}}' AS json FROM c
+    UNION ALL SELECT book_id, 'score', segment_id, 0, '{{"segment_id":' || segment_id || ',"segment_order":' || segment_order || ',"score":' || score || ',"reasons":[' || array_to_string(list_transform(reasons, lambda y: '"' || y || '"'), ',') || ']}}' FROM scored
+    UNION ALL SELECT book_id, 'warning', segment_id, position, '{{"code":"' || code || '","severity":"' || {_SEVERITY} || '","segment_id":' || segment_id || ',"segment_order":' || segment_order || ',"message":"' || {_MESSAGE} || '","source_text":' || to_json(CASE WHEN length(source_text) <= 160 THEN source_text ELSE substr(source_text, 1, 157) || '...' END)::VARCHAR || '}}' FROM w"""
+)
 def report_json(spark, sf):
     return quality.report_json(C._scored(spark, sf))
 
@@ -343,3 +352,37 @@ def paragraph_rejoin(spark, sf):
     joined = F.array_join(F.transform("x", lambda v: v["part"]), " ")
     longest = F.array_max(F.transform("x", lambda v: F.length(v["part"])))
     return p.select("doc_id", "t").join(each, "doc_id").select("doc_id", F.size("x").cast("long").alias("n_parts"), (joined == F.col("t")).alias("whole"), longest.alias("longest"))
+
+
+# -- answers of providers --------------------------------------------------------------------------------
+
+
+def _answers(spark, sf):
+    """Turns of conversations as answers of providers in eight shapes: each path, with what is no string before it, and none."""
+    t, case = F.col("text"), (F.col("conv_id") + F.col("turn")) % 8
+    js = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
+    message = F.array(F.struct(F.struct(t.alias("content")).alias("message"))).alias("choices")
+    listed = F.array(F.struct(F.struct(F.array(F.lit(1)).alias("content")).alias("message"))).alias("choices")
+    part = lambda x, y: F.struct(x.alias("text"), y.alias("type"))
+    none = F.lit(None).cast("string")
+    of = lambda *p: F.array(F.struct(F.array(*p).alias("content"))).alias("output")
+    body = (
+        F.when(case == 0, js(t.alias("output_text"))).when(case == 1, js(F.lit(5).alias("output_text"), message)).when(case == 2, js(listed, of(part(none, F.lit("x")), part(t, F.lit("y")))))
+        .when(case == 3, F.regexp_replace(js(of(part(t, none), part(F.lit("late"), none))), r"^\{.output.:\[", '{"output":[{"id":1},{"content":"no"},')).when(case == 4, js(F.array().cast("array<string>").alias("choices")))
+        .when(case == 5, F.substring(js(t.alias("output_text")), 1, 20)).when(case == 6, js(none.alias("output_text"), message)).otherwise(F.concat(F.lit("["), js(t.alias("output_text")), F.lit("]")))
+    )
+    return R.table(spark, sf, "conversations").select("conv_id", "turn", body.alias("body"))
+
+
+_ANSWERS = """a AS (SELECT conv_id, turn, text, (conv_id + turn) % 8 AS k, to_json(text)::VARCHAR AS j FROM conversations),
+  b AS (SELECT conv_id, turn, CASE k WHEN 0 THEN '{"output_text":' || j || '}' WHEN 1 THEN '{"output_text":5,"choices":[{"message":{"content":' || j || '}}]}' WHEN 2 THEN '{"choices":[{"message":{"content":[1]}}],"output":[{"content":[{"text":null,"type":"x"},{"text":' || j || '}]}]}'
+    WHEN 3 THEN '{"output":[{"id":1},{"content":"no"},{"content":[{"text":' || j || '},{"text":"late"}]}]}' WHEN 4 THEN '{"choices":[]}' WHEN 5 THEN substr('{"output_text":' || j || '}', 1, 20) WHEN 6 THEN '{"output_text":null,"choices":[{"message":{"content":' || j || '}}]}' ELSE '[{"output_text":' || j || '}]' END AS body FROM a),
+  v AS (SELECT conv_id, turn, CASE WHEN json_valid(body) THEN body::JSON END AS d FROM b)"""
+
+
+@query(f"""WITH {_ANSWERS}, x AS (SELECT conv_id, turn, CASE WHEN json_type(d, '$.output_text') = 'VARCHAR' THEN d->>'$.output_text' WHEN json_type(d, '$.choices[0].message.content') = 'VARCHAR' THEN d->>'$.choices[0].message.content'
+    ELSE list_filter(json_extract(d, '$.output[*].content[*].text'), lambda y: json_type(y) = 'VARCHAR')[1]->>'$' END AS text FROM v)
+    SELECT conv_id, turn, text, CASE WHEN text IS NULL THEN 'no output text' END AS fault FROM x""")
+def output_texts(spark, sf):
+    x = _answers(spark, sf).select("conv_id", "turn", T.output_text(F.col("body")).alias("text"))
+    return x.withColumn("fault", F.when(F.col("text").isNull(), "no output text"))
