@@ -18,8 +18,8 @@ numbers are little-endian:
 
 Encoding is exact: where a tokenizer's tokens hold no white space and don't depend on what stands across
 it (probed when it is loaded), a text's ids are those of its pieces between spaces and newlines; other
-tokenizers get whole texts. Pieces that a worker has met are kept in a bounded dictionary; new ones are
-encoded together. Texts are taken ``CHUNK`` bytes at a time, a longer one in parts cut at spaces.
+tokenizers get whole texts. Pieces that a worker has met are kept in bounded arrays; new ones are encoded
+together. Texts are taken ``CHUNK`` bytes at a time, a longer one in parts cut at spaces.
 
 Defined results: null and empty texts have the end id only; documents of equal id are in order of their
 text; null ids come first; equal rows are documents of their own; extra columns are ignored; an empty
@@ -38,13 +38,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.store import new_path, parallelism, small_batches, stage
-from quire.llm.vec import CHUNK, chunks, column, release
+from quire.llm.vec import CHUNK, chunks, column, hashes, release, runs
 
 SHARD, SHARDS = 250_000, 64
 END_ID = 2
 BLOCK = 512
-#: Pieces kept by a worker, of at most 64 characters: about 60 MB. The half that was used last stays longest.
-KEPT = 300_000
+#: Pieces kept by a worker: at most some 100 MB.
+KEPT = 2_000_000
 MARK = "\x01"
 MAGIC = b"DAC1"
 HEAD = 24
@@ -156,36 +156,83 @@ _encoders: dict = {}
 PROBES = ("a b", " a  b ", "don't stop\nnow 12 x.y", "a\n\nb", "é ü — 中文 ok", "(a) b's, c!")
 
 
+class _Pieces:
+    """Ids of pieces of text that a worker has met, in arrays: some 40 bytes a piece. The half that was used last stays
+    when there are too many. Pieces are told apart by 64 bits of hash and their length."""
+
+    def __init__(self):
+        self.h, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.at, self.n, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.end, self.time = np.zeros(1 << 16, "<u4"), 0, 0
+
+    def find(self, h: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Places of pieces, -1 of those that aren't known."""
+        if not len(self.h):
+            return np.full(len(h), -1)
+        i = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        self.time += 1
+        there = (self.h[i] == h) & (self.size[i] == size)
+        self.used[i[there]] = self.time
+        return np.where(there, i, -1)
+
+    def add(self, h: np.ndarray, size: np.ndarray, ids: list[bytes]) -> None:
+        """New pieces, by rising hash; of two with one hash the later is forgotten again."""
+        n = np.array([len(x) // 4 for x in ids], np.int64)
+        more = np.frombuffer(b"".join(ids), "<u4")
+        while self.end + len(more) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), "<u4")])
+        self.pool[self.end : self.end + len(more)] = more
+        at = self.end + np.cumsum(n) - n
+        self.end += len(more)
+        place = np.searchsorted(self.h, h)
+        put = lambda old, new: np.insert(old, place, new)
+        self.h, self.size, self.at, self.n, self.used = put(self.h, h), put(self.size, size), put(self.at, at), put(self.n, n), put(self.used, self.time)
+
+    def forget(self) -> None:
+        """Down to half of KEPT, those used last."""
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: KEPT // 2])
+        ids, _ = self.ids(keep)
+        self.h, self.size, self.n, self.used = self.h[keep], self.size[keep], self.n[keep], self.used[keep]
+        self.at = np.cumsum(self.n) - self.n
+        self.pool, self.end = np.concatenate([ids, np.zeros(1 << 16, "<u4")]), len(ids)
+
+    def ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces one after another, and how many each has."""
+        n = self.n[places]
+        upto = np.cumsum(n)
+        return self.pool[np.arange(upto[-1] if len(n) else 0) + np.repeat(self.at[places] - (upto - n), n)], n
+
+
 class _Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-        self.before: dict[str, bytes] = {}  # what was known until half of KEPT was reached
+        self.known = _Pieces()
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.by_piece = all(ids(t) == [i for p in t.replace("\n", " ").split(" ") for i in ids(p)] for t in PROBES)
         mark = ids(MARK)
         self.mark = mark[0] if len(mark) == 1 else None
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+    def encode(self, data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+        """Unsigned 32-bit ids of each text data[bounds[i]:bounds[i + 1]] of UTF-8 bytes; bounds start at 0."""
         if not self.by_piece:
-            return [self._ids(t) for t in texts]
-        if len(self.known) > KEPT // 2:
-            self.known, self.before = {"": b""}, self.known
-        known, before = self.known, self.before
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set()
-        for p in pieces:
-            new.update(p)
-        new = [p for p in new if p not in known]
-        known.update((p, before[p]) for p in new if p in before)
-        new = [p for p in new if p not in before]
-        found = dict(zip(new, self._new(new), strict=True))
-        known.update((p, b) for p, b in found.items() if len(p) <= 64)
-        get = known.__getitem__ if all(len(p) <= 64 for p in new) else lambda p: known.get(p) or found.get(p, b"")
-        return [b"".join(map(get, p)) for p in pieces]
+            return [np.frombuffer(self._ids(str(memoryview(data[a:b]), "utf-8")), "<u4") for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        starts, ends = runs((data != 0x20) & (data != 0x0A), bounds)
+        h, first, which = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
+        size = ends[first] - starts[first]
+        place = self.known.find(h, size)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            view = memoryview(data)
+            pieces = [str(view[a:b], "utf-8") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
+            self.known.add(h[new], size[new], self._new(pieces))
+            place = self.known.find(h, size)
+        ids, n = self.known.ids(place[which])
+        upto = np.append(0, np.cumsum(n))[np.searchsorted(starts, bounds)]
+        if len(self.known.h) > KEPT:
+            self.known.forget()
+        return [ids[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -205,19 +252,20 @@ class _Encoder:
             out.extend(map(self._ids, some))
         return out
 
-    def encode_long(self, raw: memoryview) -> bytes:
-        """Ids of one long UTF-8 text, in parts that end at a space."""
-        out, a, n = [], 0, len(raw)
+    def encode_long(self, raw: memoryview | np.ndarray) -> np.ndarray:
+        """Ids of one long text of UTF-8 bytes, in parts that end at a space."""
+        data = np.frombuffer(raw, np.uint8)
+        out, a, n = [np.zeros(0, "<u4")], 0, len(data)
         while a < n:
             b = n
             if self.by_piece and n - a > CHUNK:
-                b = bytes(raw[a : a + CHUNK]).rfind(b" ") + a + 1
+                b = data[a : a + CHUNK].tobytes().rfind(b" ") + a + 1
                 if b == a:  # no space so near: on to the next one
-                    rest = bytes(raw[a:])
+                    rest = data[a:].tobytes()
                     b = a + (rest.find(b" ") + 1 or len(rest))
-            out.append(self.encode([str(raw[a:b], "utf-8")])[0])
+            out.append(self.encode(data[a:b], np.array([0, b - a]))[0])
             a = b
-        return b"".join(out)
+        return np.concatenate(out)
 
 
 def encoder(path: str) -> _Encoder:
@@ -228,30 +276,27 @@ def encoder(path: str) -> _Encoder:
 
 def _writer(path: str, end_id: int, shard_ids: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(path), np.array([end_id], "<u4")
         doc_ids: list[int | None] = []
         lengths: list[int] = []
-        raw: list[bytes] = []
+        raw: list[np.ndarray] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([pack(np.frombuffer(b"".join(raw), "<u4"), doc_ids, lengths)], pa.binary())], names=["shard"])
+            return pa.RecordBatch.from_arrays([pa.array([pack(np.concatenate(raw), doc_ids, lengths)], pa.binary())], names=["shard"])
 
         for batch in batches:
             data, offsets = column(batch.column(1))
-            view = memoryview(data)
             for a, b in chunks(offsets):
-                if offsets[b] - offsets[a] > CHUNK:
-                    found = [enc.encode_long(view[offsets[a] : offsets[b]])]
-                else:
-                    found = enc.encode([str(view[x:y], "utf-8") for x, y in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist(), strict=True)])
+                text = data[offsets[a] : offsets[b]]
+                found = [enc.encode_long(text)] if len(text) > CHUNK else enc.encode(text, offsets[a : b + 1] - offsets[a])
                 for doc_id, ids in zip(batch.column(0).slice(a, b - a).to_pylist(), found, strict=True):
-                    n = len(ids) // 4 + 1
+                    n = len(ids) + 1
                     if held and held + n > shard_ids:
                         yield flush()
                         held = 0
                         doc_ids.clear(), lengths.clear(), raw.clear()
-                    doc_ids.append(doc_id), lengths.append(n), raw.append(ids + end)
+                    doc_ids.append(doc_id), lengths.append(n), raw.extend((ids.copy(), end))
                     held += n
         if doc_ids:
             yield flush()

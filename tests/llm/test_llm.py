@@ -411,3 +411,23 @@ def test_pipeline(spark):
         assert docs.columns == spark.read.parquet(f"{SF}/documents.parquet").columns, name
     out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert 0 < out.count() <= 3 * n and os.path.exists(queries.tokenizer_path())
+
+
+def test_pieces_are_forgotten_and_found_again(monkeypatch):
+    """With room for a few pieces only."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    rng = random.Random(8)
+    texts = ["", " ", "\n\n"] + [" ".join(f"w{rng.randint(0, 300)} é{rng.randint(0, 9)}" + rng.choice(["", "\n", "  "]) for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    for kept in (10, 100, 10_000):
+        monkeypatch.setattr(tokens, "KEPT", kept)
+        enc, got = tokens._Encoder(path), []
+        for a in range(0, len(texts), 20):
+            raw = [t.encode() for t in texts[a : a + 20]]
+            got += enc.encode(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw])))
+        assert [x.tolist() for x in got] == want
+        assert len(enc.known.h) <= kept
