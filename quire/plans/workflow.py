@@ -15,7 +15,7 @@ from quire.operators.sequence import number
 from quire.plans import catalogue as C
 from quire.plans import relations as R
 from quire.plans.catalogue import query
-from quire.sources import library, scratch
+from quire.sources import changes, library, scratch
 
 # -- chunks ------------------------------------------------------------------------------------------
 
@@ -386,3 +386,36 @@ _ANSWERS = """a AS (SELECT conv_id, turn, text, (conv_id + turn) % 8 AS k, to_js
 def output_texts(spark, sf):
     x = _answers(spark, sf).select("conv_id", "turn", T.output_text(F.col("body")).alias("text"))
     return x.withColumn("fault", F.when(F.col("text").isNull(), "no output text"))
+
+
+# -- notes as a log of changes ----------------------------------------------------------------------------
+
+
+def _changes(spark, sf):
+    """Events as changes of 300 notes by five actors, of whom one is an admin."""
+    e, way = R.table(spark, sf, "events"), F.floor(F.col("event_id") / 7) * 7919 % 10
+    op = F.when(way < 3, "create").when(way < 9, "update").otherwise("delete")
+    actor = F.concat(F.lit("u"), (F.col("user_id") % 5).cast("string"))
+    return e.select((F.col("event_id") % 300).alias("note_id"), F.col("event_id").alias("change_id"), F.col("ts").alias("at"), op.alias("op"), actor.alias("actor"), (F.col("user_id") % 5 == 0).alias("admin"), F.concat(F.col("event_type"), F.lit(" "), F.col("event_id").cast("string")).alias("content"))
+
+
+_CHANGES = """ch AS (SELECT event_id % 300 AS note_id, event_id AS id, ts, CASE WHEN (event_id // 7) * 7919 % 10 < 3 THEN 'create' WHEN (event_id // 7) * 7919 % 10 < 9 THEN 'update' ELSE 'delete' END AS op, 'u' || (user_id % 5) AS actor, user_id % 5 = 0 AS admin, event_type || ' ' || event_id AS content FROM events),
+  q AS (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY ts, id) AS i FROM ch)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_CHANGES}, st AS (SELECT note_id, 0::BIGINT AS i, NULL::VARCHAR AS creator, NULL::VARCHAR AS content, NULL::TIMESTAMP AS created_at, NULL::TIMESTAMP AS updated_at, false AS deleted, 0::BIGINT AS refused FROM q WHERE i = 1
+      UNION ALL SELECT q.note_id, q.i, CASE WHEN creator IS NULL AND op = 'create' THEN actor ELSE creator END,
+        CASE WHEN creator IS NULL AND op = 'create' OR creator IS NOT NULL AND NOT deleted AND op = 'update' AND (admin OR actor = creator) THEN q.content ELSE st.content END, CASE WHEN creator IS NULL AND op = 'create' THEN ts ELSE created_at END,
+        CASE WHEN creator IS NULL AND op = 'create' OR creator IS NOT NULL AND NOT deleted AND op = 'update' AND (admin OR actor = creator) THEN ts ELSE updated_at END,
+        deleted OR creator IS NOT NULL AND op = 'delete' AND (admin OR actor = creator),
+        refused + (NOT (creator IS NULL AND op = 'create' OR creator IS NOT NULL AND NOT deleted AND op <> 'create' AND (admin OR actor = creator)))::INT
+      FROM st JOIN q ON q.note_id = st.note_id AND q.i = st.i + 1)
+    SELECT note_id, creator, content, created_at, updated_at, deleted, refused FROM st WHERE creator IS NOT NULL QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY i DESC) = 1"""
+)
+def notes_change_log(spark, sf):
+    """Changes in three batches, each with some that are late, the first of them applied twice."""
+    path, c = f"{scratch.folder(spark)}/{uuid.uuid4().hex}/notes", _changes(spark, sf)
+    for batch in (0, 1, 0, 2):
+        changes.apply(c.where(F.col("change_id") % 3 == batch), path)
+    return changes.notes(spark, path, deleted=True)
