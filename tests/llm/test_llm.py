@@ -393,7 +393,7 @@ def test_boosted():
 
 
 def test_empty_tables(spark, tmp_path):
-    for name in ("documents", "pages", "benchmark", "labels"):
+    for name in ("documents", "embeddings", "pages", "benchmark", "labels"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     import corpus_pipeline
 
