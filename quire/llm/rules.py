@@ -1,15 +1,18 @@
 """Quality rules with risk-controlled thresholds.
 
 Every document gets counts (``measure``); every rule is a rate made of them, larger for worse text. A
-document fails a rule if its rate is over the rule's cutoff in its stratum (its language), and goes if it
-fails any. Cutoffs come from labelled documents, cut into a tuning part and a holdout by a hash of the
+document fails a rule if its rate is over the rule's cutoff in its stratum, and goes if it fails any. A
+language is a stratum of its own if its clean holdout is large enough for a policy without any rejection to
+be admissible; the labelled languages that aren't make up one pooled stratum. Which ones these are depends
+on the size of the holdouts alone, so the pool is tested like any other stratum and the bound holds for it
+as a whole (not for each language in it). A language without labels is in no stratum: base rules only. Cutoffs come from labelled documents, cut into a tuning part and a holdout by a hash of the
 text's class (the least hash of its 8-word windows), so that copies and most near copies fall on one side.
 
 The tuning part picks each rule's cutoff in each stratum (most true rejections, each false one counting
 ``COST`` times; the laxer one on a tie) and puts the rules in order of that worth: the first rule alone,
 the first two together, and so on are the stratum's policies. What is controlled is the policy as a whole:
 a policy is admissible if an exact binomial test on the stratum's clean holdout shows a false rejection
-rate of at most ``RISK``: P(Bin(n, RISK) <= rejected) <= CONFIDENCE / (strata * rules), which is the
+rate of at most ``RISK``: P(Bin(n, RISK) <= rejected) <= CONFIDENCE / ((languages + 1) * rules), the
 Clopper-Pearson bound with Bonferroni's correction over all policies of all strata, so that all chosen
 ones hold together with probability 1 - CONFIDENCE. The longest admissible policy of a stratum is taken;
 without one, only base rules reject there. A trial of the test is a class of texts, rejected if any of its
@@ -20,6 +23,9 @@ toxic documents, learned on at most ``SAMPLE`` labelled documents of each class
 counting distinct neighbours rather than documents keeps copies from making words look toxic. All else
 (counts, cutoffs) covers every document and label.
 
+Strata, their counts and policies stay tables, however many languages there are: only the number of
+languages reaches the driver.
+
 Base rules hold whatever the labels say: fewer than 20 words, or over 30 % of words in 8-word windows
 that the text repeats.
 
@@ -37,12 +43,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm.decontam import words
-from quire.llm.store import stage
+from quire.llm.store import BROADCAST_ROWS, stage
 from quire.llm.vec import LOWER, Words, chunks, column, hashes, mix, per_text, release, runs, windows
 
 MIN_WORDS, REPEATED_PERCENT, SPAN = 20, 30, 8
@@ -177,10 +183,15 @@ def base_failed() -> Column:
 
 
 def evidence(labels: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, bad, toxic, class, holdout) of each labelled document."""
+    """(doc_id, bad, toxic, class, holdout) of each labelled document. Only labelled texts are cut into
+    windows, where their ids, counted, can be broadcast; else all are, so that no text is shuffled."""
     some = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull())
     per = some.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") < 1).alias("low"), (F.max("toxic") > 0).alias("toxic"))
-    classes = text_classes(docs).groupBy("doc_id").agg(F.min("class").alias("class"))
+    per = stage(per, "label-rows")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if per.count() <= BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(per.select("doc_id")), "doc_id", "left_semi")
+    classes = text_classes(texts).groupBy("doc_id").agg(F.min("class").alias("class"))
     held = F.pmod(F.xxhash64(F.lit("holdout"), "class"), F.lit(100)) < HOLDOUT
     return per.join(classes, "doc_id").select("doc_id", (F.col("low") | F.col("toxic")).alias("bad"), "toxic", "class", held.alias("holdout"))
 
@@ -223,56 +234,78 @@ def admissible(n: int, rejected: list[int], tests: int, *, risk: float = RISK, c
     return 0
 
 
-def _policies(spark: SparkSession, chosen: list[tuple[str | None, str, float, int]], lang: T.DataType) -> DataFrame:
-    """One row a stratum: its cutoffs and their ranks by rule, null where it has none."""
-    by: dict[str | None, dict] = {}
-    for stratum, rule, cut, rank in chosen:
-        by.setdefault(stratum, {})[rule] = (cut, rank)
-    rows = [(s, *(x for rule in CUTOFFS for x in of.get(rule, (None, None)))) for s, of in by.items()]
-    fields = [T.StructField("stratum", lang), *(f for rule in CUTOFFS for f in (T.StructField(f"cut_{rule}", T.DoubleType()), T.StructField(f"rank_{rule}", T.IntegerType())))]
-    out = spark.createDataFrame(rows, T.StructType(fields))
-    return F.broadcast(out) if len(rows) <= STRATA else out
+def enough(tests: int, *, risk: float = RISK, confidence: float = CONFIDENCE) -> int:
+    """The least number of trials of which none is rejected that passes the test."""
+    return math.ceil(math.log(confidence / tests) / math.log1p(-risk))
 
 
-def _with_rank(measured: DataFrame, chosen: list[tuple[str | None, str, float, int]]) -> DataFrame:
-    """Adds fails: the rank of the first rule of its stratum that a document fails, or null."""
-    of = rates()
-    first = [F.when(of[rule] > F.col(f"cut_{rule}"), F.col(f"rank_{rule}")) for rule in CUTOFFS]
-    policies = _policies(measured.sparkSession, chosen, measured.schema["lang"].dataType)
-    out = measured.join(policies, F.col("lang").eqNullSafe(F.col("stratum")), "left")
-    return out.select(*measured.columns, F.least(*first).alias("fails"))
+CHOICE = [f"{what}_{rule}" for rule in CUTOFFS for what in ("cut", "rank")]
 
 
-def cutoffs(measured: DataFrame, labelled: DataFrame, *, risk: float = RISK, confidence: float = CONFIDENCE, cost: int = COST) -> list[tuple[str | None, str, float, int]]:
-    """(stratum, rule, cutoff, rank) of the chosen policies. Only counts of each stratum reach the driver."""
-    rows = measured.where(~base_failed()).join(labelled, "doc_id")
-    bad, clean = ~F.col("holdout") & F.col("bad"), ~F.col("holdout") & ~F.col("bad")
+def _choices(tuning: DataFrame, cost: int) -> DataFrame:
+    """(own, of, CHOICE, n_policies) of each stratum: the best cutoff of each rule that is worth anything,
+    and its rank by that worth; null for other rules."""
     of = rates()
-    sums = [F.count_if(x & (of[rule] > cut)).alias(f"{rule}_{j}_{k}") for rule, grid in CUTOFFS.items() for j, cut in enumerate(grid) for x, k in ((bad, "bad"), (clean, "clean"))]
-    strata = rows.groupBy("lang").agg(*sums).collect()
-    tried = []
-    for r in strata:
-        best = []
-        for rule, grid in CUTOFFS.items():
-            worth = [r[f"{rule}_{j}_bad"] - cost * r[f"{rule}_{j}_clean"] for j in range(len(grid))]
-            if max(worth) > 0:
-                best.append((max(worth), rule, grid[worth.index(max(worth))]))
-        tried += [(r.lang, rule, cut, rank) for rank, (_, rule, cut) in enumerate(sorted(best, key=lambda x: -x[0]))]
-    held = _with_rank(rows.where("holdout and not bad"), tried)
-    trials = held.groupBy("lang", "class").agg(F.min("fails").alias("fails"))
-    upto = [F.count_if(F.col("fails") <= k).alias(f"upto_{k}") for k in range(len(CUTOFFS))]
-    tests = max(1, len(strata)) * len(CUTOFFS)
-    go = {}
-    for r in trials.groupBy("lang").agg(F.count("*").alias("n"), *upto).collect():
-        n_policies = sum(s == r.lang for s, *_ in tried)
-        go[r.lang] = admissible(r.n, [r[f"upto_{k}"] for k in range(n_policies)], tests, risk=risk, confidence=confidence)
-    return [x for x in tried if x[3] < go.get(x[0], 0)]
-
-
-def judge(measured: DataFrame, chosen: list[tuple[str | None, str, float, int]]) -> DataFrame:
+    worth = lambda rule, cut: F.count_if(F.col("bad") & (of[rule] > cut)) - cost * F.count_if(~F.col("bad") & (of[rule] > cut))
+    sums = [F.array(*(F.struct(worth(rule, cut).alias("worth"), F.lit(-j).alias("lax"), F.lit(cut).alias("cut")) for j, cut in enumerate(grid))) for rule, grid in CUTOFFS.items()]
+    best = tuning.groupBy("own", "of").agg(*(F.array_max(x).alias(rule) for rule, x in zip(CUTOFFS, sums, strict=True)))
+    order = [F.when(F.col(f"{rule}.worth") > 0, F.struct((-F.col(f"{rule}.worth")).alias("loss"), F.lit(i).alias("rule"))) for i, rule in enumerate(CUTOFFS)]
+    ranked = best.withColumn("order", F.transform(F.array_sort(F.array_compact(F.array(*order))), lambda x: x["rule"]))
+    place = [F.nullif(F.array_position("order", F.lit(i)), F.lit(0)).cast("int") - 1 for i in range(len(CUTOFFS))]
+    columns = [x for rule, at in zip(CUTOFFS, place, strict=True) for x in (F.when(at.isNotNull(), F.col(f"{rule}.cut")).alias(f"cut_{rule}"), at.alias(f"rank_{rule}"))]
+    return ranked.select("own", "of", *columns, F.size("order").alias("n_policies"))
+
+
+def _fails() -> Column:
+    """The rank of the first rule that a row fails by the cutoffs beside it, or null."""
+    of = rates()
+    return F.least(*(F.when(of[rule] > F.col(f"cut_{rule}"), F.col(f"rank_{rule}")) for rule in CUTOFFS))
+
+
+def _lengths(trials: DataFrame, tests: int, risk: float, confidence: float) -> DataFrame:
+    """(own, of, go): how many policies of each stratum to go along, from its trials' (fails, n_policies)."""
+    upto = F.array(*(F.count_if(F.col("fails") <= k) for k in range(len(CUTOFFS))))
+    counted = trials.groupBy("own", "of").agg(F.count("*").alias("n"), upto.alias("upto"), F.max("n_policies").alias("n_policies"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            go = [admissible(r["n"], r["upto"][: r["n_policies"]], tests, risk=risk, confidence=confidence) for r in batch.select(["n", "upto", "n_policies"]).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(go, pa.int32())], names=["own", "of", "go"])
+
+    keys = counted.select("own", "of").schema.fields
+    return counted.mapInArrow(task, T.StructType([*keys, T.StructField("go", T.IntegerType())]))
+
+
+def _beside(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Join by stratum."""
+    renamed = right.withColumnsRenamed({"own": "own_", "of": "of_"})
+    return left.join(renamed, (F.col("own") == F.col("own_")) & F.col("of").eqNullSafe(F.col("of_")), how).drop("own_", "of_")
+
+
+def cutoffs(measured: DataFrame, labelled: DataFrame, *, risk: float = RISK, confidence: float = CONFIDENCE, cost: int = COST) -> DataFrame:
+    """(stratum, CHOICE): the policy of each language that has one."""
+    rows = measured.where(~base_failed()).join(labelled, "doc_id").select("lang", "class", "holdout", "bad", *COUNTS)
+    rows = stage(rows, "labelled-counts")
+    clean = F.col("holdout") & ~F.col("bad")
+    per = rows.groupBy("lang", "class").agg(F.max(clean).alias("trial")).groupBy("lang").agg(F.count_if("trial").alias("n"))
+    per = stage(per, "languages")
+    tests = (per.count() + 1) * len(CUTOFFS)
+    own = F.col("n") >= enough(tests, risk=risk, confidence=confidence)
+    strata = stage(per.select(F.col("lang").alias("stratum"), own.alias("own"), F.when(own, F.col("lang")).alias("of")), "strata")
+    rows = rows.join(strata, F.col("lang").eqNullSafe(F.col("stratum"))).drop("lang", "stratum")
+    tried = stage(_choices(rows.where("not holdout"), cost), "tried")
+    held = _beside(rows.where(clean), tried)
+    trials = held.select("own", "of", "class", _fails().alias("fails"), "n_policies").groupBy("own", "of", "class").agg(F.min("fails").alias("fails"), F.max("n_policies").alias("n_policies"))
+    chosen = _beside(tried, _lengths(trials, tests, risk, confidence)).where("go > 0")
+    left = [F.when(F.col(f"rank_{c.split('_', 1)[1]}") < F.col("go"), F.col(c)).alias(c) for c in CHOICE]
+    return stage(_beside(strata, chosen.select("own", "of", *left)).select("stratum", *CHOICE), "policies")
+
+
+def judge(measured: DataFrame, policies: DataFrame) -> DataFrame:
     """Adds base_failed and kept: whether neither the base rules nor the stratum's policy rejects."""
-    out = _with_rank(measured, chosen)
-    return out.select(*measured.columns, base_failed().alias("base_failed"), (~base_failed() & F.col("fails").isNull()).alias("kept"))
+    policies = F.broadcast(policies) if policies.count() <= STRATA else policies
+    out = measured.join(policies, F.col("lang").eqNullSafe(F.col("stratum")), "left")
+    return out.select(*measured.columns, base_failed().alias("base_failed"), (~base_failed() & _fails().isNull()).alias("kept"))
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -52,6 +52,66 @@ def test_labels_choose_cutoffs(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, r in got.items() if r.kept) and kept.columns == ["doc_id", "text", "lang", "class", "fails"]
 
 
+def test_small_languages_are_pooled(spark):
+    """Three languages too small for a test each pass one together; a language without labels is in no pool."""
+    rng = random.Random(4)
+    prose = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    junk = lambda: prose(30).replace(" ", "#$%*<> ")
+    langs = ["de", None, "fr"]
+    rows = [(i, prose(30), langs[i % 3], 1) for i in range(1500)] + [(2000 + i, junk(), langs[i % 3], 0) for i in range(300)]
+    bare = [(3000 + i, junk(), "xx", 0) for i in range(20)]
+    docs = spark.createDataFrame([r[:3] for r in rows + bare], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3], 0) for r in rows], "doc_id long, quality long, toxic long")
+    tests = 4 * len(rules.CUTOFFS)
+    assert 0.99 ** rules.enough(tests) <= rules.CONFIDENCE / tests < 0.99 ** (rules.enough(tests) - 1)
+    assert 500 * rules.HOLDOUT / 100 < rules.enough(tests)
+    got = {r.doc_id: r.kept for r in rules.apply_rules(docs, labels).collect()}
+    assert not any(got[r[0]] for r in rows if r[3] == 0) and all(got[r[0]] for r in bare)
+    assert sum(not got[r[0]] for r in rows if r[3] == 1) <= rules.RISK * 1500
+
+
+def test_policies_against_a_plain_version(spark):
+    """Cutoffs, ranks and lengths of every stratum, for more languages than labels for them."""
+    rng = random.Random(9)
+    langs = [None, "a", "b", *(f"l{i}" for i in range(40))]
+    rows = []
+    for i in range(6000):
+        lang = rng.choice(langs[:3]) if rng.random() < 0.9 else rng.choice(langs)
+        bad = rng.random() < 0.2
+        rows.append((i, lang, 100, 500, int(rng.expovariate(0.02 if bad else 1)), 0, 0, 10, int(rng.expovariate(0.01 if bad else 0.3)), 0, rng.choice([0, 0, 1]) if bad else 0, bad, i % 5000, rng.random() < 0.6))
+    names = ["doc_id", "lang", *rules.COUNTS, "bad", "class", "holdout"]
+    kinds = ["long", "string", *["long"] * len(rules.COUNTS), "boolean", "long", "boolean"]
+    frame = spark.createDataFrame(rows, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+    got = {r.stratum: {c: r[c] for c in rules.CHOICE if r[c] is not None} for r in rules.cutoffs(frame.drop("bad", "class", "holdout"), frame.select("doc_id", "bad", "class", "holdout")).collect()}
+
+    rows = [dict(zip(names, r, strict=True)) for r in rows]
+    per = lambda a, b: lambda r: r[a] / max(r[b], 1)
+    rate = {"symbol_rate": per("n_symbols", "word_chars"), "upper_rate": per("n_upper", "word_chars"), "bang_rate": per("n_bang", "n_words"), "dup_line_rate": per("n_dup_lines", "n_lines"), "repeat_rate": per("n_repeat_words", "n_words"), "long_word": per("word_chars", "n_words"), "toxic_words": lambda r: r["n_lexicon"]}
+    tests = (len({r["lang"] for r in rows}) + 1) * 7
+    trials = {s: len({r["class"] for r in rows if r["lang"] == s and r["holdout"] and not r["bad"]}) for s in langs}
+    group = {s: ("own", s) if trials[s] >= rules.enough(tests) else "pool" for s in langs}
+    assert {"pool"} < set(group.values())
+    want = {}
+    for g in set(group.values()):
+        mine = [r for r in rows if group[r["lang"]] == g]
+        order = []
+        for i, (rule, grid) in enumerate(rules.CUTOFFS.items()):
+            worth = [sum((1 if r["bad"] else -rules.COST) for r in mine if not r["holdout"] and rate[rule](r) > cut) for cut in grid]
+            if max(worth) > 0:
+                order.append((-max(worth), i, rule, grid[worth.index(max(worth))]))
+        order.sort()
+        first = {}
+        for r in mine:
+            if r["holdout"] and not r["bad"]:
+                first[r["class"]] = min(first.get(r["class"], 99), next((k for k, o in enumerate(order) if rate[o[2]](r) > o[3]), 99))
+        k = rules.admissible(len(first), [sum(f <= k for f in first.values()) for k in range(len(order))], tests)
+        if k:
+            for s in langs:
+                if group[s] == g:
+                    want[s] = {f"{what}_{o[2]}": x for rank, o in enumerate(order[:k]) for what, x in (("cut", o[3]), ("rank", rank))}
+    assert got == want and want
+
+
 def test_copies_are_one_trial(spark):
     """A thousand copies of a clean text show no more than one."""
     rows = [(i, " ".join(WORDS[:40]), "en", 1, 0) for i in range(1000)] + [(2000 + i, " ".join(WORDS[i : i + 30]) + " #$%*|<>" * 9, "en", 0, 0) for i in range(200)]
