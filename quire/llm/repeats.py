@@ -15,11 +15,11 @@ smaller id, or earlier in the same one. Strings are judged on the input.
    ``LENGTH`` common bytes tell equal windows, of which only the first stays.
 4. Blocks get the answers in the order they asked, and cut their texts.
 
-Contents of an anchor are told apart by 64-bit hashes.
+Contents of an anchor are told apart by 64-bit hashes, beside the 64 bits of the anchor.
 
 Anchors that are frequent in the corpus are known from the distinct contents of all blocks, of which those
 with a hash of one class in ``REPORT`` are counted, however few a block has. Their windows are compared one
-by one, by a hash of all their bytes, each distinct one sent once by a block, so that no bucket holds a hot
+by one, by two independent 64-bit hashes of all their bytes, each distinct one sent once by a block, so that no bucket holds a hot
 anchor. There is about one for ``HOT`` distinct segments at most. Up to ``CARRIED`` of them travel with the
 tasks; more are joined with the blocks that hold them, so that each block is told its own. Which anchors are hot decides on the way to the answer only, not on the answer.
 
@@ -52,6 +52,9 @@ SEGMENTS, REPORT, HOT = 400_000, 8, 2000
 CARRIED = 500_000
 LAST = np.int64(2**63 - 1)
 _INVERSE = pow(_BASE, -1, 2**64)
+_OTHER = 0xD6E8FEB86659FD93
+_OTHER_INVERSE = pow(_OTHER, -1, 2**64)
+OTHER_BYTE = mix(BYTE)
 I4, I8, U1 = np.dtype("<i4"), np.dtype("<i8"), np.dtype("u1")
 
 
@@ -96,7 +99,10 @@ def segments(data: np.ndarray, bounds: np.ndarray, hot: np.ndarray) -> tuple[np.
         run = np.where(often, 1, run[of])
     byte_end = start + run + LENGTH - 1
     content = mix((total[byte_end] - total[start]) * back[start] + run.astype(U))
-    anchor = np.where(often, mix(content ^ U(0x5DEECE66D)), anchor)  # of a hot anchor: the window itself
+    if often.any():  # of a hot anchor: the window itself, by a hash that has nothing to do with the first
+        np.cumsum(OTHER_BYTE[data] * powers(n, _OTHER), out=total[1:])
+        other = (total[byte_end[often]] - total[start[often]]) * powers(n + 1, _OTHER_INVERSE)[start[often]]
+        anchor[often] = mix(other)
     text = np.searchsorted(bounds, start, "right") - 1
     return text, start - bounds[text], run, anchor, content
 

@@ -188,6 +188,17 @@ def test_repeats(spark):
         assert got == sorted(brute.repeats(sorted(texts(UNIQUE))), key=repr)
 
 
+def test_windows_of_hot_anchors_have_two_hashes(monkeypatch):
+    """With a first hash that takes all windows for one: the other tells them apart, and equal ones not."""
+    monkeypatch.setattr(repeats, "BYTE", np.ones(256, np.uint64))
+    one, two = np.random.default_rng(7).integers(0, 256, (2, 400), np.uint8)
+    data, bounds = np.concatenate([one, two, one]), np.array([0, 400, 800, 1200])
+    *_, anchor, _ = repeats.segments(data, bounds, np.zeros(0, np.uint64))
+    text, start, run, anchor, content = repeats.segments(data, bounds, np.unique(anchor))
+    assert (run == 1).all() and len(start) == 3 * 301 and len(set(content)) == 1 and len(set(anchor)) == 2 * 301
+    assert (anchor[text == 0] == anchor[text == 2]).all()
+
+
 def test_hot_anchors(spark, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", 0)
     monkeypatch.setattr(repeats, "REPORT", 1)
