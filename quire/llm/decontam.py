@@ -14,7 +14,8 @@ which evaluates the whole array a second time, nested.
 
 The lookup broadcasts benchmark hashes only, in blocks of at most ``BLOCK`` hashes (8 bytes each): a
 larger benchmark takes several passes over the documents, none drops anything. What is compared then
-travels in ordinary joins of the hits. Documents are read once a pass; a header row a document carries
+travels in ordinary joins of the hits. Windows of the same items share the number of that set of items;
+hits carry the number, and each (document, set) meets its items once at the end. Documents are read once a pass; a header row a document carries
 its word count, so that counting costs no second pass.
 
 Defined results: null or empty texts have no words and are not contaminated; items without words occur
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.store import stage
+from quire.llm.store import small, stage
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -102,16 +103,24 @@ def _placements(ctx: Column, cp: Column, k: int, window: int) -> Column:
         start = cp - back
         inside = (start >= 0) & (start + window <= F.size(ctx))
         words = F.slice(ctx, F.greatest(start, F.lit(0)) + 1, F.lit(window))
-        found.append(F.when(inside, F.struct(F.lit(back).alias("back"), F.xxhash64(words).alias("wfp"))))
+        found.append(F.when(inside, F.struct(F.lit(back).alias("back"), F.xxhash64(words).alias("fp"))))
     return F.array_compact(F.array(*found))
 
 
 def _item_windows(items: DataFrame, window: int) -> DataFrame:
-    """wfp, iws and the ids of all items of every distinct window: a passage of many items is one row."""
+    """fp, iws and the sorted ids of all items of every distinct window: a passage of many items is one row."""
     starts = F.when(F.col("n") >= window, F.sequence(F.lit(1), F.col("n") - (window - 1))).otherwise(F.array().cast("array<int>"))
     each = items.select("item_id", F.explode_outer(F.transform(starts, lambda i: F.slice("ws", i, F.lit(window)))).alias("iws"))
-    each = each.where("iws is not null").groupBy("iws").agg(F.collect_set("item_id").alias("items"))
-    return each.select(F.xxhash64("iws").alias("wfp"), "iws", "items")
+    each = each.where("iws is not null").groupBy("iws").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    return each.select(F.xxhash64("iws").alias("fp"), "iws", "items")
+
+
+def _numbered(windows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """fp, iws and set of every window, and the item ids of each set, a row each."""
+    windows = stage(windows, name)
+    sets = stage(windows.select("items").distinct().select(F.monotonically_increasing_id().alias("set"), "items"), f"{name}-sets")
+    each = sets.select("set", F.explode("items").alias("item"))
+    return stage(windows.join(sets, "items").select("fp", "iws", "set"), f"{name}-numbered"), small(stage(each, f"{name}-items"))
 
 
 def _whole_grams(lengths: list[int]) -> Column:
@@ -158,7 +167,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, k: int = K, window:
     items = stage(_tokenised(benchmark, [F.col("item_id").cast("string").alias("item_id")], "text").where("n > 0"), "bench-words")
     prints = _kept_with_ties(items, k, window).select(F.explode_outer("kept").alias("x")).where("x is not null")
     prints = stage(prints.select("x.fp").distinct(), "bench-prints")
-    windows = stage(_item_windows(items, window), "bench-windows")
+    windows, items_of = _numbered(_item_windows(items, window), "bench-windows")
+    listed = lambda spans, items_of: spans.select("doc_id", "text_key", "set").distinct().join(items_of, "set").select("doc_id", "text_key", "item")
     short = items.where(F.col("n") < window)
     lengths = [r.n for r in short.select("n").distinct().collect()]  # fewer than a window has words
 
@@ -181,15 +191,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, k: int = K, window:
         near = _of_documents(docs, hits).select("doc_id", "text_key", "hits", words(F.col("text")).alias("ws"))
         near = near.select("doc_id", "text_key", F.explode_outer(around).alias("x")).select("doc_id", "text_key", "x.*")
         at = F.explode_outer(_placements(F.col("ctx"), F.col("cp"), k, window)).alias("w")
-        near = near.select("doc_id", "text_key", "p", "ctx", "cp", at).select("*", "w.wfp").join(windows, "wfp")
+        near = near.select("doc_id", "text_key", "p", "ctx", "cp", at).select("*", "w.fp").join(windows, "fp")
         near = near.where(F.slice("ctx", F.col("cp") - F.col("w.back") + 1, F.lit(window)) == F.col("iws"))
         start = F.col("p") - F.col("w.back")
-        one = near.select("doc_id", "text_key", "items", F.struct(start.alias("s"), (start + window).alias("e")).alias("span"))
+        one = stage(near.select("doc_id", "text_key", "set", F.struct(start.alias("s"), (start + window).alias("e")).alias("span")).distinct(), "decontam-spans")
         spans = one if spans is None else spans.unionByName(one)
+    found = listed(spans, items_of)
     if lengths:
         grams = _whole_grams(lengths)
         whole = short.select(grams.alias("g"), "n", "ws", "item_id").select(F.filter("g", lambda x: x["l"] == F.col("n"))[0]["fp"].alias("fp"), F.col("ws").alias("iws"), "item_id")
-        whole = stage(whole.groupBy("fp", "iws").agg(F.collect_set("item_id").alias("items")), "bench-short")
+        whole, items_of = _numbered(whole.groupBy("fp", "iws").agg(F.array_sort(F.collect_set("item_id")).alias("items")), "bench-short")
         for hashes in _blocks(whole.select("fp").distinct(), block):
             known = F.broadcast(hashes.select(F.col("fp").alias("known")))
             at = tokens.select("doc_id", "text_key", F.explode_outer(grams).alias("x")).select("doc_id", "text_key", "x.p", "x.l", "x.fp")
@@ -197,14 +208,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, k: int = K, window:
             hits = at.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("p", "l", "fp")).alias("hits"))
             near = _of_documents(docs, hits).select("doc_id", "text_key", "hits", words(F.col("text")).alias("ws"))
             near = near.select("doc_id", "text_key", F.explode_outer(F.transform("hits", _cutter)).alias("x")).select("doc_id", "text_key", "x.*").join(whole, "fp").where("dws = iws")
-            one = near.select("doc_id", "text_key", "items", F.struct(F.col("p").alias("s"), (F.col("p") + F.col("l")).alias("e")).alias("span"))
-            spans = one if spans is None else spans.unionByName(one)
-    spans = spans.groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+            one = near.select("doc_id", "text_key", "set", F.struct(F.col("p").alias("s"), (F.col("p") + F.col("l")).alias("e")).alias("span"))
+            one = stage(one.distinct(), "short-spans")
+            spans, found = spans.unionByName(one), found.unionByName(listed(one, items_of))
+    spans = spans.groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("spans"))
+    found = found.groupBy(F.col("doc_id").alias("i_id"), F.col("text_key").alias("i_key")).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    spans = spans.join(found, F.col("doc_id").eqNullSafe(F.col("i_id")) & (F.col("text_key") == F.col("i_key")), "left")
     start = F.struct(F.lit(0).alias("e"), F.lit(0).cast("long").alias("hit"))
     cover = F.aggregate(
         F.array_sort("spans"), start, lambda a, s: F.struct(F.greatest(a["e"], s["e"]).alias("e"), (a["hit"] + F.greatest(F.lit(0), s["e"] - F.greatest(a["e"], s["s"]))).alias("hit"))
     )
-    spans = spans.select(F.col("doc_id").alias("h_id"), F.col("text_key").alias("h_key"), cover["hit"].alias("hit"), F.array_sort("items").alias("items"))
+    spans = spans.select(F.col("doc_id").alias("h_id"), F.col("text_key").alias("h_key"), cover["hit"].alias("hit"), "items")
     out = heads.join(spans, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_key") == F.col("h_key")), "left")
     return out.select(
         "doc_id", "text_key", "n_words", F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
