@@ -6,6 +6,7 @@ import io
 import math
 import os
 import random
+import re
 import zipfile
 
 import duckdb
@@ -54,6 +55,21 @@ def test_tokens(spark):
     assert {"`drawPage()`", "$m=kv$", "\\sqrt{x}"} <= got[1]
 
 
+def test_terms_of_any_length(spark):
+    """A run of 200,000 capitalised words is one match, too long for a term; the terms around it stay, as the SQL's pattern has them."""
+    rng = random.Random(3)
+    words = "Of of the The IN in AB ABc Abc Abcd abc A Ab ofX Ab1 X_Y Été Zoë Rome, (Oslo) NASA's on- On ÀB Paris  the\tand".split(" ")
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) for _ in range(400)]
+    texts += ["near Lake Como " + "x " + "Alpha OMEGA " * 100_000 + "x then Lake Garda", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r.id: r.terms for r in df.select("id", T.terms(F.col("t")).alias("terms")).collect()}
+    useful = lambda t: 4 <= len(t) <= 80 and t not in T.STOP_TERMS and t.split(" ")[0] not in T.STOP_TERMS
+    for i, t in enumerate(texts):
+        found = [re.sub(r"\s+", " ", x) for x in re.findall(T.TERM, t or "", re.ASCII)]
+        assert (got[i] or []) == [x for x in found if useful(x)]
+    assert got[400] == ["Lake Como", "Lake Garda"]
+
+
 def test_many_terms_by_automata(spark, monkeypatch):
     """As if each term were looked for in each segment; letters that lower-casing makes longer too."""
     rng = random.Random(6)
