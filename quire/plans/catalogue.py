@@ -470,22 +470,20 @@ def _books(spark, sf):
     import io
     import zipfile
 
-    import pandas as pd
-
-    def task(batches):
+    def made(batches):
         from html import escape
 
         for b in batches:
-            for x in b.itertuples(index=False):
+            for doc_id, text in zip(b.column("doc_id"), b.column("text"), strict=True):
                 out = io.BytesIO()
                 with zipfile.ZipFile(out, "w") as z:
                     z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="OEBPS/b.opf"/></rootfiles></container>')
                     z.writestr("OEBPS/b.opf", '<package><metadata><title>Book</title></metadata><manifest><item id="c" href="c.xhtml" media-type="application/xhtml+xml"/></manifest><spine><itemref idref="c"/></spine></package>')
-                    body = "".join(f"<p>{escape(''.join(c for c in line if c >= ' '))}</p>" for line in (x.text or "").split("\n"))
+                    body = "".join(f"<p>{escape(''.join(c for c in line if c >= ' '))}</p>" for line in (text.as_py() or "").split("\n"))
                     z.writestr("OEBPS/c.xhtml", f"<html><body>{body}</body></html>")
-                yield pd.DataFrame({"path": [str(x.doc_id)], "content": [out.getvalue()]})
+                yield (str(doc_id.as_py()), out.getvalue()), out.tell()
 
-    return R.table(spark, sf, "documents").select("doc_id", "text").mapInPandas(task, "path string, content binary")
+    return R.table(spark, sf, "documents").select("doc_id", "text").mapInArrow(lambda batches: epub.gathered(made(batches), epub.ARCHIVES), "path string, content binary")
 
 
 @query()

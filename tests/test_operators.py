@@ -174,6 +174,21 @@ def test_books(spark):
     assert [r[7] for r in epub.book_rows("b", bytes(both.content))] == ["One", "Z One", "Two", "Z Two"]
 
 
+def test_batches_of_books(spark):
+    """A task returns the rows of small books together, and those of a large one in parts: no batch grows with the books."""
+    many = [((f"b{i}", b"x" * 10), 10) for i in range(10_000)]
+    sizes = [b.num_rows for b in epub.gathered(iter(many), epub.ARCHIVES)]
+    assert sum(sizes) == 10_000 and max(sizes) == epub.BATCH and len(sizes) == 3
+    large = [b.nbytes for b in epub.gathered((((f"b{i}", b"x" * 1_000_000), 1_000_000) for i in range(20)), epub.ARCHIVES)]
+    assert len(large) == 4 and max(large) < (epub.BATCH_MB + 2) << 20
+    assert list(epub.gathered(iter([]), epub.ARCHIVES)) == []
+    books = spark.createDataFrame([(f"b{i}", bytearray(book(f"<h1>Title {i}</h1><p>12</p><p>Été</p><p>a1!</p><p>ñ!</p>" if i % 5 else "<p>"))) for i in range(300)], "path string, content binary").coalesce(1)
+    rows = epub.read_books(books)
+    assert rows.where("error is null").count() == 240 * 4 and rows.where("error is not null").count() == 60
+    whole = rows.where("error is null").withColumn("translated_text", F.col("source_text"))
+    assert epub.export_books(books, whole).count() == 240
+
+
 def test_dispatch():
     from datetime import datetime, timedelta
 
