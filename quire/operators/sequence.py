@@ -24,6 +24,8 @@ from quire.sources.scratch import stage
 
 #: Places of a block whose rows are computed together.
 ROWS = 4096
+#: Rows of a task, about, where rows are dealt out by a key.
+TASK = 1_000_000
 #: Items of a block of the packer, whose successors are held in one array.
 ITEMS = 256
 
@@ -50,6 +52,13 @@ def _running(d: DataFrame, keys: list[str], order: list[Column], sums: Mapping[s
     return both.select(*[f"a.{c}" for c in names], *out)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by the keys, to more tasks where it has more rows, so that a task's memory doesn't grow with the table.
+    Its rows are counted first: it should be a plain read of a table."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-df.count() // TASK)), *keys)
+
+
 def number(df: DataFrame, keys: list[str], *order: Column, name: str = "position", before: Mapping[str, Column] = {}) -> DataFrame:
     """Adds each row's place among those of its key, from 1 on, and values of the row before (null for the first).
     Rows that the order doesn't tell apart stand in any order."""

@@ -11,7 +11,7 @@ from quire.functions import paragraphs as P
 from quire.functions import text as T
 from quire.operators import glossary as G
 from quire.operators import planning, progress, quality
-from quire.operators.sequence import number
+from quire.operators.sequence import dealt, number
 from quire.plans import catalogue as C
 from quire.plans import relations as R
 from quire.plans.catalogue import query
@@ -62,6 +62,7 @@ def chunk_lineage(spark, sf):
 )
 def part_sequence_check(spark, sf):
     x = R.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") - 1).alias("i"))
+    x = dealt(x, "k")
     n = x.groupBy("k").agg(F.count("*").alias("n"))
     told = x.join(n, "k").select(F.col("k").alias("segment_id"), F.when(F.col("k") % 11 != 0, F.col("i")).alias("part_index"), F.when(F.col("k") % 11 != 0, F.col("n") + (F.col("k") % 7 == 0).cast("int")).alias("part_count"))
     return planning.part_sequence_check(told)

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import glossary, quality, terms
+from quire.operators import glossary, quality, sequence, terms
 from quire.plans import catalogue
 from quire.sources import epub, library
 from quire.streaming import dispatch
@@ -189,6 +189,14 @@ def test_batches_of_books(spark):
     assert epub.export_books(books, whole).count() == 240
 
 
+def test_parts_are_dealt_by_size(spark, monkeypatch):
+    """More rows get more tasks, and all parts of a segment are in one of them."""
+    monkeypatch.setattr(sequence, "TASK", 10)
+    df = sequence.dealt(spark.range(1000).selectExpr("id div 5 as k", "id"), "k")
+    at = df.select("k", F.spark_partition_id().alias("p")).distinct().collect()
+    assert df.rdd.getNumPartitions() == 100 and len(at) == len({r.k for r in at}) == 200
+
+
 def test_dispatch():
     from datetime import datetime, timedelta
 
