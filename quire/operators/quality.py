@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import terms
 from quire.operators.sequence import number
+from quire.sources.scratch import stage
 
 # Points off by rule.
 PENALTIES = {"source_repeated_in_translation": 35, "english_residue": 20, "suspicious_length_ratio": 20, "preserved_token_missing": 20, "placeholder_mismatch": 30}
@@ -167,6 +168,7 @@ def _statistics(scored: DataFrame) -> DataFrame:
 def report_markdown(scored: DataFrame) -> DataFrame:
     """Lines by book, section (0 head, 1 warnings, 2 scores), segment and position. A section's heading stands before its
     first segment (id -1)."""
+    scored = stage(scored.select("book_id", "segment_id", "status", "reasons", "score"), "scored")  # read three times
     c, zero, before = F.col, F.lit(0), F.lit(-1).cast("long")
     head = _text(
         "# Consistency Report\n\n- Book ID: ", c("book_id"), "\n- Total segments: ", c("total"), "\n- Translated segments: ", c("translated"), "\n- Failed segments: ", c("failed"),
@@ -184,11 +186,13 @@ def report_markdown(scored: DataFrame) -> DataFrame:
 def report_json(scored: DataFrame) -> DataFrame:
     """A book's report in parts, so that none grows with the book: its figures as one JSON (``part`` head), a JSON each segment's score
     (score) and each warning (warning), by segment and position."""
+    told = F.when(F.size("reasons") > 0, T.preview(T.norm(F.col("source_text")))).alias("source_text")
+    scored = stage(scored.select("book_id", "segment_id", "segment_order", "status", told, "reasons", "score"), "scored")  # read three times
     c, zero, before = F.col, F.lit(0), F.lit(-1).cast("long")
     head = F.to_json(F.struct("book_id", "total", "translated", "failed", "score", "n_warnings", "n_terms"))
     heads = _statistics(scored).select("book_id", F.lit("head").alias("part"), before.alias("segment_id"), zero.alias("position"), head.alias("json"))
     score = F.to_json(F.struct("segment_id", "segment_order", "score", "reasons"))
     scores = scored.select("book_id", F.lit("score").alias("part"), "segment_id", zero.alias("position"), score.alias("json"))
-    told = scored.select("book_id", "segment_id", "segment_order", T.preview(T.norm(c("source_text"))).alias("source_text"), F.posexplode_outer("reasons").alias("position", "code")).where("code is not null")
+    told = scored.select("book_id", "segment_id", "segment_order", "source_text", F.posexplode_outer("reasons").alias("position", "code")).where("code is not null")
     warning = F.to_json(F.struct("code", severity(c("code")).alias("severity"), "segment_id", "segment_order", message(c("code")).alias("message"), "source_text"))
     return heads.unionByName(scores).unionByName(told.select("book_id", F.lit("warning").alias("part"), "segment_id", "position", warning.alias("json")))

@@ -112,7 +112,7 @@ def merge_counters(spark, sf):
 
 @query(f"{C.CANDIDATES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY score, n_warnings DESC, segment_id) AS rank FROM cand) SELECT book_id, count(*) AS candidates, count_if(rank <= 20)::BIGINT AS selected, count_if(rank <= 20 AND segment_id % 3 <> 0)::BIGINT AS updated FROM ranked GROUP BY book_id")
 def review_counters(spark, sf):
-    c = quality.review_candidates(C._scored(spark, sf)).select("book_id", "segment_id", "score", "n_warnings")
+    c = scratch.stage(quality.review_candidates(C._scored(spark, sf)).select("book_id", "segment_id", "score", "n_warnings"), "candidates")  # read three times
     updated = quality.review_top(c).where("segment_id % 3 <> 0").select("segment_id")
     return quality.review_counters(c, updated)
 

@@ -197,6 +197,13 @@ def test_parts_are_dealt_by_size(spark, monkeypatch):
     assert df.rdd.getNumPartitions() == 100 and len(at) == len({r.k for r in at}) == 200
 
 
+def test_reports_score_once(spark):
+    """Reports read scored segments three times, from a table that is written once."""
+    s = catalogue._scored(spark, SF)
+    for report in (quality.report_markdown(s), quality.report_json(s), catalogue.QUERIES["review_counters"](spark, SF)):
+        assert {p.split("/")[-2] for p in report.inputFiles()} <= {"scored", "candidates"}
+
+
 def test_dispatch():
     from datetime import datetime, timedelta
 
