@@ -12,6 +12,7 @@ from quire.operators import glossary as G
 from quire.operators import planning, progress, quality
 from quire.plans import relations as R
 from quire.sources import epub
+from quire.sources.scratch import stage
 from quire.streaming import dispatch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -417,8 +418,13 @@ OVER = f"""{MERGE}, every AS (SELECT k, s, t, c, -1 AS pos FROM a UNION ALL SELE
   merged AS (SELECT k AS source_norm, arg_max(s, pos) AS source_term, max({{'p': pos, 'v': t}}).v AS target_term, max({{'p': pos, 'v': c}}).v AS category, count_if(was IS NULL AND pos >= 0) AS added, count_if(coalesce(was, false) AND (s IS DISTINCT FROM ps OR t IS DISTINCT FROM pt OR c IS DISTINCT FROM pc)) AS updated, 0::BIGINT AS filled, count_if(coalesce(was AND pt <> t, false)) AS conflicts FROM wm GROUP BY k)"""
 
 
+def first_terms(spark, sf):
+    """The first terms of each book, found once, whatever is asked of them."""
+    return stage(G.first_terms(R.segments(spark, sf), 12), "terms")
+
+
 def _glossaries(spark, sf):
-    t = G.first_terms(R.segments(spark, sf), 12)
+    t = first_terms(spark, sf)
     rank = F.col("rank")
     g = t.select(
         "book_id",
@@ -448,7 +454,7 @@ def glossary_conflicts(spark, sf):
 
 @query(f"{TERMS}, a AS (SELECT book_id, source_norm, 'x' AS target_term, evidence, first_segment_id FROM terms WHERE rank % 2 = 0), b AS (SELECT book_id, source_norm, NULL::VARCHAR AS target_term, evidence, first_segment_id FROM terms WHERE rank % 3 = 0) SELECT coalesce(a.book_id, b.book_id) AS book_id, coalesce(a.source_norm, b.source_norm) AS source_norm, coalesce(a.target_term, b.target_term) AS target_term, (coalesce(a.evidence, 0) + coalesce(b.evidence, 0))::BIGINT AS evidence, coalesce(a.first_segment_id, b.first_segment_id) AS first_segment_id FROM a FULL JOIN b ON a.book_id = b.book_id AND a.source_norm = b.source_norm")
 def candidate_upsert(spark, sf):
-    t = G.first_terms(R.segments(spark, sf), 12)
+    t = first_terms(spark, sf)
     cols = ["book_id", "source_norm", "target_term", "evidence", "first_segment_id"]
     return G.upsert(t.where("rank % 2 = 0").withColumn("target_term", F.lit("x")).select(cols), t.where("rank % 3 = 0").withColumn("target_term", F.lit(None).cast("string")).select(cols))
 

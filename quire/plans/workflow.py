@@ -251,7 +251,7 @@ _ACCEPT = f"""{C.TERMS}, configured AS (SELECT source_norm, min(upper(term)) AS
 
 
 def _accepted(spark, sf):
-    t = G.first_terms(R.segments(spark, sf), 12)
+    t = C.first_terms(spark, sf)
     configured = t.where("rank % 2 = 1").groupBy("source_norm").agg(F.min(F.upper("term")).alias("target_term"))
     target = F.when(F.col("rank") % 5 == 0, " ").when(F.col("book_id") % 2 == 0, F.upper("term")).otherwise(F.lower("term"))
     return G.accept(t.select("book_id", "source_norm", target.alias("target_term")), configured)

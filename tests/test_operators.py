@@ -70,6 +70,15 @@ def test_terms_of_any_length(spark):
     assert got[400] == ["Lake Como", "Lake Garda"]
 
 
+@pytest.mark.parametrize("name", ["candidate_upsert", "glossary_acceptance", "glossary_conflicts", "glossary_merge_fill", "glossary_merge_overwrite", "merge_counters"])
+def test_terms_are_found_once(spark, name):
+    """What asks for the books' terms twice or more reads a table of them, not the texts."""
+    import __spark_entry__
+
+    files = __spark_entry__.queries()[name](spark, SF).inputFiles()
+    assert any("/terms/" in p for p in files) and not any("documents.parquet" in p for p in files)
+
+
 def test_many_terms_by_automata(spark, monkeypatch):
     """As if each term were looked for in each segment; letters that lower-casing makes longer too."""
     rng = random.Random(6)
