@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators.sequence import number, pack, running
+from quire.operators.sequence import pack, running
+from quire.sources.scratch import stage
 
 #: Types whose neighbours make a run, beside dialogue.
 RUNS = ("LIST_ITEM", "QUOTE", "POETRY")
@@ -16,12 +17,13 @@ def units(segments: DataFrame, *, target: int = 6000, most: int = 40) -> DataFra
     """Semantic units: chapter_id, unit (in order), n_segments, chars, segment_ids, titled.
 
     Neighbouring list items, quotes, verses or lines of dialogue make a run, and runs are cut greedily by
-    the budgets; other segments stand alone; a title takes the unit after it, if both fit."""
+    the budgets; other segments stand alone; a title takes the unit after it, if both fit. ``segment_order`` is a whole
+    number, so that blocks of a chapter come from it, without a sort of all segments."""
     kind = F.col("segment_type")
     run = F.when(kind.isin(*RUNS), kind).when((kind == "PARAGRAPH") & F.col("dialogue"), "dialogue")
     s = segments.select("chapter_id", "segment_order", "segment_id", F.length("source_text").alias("chars"), "segment_type", T.is_dialogue(F.col("source_text")).alias("dialogue"))
     s = s.select("chapter_id", "segment_order", "segment_id", "chars", (kind == "TITLE").alias("title"), run.alias("run"), F.lit(1).alias("one"))
-    s = number(s, ["chapter_id"], F.col("segment_order"), name="i", before={"run_before": F.col("run")})
+    s = running(s, ["chapter_id"], "segment_order", sums={"i": F.lit(1)}, before={"run_before": F.col("run")})
     same = F.coalesce(F.col("run") == F.col("run_before"), F.lit(False))
     s = pack(s.withColumn("i", F.col("i") - 1), ["chapter_id"], "i", "one", "chars", most=most, target=target, forced=~same)
     ids = F.transform(F.array_sort(F.collect_list(F.struct("i", "segment_id"))), lambda x: x["segment_id"])  # most at most
@@ -55,7 +57,7 @@ def chunk_context(chunks: DataFrame, segments: DataFrame, k: int = 4) -> DataFra
     w = Window.partitionBy("chapter_id").orderBy("segment_order").rowsBetween(Window.unboundedPreceding, 0)
     done = F.coalesce((F.col("status") == "TRANSLATED") & (F.trim("translated_text") != ""), F.lit(False))
     numbered = segments.select("chapter_id", "segment_id", done.alias("done"), F.sum(done.cast("int")).over(w).alias("number"))
-    first = chunks.select("chapter_id", "chunk", F.element_at("segment_ids", 1).alias("segment_id"))
+    first = stage(chunks.select("chapter_id", "chunk", F.element_at("segment_ids", 1).alias("segment_id")), "first")  # read twice
     upto = first.join(numbered, ["chapter_id", "segment_id"]).select("chapter_id", "chunk", (F.col("number") - F.col("done").cast("int")).alias("upto"))
     asked = upto.where("upto > 0").select("chapter_id", "chunk", F.explode(F.sequence(F.greatest(F.col("upto") - (k - 1), F.lit(1)), F.col("upto"))).alias("number"))
     found = asked.join(numbered.where("done").select("chapter_id", "number", "segment_id"), ["chapter_id", "number"])

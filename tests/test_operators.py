@@ -79,6 +79,13 @@ def test_terms_are_found_once(spark, name):
     assert any("/terms/" in p for p in files) and not any("documents.parquet" in p for p in files)
 
 
+def test_dialogue_by_ends(spark):
+    """A closing quotation mark counts at the very end only, as in the SQL, not before a line separator."""
+    texts = ["“Yes", "yes”", "yes”\u2028", ' "x', "- x", "-x", "HE SAID no", "İ said", "Said x", "saida", "", None]
+    got = [r.d for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.is_dialogue(F.col("t")).alias("d")).collect()]
+    assert got == [True, True, False, True, True, False, True, False, True, False, False, None]
+
+
 def test_many_terms_by_automata(spark, monkeypatch):
     """As if each term were looked for in each segment; letters that lower-casing makes longer too."""
     rng = random.Random(6)

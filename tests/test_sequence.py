@@ -53,6 +53,17 @@ def test_number_and_running(spark, monkeypatch):
         assert [(r.total, r.last_v, r.last_s) for r in of(spread)] == [(sum(x[2] for x in mine[: i + 1]), *((mine[i - 1][2], mine[i - 1][3]) if i else (None, None))) for i, _ in enumerate(mine)]
 
 
+def test_chunk_context_plans_once(spark, tmp_path):
+    """The context of chunks is asked of a table of their first segments: the plan is read once. Units come without a sort of all segments."""
+    rows = [(c, i, c * 1000 + i, "x" * 40, "PARAGRAPH", "TRANSLATED", "y") for c in range(3) for i in range(1, 90)]
+    s = spark.createDataFrame(rows, "chapter_id long, segment_order long, segment_id long, source_text string, segment_type string, status string, translated_text string")
+    s.write.parquet(f"{tmp_path}/s")
+    found = planning.chunk_context(planning.chunk_plan(spark.read.parquet(f"{tmp_path}/s")), s)
+    assert {p.split("/")[-2] for p in found.inputFiles()} == {"first"}
+    assert {(r.chapter_id, r.chunk): r.context for r in found.collect()} == {(c, k): [c * 1000 + 40 * k + j for j in range(-3, 1)] if k else [] for c in range(3) for k in range(3)}
+    assert not any("/ranged/" in p for p in planning.units(s).inputFiles())
+
+
 def test_ties_have_places_of_their_own(spark):
     df = spark.createDataFrame([(1, 5)] * 9 + [(1, 4), (2, 5)], "k long, at long").repartition(3)
     found = sorted((r.k, r.position) for r in sequence.number(df, ["k"], F.col("at")).collect())
