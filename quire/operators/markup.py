@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.sources.scratch import stage
 
 # Blocks that are taken, tags of block level, tags without an end, inline tags that become placeholders.
 HEADINGS = "h1 h2 h3 h4 h5 h6".split()
@@ -107,7 +108,7 @@ def blocks(pages: DataFrame) -> DataFrame:
     """Blocks with text to translate: ``page_id, element`` (its token), ``tag, block_type, block_text, raw_text,
     template, placeholders``. Inline tags are numbered depth first as placeholders: a tag takes two numbers where it
     starts. A block without inline tags, with other elements inside, or whose tags don't nest, has no template."""
-    t = tokens(pages)
+    t = stage(tokens(pages), "tokens")  # read three times
     found = intervals(t)
     inner = found.where("j > i + 1").select("page_id", F.col("i").alias("block"), F.explode(F.sequence(F.col("i") + 1, F.col("j") - 1)).alias("i"))
     x = inner.join(t, ["page_id", "i"])
