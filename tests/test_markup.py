@@ -65,3 +65,9 @@ def test_faults(spark):
     for i, (text, fault, nesting) in enumerate(cases):
         assert got[i][:2] == (fault, nesting), text
     assert got[0][2] == "灯塔" and got[5][2] == "[id7][id7]" and got[7][2] is None
+
+
+def test_tokens_are_cut_once(spark):
+    """Blocks read a table of tokens, not the pages again and again."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html")
+    assert {p.split("/")[-2] for p in markup.blocks(pages).inputFiles()} == {"tokens"}
