@@ -79,6 +79,31 @@ def test_terms_are_found_once(spark, name):
     assert any("/terms/" in p for p in files) and not any("documents.parquet" in p for p in files)
 
 
+@pytest.mark.parametrize("name", ["effective_glossary"])
+def test_terms_of_a_long_line(spark, tmp_path, name):
+    """Books with a line of 200,000 capitalised words: the query ends, with the rows of its SQL."""
+    import __spark_entry__
+
+    rng = random.Random(5)
+    words = "Of of the The IN in Rome Oslo Lake Como Paris Garda NASA Alps stone x, river. There Ther Ing AND".split(" ")
+    texts = [rng.choice(["\n", " \n\n"]).join(" ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(6)) for _ in range(200)]
+    long = "Lake Como stone " + "Alpha OMEGA " * 100_000 + "stone Lake Garda"
+    docs = [(i, long if i % 50 == 3 else t, f"src{i % 11}") for i, t in enumerate(texts)] + [(200, None, "src3"), (201, "", "src4"), (202, "no term here", "src12")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    df = __spark_entry__.queries()[name](spark, str(tmp_path))
+    cols = sorted(df.columns)
+    got = sorted((tuple(clean(r[c]) for c in cols) for r in df.collect()), key=repr)
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    r = con.execute(__spark_entry__.oracle_sql()[name])
+    names = [d[0] for d in r.description]
+    assert sorted(names) == cols
+    want = sorted((tuple(clean(x[names.index(c)]) for c in cols) for x in r.fetchall()), key=repr)
+    assert len(want) > 2 and got == want
+
+
 def test_dialogue_by_ends(spark):
     """A closing quotation mark counts at the very end only, as in the SQL, not before a line separator."""
     texts = ["“Yes", "yes”", "yes”\u2028", ' "x', "- x", "-x", "HE SAID no", "İ said", "Said x", "saida", "", None]
