@@ -79,7 +79,7 @@ def test_terms_are_found_once(spark, name):
     assert any("/terms/" in p for p in files) and not any("documents.parquet" in p for p in files)
 
 
-@pytest.mark.parametrize("name", ["effective_glossary", "glossary_acceptance", "glossary_conflicts", "glossary_merge_fill"])
+@pytest.mark.parametrize("name", ["effective_glossary", "glossary_acceptance", "glossary_conflicts", "glossary_merge_fill", "glossary_merge_overwrite"])
 def test_terms_of_a_long_line(spark, tmp_path, name):
     """Books with a line of 200,000 capitalised words: the query ends, with the rows of its SQL."""
     import __spark_entry__
